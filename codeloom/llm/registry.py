@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
+from codeloom.llm import mixing
+from codeloom.llm.license_scan import op3_license_scan
 from codeloom.llm.near_duplicates import op5_near_duplicates
+from codeloom.llm.packing import op7_packing
+from codeloom.llm.secret_scan import op8_secret_scan
+from codeloom.llm.toxicity import op10_toxicity
 
-QUERIES = {"op5_near_duplicates": op5_near_duplicates}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
+    "op3_license_scan": op3_license_scan,
+    "op5_near_duplicates": op5_near_duplicates,
+    "op7_packing": op7_packing,
+    "op8_secret_scan": op8_secret_scan,
+    "op10_toxicity": op10_toxicity,
+}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL}
