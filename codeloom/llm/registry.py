@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from codeloom.llm import mixing
+from codeloom.llm import mixing, quality
 from codeloom.llm.license_scan import op3_license_scan
 from codeloom.llm.near_duplicates import op5_near_duplicates
 from codeloom.llm.packing import op7_packing
+from codeloom.llm.pitman_yor import op1_pitman_yor
 from codeloom.llm.secret_scan import op8_secret_scan
 from codeloom.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_pitman_yor": op1_pitman_yor,
     "op2_mixing": mixing.op2_mixing,
     "op3_license_scan": op3_license_scan,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_packing": op7_packing,
     "op8_secret_scan": op8_secret_scan,
+    "op9_quality": quality.op9_quality,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op9_quality": quality.SQL}
