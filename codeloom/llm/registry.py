@@ -7,6 +7,7 @@ from codeloom.llm.license_scan import op3_license_scan
 from codeloom.llm.near_duplicates import op5_near_duplicates
 from codeloom.llm.packing import op7_packing
 from codeloom.llm.pitman_yor import op1_pitman_yor
+from codeloom.llm.repeated_passages import op4_repeated_passages
 from codeloom.llm.secret_scan import op8_secret_scan
 from codeloom.llm.toxicity import op10_toxicity
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_pitman_yor": op1_pitman_yor,
     "op2_mixing": mixing.op2_mixing,
     "op3_license_scan": op3_license_scan,
+    "op4_repeated_passages": op4_repeated_passages,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_packing": op7_packing,
     "op8_secret_scan": op8_secret_scan,
