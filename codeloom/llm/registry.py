@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from codeloom.llm import mixing, quality
+from codeloom.llm.clips import op6_clips
 from codeloom.llm.license_scan import op3_license_scan
 from codeloom.llm.near_duplicates import op5_near_duplicates
 from codeloom.llm.packing import op7_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_repeated_passages": op4_repeated_passages,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_clips": op6_clips,
     "op7_packing": op7_packing,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality": quality.op9_quality,
