@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder every executor can reach.
@@ -28,5 +31,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` as a compressed table in the shared folder and cut its lineage there.
+
+    Unlike ``cut`` it does not keep how rows lie in partitions, takes a fraction
+    of the disk, and lets later readers skip columns. The shuffle files of the
+    job that writes it go as soon as the table stands.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``keep`` wrote; nothing may read them afterwards."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._kept)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
