@@ -3,11 +3,12 @@
 Finds every word that lies in a passage of ``min_words`` words which occurs
 elsewhere too, in another text or in the same one.
 
-A passage of that length holds a winnowing anchor (the least hash of its
-10-word sequences), and equal passages hold equal anchors. So only windows
-around anchors seen at least twice can matter, each window reaching as far as
-a passage around its anchor may. Windows are shuffled by anchor; those of equal
-words are one row. Each partition then builds the Burrows-Wheeler order of its
+A passage's anchor is the least hash of its 10-word sequences, and equal
+passages have equal anchors, so only passages around anchors seen at least
+twice can matter. Passages of a text that share an anchor overlap and make one
+window; every passage is in one window only. Windows are shuffled by anchor,
+those of equal words as one row, and only such rows fetch their words.
+Each partition then builds the Burrows-Wheeler order of its
 windows' suffixes by inserting one symbol per window each round, from the
 windows' ends: suffix cX goes where the order of X and the symbol's earlier
 occurrences put it, and its common prefix with its neighbours follows from those
@@ -24,38 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.words import SAME, WHITE, U, buffers, mix, pieces, segment
-from codeloom.runtime import cut, shared_dir, table
+from codeloom.llm.words import SAME, WHITE, U, Words, buffers, mix, pieces, powers, segment
+from codeloom.runtime import keep, release, shared_dir, table
 
 MIN_WORDS, GRAM, WINDOWS_A_PARTITION, BLOCK = 50, 10, 12_000, 1 << 18
 NONE = np.iinfo(np.int64).max
 
 
-def sliding(x: np.ndarray, n: int, least: np.ufunc) -> np.ndarray:
-    """least over x[i:i + n] for each i where that fits."""
-    done = 1
-    while done * 2 <= n:
-        x = least(x[:-done], x[done:]) if len(x) > done else x[:0]
-        done *= 2
-    rest = n - done
-    return (least(x[: len(x) - rest], x[rest:]) if len(x) > rest else x[:0]) if rest else x
-
-
-def anchors(g: np.ndarray, row: np.ndarray, width: int) -> np.ndarray:
-    """Which of the hashes g are the least of some ``width`` in sequence within their row."""
-    if len(g) < width:
-        return np.zeros(0, np.int64)
-    low = sliding(g, width, np.minimum)
-    low = np.where(row[: len(low)] == row[width - 1 :], low, U(0))
-    edge = np.zeros(width - 1, U)
-    return np.flatnonzero(sliding(np.concatenate([edge, low, edge]), width, np.maximum) == g)
-
-
 class Collection:
     """The growing order of suffixes, as one file a round.
 
@@ -183,25 +163,23 @@ class Collection:
             yield np.array([self.contents[w][o - 1] if o else -1 for w, o in zip(win, off, strict=True)], np.int64)
 
 
-def repeated_offsets(windows: Collection, count: np.ndarray, where: np.ndarray, doc: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_offsets(windows: Collection, count: np.ndarray, doc: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(window, offset, least doc) of suffixes that share min_words words with another place.
 
-    count: texts that hold the window; where: a number for the place of its
-    begin, such that where + offset tells places apart; doc: their least doc_id.
+    count: how many places hold the window; doc: the least doc_id among them.
     """
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     held: list[np.ndarray] = []
+    size_of = np.array([len(c) for c in windows.contents])
 
     def settle(lcp: np.ndarray, win: np.ndarray, off: np.ndarray) -> None:
         if not len(lcp):
             return
         first = np.flatnonzero(np.concatenate([[True], lcp[1:] < min_words]))
         size = np.diff(np.append(first, len(lcp)))
-        at = where[win] + off.astype(np.int64)
-        different = np.minimum.reduceat(at, first) != np.maximum.reduceat(at, first)
-        several = np.maximum.reduceat(count[win], first) > 1
-        long = np.array([len(windows.contents[w]) for w in win[first]]) - off[first] >= min_words
-        good = np.repeat(long & (several | different), size)
+        several = (size > 1) | (np.maximum.reduceat(count[win], first) > 1)
+        long = size_of[win[first]] - off[first] >= min_words
+        good = np.repeat(long & several, size)
         least = np.repeat(np.minimum.reduceat(doc[win], first), size)
         found.append((win[good], off[good].astype(np.int64), least[good]))
 
@@ -217,6 +195,41 @@ def repeated_offsets(windows: Collection, count: np.ndarray, where: np.ndarray,
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
+def anchored_windows(words: Words, min_words: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(anchor hash, row, first word, words) of each window: the passages of min_words words that share their anchor.
+
+    A passage's anchor is the least hash among its sequences of gram words, the
+    leftmost if several are least. Every passage is in one window.
+    """
+    g, at = words.grams(gram)
+    width = min_words - gram + 1
+    if len(g) < width:
+        return np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(3))
+    row = words.rows()[at]
+    best, done = np.arange(len(g)), 1
+    lesser = lambda a, b: np.where(g[b] < g[a], b, a)
+    while done * 2 <= width:
+        best, done = lesser(best[:-done], best[done:]), done * 2
+    if width > done:
+        best = lesser(best[: done - width], best[width - done :])
+    s = np.flatnonzero(row[: len(best)] == row[width - 1 :])
+    if not len(s):
+        return np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(3))
+    best = best[s]
+    begins = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (np.diff(s) != 1)]))
+    ends = np.append(begins[1:], len(s)) - 1
+    first = at[s[begins]]
+    return g[best[begins]], row[best[begins]], first, at[s[ends]] + min_words - first
+
+
+def sequence_hash(words: Words, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hash of each sequence of n words from ``first``."""
+    up, down = powers(len(words.hash) + 1)
+    total = np.zeros(len(words.hash) + 1, U)
+    np.cumsum(words.hash * up[: len(words.hash)], out=total[1:])
+    return mix((total[first + n] - total[first]) * down[first] + n.astype(U))
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, first_doc_id): the maximal stretches of words that lie in repeated passages.
 
@@ -229,72 +242,58 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
     if not gram <= min_words or 2 * min_words - gram > 255:
         raise ValueError("min_words must be at least gram, and 2 * min_words - gram at most 255")
     spark = docs.sparkSession
-    folder, width, left_most = shared_dir(spark), min_words - gram + 1, min_words - gram
+    folder = shared_dir(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rk", F.xxhash64("doc_id", "text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rk = batch.column(0).to_numpy()
-            data, offsets = buffers(batch.column(1))
+            doc, rk = batch.column(0), batch.column(1).to_numpy()
+            data, offsets = buffers(batch.column(2))
             for lo, hi in pieces(offsets):
                 words = segment(data, offsets[lo : hi + 1], WHITE, SAME)
-                g, at = words.grams(gram)
-                row = words.rows()[at]
-                chosen = anchors(g, row, width)
-                place = at[chosen] - words.first[row[chosen]]
-                yield pa.RecordBatch.from_arrays([pa.array(g[chosen].view(np.int64)), pa.array(rk[lo:hi][row[chosen]]), pa.array(place.astype(np.int32))], ["fp", "rk", "at"])
-
-    anchored = rows.select("rk", "text").mapInArrow(find, "fp long, rk long, at int").distinct()
-    anchored = cut(anchored)
-    common = anchored.groupBy("fp").count().filter("count > 1").select("fp")
-    wanted = anchored.join(common, "fp", "left_semi").groupBy("rk").agg(F.array_sort(F.collect_list(F.struct("at", "fp"))).alias("anchors"))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                fp, row, first, n = anchored_windows(words, min_words, gram)
+                code = sequence_hash(words, first, n)
+                start = (first - words.first[row]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(code.view(np.int64)), doc.slice(lo, hi - lo).take(pa.array(row)), pa.array(rk[lo:hi][row]), pa.array(start), pa.array(n.astype(np.int32))], ["fp", "code", "doc_id", "rk", "start", "n"])
+
+    placed = keep(rows.select("doc_id", "rk", "text").mapInArrow(find, "fp long, code long, doc_id long, rk long, start int, n int").distinct())
+    kinds = placed.repartition("fp").groupBy("fp", "code").agg(F.count("*").alias("places"), F.min("doc_id").alias("doc"), F.min(F.struct("rk", "start", "n")).alias("at"))
+    kinds = kinds.withColumn("total", F.sum("places").over(Window.partitionBy("fp"))).filter("total > 1")
+    kinds = keep(kinds.select("fp", "code", "places", "doc", F.col("at.rk").alias("rk"), F.col("at.start").alias("start"), F.col("at.n").alias("n")))
+    parts = max(1, -(-kinds.count() // WINDOWS_A_PARTITION))
+    wanted = kinds.groupBy("rk").agg(F.array_sort(F.collect_list(F.struct("start", "n", "fp", "code", "places", "doc"))).alias("wanted"))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, rk = batch.column(0), batch.column(1).to_numpy()
-            data, offsets = buffers(batch.column(2))
-            lists = batch.column(3)
+            data, offsets = buffers(batch.column(0))
+            lists = batch.column(1)
             for lo, hi in pieces(offsets):
                 words = segment(data, offsets[lo : hi + 1], WHITE, SAME)
                 part = lists.slice(lo, hi - lo)
-                each = part.value_lengths().to_numpy()
                 inner = part.flatten()
-                at, fp = inner.field("at").to_numpy().astype(np.int64), inner.field("fp").to_numpy()
-                row = np.repeat(np.arange(hi - lo), each)
-                first, last = words.first[row], words.first[row + 1]
-                begin = np.maximum(first + at - left_most, first)
-                end = np.minimum(first + at + min_words, last)
-                content = [words.hash[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-                start = (begin - first).astype(np.int32)
-                # Equal windows of a batch carry their words once.
-                known: dict[bytes, int] = {}
-                lean = [None if known.setdefault(c, i) != i else c for i, c in enumerate(content)]
-                code = np.array([xxhash.xxh64_intdigest(c) for c in content], U).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(code), doc.slice(lo, hi - lo).take(pa.array(row)), pa.array(rk[lo:hi][row]), pa.array(start), pa.array(lean, pa.binary())], ["fp", "code", "doc_id", "rk", "start", "content"])
-
-    joined = rows.join(wanted, "rk").select("doc_id", "rk", "text", "anchors")
-    made = cut(joined.mapInArrow(windows, "fp long, code long, doc_id long, rk long, start int, content binary"))
-    members = made.select("fp", "code", "doc_id", "rk", "start").distinct()
-    kinds = made.groupBy("fp", "code").agg(F.max("content").alias("content"))
-    facts = members.groupBy("fp", "code").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc"), F.min(F.struct("rk", "start")).alias("place"))
-    unique = cut(kinds.join(facts, ["fp", "code"]).select("fp", "code", "content", "n", "doc", F.col("place.rk").alias("rk"), F.col("place.start").alias("start")))
-    parts = max(1, -(-unique.count() // WINDOWS_A_PARTITION))
+                row = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy())
+                first = words.first[row] + inner.field("start").to_numpy()
+                begin = offsets[lo:hi][row] + words.start[first]
+                end = offsets[lo:hi][row] + words.end[first + inner.field("n").to_numpy() - 1]
+                content = pa.array([data[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([inner.field(c) for c in ("fp", "code", "places", "doc")] + [content], ["fp", "code", "places", "doc", "content"])
+
+    # Repeated rows have one rk; any of them shows its words.
+    texts = rows.select("rk", "text").join(wanted, "rk").dropDuplicates(["rk"]).select("text", "wanted")
+    windows = texts.mapInArrow(fetch, "fp long, code long, places long, doc long, content binary")
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        t = pa.Table.from_batches(held)
-        contents = t.column("content").to_pylist()
-        sizes = np.array([len(c) // 8 for c in contents])
-        _, symbols = np.unique(np.frombuffer(b"".join(contents), U), return_inverse=True)
-        del contents
-        collection = Collection(np.split((symbols + 1).astype(np.int32), np.cumsum(sizes)[:-1]), folder)
+        t = pa.Table.from_batches(held).combine_chunks()
+        words = segment(*buffers(t.column("content").chunk(0)), WHITE, SAME)
+        _, symbols = np.unique(words.hash, return_inverse=True)
+        collection = Collection(np.split((symbols + 1).astype(np.int32), words.first[1:-1]), folder)
         try:
             collection.build()
-            place = mix(t.column("rk").to_numpy().view(U)).view(np.int64) // 4 + t.column("start").to_numpy()
             doc = t.column("doc").fill_null(NONE).to_numpy()
-            win, off, least = repeated_offsets(collection, t.column("n").to_numpy(), place, doc, min_words)
+            win, off, least = repeated_offsets(collection, t.column("places").to_numpy(), doc, min_words)
         finally:
             collection.close()
         if not len(win):
@@ -307,11 +306,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
         fp, code = t.column("fp").to_numpy()[win[first]], t.column("code").to_numpy()[win[first]]
         yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(code), pa.array(off[first].astype(np.int32)), pa.array((off[last] + min_words).astype(np.int32)), pa.array(least, mask=least == NONE)], ["fp", "code", "a", "b", "least"])
 
-    spans = unique.repartition(parts, "fp").mapInArrow(order, "fp long, code long, a int, b int, least long")
-    placed = members.join(spans, ["fp", "code"]).select("doc_id", "rk", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"), "least")
+    spans = keep(windows.repartition(parts, "fp").mapInArrow(order, "fp long, code long, a int, b int, least long"))
+    release(kinds)
+    found = placed.join(spans, ["fp", "code"]).select("doc_id", "rk", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"), "least")
     by_start = Window.partitionBy("rk").orderBy("a", "b")
     reach = F.max("b").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    opened = placed.withColumn("new", F.when(F.coalesce(F.col("a") > reach, F.lit(True)), 1).otherwise(0))
+    opened = found.withColumn("new", F.when(F.coalesce(F.col("a") > reach, F.lit(True)), 1).otherwise(0))
     numbered = opened.withColumn("run", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
     merged = numbered.groupBy("rk", "run").agg(F.first("doc_id").alias("doc_id"), F.min("a").alias("start_word"), F.max("b").alias("end_word"), F.min("least").alias("first_doc_id"))
     return merged.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id")

@@ -29,7 +29,7 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["up"]) < n:
         size = max(n, CHUNK * 2)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
@@ -88,7 +88,7 @@ def segment(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, fold:
     closes[1:] = inside[:-1] & ~inside[1:]
     closes[bounds] = inside[bounds - 1]
     start, end = np.flatnonzero(opens[:n]), np.flatnonzero(closes)
-    up, down = _power(n + 1)
+    up, down = powers(n + 1)
     total = np.zeros(n + 1, U)
     np.cumsum((fold[data].astype(U) + U(1)) * up[:n], out=total[1:])
     hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
