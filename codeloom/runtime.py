@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,3 +63,21 @@ def release(*tables: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on every worker of a session, once: a zip of its source that Spark distributes."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="codeloom-ship-")) / "codeloom.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(package.rglob("*")):
+            if p.suffix in (".py", ".yaml"):
+                z.write(p, Path("codeloom") / p.relative_to(package))
+    sc.addPyFile(str(target))
+    _SHIPPED.add(sc.applicationId)
