@@ -3,8 +3,9 @@
 Fitting reads labelled documents, at most ``MAX_EXAMPLES`` of each class (those
 of least hash; a documented bound). Features are words and word stems whose
 document frequencies differ between the classes (chi-square, Bonferroni
-corrected). Examples become TF-IDF vectors over the features, in an inverted
-index by blocks that keeps each feature's greatest weight per block. A query
+corrected); all other words of a text count together as one more term, so that
+a single hit in a long text is not the same as many in a short one. Examples
+become TF-IDF vectors over these, in an inverted index by blocks that keeps each feature's greatest weight per block. A query
 scores blocks in order of their upper bounds and stops when no block can reach
 the k-th best, so the k nearest are exact. Distance-weighted votes are
 calibrated by isotonic regression on votes left one out, at the classes'
@@ -74,6 +75,7 @@ class Index:
     def vector(self, text: str | None, memo: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
         """Features and unit-length TF-IDF weights of the whole text."""
         counts: Counter[int] = Counter()
+        rest = 0
         for word, n in Counter(WORD.findall((text or "").lower())).items():
             known = memo.get(word)
             if known is None:
@@ -82,6 +84,10 @@ class Index:
                 known = memo[word] = tuple(self.feature[t] for t in terms(word) if t in self.feature)
             for f in known:
                 counts[f] += n
+            rest += 0 if known else n
+        # Without a feature there is nothing to compare; else the rest of the text counts as one term that all texts have.
+        if counts and rest:
+            counts[len(self.feature)] = rest
         return weigh(counts, self.idf)
 
     def nearest(self, f: np.ndarray, w: np.ndarray, k: int = K, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     chosen = unrelated(chosen)
     if not chosen:
         return empty.build()
-    index = Index({r["term"]: i for i, r in enumerate(chosen)}, np.array([log((1 + n) / (1 + r["bad"] + r["good"])) + 1 for r in chosen]), np.zeros(0, np.int64), np.zeros(0), [], prior)
+    index = Index({r["term"]: i for i, r in enumerate(chosen)}, np.array([*[log((1 + n) / (1 + r["bad"] + r["good"])) + 1 for r in chosen], 1.0]), np.zeros(0, np.int64), np.zeros(0), [], prior)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, tuple[int, ...]] = {}
