@@ -119,10 +119,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """docs as the mixture has them: rows left out or repeated, columns as they came."""
-    copies = plan_mixture(docs).groupBy(F.col("doc_id").alias("__doc"), F.col("source").alias("__source")).count().withColumnRenamed("count", "__copies")
-    keyed = docs.withColumn("__key", source_of(docs))
-    joined = keyed.join(copies, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.col("__key") == F.col("__source")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
+    copies = plan_mixture(docs).groupBy(F.col("doc_id").alias("__doc"), F.col("source").alias("__source")).count()
+    # The row goes along as one struct, so that no column of it can clash.
+    rows = docs.select(F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("__doc"), source_of(docs).alias("__source"))
+    joined = rows.join(copies, ["__doc", "__source"])
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).select("row.*")
 
 
 SQL = f"""

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.words import LOWER, PUNCTUATION, U, buffers, mix, pieces, segment, whole_groups
-from codeloom.runtime import cut, table
+from codeloom.runtime import cut, keep, table
 
 SHINGLE, BANDS, ROWS, THRESHOLD, SEED = 3, 24, 4, 0.5, 11
 
@@ -180,12 +180,12 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat a doc_id one stays, the least in its text. Rows without doc_id stay.
     """
-    groups = near_duplicate_groups(docs)
-    kept = docs.join(groups.filter("doc_id <> group_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    repeated = cut(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    once = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_last() for c in ("text", *[c for c in docs.columns if c not in ("doc_id", "text")])])
-    again = kept.join(repeated, "doc_id", "left_semi").select(docs.columns).withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    gone = near_duplicate_groups(docs).filter("doc_id <> group_id").select(F.col("doc_id").alias("__id"))
+    # The row goes along as one struct, so that no column of it can clash.
+    rows = docs.select(F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("__id"))
+    kept = rows.join(gone, "__id", "left_anti")
+    repeated = keep(rows.filter("__id IS NOT NULL").groupBy("__id").count().filter("count > 1").select("__id"))
+    once = kept.join(repeated, "__id", "left_anti").select("row.*")
+    first = F.min(F.struct(F.col("row.text").isNull().alias("none"), F.col("row.text").alias("text"), F.struct("row").alias("all")))
+    again = kept.join(repeated, "__id", "left_semi").groupBy("__id").agg(first.alias("least")).select("least.all.row.*")
     return once.unionByName(again)

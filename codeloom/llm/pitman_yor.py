@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.words import U, buffers, pieces
-from codeloom.runtime import cut, table
+from codeloom.runtime import cut, keep, table
 
 ORDER, THETA, BURN_IN, SAMPLES, PASSES, EXACT, SEED = 5, 1.0, 2, 3, 4, 160, 5
 #: A model of more rows than this is not sent to all executors but joined.
 BROADCAST_ROWS = 8_000_000
 ROWS_A_PARTITION = 400_000
-STATE = pa.schema([("level", pa.int32()), ("key", pa.int64()), ("c", pa.int64()), ("t", pa.int64()), ("p", pa.float64()), ("b", pa.float64())])
-STATE_SQL = "level int, key long, c long, t long, p double, b double"
+STATE = pa.schema([("level", pa.int32()), ("key", pa.int64()), ("c", pa.int64()), ("t", pa.int64()), ("p", pa.float64())])
+STATE_SQL = "level int, key long, c long, t long, p double"
 
 
 def packed(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
@@ -137,12 +137,12 @@ class Seats:
         came = rng.binomial(m, np.clip(p, 0, 1))
         return np.clip(rest + np.where(rest == 0, np.maximum(came, 1), came), 1, c)
 
-    def predict(self, c: np.ndarray, t: np.ndarray, first: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of each dish in its restaurant, and the weight with which the restaurant falls back to its parent."""
+    def predict(self, c: np.ndarray, t: np.ndarray, first: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Probability of each dish in its restaurant."""
         size = np.diff(np.append(first, len(c)))
         back = (self.theta + self.d * np.add.reduceat(t, first)) / (self.theta + np.add.reduceat(c, first))
         back = np.repeat(back, size)
-        return np.maximum(c - self.d * t, 0) / (self.theta + np.repeat(np.add.reduceat(c, first), size)) + back * base, back
+        return np.maximum(c - self.d * t, 0) / (self.theta + np.repeat(np.add.reduceat(c, first), size)) + back * base
 
 
 def first_of(keys: np.ndarray) -> np.ndarray:
@@ -155,7 +155,7 @@ def mask(level: int) -> np.uint64:
 
 
 def sweep(levels: dict[int, list[np.ndarray]], low: np.ndarray, seats: Seats, rng: np.random.Generator, passes: int, sample: bool) -> None:
-    """One sweep over a partition's restaurants, in place. levels: level -> [keys (sorted), c, t, p, b]; low: probabilities of one-byte contexts, [context, byte]."""
+    """One sweep over a partition's restaurants, in place. levels: level -> [keys (sorted), c, t, p]; low: probabilities of one-byte contexts, [context, byte]."""
     top = max(levels)
     firsts = {k: first_of(v[0]) for k, v in levels.items()}
     up = {k: np.searchsorted(levels[k - 1][0], levels[k][0] & mask(k - 1)) for k in levels if k > 2}
@@ -165,7 +165,7 @@ def sweep(levels: dict[int, list[np.ndarray]], low: np.ndarray, seats: Seats, rn
         out = {2: low[((keys >> U(8)) & U(255)).astype(int), (keys & U(255)).astype(int)]}
         for k in range(3, top + 1):
             _, c, t = levels[k - 1][:3]
-            out[k] = seats.predict(c, t, firsts[k - 1], out[k - 1])[0][up[k]]
+            out[k] = seats.predict(c, t, firsts[k - 1], out[k - 1])[up[k]]
         return out
 
     for _ in range(passes):
@@ -178,9 +178,7 @@ def sweep(levels: dict[int, list[np.ndarray]], low: np.ndarray, seats: Seats, rn
     if sample:
         base = bases()
         for k in range(2, top + 1):
-            p, b = seats.predict(levels[k][1], levels[k][2], firsts[k], base[k])
-            levels[k][3] = levels[k][3] + p
-            levels[k][4] = levels[k][4] + b
+            levels[k][3] = levels[k][3] + seats.predict(levels[k][1], levels[k][2], firsts[k], base[k])
 
 
 @dataclass
@@ -219,6 +217,9 @@ class Low:
 def fit(docs: DataFrame, order: int = ORDER, theta: float = THETA, burn_in: int = BURN_IN, samples: int = SAMPLES, passes: int = PASSES, seed: int = SEED) -> tuple[DataFrame, np.ndarray]:
     """The model: (level, key, p, b) of contexts of two bytes or more, and probabilities [context, byte] of one-byte contexts.
 
+    p are averages over the samples; b is the weight with which a context falls
+    back to its parent's averages such that its probabilities add up to one.
+
     The discount is the count-of-counts estimate n1 / (n1 + 2 n2). Null and
     empty texts bring nothing; of no text at all the model is uniform.
     """
@@ -231,7 +232,7 @@ def fit(docs: DataFrame, order: int = ORDER, theta: float = THETA, burn_in: int
     top = order - 1
     parts = max(8, -(-n // ROWS_A_PARTITION))
     ending = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
-    state = grams.repartition(parts, F.xxhash64(ending)).select(F.lit(top).alias("level"), "key", "c", F.lit(0).cast("long").alias("t"), F.lit(0.0).alias("p"), F.lit(0.0).alias("b"))
+    state = grams.repartition(parts, F.xxhash64(ending)).select(F.lit(top).alias("level"), "key", "c", F.lit(0).cast("long").alias("t"), F.lit(0.0).alias("p"))
     sizes, rng = Low(np.zeros((256, 256), np.int64), np.zeros(256, np.int64)), np.random.default_rng(seed)
     seats, low = Seats(d, theta), np.full((256, 256), 1 / 256)
     low_sum = np.zeros((256, 256))
@@ -243,16 +244,16 @@ def fit(docs: DataFrame, order: int = ORDER, theta: float = THETA, burn_in: int
             if not held:
                 return
             rows = pa.Table.from_batches(held)
-            level, key, c, t, p, b = (rows.column(i).to_numpy() for i in range(6))
+            level, key, c, t, p = (rows.column(i).to_numpy() for i in range(5))
             levels = {}
             for k in range(top, 1, -1):
                 at = np.flatnonzero(level == k)
                 if len(at):
                     at = at[np.argsort(key[at].astype(U), kind="stable")]
-                    levels[k] = [key[at].astype(U), c[at], t[at], p[at], b[at]]
+                    levels[k] = [key[at].astype(U), c[at], t[at], p[at]]
                 else:
                     keys = np.unique(levels[k + 1][0] & mask(k))
-                    levels[k] = [keys, np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys)), np.zeros(len(keys))]
+                    levels[k] = [keys, np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys))]
             if s == 0:
                 for k in range(top, 1, -1):
                     v = levels[k]
@@ -261,8 +262,8 @@ def fit(docs: DataFrame, order: int = ORDER, theta: float = THETA, burn_in: int
                         levels[k - 1][1] = np.bincount(np.searchsorted(levels[k - 1][0], v[0] & mask(k - 1)), v[2], len(levels[k - 1][0])).astype(np.int64)
             own = np.random.default_rng([seed, s, int(levels[top][0][0])])
             sweep(levels, sent.value, seats, own, passes, s >= burn_in)
-            for k, (keys, c, t, p, b) in levels.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(keys.astype(np.int64)), pa.array(c), pa.array(t), pa.array(p), pa.array(b)], schema=STATE)
+            for k, (keys, c, t, p) in levels.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(keys.astype(np.int64)), pa.array(c), pa.array(t), pa.array(p)], schema=STATE)
 
         state = cut(state.mapInArrow(run, STATE_SQL))
         one = state.filter("level = 2").groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("t").alias("t")).collect()
@@ -272,7 +273,31 @@ def fit(docs: DataFrame, order: int = ORDER, theta: float = THETA, burn_in: int
         low = sizes.sample(c1.reshape(256, 256), seats, rng, passes)[0]
         if s >= burn_in:
             low_sum += low
-    return state.select("level", "key", (F.col("p") / samples).alias("p"), (F.col("b") / samples).alias("b")), low_sum / samples
+    mean = spark.sparkContext.broadcast(low_sum / samples)
+
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        level, key, p = (rows.column(c).to_numpy() for c in ("level", "key", "p"))
+        made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k in range(2, top + 1):
+            at = np.flatnonzero(level == k)
+            at = at[np.argsort(key[at].astype(U), kind="stable")]
+            keys, own = key[at].astype(U), p[at] / samples
+            if k == 2:
+                parent = mean.value[((keys >> U(8)) & U(255)).astype(int), (keys & U(255)).astype(int)]
+            else:
+                parent = made[k - 1][1][np.searchsorted(made[k - 1][0], keys & mask(k - 1))]
+            made[k] = keys, own
+            first = first_of(keys)
+            left = 1 - np.add.reduceat(own, first)
+            back = np.where(left > 0, left / np.maximum(1 - np.add.reduceat(parent, first), 1e-12), 0)
+            back = np.repeat(back, np.diff(np.append(first, len(keys))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(keys.astype(np.int64)), pa.array(own), pa.array(back)], ["level", "key", "p", "b"])
+
+    return keep(state.mapInArrow(weights, "level int, key long, p double, b double")), low_sum / samples
 
 
 class Lookup:
