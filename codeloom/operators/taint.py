@@ -54,7 +54,7 @@ def classified(s: Column, sources: Iterable[Entry], sinks: Iterable[Entry], sani
     by_name = C.sink(fn, qn, r["module"], sinks, heuristics, strict)
     trusted = F.coalesce(C.known_sink(fn, qn, sinks, longest=True), structural, by_name) if strict else F.coalesce(structural, by_name)
     return F.struct(
-        *[s[c].alias(c) for c in ("func_id", "func", "seq", "op", "line", "call_line", "target")],
+        *[s[c].alias(c) for c in ("func_id", "func", "seq", "op", "nested", "line", "call_line", "target")],
         r["idents"].alias("idents"), r["args"].alias("args"), is_call.alias("is_call"),
         C.semantic_source(r["type"], r["text"], r["base"], fn, qn, False).alias("read"),
         C.semantic_source(r["type"], r["text"], r["base"], fn, qn, True).alias("read_call"),
@@ -137,7 +137,7 @@ class Flow:
                 if live:
                     self.merge(live, target)
                     self.state[target] = self.state[target][0] - set(cleaner["removes"]), *self.state[target][1:]
-                elif not fresh:
+                elif not fresh and not s["nested"]:
                     self.state.pop(target, None)
                 return
         found = self.tainted(idents)
@@ -145,7 +145,7 @@ class Flow:
             self.merge(found, target)
             for v in found:
                 self.edge(v, target, "assignment", s["line"])
-        elif self.strict and not fresh:
+        elif self.strict and not fresh and not s["nested"]:
             self.state.pop(target, None)
 
     def sink(self, s: dict) -> None:

@@ -32,7 +32,7 @@ PARTS = {
     "scope": "struct<aliases:map<string,string>,names:array<string>,imports:map<string,string>,modules:array<string>,total_scopes:int,max_level:int,functions_per_scope:map<string,int>>",
     "modules": "struct<aliases:map<string,string>,names:map<string,string>>",
     "accesses": "array<struct<id:int,type:string,text:string>>",
-    "stmts": f"array<struct<func_id:int,func:string,seq:int,op:string,line:int,call_line:int,target:string,rhs:{RHS}>>",
+    "stmts": f"array<struct<func_id:int,func:string,seq:int,op:string,nested:boolean,line:int,call_line:int,target:string,rhs:{RHS}>>",
     "strings": f"array<struct<id:int,text:string,{PLACE}>>",
     "lines": "array<string>",
     "stats": "struct<total_lines:int,non_empty_lines:int,functions:int,calls:int,imports:int,size_bytes:int>",
@@ -191,20 +191,21 @@ class Symbols:
 
     def visit(self, root: Node, scope: Scope) -> None:
         """Children in order; a definition's inside comes first in its own scope, then (compatible mode) in this one."""
-        stack: list[tuple[Node, Scope]] = [(root, scope)]
+        stack: list[tuple[Node, Scope, int]] = [(root, scope, 0)]
         while stack:
-            n, s = stack.pop()
-            inner: list[tuple[Node, Scope]] = []
+            n, s, depth = stack.pop()
+            inner: list[tuple[Node, Scope, int]] = []
             if n.type in ("function_definition", "class_definition") and n.get("name") is not None:
                 own = self._define(n, s)
+                depth += 1
                 body = n.get("body")
                 if body is not None:
-                    inner = [(body, own)]
+                    inner = [(body, own, depth)]
             elif n.type == "assignment":
                 self._alias(n, s)
-            again = []
-            if not (self.strict and inner) and not (inner and s.parent is not None and s.level >= NESTING):
-                again = [(k, s) for k in n.kids if k.kids]
+            again: list[tuple[Node, Scope, int]] = []
+            if not inner or not (self.strict or (depth > NESTING and s.parent is not None)):
+                again = [(k, s, depth) for k in n.kids if k.kids]
             stack.extend(reversed([*inner, *again]))
 
     def _in_class(self, scope: Scope) -> bool:
@@ -420,9 +421,9 @@ class File:
         for n in self.all:
             if n.type == "function_definition" and n.get("body") is not None:
                 name = n.get("name").text
-                for seq, (op, node, target, rhs, line) in enumerate(self._walk(n.get("body"))):
+                for seq, (op, nested, target, rhs, line) in enumerate(self._walk(n.get("body"))):
                     call_line = self.source.point(rhs.start)[0] + 1 if rhs is not None else None
-                    out.append({"func_id": n.id, "func": name, "seq": seq, "op": op, "line": line, "call_line": call_line, "target": target, "rhs": self._rhs(rhs, modules) if rhs is not None else None})
+                    out.append({"func_id": n.id, "func": name, "seq": seq, "op": op, "nested": nested, "line": line, "call_line": call_line, "target": target, "rhs": self._rhs(rhs, modules) if rhs is not None else None})
         return out
 
     def _rhs(self, n: Node, modules: dict) -> dict:
@@ -434,46 +435,50 @@ class File:
             out |= {"fn": function_name(n), "qn": qn, "module": modules["aliases"].get(head) if "." in qn else modules["names"].get(qn), "first_arg": args[0].text if args else None, "args": [identifiers(a) for a in args]}
         return out
 
-    def _walk(self, block: Node) -> Iterator[tuple[str, Node, str | None, Node | None, int]]:
-        """(operation, node, target, expression, line) of the statements data can flow through, in order.
+    def _walk(self, block: Node) -> Iterator[tuple[str, bool, str | None, Node | None, int]]:
+        """(operation, whether under a condition, target, expression, line) of the statements data can flow through, in order.
 
         Compatible mode skips what follows the first alternative of an if, and
         the handlers and finally clause of a try.
         """
-        stack = list(reversed(block.kids))
+        stack = [(k, False) for k in reversed(block.kids)]
+
+        def enter(blocks: list[Node | None], nested: bool) -> None:
+            stack.extend((k, nested) for b in reversed(blocks) if b is not None for k in reversed(b.kids))
+
         while stack:
-            n = stack.pop()
+            n, nested = stack.pop()
             kind = n.type
             if kind == "expression_statement" and n.kids:
                 n = n.kids[0]
                 kind = n.type
                 if kind == "call":
-                    yield "call", n, None, n, self.source.point(n.start)[0] + 1
+                    yield "call", nested, None, n, self.source.point(n.start)[0] + 1
             if kind in ("assignment", "augmented_assignment"):
                 left, right = n.get("left"), n.get("right")
                 if left is not None and right is not None and (target := variable(left)):
-                    yield ("assign" if kind == "assignment" else "augment"), n, target, right, self.source.point(n.start)[0] + 1
+                    yield ("assign" if kind == "assignment" else "augment"), nested, target, right, self.source.point(n.start)[0] + 1
             elif kind == "return_statement":
                 if len(n.kids) > 1:
-                    yield "return", n, None, n.kids[1], self.source.point(n.start)[0] + 1
+                    yield "return", nested, None, n.kids[1], self.source.point(n.start)[0] + 1
             elif kind == "if_statement":
                 blocks = [n.get("consequence")]
                 others = [k for k in n.kids if k.field == "alternative"]
                 for k in others if self.strict else others[:1]:
                     blocks.append(k.get("body") or k.get("consequence"))
-                stack.extend(k for b in reversed(blocks) if b is not None for k in reversed(b.kids))
+                enter(blocks, True)
             elif kind in ("for_statement", "while_statement"):
                 blocks = [n.get("body")]
                 if self.strict and n.get("alternative") is not None:
                     blocks.append(n.get("alternative").get("body"))
-                stack.extend(k for b in reversed(blocks) if b is not None for k in reversed(b.kids))
+                enter(blocks, True)
             elif kind == "with_statement":
                 for item in (i for c in n.kids if c.type == "with_clause" for i in c.kids if i.type == "with_item"):
                     for value in item.kids:
                         value = value.kids[0] if value.type == "as_pattern" and value.kids else value
                         if value.type == "call":
-                            yield "call", value, None, value, self.source.point(value.start)[0] + 1
-                stack.extend(reversed(n.get("body").kids))
+                            yield "call", nested, None, value, self.source.point(value.start)[0] + 1
+                enter([n.get("body")], nested)
             elif kind == "try_statement":
                 blocks = [n.get("body")]
                 for k in n.kids:
@@ -481,7 +486,7 @@ class File:
                         blocks.append(k.get("body"))
                     elif self.strict and k.type in ("except_clause", "except_group_clause", "finally_clause"):
                         blocks.extend(x for x in k.kids if x.type == "block")
-                stack.extend(k for b in reversed(blocks) for k in reversed(b.kids))
+                enter(blocks, True)
 
     def part(self, name: str, kinds: frozenset[str] | None, want: frozenset[str]) -> object:
         if name == "nodes":
