@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from codeloom.runtime import cut, table
 
-MAX_EXAMPLES, MAX_FEATURES, K, BLOCK, REJECT, SEED = 4000, 4096, 15, 64, 0.5, 3
+MAX_EXAMPLES, MAX_FEATURES, K, BLOCK, REJECT, SEED = 4000, 4096, 15, 512, 0.5, 3
 STEMS = (4, 5, 6, 7)
 WORD = re.compile(r"\w+")
 SCHEMA = "doc_id long, score double, vote double, toxic boolean, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
