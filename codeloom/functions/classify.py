@@ -6,6 +6,7 @@ and works on plain columns as well as inside ``transform`` over arrays.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 from operator import or_
@@ -22,8 +23,9 @@ def any_of(conditions: Iterable[Column]) -> Column:
 
 
 def holds(text: Column, words: Iterable[str]) -> Column:
-    """Whether text contains any of the words."""
-    return any_of(text.contains(w) for w in words)
+    """Whether text contains any of the words: one pattern of all of them, compiled once, costs less than a test for each."""
+    words = list(words)
+    return text.rlike("|".join(re.escape(w) for w in words)) if words else F.lit(False)
 
 
 def cases(branches: list[tuple[Column, Column]]) -> Column:
@@ -36,13 +38,22 @@ def cases(branches: list[tuple[Column, Column]]) -> Column:
     return out
 
 
+def entries_match(fn: Column, qn: Column, entries: Iterable[Entry]) -> Column:
+    """Whether a call is one of the entries: its last name is an entry's name or pattern, or its full name is qualified so or holds a pattern."""
+    entries = list(entries)
+    names = list(dict.fromkeys(x for e in entries for x in (e.name, *e.patterns)))
+    full = [e.qualified for e in entries if e.qualified]
+    patterns = list(dict.fromkeys(p for e in entries for p in e.patterns))
+    # A qualified name that holds one of the patterns anyway needs no test of its own.
+    full = [q for q in full if not any(p in q for p in patterns)]
+    tests = [fn.isin(*names)] if names else []
+    if full:
+        tests.append(qn.isin(*full))
+    return any_of([*tests, holds(qn, patterns)])
+
+
 def entry_matches(fn: Column, qn: Column, e: Entry) -> Column:
-    tests = [fn == e.name]
-    if e.qualified:
-        tests.append(qn == e.qualified)
-    for p in e.patterns:
-        tests += [qn.contains(p), fn == p]
-    return any_of(tests)
+    return entries_match(fn, qn, [e])
 
 
 def _source(name: Column | str, kind: str, label: str, confidence: float) -> Column:
@@ -57,7 +68,7 @@ def _sink(name: Column | str, kind: str, severity: str, confidence: float, param
 
 
 def module_is(module: Column, category: str) -> Column:
-    return any_of(module.startswith(m) for m in K.MODULES[category])
+    return module.rlike("^(" + "|".join(re.escape(m) for m in K.MODULES[category]) + ")")
 
 
 def module_categories(module: Column) -> Column:
@@ -153,7 +164,7 @@ def sink(fn: Column, qn: Column, module: Column | None = None, entries: Iterable
     guess = guessed_sink(fn, qn, module) if heuristics else F.lit(None)
     if strict:
         return F.coalesce(known_sink(fn, qn, entries, longest=True), guess)
-    return F.when(~any_of(entry_matches(fn, qn, e) for e in entries), guess)
+    return F.when(~entries_match(fn, qn, entries), guess)
 
 
 def sanitizer(fn: Column, qn: Column, entries: Iterable[Entry] = K.SANITIZERS) -> Column:

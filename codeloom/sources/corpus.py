@@ -26,10 +26,15 @@ def statement(of: dict[str, str]):  # noqa: ANN201
     return out
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df shuffled by key into as many partitions as are configured: parsing costs far more than bytes tell, so they must not be joined to a few. The grouping that follows needs no other shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def event_files(spark: SparkSession, sf_dir: str, of: dict[str, str] = PLAIN) -> DataFrame:
     """files(path, code): path is user_id."""
     e = table(spark, sf_dir, "events").filter("user_id IS NOT NULL").select("user_id", "ts", "event_id", F.concat(F.lit("    "), statement(of)).alias("line"))
-    lines = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "line"))).alias("x"))
+    lines = spread(e, "user_id").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "line"))).alias("x"))
     return lines.select(F.col("user_id").cast("string").alias("path"), F.concat(F.lit(HEADER), F.array_join("x.line", "\n"), F.lit("\n")).alias("code"))
 
 
@@ -38,7 +43,7 @@ def session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").filter("user_id IS NOT NULL").select("user_id", "ts", "event_id", "event_type").withColumn("next", F.lead("event_type").over(w))
+    e = spread(table(spark, sf_dir, "events").filter("user_id IS NOT NULL").select("user_id", "ts", "event_id", "event_type"), "user_id").withColumn("next", F.lead("event_type").over(w))
     f = e.groupBy("user_id", "event_type").agg(F.array_sort(F.collect_set("next")).alias("nexts"))
     body = F.when(F.size("nexts") == 0, F.array(F.lit("    pass"))).otherwise(F.transform("nexts", lambda n: F.concat(F.lit("    "), n, F.lit("()"))))
     f = f.select("user_id", "event_type", F.concat(F.lit("def "), F.col("event_type"), F.lit("():\n"), F.array_join(body, "\n"), F.lit("\n")).alias("d"))

@@ -580,12 +580,12 @@ def insert_tokens(root: Node, source: Source) -> None:
     """Put keywords, punctuation and comments into the deepest node around them, and children in source order."""
     owner: dict[int, list[Node]] = {}
     stack: list[Node] = []
-    order = [n for n in root.walk()]
-    order.sort(key=lambda n: (n.start, -n.end))
+    order = list(root.walk())
+    if any(a.start > b.start for a, b in zip(order, order[1:], strict=False)):
+        rank = {id(n): k for k, n in enumerate(order)}
+        order.sort(key=lambda n: (n.start, -n.end, rank[id(n)]))
     i = 0
     inside = {getattr(tokenize, "FSTRING_START", -1), getattr(tokenize, "FSTRING_MIDDLE", -1), getattr(tokenize, "FSTRING_END", -1)}
-    rank = {id(n): k for k, n in enumerate(root.walk())}
-    order.sort(key=lambda n: (n.start, -n.end, rank[id(n)]))
     for kind, text, a, b in source.tokens:
         while i < len(order) and order[i].start <= a:
             while stack and stack[-1].end <= order[i].start:
@@ -608,8 +608,8 @@ def insert_tokens(root: Node, source: Source) -> None:
         more = owner.get(id(n))
         if more:
             n.kids.extend(more)
-        if len(n.kids) > 1:
-            n.kids.sort(key=lambda k: k.start)
+            if len(n.kids) > 1:
+                n.kids.sort(key=lambda k: k.start)
 
 
 def build(text: str) -> tuple[Node, Source]:
@@ -641,14 +641,8 @@ def build(text: str) -> tuple[Node, Source]:
 
 
 def number(root: Node) -> None:
-    n = 0
-    stack: list[tuple[Node, bool]] = [(root, False)]
-    while stack:
-        node, done = stack.pop()
-        if done:
-            node.last = n - 1
-            continue
-        node.id = n
-        n += 1
-        stack.append((node, True))
-        stack.extend((k, False) for k in reversed(node.kids))
+    every = list(root.walk())
+    for i, n in enumerate(every):
+        n.id = i
+    for n in reversed(every):
+        n.last = n.kids[-1].last if n.kids else n.id
