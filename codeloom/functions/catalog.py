@@ -160,3 +160,32 @@ BUILTINS = tuple(
     tuple type vars zip""".split()
 )
 SEVERITIES = ("low", "medium", "high", "critical")
+
+
+def entries_of(entries: tuple[Entry, ...], kind: str | None = None, label: str | None = None) -> list[Entry]:
+    """Entries of a kind, and with a taint label or severity."""
+    return [e for e in entries if kind in (None, e.kind) and label in (None, e.label)]
+
+
+def entry_named(entries: tuple[Entry, ...], name: str) -> Entry | None:
+    return next((e for e in entries if e.name == name), None)
+
+
+def severity_of(name: str, entries: tuple[Entry, ...] = SINKS) -> str:
+    """Severity of a sink; medium for one that is unknown."""
+    e = entry_named(entries, name)
+    return e.label if e else "medium"
+
+
+def trusts(e: Entry, place: int) -> bool:
+    """Whether a sink trusts the argument at a place; one without places trusts all."""
+    return not e.params or place in e.params
+
+
+def effective(e: Entry, labels: set[str]) -> bool:
+    """Whether a sanitizer takes away any of the labels."""
+    return bool(set(e.removes) & labels)
+
+
+def all_modules() -> set[str]:
+    return {m for names in MODULES.values() for m in names}

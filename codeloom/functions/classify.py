@@ -229,3 +229,13 @@ def semantic_sink(fn: Column, qn: Column) -> Column:
 def io_object(fn: Column, qn: Column) -> Column:
     """Kind of object that a constructor call makes (file, socket, ...); null for others."""
     return cases([(qn.contains(c) | (fn == c.rsplit(".", 1)[-1]), F.lit(kind)) for c, kind in K.IO_OBJECTS])
+
+
+def module_of(qn: Column, aliases: Column, names: Column) -> Column:
+    """Module a call leads into: that of its dotted name's head, or the one its bare name came from; null if neither is imported."""
+    return F.when(qn.contains("."), F.element_at(aliases, F.substring_index(qn, ".", 1))).otherwise(F.element_at(names, qn))
+
+
+def resolved_name(name: Column, aliases: Column, names: Column) -> Column:
+    """A name as its imports spell it: an alias's module, a from-import's module and name, or the name itself."""
+    return F.coalesce(F.element_at(aliases, name), F.concat(F.element_at(names, name), F.lit("."), name), name)

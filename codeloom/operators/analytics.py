@@ -123,6 +123,19 @@ def reachable(reached: DataFrame) -> DataFrame:
     return reached.groupBy("path", "name").agg(F.min("dist").alias("dist"))
 
 
+def reach_tree(symbols: DataFrame, edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """(path, entry, caller, callee): the distinct internal edges that an entry's chains go along."""
+    e = internal(symbols, edges).select("path", "caller", "callee").distinct()
+    return reached.select("path", "entry", F.col("name").alias("caller")).join(e, ["path", "caller"]).select("path", "entry", "caller", "callee")
+
+
+def unreachable_share(symbols: DataFrame, reached: DataFrame) -> DataFrame:
+    """(path, reachable, unreachable) counts of every graph."""
+    r = reachable(reached).select("path", F.col("name").alias("qualified_name"), F.lit(1).alias("hit"))
+    s = symbols.select("path", "qualified_name").distinct().join(r, ["path", "qualified_name"], "left")
+    return s.groupBy("path").agg(F.count("hit").alias("reachable"), F.count_if(F.col("hit").isNull()).alias("unreachable"))
+
+
 def dead_code(symbols: DataFrame, reached: DataFrame) -> DataFrame:
     """Symbols that no entry reaches."""
     return symbols.select("path", F.col("qualified_name").alias("name")).join(reached.select("path", "name"), ["path", "name"], "left_anti")

@@ -264,3 +264,8 @@ def io_objects(files: DataFrame) -> DataFrame:
     text = made.select("path", F.explode("nodes").alias("n")).select("path", F.col("n.text").alias("text"))
     got = text.select("path", F.regexp_extract("text", r"(?s)^([\w.]+)\s*\(.*\)\s*as\s+([\w.]+)\s*$", 1).alias("qn"), F.regexp_extract("text", r"(?s)^([\w.]+)\s*\(.*\)\s*as\s+([\w.]+)\s*$", 2).alias("variable")).filter("qn <> ''")
     return got.select("path", "variable", C.io_object(F.substring_index("qn", ".", -1), F.col("qn")).alias("object")).filter("object IS NOT NULL")
+
+
+def io_object_counts(files: DataFrame) -> DataFrame:
+    """(path, object, variables): how many variables each kind of object is bound to."""
+    return io_objects(files).groupBy("path", "object").agg(F.countDistinct("variable").alias("variables"))

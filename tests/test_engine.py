@@ -232,6 +232,8 @@ def test_analytics_on_an_edge_table(spark):
     reached = analytics.reach(s, e, spark.createDataFrame([("g", "a"), ("g", "zz")], "path string, entry string"))
     assert {(r["name"], r["dist"]) for r in reached.collect()} == {("a", 0), ("b", 1), ("d", 1), ("c", 2)}
     assert {r["name"] for r in analytics.dead_code(s, reached).collect()} == {"e"}
+    assert {(r["caller"], r["callee"]) for r in analytics.reach_tree(s, e, reached).collect()} == {("a", "b"), ("b", "c"), ("c", "a"), ("a", "d")}
+    assert tuple(analytics.unreachable_share(s, reached).first())[1:] == (4, 1)
     assert {r["name"] for r in analytics.roots(s, e).collect()} == {"e"} == {r["name"] for r in analytics.leaves(s, e).collect()}
     d = {r["name"]: (r["in_degree"], r["out_degree"]) for r in analytics.degrees(s, e).collect()}
     assert d == {"a": (1, 3), "b": (1, 1), "c": (1, 1), "d": (2, 0), "e": (0, 0)}
@@ -294,6 +296,31 @@ def test_imports_and_objects(spark):
     assert {(r["variable"], r["object"]) for r in taint.io_objects(d).collect()} == {("g", "file"), ("s", "socket")}
 
 
+def test_catalogue_lookups_and_names(spark):
+    from codeloom.functions import catalog as K
+
+    assert [e.name for e in K.entries_of(K.SOURCES, kind="env_var")] == ["os.environ"] and len(K.entries_of(K.SINKS, label="critical")) == 2
+    assert K.severity_of("eval") == "critical" and K.severity_of("nothing") == "medium"
+    assert K.trusts(K.entry_named(K.SINKS, "os.path.join"), 1) and not K.trusts(K.entry_named(K.SINKS, "eval"), 1)
+    assert K.effective(K.entry_named(K.SANITIZERS, "shlex.quote"), {"env"}) and not K.effective(K.entry_named(K.SANITIZERS, "int"), {"file"})
+    assert {"os", "io", "logging"} <= K.all_modules()
+    df = spark.createDataFrame([("sp", "sp.run", {"sp": "subprocess"}, {"quote": "shlex"}), ("quote", "quote", {}, {"quote": "shlex"}), ("z", "z.q", {}, {})], "n string, qn string, a map<string,string>, f map<string,string>")
+    got = df.select(C.module_of(F.col("qn"), F.col("a"), F.col("f")), C.resolved_name(F.col("n"), F.col("a"), F.col("f"))).collect()
+    assert [tuple(r) for r in got] == [("subprocess", "subprocess"), ("shlex", "shlex.quote"), (None, "z")]
+    d = from_strings(spark, "def f(p):\n    with open(p) as g, open(p) as h:\n        pass\n")
+    assert tuple(taint.io_object_counts(d).first())[1:] == ("file", 2)
+
+
+def test_own_catalogue_entries(spark):
+    from codeloom.functions.catalog import SINKS, SOURCES, Entry
+
+    code = "def f():\n    a = fetch_all()\n    launch(1, a)\n"
+    sources = (*SOURCES, Entry("fetch_all", None, "network_read", "network", ("fetch_all",)))
+    sinks = (*SINKS, Entry("launch", None, "command_exec", "critical", ("launch",), params=(1,)))
+    got = taint.taint_paths(taint.analyse(from_strings(spark, code), strict=True, heuristics=False, sources=sources, sinks=sinks)).collect()
+    assert [(r["source"], r["sink"], r["labels"], r["severity"]) for r in got] == [("a", "launch", ["network"], "critical")]
+
+
 def test_reports(spark, tmp_path):
     files = from_strings(spark, [("a.py", RISKY), ("b.py", "x = 1\n"), ("c.py", "def (")])
     rules = load_dir().rules
