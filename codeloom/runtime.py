@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -38,7 +40,8 @@ def keep(df: DataFrame) -> DataFrame:
 
     Unlike ``cut`` it does not keep how rows lie in partitions, takes a fraction
     of the disk, and lets later readers skip columns. The shuffle files of the
-    job that writes it go as soon as the table stands.
+    job that writes it go as soon as the table stands, the table itself when the
+    application ends or ``release`` is called.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
@@ -50,15 +53,22 @@ def keep(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept = path
+    at, store = _located(spark, path)
+    store.deleteOnExit(at)
     return out
 
 
+def _located(spark: SparkSession, uri: str):  # noqa: ANN202
+    """A path of Hadoop's and the file system it is in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that ``keep`` wrote; nothing may read them afterwards."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._kept)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        at, store = _located(df.sparkSession, df._kept)
+        store.delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,15 +79,20 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on every worker of a session, once: a zip of its source that Spark distributes."""
+    """Make this package importable on every worker of a session, once: a zip of its source in the shared folder, which Spark distributes."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="codeloom-ship-")) / "codeloom.zip"
-    with zipfile.ZipFile(target, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(package.rglob("*")):
             if p.suffix in (".py", ".yaml"):
                 z.write(p, Path("codeloom") / p.relative_to(package))
-    sc.addPyFile(str(target))
+    folder = f"{shared_dir(spark).rstrip('/')}/ship-{sc.applicationId}"
+    store, base = fs.FileSystem.from_uri(folder)
+    store.create_dir(base, recursive=True)
+    with store.open_output_stream(f"{base}/codeloom.zip") as f:
+        f.write(packed.getvalue())
+    sc.addPyFile(f"{folder}/codeloom.zip")
     _SHIPPED.add(sc.applicationId)
