@@ -155,7 +155,7 @@ def impact(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumn("impact_score", callers_ + dead).withColumn("is_critical", (callers_ > 3) | (dead > 0))
 
 
-# -- one graph at a time --------------------------------------------------------
+# -- one graph at a time --
 
 
 class Adjacency:

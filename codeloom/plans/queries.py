@@ -193,7 +193,7 @@ def dangerous_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taint.dangerous_imports(corpus.event_files(spark, sf_dir)).select("path", "module", F.array_join("categories", ",").alias("categories"))
 
 
-# -- call graphs of sessions ------------------------------------------------------
+# -- call graphs of sessions --
 _CALLS = """moves AS (SELECT user_id::VARCHAR AS path, event_type AS caller, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS callee FROM events WHERE user_id IS NOT NULL),
 symbols AS (SELECT DISTINCT path, caller AS name FROM moves), edges AS (SELECT DISTINCT path, caller, callee FROM moves WHERE callee IS NOT NULL)"""
 
@@ -299,7 +299,7 @@ def taint_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.taint_documents(taint.analyse(corpus.event_files(spark, sf_dir)))
 
 
-# -- graph analytics on an edge table ----------------------------------------------
+# -- graph analytics on an edge table --
 _TRADE = """nodes AS (SELECT n_name AS name FROM nation), edges AS (
   SELECT a.n_name AS caller, b.n_name AS callee FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON c_nationkey = b.n_nationkey WHERE a.n_name < b.n_name)"""
@@ -365,7 +365,7 @@ def trade_top_five(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.degrees(s, e).select("name", "total_degree").orderBy(F.desc("total_degree"), "name").limit(5)
 
 
-# -- text -------------------------------------------------------------------------
+# -- text --
 _SECRET = " OR ".join(f"regexp_matches(text, '{p}')" for p in X.SECRETS.values())
 
 

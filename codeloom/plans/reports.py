@@ -18,7 +18,8 @@ from codeloom.functions.catalog import SEVERITIES
 from codeloom.sources.rules import Rule
 
 TOOL, VERSION = "codeloom", "0.1.0"
-LEVELS = {"low": "note", "medium": "warning", "high": "error", "critical": "error"}
+LEVELS = {"critical": "error", "medium": "warning", "low": "note"} | {"high": "error"}
+SARIF_SCHEMA = "https://json.schemastore.org/" + "sarif-2.1.0.json"
 SINK_LABELS = {
     "command_exec": "Command execution", "code_eval": "Code evaluation", "sql_exec": "SQL execution", "file_write": "File write", "template_render": "Template rendering",
     "http_request": "HTTP request", "serialization": "Deserialization", "log_output": "Log output", "path_traversal": "Path traversal",
@@ -164,11 +165,11 @@ def write_sarif(results: DataFrame, findings: DataFrame, rules: Iterable[Rule],
     for r in rules:
         if r.id in used:
             text = r.description or r.message
-            one = {"id": r.id, "name": r.id, "shortDescription": {"text": r.title}, "fullDescription": {"text": text}, "properties": {"tags": ["security", *(r.tags or ())]}, "defaultConfiguration": {"level": LEVELS[r.severity]}}
+            one = {"id": r.id, "name": r.id, "shortDescription": {"text": r.title}, "properties": {"tags": list(dict.fromkeys(("security", *(r.tags or ()))))}, "fullDescription": {"text": text}, "defaultConfiguration": {"level": LEVELS[r.severity]}}
             listed_rules.append(one | ({"helpUri": r.references[0]} if r.references else {}))
     at = now()
     with Path(target).open("w", encoding="utf-8") as f:
-        f.write('{"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": ')
+        f.write('{"version": "2.1.0", "$schema": "' + SARIF_SCHEMA + '", "runs": [{"tool": ')
         f.write(json.dumps({"driver": {"version": VERSION, "name": TOOL, "rules": listed_rules}}))
         f.write(', "invocations": ' + json.dumps([{"endTimeUtc": at, "startTimeUtc": at, "executionSuccessful": True, "properties": {"filesScanned": results.count()}}]))
         f.write(', "results": [')
@@ -192,7 +193,7 @@ def valid_sarif(target: str) -> bool:
 
 
 def empty_sarif() -> dict:
-    return {"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"results": [], "tool": {"driver": {"version": VERSION, "name": TOOL, "rules": []}}}]}
+    return {"version": "2.1.0", "$schema": SARIF_SCHEMA, "runs": [{"results": [], "tool": {"driver": {"version": VERSION, "name": TOOL, "rules": []}}}]}
 
 
 def text_report(results: DataFrame, findings: DataFrame, at_least: str = "low", shown: int | None = None) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from codeloom.sources.tree import Node, Source, SourceError, build
+from codeloom.sources.tree import Node, Source, SourceError, build, check
 
 PLACE = "sl:int,sc:int,el:int,ec:int,sb:int,eb:int"
 CALL = "id:int,func_id:int,caller:string,top_level:boolean,main_block:boolean,fn:string,qn:string,text:string"
@@ -510,6 +510,7 @@ def facts(files: DataFrame, parts: Iterable[str], strict: bool = False, kinds: I
     parts = list(parts)
     schema = T.StructType.fromDDL("path string, " + ", ".join(f"{p} {PARTS[p]}" for p in parts))
     arrow = to_arrow_schema(schema)
+    bare = set(parts) <= {"errors"}
     kinds_, want_ = None if kinds is None else frozenset(kinds), frozenset(want)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -523,7 +524,11 @@ def facts(files: DataFrame, parts: Iterable[str], strict: bool = False, kinds: I
                         code = code.as_py()
                         if code is None:
                             raise SourceError("read", "no text")
-                        file = File(code.decode("utf-8") if isinstance(code, bytes) else code, strict)
+                        code = code.decode("utf-8") if isinstance(code, bytes) else code
+                        if bare:
+                            check(code)
+                        else:
+                            file = File(code, strict)
                     except (SourceError, UnicodeDecodeError) as e:
                         at = (e.row, e.column, e.kind) if isinstance(e, SourceError) else (0, 0, "decode")
                         error = {"stage": at[2], "message": str(e), "line": at[0] + 1, "column": at[1] + 1}
@@ -531,7 +536,7 @@ def facts(files: DataFrame, parts: Iterable[str], strict: bool = False, kinds: I
                         if file is not None:
                             column.append(file.part(name, kinds_, want_))
                         elif name == "errors":
-                            column.append([error])
+                            column.append([error] if error else [])
                         else:
                             column.append([] if PARTS[name].startswith("array") else None)
                 yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(_pairs(c, arrow.field(n).type), arrow.field(n).type) for c, n in zip(columns, parts, strict=True))], schema=arrow)

@@ -88,7 +88,7 @@ class Loaded:
         return next((r for r in self.rules if r.id == rule_id), None)
 
     def by_severity(self, severity: str) -> list[Rule]:
-        return [r for r in self.rules if r.severity == severity]
+        return [rule for rule in self.rules if severity == rule.severity]
 
     def by_tag(self, tag: str) -> list[Rule]:
         return [r for r in self.rules if tag in (r.tags or ())]

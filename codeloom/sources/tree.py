@@ -158,7 +158,7 @@ class Builder:
     def __init__(self, source: Source) -> None:
         self.s, self.src = source, source.data
 
-    # -- spans -----------------------------------------------------------------
+    # -- spans --
     def span(self, n: ast.AST) -> tuple[int, int]:
         return self.s.at(n.lineno, n.col_offset), self.s.at(n.end_lineno, n.end_col_offset)
 
@@ -181,7 +181,7 @@ class Builder:
                 return n
             n = self.node("parenthesized_expression", self.s.tokens[i][2], self.s.tokens[j][3], n)
 
-    # -- expressions -----------------------------------------------------------
+    # -- expressions --
     def expr(self, e: ast.expr) -> Node:
         n = self.bare(e)
         return n if isinstance(e, ast.GeneratorExp) else self.wrapped(n)
@@ -373,7 +373,7 @@ class Builder:
             return self.node(kind, kids[0].start, kids[-1].end, *kids) if kids else None
         return self.node(kind, *span, *kids)
 
-    # -- statements ------------------------------------------------------------
+    # -- statements --
     def block(self, body: list[ast.stmt]) -> Node:
         kids = [self.stmt(x) for x in body]
         return self.node("block", kids[0].start, kids[-1].end, *kids)
@@ -612,32 +612,48 @@ def insert_tokens(root: Node, source: Source) -> None:
                 n.kids.sort(key=lambda k: k.start)
 
 
-def build(text: str) -> tuple[Node, Source]:
-    """The tree of a text, ids in parents-first order, ``last`` the greatest id below. SourceError where there is none."""
-    if text.startswith("﻿"):
-        text = text[1:]
+def _parsed(text: str) -> tuple[ast.Module, str]:
+    text = text.removeprefix("\ufeff")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return ast.parse(text), text
+
+
+def _guarded(run, text: str):  # noqa: ANN001, ANN202
     limit = sys.getrecursionlimit()
     try:
         sys.setrecursionlimit(max(limit, DEPTH))
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            tree = ast.parse(text)
-        source = Source(text)
-        source.tokenise()
-        root = Builder(source).module(tree)
+        return run(text)
     except SyntaxError as e:
         raise SourceError("syntax", e.msg or "invalid syntax", max(0, (e.lineno or 1) - 1), max(0, (e.offset or 1) - 1)) from None
-    except (tokenize.TokenError, IndentationError) as e:
+    except tokenize.TokenError as e:
         raise SourceError("token", str(e)) from None
-    except (RecursionError, MemoryError, ValueError, UnicodeError) as e:
+    except (RecursionError, MemoryError, ValueError) as e:
         if isinstance(e, SourceError):
             raise
         raise SourceError("depth" if isinstance(e, RecursionError) else "text", str(e) or type(e).__name__) from None
     finally:
         sys.setrecursionlimit(limit)
-    insert_tokens(root, source)
-    number(root)
-    return root, source
+
+
+def check(text: str) -> None:
+    """SourceError if the text has no tree; a fraction of the cost of ``build``."""
+    _guarded(_parsed, text)
+
+
+def build(text: str) -> tuple[Node, Source]:
+    """The tree of a text, ids in parents-first order, ``last`` the greatest id below. SourceError where there is none."""
+
+    def run(text: str) -> tuple[Node, Source]:
+        tree, text = _parsed(text)
+        source = Source(text)
+        source.tokenise()
+        root = Builder(source).module(tree)
+        insert_tokens(root, source)
+        number(root)
+        return root, source
+
+    return _guarded(run, text)
 
 
 def number(root: Node) -> None:

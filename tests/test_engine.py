@@ -137,7 +137,7 @@ def test_rule_files(tmp_path):
     with pytest.raises(RuleError):
         rule_of({"id": "x", "title": "t", "message": "m", "severity": "huge", "patterns": []})
     stats = reports.rule_statistics(load_dir().rules)
-    assert stats["total_rules"] == 8 and stats["severity_counts"] == {"low": 0, "medium": 2, "high": 6, "critical": 0}
+    assert stats["total_rules"] == 8 and stats["severity_counts"] == {"critical": 0, "high": 6, "medium": 2, "low": 0}
     assert reports.rule_statistics([]) == {"total_rules": 0}
     assert [r.severity for r in load_dir().listing()] == ["high"] * 6 + ["medium"] * 2
     assert len(pick(load_dir().rules, min_severity="high")) == 6
@@ -333,7 +333,7 @@ def test_reports(spark, tmp_path):
     reports.write_json(r.filter("path = 'a.py'"), f, b)
     assert reports.valid_json(a) and not reports.valid_json(merged)
     doc = json.loads(open(a).read())
-    assert doc["summary"]["findings_by_severity"] == {"low": 0, "medium": 2, "high": 2, "critical": 0} and len(doc["results"]) == 3
+    assert doc["summary"]["findings_by_severity"] == {"critical": 0, "high": 2, "medium": 2, "low": 0} and len(doc["results"]) == 3
     m = reports.merge_reports(spark, [a, b])
     assert m["scan_info"]["files_scanned"] == 4 and m["scan_info"]["total_findings"] == 8
     reports.write_sarif(r, f, rules, merged)
