@@ -67,7 +67,8 @@ def degrees(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     e = internal(symbols, edges)
     ends = e.select("path", F.explode(F.array(F.struct(F.col("caller").alias("name"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("callee").alias("name"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("x"))
     counted = ends.groupBy("path", F.col("x.name").alias("name")).agg(F.sum("x.i").alias("in_degree"), F.sum("x.o").alias("out_degree"))
-    names = symbols.select("path", F.col("qualified_name").alias("name")).distinct().join(e.select("path").distinct(), "path", "left_semi")
+    # Read off the counts, so that the edges are shuffled once.
+    names = symbols.select("path", F.col("qualified_name").alias("name")).distinct().join(counted.select("path").distinct(), "path", "left_semi")
     zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("in_degree", "out_degree")]
     return names.join(counted, ["path", "name"], "left").select("path", "name", *zero, (F.coalesce("in_degree", F.lit(0)) + F.coalesce("out_degree", F.lit(0))).cast("long").alias("total_degree"))
 
@@ -143,9 +144,9 @@ def dead_code(symbols: DataFrame, reached: DataFrame) -> DataFrame:
 
 def impact(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """What a change of each symbol touches: callers, dependencies, callers that call nothing else, a score, and whether it is critical."""
-    e = internal(symbols, edges)
-    only = e.groupBy("path", "caller").agg(F.count("*").alias("__n")).filter("__n = 1").select("path", "caller", F.lit(True).alias("only"))
-    up = e.select("path", "caller", F.col("callee").alias("name")).distinct().join(only, ["path", "caller"], "left")
+    e = keep(internal(symbols, edges).groupBy("path", "caller", "callee").agg(F.count("*").alias("calls")))
+    only = e.groupBy("path", "caller").agg(F.sum("calls").alias("__n")).filter("__n = 1").select("path", "caller", F.lit(True).alias("only"))
+    up = e.select("path", "caller", F.col("callee").alias("name")).join(only, ["path", "caller"], "left")
     up = up.groupBy("path", "name").agg(F.array_sort(F.collect_list("caller")).alias("direct_callers"), F.array_sort(F.collect_list(F.when(F.col("only"), F.col("caller")))).alias("potential_dead_code"))
     down = e.groupBy("path", F.col("caller").alias("name")).agg(F.array_sort(F.collect_set("callee")).alias("dependencies"))
     none = F.array().cast("array<string>")
