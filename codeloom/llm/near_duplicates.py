@@ -185,6 +185,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("__id"))
     kept = rows.join(gone, "__id", "left_anti")
     repeated = keep(rows.filter("__id IS NOT NULL").groupBy("__id").count().filter("count > 1").select("__id"))
+    if repeated.isEmpty():
+        return kept.select("row.*")
     once = kept.join(repeated, "__id", "left_anti").select("row.*")
     first = F.min(F.struct(F.col("row.text").isNull().alias("none"), F.col("row.text").alias("text"), F.struct("row").alias("all")))
     again = kept.join(repeated, "__id", "left_semi").groupBy("__id").agg(first.alias("least")).select("least.all.row.*")
