@@ -24,8 +24,7 @@ MAX_REPEATS, BLOCK_DOCS, SEED, STEPS = 1.25, 256, 7, 40
 
 def tokens_of(text: Column) -> Column:
     """Words between white space (space, tab, line ends); 0 for null or empty."""
-    t = F.trim(F.translate(F.coalesce(text.cast("string"), F.lit("")), "\t\n\r\f", "    "))
-    return F.when(t == "", 0).otherwise(F.size(F.split(t, " +"))).cast("long")
+    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit("[^ \\t\\n\\r\\f]+")).cast("long")
 
 
 def source_of(docs: DataFrame) -> Column:
