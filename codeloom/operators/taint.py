@@ -179,9 +179,18 @@ class Flow:
         })
 
 
-def analyse(files: DataFrame, strict: bool = False, heuristics: bool = True, sources: Iterable[Entry] = K.SOURCES, sinks: Iterable[Entry] = K.SINKS, sanitizers: Iterable[Entry] = K.SANITIZERS) -> DataFrame:
+def count_matches(files: DataFrame, strict: bool = False, heuristics: bool = True, sources: Iterable[Entry] = K.SOURCES, sinks: Iterable[Entry] = K.SINKS, sanitizers: Iterable[Entry] = K.SANITIZERS) -> DataFrame:
+    """(path, sources_found, sinks_found, sanitizers_found) of every file, without following any data."""
+    made = facts(files, ["calls", "accesses"], strict=strict)
+    return made.select("path", *counters(F.col("calls"), F.col("accesses"), list(sources), list(sinks), list(sanitizers), heuristics, strict))
+
+
+def analyse(files: DataFrame, strict: bool = False, heuristics: bool = True, sources: Iterable[Entry] = K.SOURCES, sinks: Iterable[Entry] = K.SINKS, sanitizers: Iterable[Entry] = K.SANITIZERS, counted: bool = True) -> DataFrame:
     """(path, sources_found, sinks_found, sanitizers_found, paths, flows) of every file.
 
+    Without ``counted`` the three counters are null, and their calls are not
+    even gathered: for those who want paths and flows alone.
+
     Compatible mode keeps the quirks of substring catalogues (an exact sink is
     lost, clean reassignment doesn't clear, paths hold only edges that touch
     their variable); strict mode does without them. A file without a tree has
@@ -189,9 +198,10 @@ def analyse(files: DataFrame, strict: bool = False, heuristics: bool = True, sou
     """
     sources, sinks, sanitizers = list(sources), list(sinks), list(sanitizers)
     removed = {e.name: set(e.removes) for e in sanitizers}
-    made = facts(files, ["stmts", "calls", "accesses"], strict=strict)
+    made = facts(files, ["stmts", "calls", "accesses"] if counted else ["stmts"], strict=strict)
+    found = counters(F.col("calls"), F.col("accesses"), sources, sinks, sanitizers, heuristics, strict) if counted else [F.lit(None).cast("long").alias(f"{n}_found") for n in ("sources", "sinks", "sanitizers")]
     made = made.select(
-        "path", *counters(F.col("calls"), F.col("accesses"), sources, sinks, sanitizers, heuristics, strict),
+        "path", *found,
         F.transform("stmts", lambda s: classified(s, sources, sinks, sanitizers, heuristics, strict)).alias("stmts"),
     )
     schema = T.StructType.fromDDL(f"path string, sources_found long, sinks_found long, sanitizers_found long, paths {PATHS}, flows {FLOWS}")

@@ -134,13 +134,12 @@ def import_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_LINES} SELECT path, count(*) FILTER (event_type = 'error') AS sources_found, count(*) FILTER (event_type = 'error') AS sinks_found, 0::BIGINT AS sanitizers_found FROM lines GROUP BY path""")
 def taint_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taint.analyse(corpus.event_files(spark, sf_dir)).select("path", "sources_found", "sinks_found", "sanitizers_found")
+    return taint.count_matches(corpus.event_files(spark, sf_dir))
 
 
 @query(f"""WITH {_LINES} SELECT path, count(*) FILTER (event_type = 'error') AS sources_found, count(*) FILTER (event_type IN ('purchase', 'view')) AS sinks_found, 0::BIGINT AS sanitizers_found FROM lines GROUP BY path""")
 def taint_counters_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = taint.analyse(corpus.event_files(spark, sf_dir), strict=True, heuristics=False)
-    return s.select("path", "sources_found", "sinks_found", "sanitizers_found")
+    return taint.count_matches(corpus.event_files(spark, sf_dir), strict=True, heuristics=False)
 
 
 _SEEN = "max(CASE WHEN event_type = 'error' THEN line END) OVER (PARTITION BY user_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS source_line"
@@ -149,7 +148,7 @@ _SEEN = "max(CASE WHEN event_type = 'error' THEN line END) OVER (PARTITION BY us
 @query(f"""WITH {_LINES}, seen AS (SELECT *, {_SEEN} FROM lines)
 SELECT path, 'x' AS source, source_line, 'system' AS sink, 'command_exec' AS sink_type, line AS sink_line, false AS is_sanitized, 'user' AS labels, 'high' AS severity FROM seen WHERE event_type = 'purchase' AND source_line IS NOT NULL""")
 def taint_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paths(taint.analyse(corpus.event_files(spark, sf_dir)))
+    return _paths(taint.analyse(corpus.event_files(spark, sf_dir), counted=False))
 
 
 def _paths(analysed: DataFrame) -> DataFrame:
@@ -161,7 +160,7 @@ def _paths(analysed: DataFrame) -> DataFrame:
 clean AS (SELECT *, coalesce(bool_or(event_type = 'signup' AND source_line IS NOT NULL) OVER (PARTITION BY user_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS is_sanitized FROM seen)
 SELECT path, 'x' AS source, source_line, 'system' AS sink, 'command_exec' AS sink_type, line AS sink_line, is_sanitized, 'user' AS labels, 'high' AS severity FROM clean WHERE event_type = 'purchase' AND source_line IS NOT NULL""")
 def taint_sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paths(taint.analyse(corpus.event_files(spark, sf_dir, corpus.CLEANING)))
+    return _paths(taint.analyse(corpus.event_files(spark, sf_dir, corpus.CLEANING), counted=False))
 
 
 @query(f"""WITH {_LINES}, seen AS (SELECT *, {_SEEN} FROM lines), per AS (SELECT path, count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type = 'purchase' AND source_line IS NOT NULL) AS p FROM seen GROUP BY path)
@@ -174,18 +173,18 @@ def taint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT path, 'User input function' AS from_var, 'x' AS to_var, 'source' AS operation, true AS preserves_taint, line FROM lines WHERE event_type = 'error'
 UNION ALL SELECT path, 'x', 'z', unnest(['sanitize', 'assignment']), unnest([false, true]), line FROM seen WHERE event_type = 'signup' AND source_line IS NOT NULL""")
 def taint_flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = taint.flow_edges(taint.analyse(corpus.event_files(spark, sf_dir, corpus.CLEANING)))
+    f = taint.flow_edges(taint.analyse(corpus.event_files(spark, sf_dir, corpus.CLEANING), counted=False))
     return f.select("path", "from_var", "to_var", "operation", "preserves_taint", F.col("line").cast("long").alias("line"))
 
 
 @query(f"""WITH {_LINES}, seen AS (SELECT *, {_SEEN} FROM lines) SELECT path, 'high' AS severity, count(*) AS paths FROM seen WHERE event_type = 'purchase' AND source_line IS NOT NULL GROUP BY path""")
 def taint_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taint.by_severity(taint.taint_paths(taint.analyse(corpus.event_files(spark, sf_dir))))
+    return taint.by_severity(taint.taint_paths(taint.analyse(corpus.event_files(spark, sf_dir), counted=False)))
 
 
 @query(f"""WITH {_LINES}, seen AS (SELECT *, {_SEEN} FROM lines) SELECT path, 'command_exec' AS sink_type, count(*) AS paths FROM seen WHERE event_type = 'purchase' AND source_line IS NOT NULL GROUP BY path""")
 def taint_by_sink_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taint.by_sink_type(taint.taint_paths(taint.analyse(corpus.event_files(spark, sf_dir))))
+    return taint.by_sink_type(taint.taint_paths(taint.analyse(corpus.event_files(spark, sf_dir), counted=False)))
 
 
 @query(f"""WITH {_LINES}, kinds AS (SELECT DISTINCT path FROM lines) SELECT path, module, categories FROM kinds, (VALUES ('os', 'command_execution'), ('subprocess', 'command_execution')) v(module, categories)""")
