@@ -1,16 +1,17 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine.
+"""Toxicity from the nearest labelled examples by TF-IDF cosine over all their words.
 
 Fitting reads labelled documents, at most ``MAX_EXAMPLES`` of each class (those
-of least hash; a documented bound). Features are words and word stems whose
-document frequencies differ between the classes (chi-square, Bonferroni
-corrected); all other words of a text count together as one more term, so that
-a single hit in a long text is not the same as many in a short one. Examples
-become TF-IDF vectors over these, in an inverted index by blocks that keeps each feature's greatest weight per block. A query
-scores blocks in order of their upper bounds and stops when no block can reach
-the k-th best, so the k nearest are exact. Distance-weighted votes are
-calibrated by isotonic regression on votes left one out, at the classes'
-true rates. A text without any feature has no neighbours and takes the
-calibrated rate of such texts.
+of least hash; a documented bound). Terms are all words of these examples, with
+their document frequencies in all documents. Weighting departs from plain
+TF-IDF: of words and word stems whose frequencies differ between the classes
+(chi-square, Bonferroni corrected) the weight is multiplied by the chi-square
+over its limit, and such stems are terms of their own; no other term loses any.
+A word that no example holds can match nothing, and counts in the length of its
+text as one of a single document. An inverted index gives the cosines of all
+examples that share a term with a text, so the k nearest are exact.
+Distance-weighted votes are calibrated by isotonic regression on votes left one
+out, at the classes' true rates. A text that shares no term with any example
+has no neighbours and takes the rate of toxic labels.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from math import log
 from statistics import NormalDist
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from codeloom.runtime import cut, table
 
-MAX_EXAMPLES, MAX_FEATURES, K, BLOCK, REJECT, SEED = 4000, 4096, 15, 512, 0.5, 3
+MAX_EXAMPLES, MAX_FEATURES, K, REJECT, SEED = 4000, 4096, 15, 0.5, 3
 STEMS = (4, 5, 6, 7)
 WORD = re.compile(r"\w+")
 SCHEMA = "doc_id long, score double, vote double, toxic boolean, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
@@ -42,7 +43,7 @@ def terms(word: str) -> list[str]:
 
 @dataclass
 class Index:
-    """Everything a task needs: bounded by MAX_EXAMPLES and MAX_FEATURES, whatever the corpus."""
+    """Everything a task needs: bounded by the words of MAX_EXAMPLES examples, whatever the corpus."""
 
     feature: dict[str, int]
     idf: np.ndarray
@@ -50,68 +51,57 @@ class Index:
     labels: np.ndarray
     rows: list[tuple[np.ndarray, np.ndarray]]
     prior: float
+    unseen: float = 1.0
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
     bare: float = 0.0
-    block: int = BLOCK
-    upper: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
+    begins: np.ndarray = field(default_factory=lambda: np.zeros(1, int))
+    held: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def build(self) -> Index:
-        """Postings of each block, feature by feature, and the block maxima."""
-        n_blocks = -(-len(self.ids) // self.block)
-        self.upper = np.zeros((len(self.idf), n_blocks))
-        for b in range(n_blocks):
-            rows = self.rows[b * self.block : (b + 1) * self.block]
-            dense = np.zeros((len(self.idf), len(rows)))
-            for j, (f, w) in enumerate(rows):
-                dense[f, j] = w
-            held = np.flatnonzero(dense.any(1))
-            self.upper[:, b] = dense.max(1)
-            where = np.full(len(self.idf), -1)
-            where[held] = np.arange(len(held))
-            self.parts.append((where, dense[held], np.arange(b * self.block, b * self.block + len(rows))))
+        """Postings of each term: the examples that hold it, and their weights."""
+        f = np.concatenate([np.zeros(0, int), *[f for f, _ in self.rows]])
+        by = np.argsort(f, kind="stable")
+        self.held = np.repeat(np.arange(len(self.rows)), [len(f) for f, _ in self.rows])[by]
+        self.weights = np.concatenate([np.zeros(0), *[w for _, w in self.rows]])[by]
+        self.begins = np.concatenate([[0], np.cumsum(np.bincount(f, minlength=len(self.idf)))])
         return self
 
+    def known(self, word: str, memo: dict[str, tuple[int, ...]]) -> tuple[int, ...]:
+        """Terms of a lower-case word: itself and its beginnings, as far as they are indexed."""
+        found = memo.get(word)
+        if found is None:
+            if len(memo) > 500_000:
+                memo.clear()
+            found = memo[word] = tuple(self.feature[t] for t in terms(word) if t in self.feature)
+        return found
+
     def vector(self, text: str | None, memo: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
-        """Features and unit-length TF-IDF weights of the whole text."""
+        """Terms and weights of the whole text, as parts of a vector of length one over all its words."""
         counts: Counter[int] = Counter()
-        rest = 0
+        strange: list[int] = []
         for word, n in Counter(WORD.findall((text or "").lower())).items():
-            known = memo.get(word)
-            if known is None:
-                if len(memo) > 500_000:
-                    memo.clear()
-                known = memo[word] = tuple(self.feature[t] for t in terms(word) if t in self.feature)
-            for f in known:
+            for f in self.known(word, memo):
                 counts[f] += n
-            rest += 0 if known else n
-        # Without a feature there is nothing to compare; else the rest of the text counts as one term that all texts have.
-        if counts and rest:
-            counts[len(self.feature)] = rest
-        return weigh(counts, self.idf)
+            if word not in self.feature:
+                strange.append(n)
+        return weigh(counts, self.idf, strange, self.unseen)
 
     def nearest(self, f: np.ndarray, w: np.ndarray, k: int = K, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Examples of the k greatest positive cosines, and these; ties go to the lesser doc_id."""
-        bounds = w @ self.upper[f]
-        best: tuple[np.ndarray, np.ndarray] = (np.zeros(0, int), np.zeros(0))
-        floor = 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] < floor - 1e-9:
-                break
-            where, dense, rows = self.parts[b]
-            at = where[f]
-            use = at >= 0
-            score = w[use] @ dense[at[use]]
-            keep = (score > 0) & (score >= floor - 1e-9)
-            if without is not None:
-                keep &= rows != without
-            rows, score = np.concatenate([best[0], rows[keep]]), np.concatenate([best[1], score[keep]])
-            score = np.round(score, 9)
-            order = np.lexsort((self.ids[rows], -score))[:k]
-            best = rows[order], score[order]
-            if len(order) == k:
-                floor = best[1][-1]
-        return best
+        spans = list(zip(self.begins[f].tolist(), self.begins[f + 1].tolist(), strict=True))
+        if not spans:
+            return np.zeros(0, int), np.zeros(0)
+        held = np.concatenate([self.held[a:b] for a, b in spans])
+        weights = np.concatenate([self.weights[a:b] for a, b in spans]) * np.repeat(w, [b - a for a, b in spans])
+        score = np.round(np.bincount(held, weights, len(self.ids)), 9)
+        if without is not None:
+            score[without] = 0
+        rows = np.flatnonzero(score > 0)
+        if len(rows) > k:
+            rows = rows[score[rows] >= np.partition(score[rows], len(rows) - k)[len(rows) - k]]
+        rows = rows[np.lexsort((self.ids[rows], -score[rows]))[:k]]
+        return rows, score[rows]
 
     def vote(self, rows: np.ndarray, similarity: np.ndarray) -> float:
         """Share of toxic among neighbours, weighted by the inverse of their distance, with one neighbour of the prior."""
@@ -138,10 +128,12 @@ def unrelated(chosen: list) -> list:
     return kept
 
 
-def weigh(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def weigh(counts: dict[int, int], idf: np.ndarray, strange: list[int], unseen: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted terms and their weights; strange: counts of the words that are no term, which only add to the length."""
     f = np.array(sorted(counts), int)
-    w = np.array([(1 + log(counts[i])) * idf[i] for i in f])
-    return f, w / np.sqrt(w @ w) if len(f) else w
+    w = (1 + np.log(np.array([counts[i] for i in f.tolist()], float))) * idf[f]
+    rest = (1 + np.log(np.array(strange, float))) * unseen
+    return f, w / np.sqrt(w @ w + rest @ rest) if len(f) else w
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     Without examples of both classes the index is empty and every score the
     rate of toxic labels (0 without any).
     """
+    spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rates = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")]
@@ -186,33 +179,55 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     empty = Index({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), [], prior, bare=prior)
     if not n1 or not n0:
         return empty.build()
-    counted = cut(picked.select("text", "toxic").mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).filter("bad + good >= 3"))
-    n_terms = max(1, counted.count())
+    counted = cut(picked.select("text", "toxic").mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
+    often = counted.filter("bad + good >= 3")
+    n_terms = max(1, often.count())
     limit = NormalDist().inv_cdf(1 - 0.05 / n_terms / 2) ** 2
     n = n1 + n0
     chi = (F.col("bad") * (n0 - F.col("good")) - F.col("good") * (n1 - F.col("bad"))) ** 2 * n / (F.lit(float(n1)) * n0 * (F.col("bad") + F.col("good")) * (n - F.col("bad") - F.col("good")))
-    chosen = counted.filter(F.col("bad") + F.col("good") < n).withColumn("chi", chi).filter(F.col("chi") > limit).orderBy(F.desc("chi"), F.desc(F.length("term")), "term").limit(max_features).collect()
-    chosen = unrelated(chosen)
-    if not chosen:
+    chosen = often.filter(F.col("bad") + F.col("good") < n).withColumn("chi", chi).filter(F.col("chi") > limit).orderBy(F.desc("chi"), F.desc(F.length("term")), "term").limit(max_features).collect()
+    telling = {r["term"]: r["chi"] / limit for r in unrelated(chosen)}
+    # Bounded by the examples' texts: all their words, and the telling stems.
+    words = counted.filter(~F.col("term").endswith("*")).select("term").toArrow().column(0).to_pylist()
+    every = sorted(telling.keys() | set(words))
+    if not every:
         return empty.build()
-    index = Index({r["term"]: i for i, r in enumerate(chosen)}, np.array([*[log((1 + n) / (1 + r["bad"] + r["good"])) + 1 for r in chosen], 1.0]), np.zeros(0, np.int64), np.zeros(0), [], prior)
+    index = Index({t: i for i, t in enumerate(every)}, np.zeros(len(every)), np.zeros(0, np.int64), np.zeros(0), [], prior, bare=prior)
+    terms_of = spark.sparkContext.broadcast(index)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, memo = terms_of.value, {}
+        df = np.zeros(len(at.idf) + 1, np.int64)  # the last is the number of texts
+        for batch in batches:
+            seen: list[int] = []
+            for text in batch.column(0):
+                seen += {f for w in set(WORD.findall(text.as_py().lower())) for f in at.known(w, memo)}
+            df += np.bincount(np.array(seen, int), minlength=len(df))
+            df[-1] += batch.num_rows
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(df[some])], ["term", "df"])
+
+    t = texts.select("text").mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(len(every) + 1)
+    df[t.column(0).to_numpy()] = t.column(1).to_numpy()
+    index.idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * np.array([telling.get(t, 1.0) for t in every])
+    index.unseen = log((1 + df[-1]) / 2) + 1
+    weights_of = spark.sparkContext.broadcast(index)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, tuple[int, ...]] = {}
+        at, memo = weights_of.value, {}
         for batch in batches:
-            made = [index.vector(t, memo) for t in batch.column(1).to_pylist()]
+            made = [at.vector(t, memo) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f.tolist() for f, _ in made], pa.list_(pa.int32())), pa.array([w.tolist() for _, w in made], pa.list_(pa.float64()))], ["doc_id", "toxic", "f", "w"])
 
-    # Bounded: at most 2 * max_examples rows of at most max_features numbers.
-    examples = picked.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, f array<int>, w array<double>").collect()
-    live = sorted((r for r in examples if r["f"]), key=lambda r: (r["f"][int(np.argmax(r["w"]))], r["f"], r["doc_id"]))
-    index.ids, index.labels = np.array([r["doc_id"] for r in live], np.int64), np.array([float(r["toxic"]) for r in live])
-    index.rows = [(np.array(r["f"]), np.array(r["w"])) for r in live]
+    # Bounded: at most 2 * max_examples rows, of one number for each word of the text.
+    t = picked.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, f array<int>, w array<double>").toArrow().combine_chunks()
+    ids, toxic = t.column("doc_id").to_numpy(), t.column("toxic").to_numpy()
+    rows = [(f.values.to_numpy().astype(int), w.values.to_numpy()) for f, w in zip(t.column("f"), t.column("w"), strict=True)]
+    live = sorted((i for i, (f, _) in enumerate(rows) if len(f)), key=lambda i: (ids[i], toxic[i], rows[i][0].tolist()))
+    index.ids, index.labels, index.rows = ids[live].astype(np.int64), toxic[live].astype(float), [rows[i] for i in live]
     index.build()
     weight = {1: prior / n1, 0: (1 - prior) / n0}
-    bare = Counter(r["toxic"] for r in examples if not r["f"])
-    mass = bare[1] * weight[1] + bare[0] * weight[0]
-    index.bare = bare[1] * weight[1] / mass if mass else prior
     votes = np.array([index.vote(*index.nearest(f, w, without=i)) for i, (f, w) in enumerate(index.rows)])
     if len(votes):
         index.steps = isotonic(votes, index.labels, np.array([weight[int(y)] for y in index.labels]))
@@ -225,7 +240,7 @@ def score(docs: DataFrame, index: Index, k: int = K, reject: float = REJECT) ->
     A null or empty text has no feature: no neighbours, a null vote. Null and
     repeated doc_ids are scored like others; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(index, rows=[]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, memo = shared.value, {}
@@ -251,7 +266,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows scored as toxic; columns as they came. Every row is scored on its own text, so ids need not be unique."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    shared = docs.sparkSession.sparkContext.broadcast(replace(fit(docs, labels), rows=[]))
 
     @F.pandas_udf("boolean")
     def clean(texts):  # noqa: ANN001, ANN202

@@ -72,3 +72,29 @@ def test_edge_cases(spark, weird, nothing, weird_labels, planted):
     assert score(nothing, index).collect() == []
     assert drop_toxic(nothing, labels).collect() == []
     assert drop_toxic(weird, labels).count() == weird.count()
+
+
+def test_copies_of_toxic_examples_without_telling_words_are_found(spark, planted):
+    """Texts of words that occur once each have no significant term; their copies are still nearest to them."""
+    docs, labels = planted
+    plain = [(1000 + i, " ".join(f"q{i}x{j}" for j in range(30))) for i in range(5)]
+    copies = [(2000 + i, text) for i, (_, text) in enumerate(plain)]
+    every = docs.union(spark.createDataFrame(plain + copies, docs.schema))
+    index = fit(every, labels.union(spark.createDataFrame([(i, 1) for i, _ in plain], labels.schema)))
+    rows = score(every.filter("doc_id >= 2000"), index).collect()
+    assert len(rows) == 5
+    for r in rows:
+        first = r["evidence"][0]
+        assert (first["doc_id"], first["toxic"]) == (r["doc_id"] - 1000, 1)
+        assert first["similarity"] > 0.999 and r["toxic"]
+
+
+def test_weights_take_frequencies_from_all_documents_and_all_words(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a c"), (3, "a a z"), (4, "b z y")], "doc_id long, text string")
+    index = fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    assert set(index.feature) == {"a", "b", "c"}
+    idf = {t: float(np.log(5 / (1 + n)) + 1) for t, n in {"a": 3, "b": 2, "c": 1}.items()}
+    assert {t: index.idf[i] for t, i in index.feature.items()} == pytest.approx(idf)
+    f, w = index.vector("a b q", {})
+    size = np.sqrt(idf["a"] ** 2 + idf["b"] ** 2 + (np.log(5 / 2) + 1) ** 2)
+    assert dict(zip(f.tolist(), w.tolist(), strict=True)) == pytest.approx({index.feature["a"]: idf["a"] / size, index.feature["b"]: idf["b"] / size})
