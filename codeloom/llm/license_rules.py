@@ -1,6 +1,6 @@
 """Hand-written licence signatures, one to a line: licence | priority | keyword | pattern.
 
-A line's pattern is tried only on a text that holds its keyword (lower case). A
+A line's pattern is tried only on a text that holds its keyword (lower case, gaps as one space). A
 space in a pattern stands for any run of white space and comment marks. Higher
 priorities are more specific. Patterns ignore case.
 """
@@ -271,26 +271,26 @@ CC-BY-NC-SA-4.0 | 83 | creative commons | Creative Commons Attribution-Non-?Comm
 CC-BY-NC-ND-4.0 | 83 | creative commons | Creative Commons Attribution-Non-?Commercial-No ?Deriv(?:ative)?s 4\.0(?: International)?(?: (?:Public )?License)?
 CC-BY-ND-4.0 | 82 | creative commons | Creative Commons Attribution-No ?Deriv(?:ative)?s 4\.0(?: International)?(?: (?:Public )?License)?
 CC-any | 30 | creative commons | Creative Commons(?: [\w-]+){0,3} License
-ODbL-1.0 | 70 | open database license | Open (?:Data Commons )?(?:Open )?Database License(?: v?1\.0)?
+ODbL-1.0 | 70 | database license | Open (?:Data Commons )?(?:Open )?Database License(?: v?1\.0)?
 ODC-By-1.0 | 70 | open data commons attribution | Open Data Commons Attribution License(?: v?1\.0)?
 PDDL-1.0 | 70 | public domain dedication | Public Domain Dedication and License
 CDLA-Permissive | 70 | community data license | Community Data License Agreement[ -–]+Permissive
 CDLA-Sharing | 70 | community data license | Community Data License Agreement[ -–]+Sharing
 OGL-UK | 60 | open government licen | Open Government Licen[cs]e
-OpenRAIL | 60 | openrail | \b(?:Big(?:Science|Code) )?Open ?RAIL(?:-?[MS]{1,2})?\b
+OpenRAIL | 60 | rail | \b(?:Big(?:Science|Code) )?Open ?RAIL(?:-?[MS]{1,2})?\b
 Llama-2 | 60 | llama 2 community | Llama 2 Community License
 public-domain | 50 | public domain | (?:is|are|placed|released|dedicated) (?:hereby )?(?:in|into|to) the public domain
 public-domain | 30 | public domain | \bpublic domain\b
 proprietary | 50 | all rights reserved | All rights reserved
 proprietary | 55 | confidential | (?:proprietary and confidential|confidential and proprietary)
 proprietary | 55 | unauthorized copying | Unauthorized copying of this file,? via any medium,? is strictly prohibited
-proprietary | 50 | end user license | End[- ]User Licen[cs]e Agreement
+proprietary | 50 | agreement | End[- ]User Licen[cs]e Agreement
 proprietary | 45 | no part of this | No part of this (?:publication|work|book|document) may be reproduced
 warranty | 20 | without warranty | (?:provided|distributed) .{0,40}without warranty of any kind
-warranty | 20 | as is | provided ["'“]?as[- ]is["'”]?
+warranty | 20 | provided | provided ["'“]?as[- ]is["'”]?
 warranty | 20 | without any warranty | WITHOUT ANY WARRANTY
 copyright | 15 | copyright | Copyright (?:\(c\)|©)? ?\d{4}(?: ?[-–,] ?\d{4})*
 copyright | 12 | copyright | Copyright (?:\(c\)|©)
-reference | 25 | license file | (?:see|refer to) (?:the )?(?:accompanying |included )?LICENSE(?:\.(?:txt|md))? file
+reference | 25 | license | (?:see|refer to) (?:the )?(?:accompanying |included )?LICENSE(?:\.(?:txt|md))? file
 reference | 25 | license.txt | (?:see|refer to) (?:the )?(?:file )?LICENSE\.txt
 """

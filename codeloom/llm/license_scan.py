@@ -1,7 +1,8 @@
 """Licence scan with ordered signature rules.
 
-One Aho-Corasick pass over the lower-case text finds which keywords it holds;
-only their rules' patterns run. Detections resolve by priority: in order of
+One Aho-Corasick pass over the lower-case text, its gaps (white space and
+comment marks) folded to one space, finds which keywords it holds; only their
+rules' patterns run. Detections resolve by priority: in order of
 priority, length, place and rule, one is dropped if a kept one's interval
 contains it.
 """
@@ -38,12 +39,21 @@ def parse_rules(text: str = RULES) -> list[Rule]:
     return out
 
 
+#: The marks of GAP, and what ignoring case takes for i, s and k besides their capitals.
+FOLD = str.maketrans({**dict.fromkeys("*#;/", " "), "\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"})
+
+
+def folded(text: str) -> str:
+    """Lower case, each run of white space and comment marks as one space."""
+    return " ".join(text.translate(FOLD).lower().split())
+
+
 @cache
 def _ready(text: str) -> tuple[list[Rule], ahocorasick.Automaton]:
     rules = parse_rules(text)
     machine = ahocorasick.Automaton()
-    for keyword in {r[2] for r in rules}:
-        machine.add_word(keyword, tuple(i for i, r in enumerate(rules) if r[2] == keyword))
+    for keyword in {folded(r[2]) for r in rules}:
+        machine.add_word(keyword, tuple(i for i, r in enumerate(rules) if folded(r[2]) == keyword))
     machine.make_automaton()
     return rules, machine
 
@@ -63,9 +73,9 @@ def detect(text: str | None, rules_text: str = RULES, prefilter: bool = True) ->
         return []
     rules, machine = _ready(rules_text)
     if prefilter:
-        on = sorted({i for _, group in machine.iter(text.lower()) for i in group})
+        on = sorted({i for _, group in machine.iter(folded(text)) for i in group})
     else:
-        on = [i for i, r in enumerate(rules) if r[2] in text.lower()]
+        on = range(len(rules))
     hits = [(rules[i][1], m.start(), m.end(), i) for i in on for m in rules[i][3].finditer(text) if m.end() > m.start()]
     return [(rules[i][0], i, p, a, b) for p, a, b, i in resolve(hits)]
 
