@@ -54,11 +54,10 @@ def find(text: str | None, vocabulary: str = VOCABULARY, min_chars: int = MIN_CH
     out = []
     for m in candidates(min_chars).finditer(text or ""):
         s, at = m.group(), m.start()
-        digit = any(c.isdigit() for c in s)
         known = PREFIX.match(s)
-        if not (digit or known):
-            continue
         named = NAMED.search(text, max(0, at - 64), at)
+        if not (named or known or any(c.isdigit() for c in s)):
+            continue
         if not named and (DIGEST.match(s) or UUID.match(s) or NUMBER.match(s) or INTEGRITY.search(text, max(0, at - 10), at)):
             continue
         tokens = len(encoding(vocabulary).encode_ordinary(s))

@@ -66,3 +66,15 @@ def test_masking_and_edge_cases(spark, weird, nothing):
     assert scan_secrets(nothing).collect() == redact_secrets(nothing).collect() == []
     assert find(None) == find("") == []
     assert find("aB3" * 30_000) is not None
+
+
+def test_named_secrets_need_no_digit():
+    text = 'password = "qWzRtYvIpAsDfGhJkLxB"'
+    assert [(h[0], h[1], h[2]) for h in find(text)] == [(12, 32, "named")]
+    assert find("x qWzRtYvIpAsDfGhJkLxB y") == []
+    assert find('password = "internationalization_of_documentation"') == []
+
+
+def test_named_secrets_without_digit_are_masked(spark):
+    docs = spark.createDataFrame([(1, 'api_key: "qWzRtYvIpAsDfGhJkLxB" end', 36)], "doc_id long, text string, n_chars int")
+    assert redact_secrets(docs).first()["text"] == 'api_key: "[SECRET]" end'
