@@ -8,8 +8,9 @@ children. Seatings are sampled by Gibbs moves with the sizes of tables
 integrated out: a customer leaves, closing a table with probability
 S(c-1, t-1) / S(c, t) (generalised Stirling numbers: exact up to EXACT
 customers, beyond by saddle point), and is seated again in proportion to
-c - d t or (theta + d T) P(parent). Dishes with many customers move a sixteenth
-of them at a time. Within a pass a level's totals and its parents'
+c - d t or (theta + d T) P(parent). A pass moves a sixteenth of each dish's
+customers, at least one, so the PASSES = 16 of a sweep move every customer
+once or more. Within a pass a level's totals and its parents'
 probabilities are those of the pass's begin.
 
 Distribution: contexts are partitioned by their last two bytes, so every
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.words import U, buffers, pieces
 from codeloom.runtime import cut, keep, table
 
-ORDER, THETA, BURN_IN, SAMPLES, PASSES, EXACT, SEED = 5, 1.0, 2, 3, 4, 160, 5
+ORDER, THETA, BURN_IN, SAMPLES, PASSES, EXACT, SEED = 5, 1.0, 12, 3, 16, 160, 5
 #: A model of more rows than this is not sent to all executors but joined.
 BROADCAST_ROWS = 8_000_000
 ROWS_A_PARTITION = 400_000
@@ -127,7 +128,7 @@ class Seats:
         """Tables after one move of every dish. first: where each restaurant's dishes begin; base: its parent's probability of the dish."""
         size = np.diff(np.append(first, len(c)))
         total = np.repeat(np.add.reduceat(t, first), size)
-        m = np.maximum(1, c // 16)
+        m = -(-c // 16)
         gone = np.minimum(rng.binomial(m, self.close(c, t)), np.where(c > m, t - 1, t))
         gone = np.where(c == 1, 1, gone)
         rest, left = t - gone, c - m

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from codeloom.llm.pitman_yor import Lookup, Seats, count_grams, fit, op1_pitman_yor, packed, score, stirling
+from codeloom.llm.pitman_yor import BURN_IN, PASSES, SAMPLES, Lookup, Seats, count_grams, fit, op1_pitman_yor, packed, score, stirling
 from codeloom.llm.words import buffers
 
 
@@ -100,3 +100,19 @@ def test_query_scores_every_document(spark, sf):
     rows = op1_pitman_yor(spark, sf).collect()
     assert len(rows) == n
     assert all(1 < r["perplexity"] < 256 for r in rows if r["n_bytes"])
+
+
+@pytest.mark.parametrize(("c", "base"), [(20, 0.3), (31, 0.02), (100, 0.3), (150, 0.02)])
+def test_production_sweeps_reach_the_posterior_of_frequent_dishes(c, base):
+    """Started as fit does, after its burn-in, and averaged over its samples."""
+    d, theta, n = 0.5, 1.0, 1000
+    seats, rng = Seats(d, theta), np.random.default_rng(2)
+    t, mean = np.full(n, round(c**d)), 0.0
+    for sweep in range(BURN_IN + SAMPLES):
+        for _ in range(PASSES):
+            t = seats.move(np.full(n, c), t, np.arange(n), np.full(n, base), rng)
+        mean += t.mean() / SAMPLES * (sweep >= BURN_IN)
+    s = stirling(d)
+    logs = np.array([sum(log(theta + d * j) for j in range(1, k)) + k * log(base) + s[c, k] for k in range(1, c + 1)])
+    want = np.exp(logs - logs.max())
+    assert mean == pytest.approx(want @ np.arange(1, c + 1) / want.sum(), rel=0.1)
