@@ -1,17 +1,22 @@
-"""Toxicity from the nearest labelled examples by TF-IDF cosine over all their words.
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine in a block-max inverted index.
 
 Fitting reads labelled documents, at most ``MAX_EXAMPLES`` of each class (those
 of least hash; a documented bound). Terms are all words of these examples, with
 their document frequencies in all documents. Weighting departs from plain
-TF-IDF: of words and word stems whose frequencies differ between the classes
-(chi-square, Bonferroni corrected) the weight is multiplied by the chi-square
-over its limit, and such stems are terms of their own; no other term loses any.
-A word that no example holds can match nothing, and counts in the length of its
-text as one of a single document. An inverted index gives the cosines of all
-examples that share a term with a text, so the k nearest are exact.
-Distance-weighted votes are calibrated by isotonic regression on votes left one
-out, at the classes' true rates. A text that shares no term with any example
-has no neighbours and takes the rate of toxic labels.
+TF-IDF in one way: a word whose frequencies differ between the classes
+(chi-square, Bonferroni corrected over all words) has its weight multiplied by
+the chi-square over its limit. A word that no example holds can match nothing,
+and counts in the length of its text as one of a single document.
+
+Examples are ordered by the language of their common words and their length
+and cut into blocks of ``BLOCK``; each term's postings are cut likewise and
+each piece keeps its greatest weight. A text's terms and these maxima bound the
+cosine of every example of a block. The blocks of the greatest bounds are
+scored first, and then only those whose bound reaches the k-th cosine found, so
+the k nearest are exact. A document is never its own neighbour.
+Distance-weighted votes are calibrated by isotonic regression on the examples'
+own votes, at the classes' true rates. A text that shares no term with any
+example has no neighbours and takes the rate of toxic labels.
 """
 
 from __future__ import annotations
@@ -28,22 +33,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.llm.words import spans
 from codeloom.runtime import cut, table
 
-MAX_EXAMPLES, MAX_FEATURES, K, REJECT, SEED = 4000, 4096, 15, 0.5, 3
-STEMS = (4, 5, 6, 7)
+MAX_EXAMPLES, K, REJECT, SEED = 4000, 15, 0.5, 3
+BLOCK, CLUSTERS, FIRST_BLOCKS = 64, 16, 3
 WORD = re.compile(r"\w+")
 SCHEMA = "doc_id long, score double, vote double, toxic boolean, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
 
 
-def terms(word: str) -> list[str]:
-    """A lower-case word, and its beginnings as stems."""
-    return [word, *[word[:n] + "*" for n in STEMS if len(word) >= n]]
+def _none(kind: type) -> object:
+    return field(default_factory=lambda: np.zeros(0, kind))
 
 
 @dataclass
 class Index:
-    """Everything a task needs: bounded by the words of MAX_EXAMPLES examples, whatever the corpus."""
+    """Everything a task needs: bounded by the words of MAX_EXAMPLES examples, whatever the corpus.
+
+    ``place`` holds each posting's example, ``weight`` its weight; the pieces of
+    term t are ``term[t]:term[t + 1]``, each with its block, its greatest weight,
+    and where its postings begin.
+    """
 
     feature: dict[str, int]
     idf: np.ndarray
@@ -54,49 +64,62 @@ class Index:
     unseen: float = 1.0
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
     bare: float = 0.0
-    begins: np.ndarray = field(default_factory=lambda: np.zeros(1, int))
-    held: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    place: np.ndarray = _none(np.int64)
+    weight: np.ndarray = _none(float)
+    term: np.ndarray = _none(np.int64)
+    block: np.ndarray = _none(np.int64)
+    most: np.ndarray = _none(float)
+    begin: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
 
     def build(self) -> Index:
-        """Postings of each term: the examples that hold it, and their weights."""
+        """Order the examples and cut the postings of each term into blocks of them."""
+        order = arrangement(self.rows, len(self.idf))
+        self.ids, self.labels, self.rows = self.ids[order], self.labels[order], [self.rows[i] for i in order]
         f = np.concatenate([np.zeros(0, int), *[f for f, _ in self.rows]])
         by = np.argsort(f, kind="stable")
-        self.held = np.repeat(np.arange(len(self.rows)), [len(f) for f, _ in self.rows])[by]
-        self.weights = np.concatenate([np.zeros(0), *[w for _, w in self.rows]])[by]
-        self.begins = np.concatenate([[0], np.cumsum(np.bincount(f, minlength=len(self.idf)))])
+        f = f[by]
+        self.place = np.repeat(np.arange(len(self.rows)), [len(f) for f, _ in self.rows])[by]
+        self.weight = np.concatenate([np.zeros(0), *[w for _, w in self.rows]])[by]
+        block = self.place // BLOCK
+        starts = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (block[1:] != block[:-1])])) if len(f) else np.zeros(0, int)
+        self.block, self.begin = block[starts], np.append(starts, len(f))
+        self.most = np.maximum.reduceat(self.weight, starts) if len(f) else np.zeros(0)
+        self.term = np.concatenate([[0], np.cumsum(np.bincount(f[starts], minlength=len(self.idf)))])
         return self
 
-    def known(self, word: str, memo: dict[str, tuple[int, ...]]) -> tuple[int, ...]:
-        """Terms of a lower-case word: itself and its beginnings, as far as they are indexed."""
-        found = memo.get(word)
-        if found is None:
-            if len(memo) > 500_000:
-                memo.clear()
-            found = memo[word] = tuple(self.feature[t] for t in terms(word) if t in self.feature)
-        return found
-
-    def vector(self, text: str | None, memo: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of the whole text, as parts of a vector of length one over all its words."""
-        counts: Counter[int] = Counter()
-        strange: list[int] = []
-        for word, n in Counter(WORD.findall((text or "").lower())).items():
-            for f in self.known(word, memo):
-                counts[f] += n
-            if word not in self.feature:
-                strange.append(n)
-        return weigh(counts, self.idf, strange, self.unseen)
-
-    def nearest(self, f: np.ndarray, w: np.ndarray, k: int = K, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of the k greatest positive cosines, and these; ties go to the lesser doc_id."""
-        spans = list(zip(self.begins[f].tolist(), self.begins[f + 1].tolist(), strict=True))
-        if not spans:
+        words = Counter(WORD.findall((text or "").lower()))
+        at = [self.feature.get(w, -1) for w in words]
+        return weigh(np.array(at, np.int64), np.fromiter(words.values(), float, len(words)), self.idf, self.unseen)
+
+    def nearest(self, f: np.ndarray, w: np.ndarray, k: int = K, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of the k greatest positive cosines, and these; ties go to the lesser doc_id. own: the doc_id of the text, which is no neighbour."""
+        n = len(self.ids)
+        pieces = spans(self.term[f], self.term[f + 1])
+        if not len(pieces):
             return np.zeros(0, int), np.zeros(0)
-        held = np.concatenate([self.held[a:b] for a, b in spans])
-        weights = np.concatenate([self.weights[a:b] for a, b in spans]) * np.repeat(w, [b - a for a, b in spans])
-        score = np.round(np.bincount(held, weights, len(self.ids)), 9)
-        if without is not None:
-            score[without] = 0
+        factor = np.repeat(w, self.term[f + 1] - self.term[f])
+        block = self.block[pieces]
+        bound = np.bincount(block, self.most[pieces] * factor, -(-n // BLOCK))
+        mine = np.zeros(0, int) if own is None else np.flatnonzero(self.ids == own)
+
+        def scored(blocks: np.ndarray) -> np.ndarray:
+            on = blocks[block]
+            some = pieces[on]
+            at = spans(self.begin[some], self.begin[some + 1])
+            out = np.bincount(self.place[at], self.weight[at] * np.repeat(factor[on], self.begin[some + 1] - self.begin[some]), n)
+            out[mine] = 0
+            return out
+
+        ahead = np.zeros(len(bound), bool)
+        ahead[np.argsort(-bound, kind="stable")[: FIRST_BLOCKS + (k - 1) // BLOCK]] = True
+        score = scored(ahead)
+        least = np.partition(score, n - k)[n - k] if n > k else 0.0
+        rest = ~ahead & (bound > 0) & (bound >= least - 1e-6)
+        if rest.any():
+            score += scored(rest)
+        score = np.round(score, 9)
         rows = np.flatnonzero(score > 0)
         if len(rows) > k:
             rows = rows[score[rows] >= np.partition(score[rows], len(rows) - k)[len(rows) - k]]
@@ -108,32 +131,44 @@ class Index:
         near = 1 / (1.05 - np.minimum(similarity, 1))
         return float((near @ self.labels[rows] + self.prior) / (near.sum() + 1))
 
-    def calibrated(self, vote: float) -> float:
-        x, y = self.steps
-        return float(np.interp(vote, x, y)) if len(x) else self.prior
-
-
-def unrelated(chosen: list) -> list:
-    """Of terms by falling chi-square, those that neither begin nor continue a term before them: a word and its stems count once."""
-    kept: list = []
-    begins: set[str] = set()
-    whole: set[str] = set()
-    for r in chosen:
-        stem = r["term"].rstrip("*")
-        heads = {stem[:n] for n in range(1, len(stem) + 1)}
-        if stem not in begins and not heads & whole:
-            kept.append(r)
-            begins |= heads
-            whole.add(stem)
-    return kept
+    def voted(self, text: str | None, own: int | None, k: int = K) -> tuple[float | None, np.ndarray, np.ndarray]:
+        """The vote on a text (None without neighbours), its neighbours and their cosines."""
+        rows, near = self.nearest(*self.vector(text), k, own)
+        return (self.vote(rows, near) if len(rows) else None), rows, near
 
-
-def weigh(counts: dict[int, int], idf: np.ndarray, strange: list[int], unseen: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted terms and their weights; strange: counts of the words that are no term, which only add to the length."""
-    f = np.array(sorted(counts), int)
-    w = (1 + np.log(np.array([counts[i] for i in f.tolist()], float))) * idf[f]
-    rest = (1 + np.log(np.array(strange, float))) * unseen
-    return f, w / np.sqrt(w @ w + rest @ rest) if len(f) else w
+    def calibrated(self, vote: float | None) -> float:
+        x, y = self.steps
+        return self.bare if vote is None else float(np.interp(vote, x, y)) if len(x) else self.prior
+
+
+def arrangement(rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> np.ndarray:
+    """An order in which examples of like common words, and of like length among these, stand together: it only makes bounds tight."""
+    held = np.bincount(np.concatenate([np.zeros(0, int), *[f for f, _ in rows]]), minlength=n_terms)
+    common = np.flatnonzero(held >= max(2, len(rows) // 50))
+    at = np.full(n_terms, -1)
+    at[common] = np.arange(len(common))
+    m = np.zeros((len(rows), len(common)), np.float32)
+    for i, (f, w) in enumerate(rows):
+        m[i, at[f][at[f] >= 0]] = w[at[f] >= 0]
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    group = np.zeros(len(rows), int)
+    if len(rows) > CLUSTERS:
+        centre = m[np.linspace(0, len(rows) - 1, CLUSTERS).astype(int)]
+        for _ in range(6):
+            group = np.argmax(m @ centre.T, 1)
+            centre = np.stack([m[group == c].mean(0) if (group == c).any() else centre[c] for c in range(CLUSTERS)])
+            centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
+    return np.lexsort(([len(f) for f, _ in rows], group)) if rows else np.zeros(0, int)
+
+
+def weigh(at: np.ndarray, counts: np.ndarray, idf: np.ndarray, unseen: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted terms and their weights, from the term (-1: none) and count of each distinct word; words that are no term only add to the length."""
+    w = 1 + np.log(counts)
+    known = at >= 0
+    f, strange = at[known], w[~known] * unseen
+    w = w[known] * idf[f]
+    by = np.argsort(f)
+    return f[by], w[by] / np.sqrt(w @ w + strange @ strange) if len(f) else w
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,11 +184,12 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return xs, np.array([p[2] / p[3] for p in pools for _ in range(2)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_features: int = MAX_FEATURES, seed: int = SEED) -> Index:
-    """The index from labelled documents; labels without a document, or null, are left out.
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, seed: int = SEED) -> Index:
+    """The index from labelled documents; labels without a document, or null, are left out, a doc_id labelled twice is toxic if one of its labels says so.
 
-    Without examples of both classes the index is empty and every score the
-    rate of toxic labels (0 without any).
+    Of several rows of one doc_id the greatest text is its example. Without
+    examples of both classes the index is empty and every score the rate of
+    toxic labels (0 without any).
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -163,96 +199,96 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     prior = rates.get(1, 0) / max(1, sum(rates.values()))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     # The sample holds at most 2 * max_examples ids, so it is broadcast.
-    picked = texts.join(F.broadcast(sample), "doc_id")
+    picked = cut(texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("toxic").alias("toxic")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             df: list[Counter[str]] = [Counter(), Counter()]
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                df[y].update({t for w in set(WORD.findall(text.lower())) for t in terms(w)})
+                df[y].update(set(WORD.findall(text.lower())))
             every = sorted(df[0].keys() | df[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([df[1][t] for t in every], pa.int64()), pa.array([df[0][t] for t in every], pa.int64())], ["term", "bad", "good"])
 
-    picked = cut(picked)
     sizes = {r["toxic"]: r["count"] for r in picked.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    empty = Index({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), [], prior, bare=prior)
-    if not n1 or not n0:
-        return empty.build()
-    counted = cut(picked.select("text", "toxic").mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
-    often = counted.filter("bad + good >= 3")
-    n_terms = max(1, often.count())
-    limit = NormalDist().inv_cdf(1 - 0.05 / n_terms / 2) ** 2
-    n = n1 + n0
-    chi = (F.col("bad") * (n0 - F.col("good")) - F.col("good") * (n1 - F.col("bad"))) ** 2 * n / (F.lit(float(n1)) * n0 * (F.col("bad") + F.col("good")) * (n - F.col("bad") - F.col("good")))
-    chosen = often.filter(F.col("bad") + F.col("good") < n).withColumn("chi", chi).filter(F.col("chi") > limit).orderBy(F.desc("chi"), F.desc(F.length("term")), "term").limit(max_features).collect()
-    telling = {r["term"]: r["chi"] / limit for r in unrelated(chosen)}
-    # Bounded by the examples' texts: all their words, and the telling stems.
-    words = counted.filter(~F.col("term").endswith("*")).select("term").toArrow().column(0).to_pylist()
-    every = sorted(telling.keys() | set(words))
-    if not every:
-        return empty.build()
-    index = Index({t: i for i, t in enumerate(every)}, np.zeros(len(every)), np.zeros(0, np.int64), np.zeros(0), [], prior, bare=prior)
-    terms_of = spark.sparkContext.broadcast(index)
+    # Bounded by the examples' texts: all their words.
+    counted = picked.select("text", "toxic").mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow() if n1 and n0 else None
+    if counted is None or not len(counted):
+        return Index({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), [], prior, bare=prior).build()
+    words = counted.column("term").to_pylist()
+    bad, good = (counted.column(c).to_numpy().astype(float) for c in ("bad", "good"))
+    n, limit = n1 + n0, NormalDist().inv_cdf(1 - 0.05 / len(words) / 2) ** 2
+    spread = n1 * n0 * (bad + good) * (n - bad - good)
+    chi = np.divide((bad * (n0 - good) - good * (n1 - bad)) ** 2 * n, spread, out=np.zeros(len(words)), where=spread > 0)
+    telling = np.where(chi > limit, chi / limit, 1.0)
+    index = Index({t: i for i, t in enumerate(words)}, np.zeros(len(words)), np.zeros(0, np.int64), np.zeros(0), [], prior, bare=prior)
+    terms_of = spark.sparkContext.broadcast(index.feature)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, memo = terms_of.value, {}
-        df = np.zeros(len(at.idf) + 1, np.int64)  # the last is the number of texts
+        at = terms_of.value
+        df = np.zeros(len(at) + 1, np.int64)  # the last is the number of texts
         for batch in batches:
             seen: list[int] = []
             for text in batch.column(0):
-                seen += {f for w in set(WORD.findall(text.as_py().lower())) for f in at.known(w, memo)}
+                seen += [at[w] for w in set(WORD.findall(text.as_py().lower())) if w in at]
             df += np.bincount(np.array(seen, int), minlength=len(df))
             df[-1] += batch.num_rows
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(df[some])], ["term", "df"])
 
     t = texts.select("text").mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
-    df = np.zeros(len(every) + 1)
+    df = np.zeros(len(words) + 1)
     df[t.column(0).to_numpy()] = t.column(1).to_numpy()
-    index.idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * np.array([telling.get(t, 1.0) for t in every])
+    index.idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * telling
     index.unseen = log((1 + df[-1]) / 2) + 1
     weights_of = spark.sparkContext.broadcast(index)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, memo = weights_of.value, {}
+        at = weights_of.value
         for batch in batches:
-            made = [at.vector(t, memo) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f.tolist() for f, _ in made], pa.list_(pa.int32())), pa.array([w.tolist() for _, w in made], pa.list_(pa.float64()))], ["doc_id", "toxic", "f", "w"])
+            made = [at.vector(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f for f, _ in made], pa.list_(pa.int32())), pa.array([w for _, w in made], pa.list_(pa.float64()))], ["doc_id", "toxic", "f", "w"])
 
     # Bounded: at most 2 * max_examples rows, of one number for each word of the text.
     t = picked.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, f array<int>, w array<double>").toArrow().combine_chunks()
     ids, toxic = t.column("doc_id").to_numpy(), t.column("toxic").to_numpy()
     rows = [(f.values.to_numpy().astype(int), w.values.to_numpy()) for f, w in zip(t.column("f"), t.column("w"), strict=True)]
-    live = sorted((i for i, (f, _) in enumerate(rows) if len(f)), key=lambda i: (ids[i], toxic[i], rows[i][0].tolist()))
+    live = sorted((i for i, (f, _) in enumerate(rows) if len(f)), key=lambda i: ids[i])
     index.ids, index.labels, index.rows = ids[live].astype(np.int64), toxic[live].astype(float), [rows[i] for i in live]
     index.build()
-    weight = {1: prior / n1, 0: (1 - prior) / n0}
-    votes = np.array([index.vote(*index.nearest(f, w, without=i)) for i, (f, w) in enumerate(index.rows)])
-    if len(votes):
-        index.steps = isotonic(votes, index.labels, np.array([weight[int(y)] for y in index.labels]))
+    shared = spark.sparkContext.broadcast(replace(index, rows=[]))
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shared.value.voted(t.as_py(), i.as_py())[0] for i, t in zip(batch.column(0), batch.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.float64()), batch.column(2)], ["vote", "toxic"])
+
+    t = picked.select("doc_id", "text", "toxic").mapInArrow(votes, "vote double, toxic int").filter("vote IS NOT NULL").orderBy("vote", "toxic").toArrow()
+    if len(t):
+        y = t.column("toxic").to_numpy().astype(float)
+        index.steps = isotonic(t.column("vote").to_numpy(), y, np.where(y == 1, prior / n1, (1 - prior) / n0))
     return index
 
 
 def score(docs: DataFrame, index: Index, k: int = K, reject: float = REJECT) -> DataFrame:
-    """(doc_id, score, vote, toxic, evidence) of every row; evidence are the neighbours, nearest first.
+    """(doc_id, score, vote, toxic, evidence) of every row; evidence are the neighbours, nearest first, never of the row's own doc_id.
 
-    A null or empty text has no feature: no neighbours, a null vote. Null and
-    repeated doc_ids are scored like others; other columns are not read.
+    A null or empty text has no term: no neighbours, a null vote. Null and
+    repeated doc_ids are scored like others; other columns are not read. An
+    empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(replace(index, rows=[]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, memo = shared.value, {}
+        at = shared.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
             scores, votes, evidence = [], [], []
-            for text in batch.column(1):
-                rows, near = at.nearest(*v, k) if len((v := at.vector(text.as_py(), memo))[0]) else ((), ())
-                vote = at.vote(rows, near) if len(rows) else None
+            for own, text in zip(batch.column(0), batch.column(1), strict=True):
+                vote, rows, near = at.voted(text.as_py(), own.as_py(), k)
                 votes.append(vote)
-                scores.append(at.bare if vote is None else at.calibrated(vote))
-                evidence.append([{"doc_id": int(at.ids[r]), "similarity": float(s), "toxic": int(at.labels[r])} for r, s in zip(rows, near, strict=True)])
+                scores.append(at.calibrated(vote))
+                evidence.append([{"doc_id": i, "similarity": s, "toxic": int(y)} for i, s, y in zip(at.ids[rows].tolist(), near.tolist(), at.labels[rows].tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(votes, pa.float64()), pa.array([s >= reject for s in scores], pa.bool_()), pa.array(evidence, kind)], ["doc_id", "score", "vote", "toxic", "evidence"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -260,35 +296,33 @@ def score(docs: DataFrame, index: Index, k: int = K, reject: float = REJECT) ->
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, vote, verdict and evidence of every document, by the examples that ``labels`` names.
+
+    Edge cases are those of ``fit`` and ``score``: null and empty texts have no
+    evidence and the base rate, repeated rows are scored each.
+    """
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows scored as toxic; columns as they came. Every row is scored on its own text, so ids need not be unique."""
+    """docs without the rows scored as toxic; columns as they came. Every row is scored on its own text, so ids need not be unique; a null doc_id is no example's."""
     shared = docs.sparkSession.sparkContext.broadcast(replace(fit(docs, labels), rows=[]))
 
-    @F.pandas_udf("boolean")
-    def clean(texts):  # noqa: ANN001, ANN202
-        at, memo = shared.value, {}
-
-        def one(text: str | None) -> bool:
-            f, w = at.vector(text, memo)
-            if len(f):
-                rows, near = at.nearest(f, w)
-                if len(rows):
-                    return at.calibrated(at.vote(rows, near)) < REJECT
-            return at.bare < REJECT
-
-        return texts.map(one)
+    @F.arrow_udf("boolean")
+    def clean(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        at = shared.value
+        return pa.array([at.calibrated(at.voted(text.as_py(), own.as_py())[0]) < REJECT for own, text in zip(ids, texts, strict=True)], pa.bool_())
 
-    return docs.filter(clean(F.col("text").cast("string")))
+    return docs.filter(clean(F.col("doc_id").cast("long"), F.col("text").cast("string")))
 
 
-def exact(index: Index, f: np.ndarray, w: np.ndarray, k: int = K) -> list[int]:
+def exact(index: Index, f: np.ndarray, w: np.ndarray, k: int = K, own: int | None = None) -> list[int]:
     """The same neighbours by brute force, for tests."""
     every = []
     for i, (g, v) in enumerate(index.rows):
+        if index.ids[i] == own:
+            continue
         x = np.zeros(len(index.idf))
         x[g] = v
         s = round(float(w @ x[f]), 9)

@@ -117,6 +117,12 @@ def pieces(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def spans(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges begin[i]:end[i], one after another."""
+    size = end - begin
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of whole groups from batches in which equal keys stand together."""
     held: list[pa.RecordBatch] = []

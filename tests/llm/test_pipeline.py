@@ -37,8 +37,8 @@ def test_toxicity_keeps_what_exact_neighbours_clear(spark, sf, stages):
     index = fit(docs, table(spark, sf, "labels"))
     keep = []
     for r in docs.collect():
-        f, w = index.vector(r["text"], {})
-        near = exact(index, f, w) if len(f) else []
+        f, w = index.vector(r["text"])
+        near = exact(index, f, w, own=r["doc_id"]) if len(f) else []
         if near:
             x = {int(i): 0.0 for i in near}
             for i in near:

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from codeloom.llm import toxicity
 from codeloom.llm.toxicity import K, drop_toxic, exact, fit, isotonic, op10_toxicity, score
 
 BAD = ["vile", "nasty", "rotten", "filthy"]
@@ -31,16 +32,26 @@ def test_held_out_accuracy(planted):
     assert not any(r["toxic"] for r in rows if not truth[r["doc_id"]])
 
 
-def test_neighbours_equal_brute_force(planted):
+@pytest.mark.parametrize("block", [4, 64])
+def test_neighbours_equal_brute_force(planted, monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
     docs, labels = planted
-    index = fit(docs, labels)
-    index.block, index.parts = 32, []
-    index.build()
+    index = fit(docs, labels).build()
     for r in docs.filter("doc_id >= 300").collect():
-        f, w = index.vector(r["text"], {})
+        f, w = index.vector(r["text"])
         if len(f):
             assert index.nearest(f, w)[0].tolist() == exact(index, f, w)
-            assert index.nearest(f, w, k=3)[0].tolist() == exact(index, f, w, 3)
+            assert index.nearest(f, w, k=3, own=r["doc_id"])[0].tolist() == exact(index, f, w, 3, r["doc_id"])
+
+
+def test_query_equals_brute_force_and_no_row_cites_itself(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    index = fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r["doc_id"]: r for r in op10_toxicity(spark, sf).collect()}
+    for r in docs.collect():
+        near = exact(index, *index.vector(r["text"]), own=r["doc_id"])
+        assert [e["doc_id"] for e in got[r["doc_id"]]["evidence"]] == index.ids[near].tolist()
+        assert r["doc_id"] not in index.ids[near]
 
 
 def test_isotonic_rises_and_keeps_the_mean():
@@ -95,6 +106,6 @@ def test_weights_take_frequencies_from_all_documents_and_all_words(spark):
     assert set(index.feature) == {"a", "b", "c"}
     idf = {t: float(np.log(5 / (1 + n)) + 1) for t, n in {"a": 3, "b": 2, "c": 1}.items()}
     assert {t: index.idf[i] for t, i in index.feature.items()} == pytest.approx(idf)
-    f, w = index.vector("a b q", {})
+    f, w = index.vector("a b q")
     size = np.sqrt(idf["a"] ** 2 + idf["b"] ** 2 + (np.log(5 / 2) + 1) ** 2)
     assert dict(zip(f.tolist(), w.tolist(), strict=True)) == pytest.approx({index.feature["a"]: idf["a"] / size, index.feature["b"]: idf["b"] / size})
