@@ -8,11 +8,15 @@ TF-IDF in one way: a word whose frequencies differ between the classes
 the chi-square over its limit. A word that no example holds can match nothing,
 and counts in the length of its text as one of a single document.
 
+Words are runs of letters and digits in lower case, held by their 64-bit hashes.
+
 Examples are ordered by the language of their common words and their length
-and cut into blocks of ``BLOCK``; each term's postings are cut likewise and
-each piece keeps its greatest weight. A text's terms and these maxima bound the
-cosine of every example of a block. The blocks of the greatest bounds are
-scored first, and then only those whose bound reaches the k-th cosine found, so
+and cut into blocks of ``BLOCK``; each term's postings are cut likewise. A piece
+that a quarter of its block's examples are in is a column of the block's dense
+matrix and keeps its greatest weight; the others stay lists, which are short and
+added up at once. These sums and a text's weights times the maxima bound the
+cosines of a block. Blocks of the greatest bounds are scored first, and then
+only those whose bound reaches the k-th cosine found, many texts at a time, so
 the k nearest are exact. A document is never its own neighbour.
 Distance-weighted votes are calibrated by isotonic regression on the examples'
 own votes, at the classes' true rates. A text that shares no term with any
@@ -21,41 +25,55 @@ example has no neighbours and takes the rate of toxic labels.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from math import log
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.words import spans
+from codeloom.llm.words import PUNCTUATION, U, buffers, pieces, segment, spans
 from codeloom.runtime import cut, table
 
 MAX_EXAMPLES, K, REJECT, SEED = 4000, 15, 0.5, 3
-BLOCK, CLUSTERS, FIRST_BLOCKS = 64, 16, 3
-WORD = re.compile(r"\w+")
+BLOCK, CLUSTERS, FIRST_BLOCKS, TOGETHER = 64, 16, 3, 64
+#: Marks beyond ASCII that end a word as those of ASCII do.
+MARKS = "\u00a0\u00a1\u00ab\u00b7\u00bb\u00bf\u2010\u2011\u2012\u2013\u2014\u2018\u2019\u201a\u201c\u201d\u201e\u2022\u2026\u2039\u203a\u3000\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f"
 SCHEMA = "doc_id long, score double, vote double, toxic boolean, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
 
 
-def _none(kind: type) -> object:
-    return field(default_factory=lambda: np.zeros(0, kind))
+def plain(text: Column) -> Column:
+    """The text in lower case, marks beyond ASCII as spaces; '' for null."""
+    return F.translate(F.lower(F.coalesce(text.cast("string"), F.lit(""))), MARKS, " " * len(MARKS))
+
+
+def bags(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For pieces of a column of plain texts: the first row, and row (from it), word and count of each distinct word of a row, in this order."""
+    data, offsets = buffers(column)
+    for lo, hi in pieces(offsets, 1 << 18):
+        words = segment(data, offsets[lo : hi + 1], PUNCTUATION)
+        row = words.rows()
+        by = np.lexsort((words.hash, row))
+        row, word = row[by], words.hash[by]
+        first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (row[1:] != row[:-1])])) if len(row) else np.zeros(0, int)
+        yield lo, row[first], word[first], np.diff(np.append(first, len(row)))
 
 
 @dataclass
 class Index:
     """Everything a task needs: bounded by the words of MAX_EXAMPLES examples, whatever the corpus.
 
-    ``place`` holds each posting's example, ``weight`` its weight; the pieces of
-    term t are ``term[t]:term[t + 1]``, each with its block, its greatest weight,
-    and where its postings begin.
+    ``words`` are the terms' sorted hashes; ``rows`` the examples, each its
+    terms and weights. What ``build`` adds is made anew on each worker: lists
+    (of term t those from ``begin[t]`` to ``begin[t + 1]``), the blocks' dense
+    matrices, and the greatest weight of each of their columns.
     """
 
-    feature: dict[str, int]
+    words: np.ndarray
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
@@ -64,77 +82,123 @@ class Index:
     unseen: float = 1.0
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
     bare: float = 0.0
-    place: np.ndarray = _none(np.int64)
-    weight: np.ndarray = _none(float)
-    term: np.ndarray = _none(np.int64)
-    block: np.ndarray = _none(np.int64)
-    most: np.ndarray = _none(float)
-    begin: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-
-    def build(self) -> Index:
-        """Order the examples and cut the postings of each term into blocks of them."""
+    made: dict = field(default_factory=dict)
+
+    def __getstate__(self) -> dict:
+        """What is sent: the terms and weights of the examples, in one array each."""
+        flat = [np.concatenate([np.zeros(0, k), *[r[i] for r in self.rows]]).astype(k) for i, k in enumerate((np.int32, np.float32))]
+        return {k: v for k, v in self.__dict__.items() if k != "shared"} | {"rows": (np.array([len(f) for f, _ in self.rows], int), *flat), "made": {}}
+
+    def __setstate__(self, state: dict) -> None:
+        size, f, w = state["rows"]
+        ends = np.cumsum(size)[:-1]
+        self.__dict__.update(state | {"rows": list(zip(np.split(f, ends), np.split(w, ends), strict=True)) if len(size) else []})
+
+    def arrange(self) -> Index:
+        """Put like examples together."""
         order = arrangement(self.rows, len(self.idf))
-        self.ids, self.labels, self.rows = self.ids[order], self.labels[order], [self.rows[i] for i in order]
-        f = np.concatenate([np.zeros(0, int), *[f for f, _ in self.rows]])
-        by = np.argsort(f, kind="stable")
-        f = f[by]
-        self.place = np.repeat(np.arange(len(self.rows)), [len(f) for f, _ in self.rows])[by]
-        self.weight = np.concatenate([np.zeros(0), *[w for _, w in self.rows]])[by]
-        block = self.place // BLOCK
-        starts = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (block[1:] != block[:-1])])) if len(f) else np.zeros(0, int)
-        self.block, self.begin = block[starts], np.append(starts, len(f))
-        self.most = np.maximum.reduceat(self.weight, starts) if len(f) else np.zeros(0)
-        self.term = np.concatenate([[0], np.cumsum(np.bincount(f[starts], minlength=len(self.idf)))])
+        self.ids, self.labels, self.rows, self.made = self.ids[order], self.labels[order], [self.rows[i] for i in order], {}
         return self
 
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of the whole text, as parts of a vector of length one over all its words."""
-        words = Counter(WORD.findall((text or "").lower()))
-        at = [self.feature.get(w, -1) for w in words]
-        return weigh(np.array(at, np.int64), np.fromiter(words.values(), float, len(words)), self.idf, self.unseen)
-
-    def nearest(self, f: np.ndarray, w: np.ndarray, k: int = K, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of the k greatest positive cosines, and these; ties go to the lesser doc_id. own: the doc_id of the text, which is no neighbour."""
-        n = len(self.ids)
-        pieces = spans(self.term[f], self.term[f + 1])
-        if not len(pieces):
-            return np.zeros(0, int), np.zeros(0)
-        factor = np.repeat(w, self.term[f + 1] - self.term[f])
-        block = self.block[pieces]
-        bound = np.bincount(block, self.most[pieces] * factor, -(-n // BLOCK))
-        mine = np.zeros(0, int) if own is None else np.flatnonzero(self.ids == own)
-
-        def scored(blocks: np.ndarray) -> np.ndarray:
-            on = blocks[block]
-            some = pieces[on]
-            at = spans(self.begin[some], self.begin[some + 1])
-            out = np.bincount(self.place[at], self.weight[at] * np.repeat(factor[on], self.begin[some + 1] - self.begin[some]), n)
-            out[mine] = 0
-            return out
-
-        ahead = np.zeros(len(bound), bool)
-        ahead[np.argsort(-bound, kind="stable")[: FIRST_BLOCKS + (k - 1) // BLOCK]] = True
-        score = scored(ahead)
-        least = np.partition(score, n - k)[n - k] if n > k else 0.0
-        rest = ~ahead & (bound > 0) & (bound >= least - 1e-6)
-        if rest.any():
-            score += scored(rest)
-        score = np.round(score, 9)
-        rows = np.flatnonzero(score > 0)
-        if len(rows) > k:
-            rows = rows[score[rows] >= np.partition(score[rows], len(rows) - k)[len(rows) - k]]
-        rows = rows[np.lexsort((self.ids[rows], -score[rows]))[:k]]
-        return rows, score[rows]
+    def build(self) -> dict:
+        """Cut the postings of each term into blocks of examples."""
+        if self.made:
+            return self.made
+        sizes = [len(f) for f, _ in self.rows]
+        f = np.concatenate([np.zeros(0, np.int32), *[f for f, _ in self.rows]])
+        by = np.argsort(f, kind="stable")
+        f, weight = f[by], np.concatenate([np.zeros(0, np.float32), *[w for _, w in self.rows]])[by]
+        place = np.repeat(np.arange(len(self.rows), dtype=np.int32), sizes)[by]
+        block = place // BLOCK
+        starts = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (block[1:] != block[:-1])])) if len(f) else np.zeros(0, int)
+        size, term, at = np.diff(np.append(starts, len(f))), f[starts], block[starts]
+        dense = size >= BLOCK // 4
+        common = np.unique(term[dense])
+        column = np.full(len(self.idf), -1, np.int32)
+        column[common] = np.arange(len(common))
+        most = np.zeros((len(common), -(-len(self.rows) // BLOCK)))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in range(most.shape[1]):
+            mine = np.flatnonzero(dense & (at == b))
+            matrix = np.zeros((BLOCK, len(mine)))
+            some = spans(starts[mine], starts[mine] + size[mine])
+            matrix[place[some] - b * BLOCK, np.repeat(np.arange(len(mine)), size[mine])] = weight[some]
+            most[column[term[mine]], b] = matrix.max(0, initial=0)
+            held.append((column[term[mine]], matrix))
+        thin = np.repeat(~dense, size)
+        self.made = {"begin": np.concatenate([[0], np.cumsum(np.bincount(f[thin], minlength=len(self.idf)))]), "place": place[thin], "weight": weight[thin], "column": column, "most": most, "dense": held}
+        return self.made
+
+    def vectors(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each plain text its terms and weights, as parts of a vector of length one over all its words."""
+        for lo, hi, row, word, count in ((lo, hi, *rest) for lo, hi, rest in self._bags(column)):
+            at = np.searchsorted(self.words, word)
+            known = self.words[np.minimum(at, len(self.words) - 1)] == word if len(self.words) else np.zeros(len(word), bool)
+            w = (1 + np.log(count)) * np.where(known, self.idf[np.minimum(at, len(self.idf) - 1)] if len(self.idf) else 0.0, self.unseen)
+            length = np.sqrt(np.bincount(row, w * w, hi - lo))
+            f, w, row = at[known], (w / length[row])[known], row[known]
+            ends = np.searchsorted(row, np.arange(hi - lo + 1))
+            yield from ((f[a:b], w[a:b]) for a, b in zip(ends, ends[1:], strict=False))
+
+    def _bags(self, column: pa.Array) -> Iterator[tuple[int, int, tuple]]:
+        made = list(bags(column))
+        for (lo, *rest), hi in zip(made, [*[m[0] for m in made[1:]], len(column)], strict=True):
+            yield lo, hi, tuple(rest)
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], owns: list[int | None], k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each vector the examples of the k greatest positive cosines, and these; ties go to the lesser doc_id. owns: the doc_ids of the texts, which are no neighbours of theirs."""
+        m = self.build()
+        n_blocks = m["most"].shape[1]
+        score, dense = np.zeros((len(queries), n_blocks * BLOCK)), np.zeros((len(queries), len(m["most"])))
+        left, least, mine = np.zeros((len(queries), n_blocks), bool), np.zeros(len(queries)), []
+        for i, ((f, w), own) in enumerate(zip(queries, owns, strict=True)):
+            mine.append(np.flatnonzero(self.ids == own) if own is not None else np.zeros(0, int))
+            if not len(f) or not n_blocks:
+                continue
+            begin, end = m["begin"][f], m["begin"][f + 1]
+            at = spans(begin, end)
+            score[i] = np.bincount(m["place"][at], m["weight"][at] * np.repeat(w, end - begin), score.shape[1])
+            column = m["column"][f]
+            on = column >= 0
+            column, v = column[on], w[on]
+            dense[i, column] = v
+            by_block = score[i].reshape(n_blocks, BLOCK)
+            bound = by_block.max(1) + v @ m["most"][column]
+            first = np.argsort(-bound, kind="stable")[: FIRST_BLOCKS + (k - 1) // BLOCK]
+            for b in first.tolist():
+                columns, matrix = m["dense"][b]
+                by_block[b] += matrix @ dense[i, columns]
+            score[i, mine[-1]] = 0
+            some = by_block[first].ravel()
+            least[i] = np.partition(some, len(some) - k)[len(some) - k] if len(some) > k else 0.0
+            left[i] = (bound > 0) & (bound >= least[i] - 1e-6)
+            left[i, first] = False
+        for b in range(n_blocks):
+            who = np.flatnonzero(left[:, b])
+            if len(who):
+                columns, matrix = m["dense"][b]
+                score[who, b * BLOCK : (b + 1) * BLOCK] += dense[np.ix_(who, columns)] @ matrix.T
+        out = []
+        for i, own in enumerate(mine):
+            score[i, own] = 0
+            rows = np.flatnonzero(score[i] > max(0.0, least[i] - 1e-6))
+            near = np.round(score[i, rows], 9)
+            by = np.lexsort((self.ids[rows], -near))
+            by = by[near[by] > 0][:k]
+            out.append((rows[by], near[by]))
+        return out
 
     def vote(self, rows: np.ndarray, similarity: np.ndarray) -> float:
         """Share of toxic among neighbours, weighted by the inverse of their distance, with one neighbour of the prior."""
         near = 1 / (1.05 - np.minimum(similarity, 1))
         return float((near @ self.labels[rows] + self.prior) / (near.sum() + 1))
 
-    def voted(self, text: str | None, own: int | None, k: int = K) -> tuple[float | None, np.ndarray, np.ndarray]:
-        """The vote on a text (None without neighbours), its neighbours and their cosines."""
-        rows, near = self.nearest(*self.vector(text), k, own)
-        return (self.vote(rows, near) if len(rows) else None), rows, near
+    def voted(self, ids: pa.Array, texts: pa.Array, k: int = K) -> Iterator[tuple[float | None, np.ndarray, np.ndarray]]:
+        """Of each plain text the vote (None without neighbours), its neighbours and their cosines."""
+        owns, vectors = ids.to_pylist(), list(self.vectors(texts))
+        for lo in range(0, len(owns), TOGETHER):
+            for rows, near in self.nearest(vectors[lo : lo + TOGETHER], owns[lo : lo + TOGETHER], k):
+                yield (self.vote(rows, near) if len(rows) else None), rows, near
 
     def calibrated(self, vote: float | None) -> float:
         x, y = self.steps
@@ -161,16 +225,6 @@ def arrangement(rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> np.n
     return np.lexsort(([len(f) for f, _ in rows], group)) if rows else np.zeros(0, int)
 
 
-def weigh(at: np.ndarray, counts: np.ndarray, idf: np.ndarray, unseen: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted terms and their weights, from the term (-1: none) and count of each distinct word; words that are no term only add to the length."""
-    w = 1 + np.log(counts)
-    known = at >= 0
-    f, strange = at[known], w[~known] * unseen
-    w = w[known] * idf[f]
-    by = np.argsort(f)
-    return f[by], w[by] / np.sqrt(w @ w + strange @ strange) if len(f) else w
-
-
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: the ends of each pool and its mean."""
     pools: list[list[float]] = []
@@ -197,41 +251,40 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, se
     order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")]
     sample = known.filter("toxic = 1").orderBy(*order).limit(max_examples).union(known.filter("toxic = 0").orderBy(*order).limit(max_examples))
     prior = rates.get(1, 0) / max(1, sum(rates.values()))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain(F.col("text")).alias("text"))
     # The sample holds at most 2 * max_examples ids, so it is broadcast.
     picked = cut(texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("toxic").alias("toxic")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            df: list[Counter[str]] = [Counter(), Counter()]
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                df[y].update(set(WORD.findall(text.lower())))
-            every = sorted(df[0].keys() | df[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([df[1][t] for t in every], pa.int64()), pa.array([df[0][t] for t in every], pa.int64())], ["term", "bad", "good"])
+            toxic = batch.column(1).to_numpy()
+            for lo, row, word, _ in bags(batch.column(0)):
+                by, at = np.unique(word, return_inverse=True)
+                bad = np.bincount(at, toxic[lo + row], len(by)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(by.view(np.int64)), pa.array(bad), pa.array(np.bincount(at, minlength=len(by)) - bad)], ["term", "bad", "good"])
 
     sizes = {r["toxic"]: r["count"] for r in picked.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     # Bounded by the examples' texts: all their words.
-    counted = picked.select("text", "toxic").mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow() if n1 and n0 else None
+    counted = picked.select("text", "toxic").mapInArrow(count, "term long, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow() if n1 and n0 else None
     if counted is None or not len(counted):
-        return Index({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), [], prior, bare=prior).build()
-    words = counted.column("term").to_pylist()
-    bad, good = (counted.column(c).to_numpy().astype(float) for c in ("bad", "good"))
+        return Index(np.zeros(0, U), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), [], prior, bare=prior)
+    words = counted.column("term").to_numpy().view(U)
+    by = np.argsort(words)
+    words, bad, good = words[by], *(counted.column(c).to_numpy()[by].astype(float) for c in ("bad", "good"))
     n, limit = n1 + n0, NormalDist().inv_cdf(1 - 0.05 / len(words) / 2) ** 2
     spread = n1 * n0 * (bad + good) * (n - bad - good)
     chi = np.divide((bad * (n0 - good) - good * (n1 - bad)) ** 2 * n, spread, out=np.zeros(len(words)), where=spread > 0)
     telling = np.where(chi > limit, chi / limit, 1.0)
-    index = Index({t: i for i, t in enumerate(words)}, np.zeros(len(words)), np.zeros(0, np.int64), np.zeros(0), [], prior, bare=prior)
-    terms_of = spark.sparkContext.broadcast(index.feature)
+    terms_of = spark.sparkContext.broadcast(words)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = terms_of.value
-        df = np.zeros(len(at) + 1, np.int64)  # the last is the number of texts
+        known = terms_of.value
+        df = np.zeros(len(known) + 1, np.int64)  # the last is the number of texts
         for batch in batches:
-            seen: list[int] = []
-            for text in batch.column(0):
-                seen += [at[w] for w in set(WORD.findall(text.as_py().lower())) if w in at]
-            df += np.bincount(np.array(seen, int), minlength=len(df))
+            for _, _, word, _ in bags(batch.column(0)):
+                at = np.minimum(np.searchsorted(known, word), len(known) - 1)
+                df += np.bincount(at[known[at] == word], minlength=len(df))
             df[-1] += batch.num_rows
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(df[some])], ["term", "df"])
@@ -239,37 +292,34 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, se
     t = texts.select("text").mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(len(words) + 1)
     df[t.column(0).to_numpy()] = t.column(1).to_numpy()
-    index.idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * telling
-    index.unseen = log((1 + df[-1]) / 2) + 1
-    weights_of = spark.sparkContext.broadcast(index)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = weights_of.value
-        for batch in batches:
-            made = [at.vector(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f for f, _ in made], pa.list_(pa.int32())), pa.array([w for _, w in made], pa.list_(pa.float64()))], ["doc_id", "toxic", "f", "w"])
-
-    # Bounded: at most 2 * max_examples rows, of one number for each word of the text.
-    t = picked.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, f array<int>, w array<double>").toArrow().combine_chunks()
+    index = Index(words, (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * telling, np.zeros(0, np.int64), np.zeros(0), [], prior, log((1 + df[-1]) / 2) + 1, bare=prior)
+    terms_of.destroy()
+    # Bounded: at most 2 * max_examples texts.
+    t = picked.select("doc_id", "text", "toxic").toArrow().combine_chunks()
     ids, toxic = t.column("doc_id").to_numpy(), t.column("toxic").to_numpy()
-    rows = [(f.values.to_numpy().astype(int), w.values.to_numpy()) for f, w in zip(t.column("f"), t.column("w"), strict=True)]
+    rows = [(f.astype(np.int32), w.astype(np.float32)) for f, w in index.vectors(t.column("text").combine_chunks().chunk(0) if isinstance(t.column("text").combine_chunks(), pa.ChunkedArray) else t.column("text").combine_chunks())]
     live = sorted((i for i, (f, _) in enumerate(rows) if len(f)), key=lambda i: ids[i])
     index.ids, index.labels, index.rows = ids[live].astype(np.int64), toxic[live].astype(float), [rows[i] for i in live]
-    index.build()
-    shared = spark.sparkContext.broadcast(replace(index, rows=[]))
+    index.arrange()
+    index.shared = spark.sparkContext.broadcast(index)
+    shared = index.shared
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shared.value.voted(t.as_py(), i.as_py())[0] for i, t in zip(batch.column(0), batch.column(1), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.float64()), batch.column(2)], ["vote", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, _, _ in shared.value.voted(batch.column(0), batch.column(1))], pa.float64()), batch.column(2)], ["vote", "toxic"])
 
-    t = picked.select("doc_id", "text", "toxic").mapInArrow(votes, "vote double, toxic int").filter("vote IS NOT NULL").orderBy("vote", "toxic").toArrow()
+    t = picked.select("doc_id", "text", "toxic").mapInArrow(votes, "vote double, toxic int").filter("vote IS NOT NULL").toArrow()
     if len(t):
         y = t.column("toxic").to_numpy().astype(float)
         index.steps = isotonic(t.column("vote").to_numpy(), y, np.where(y == 1, prior / n1, (1 - prior) / n0))
     return index
 
 
+def sent(spark: SparkSession, index: Index) -> Broadcast:
+    """The index on all executors; one that ``fit`` sent already is not sent again."""
+    return index.shared if hasattr(index, "shared") else spark.sparkContext.broadcast(index)
+
+
 def score(docs: DataFrame, index: Index, k: int = K, reject: float = REJECT) -> DataFrame:
     """(doc_id, score, vote, toxic, evidence) of every row; evidence are the neighbours, nearest first, never of the row's own doc_id.
 
@@ -277,21 +327,24 @@ def score(docs: DataFrame, index: Index, k: int = K, reject: float = REJECT) ->
     repeated doc_ids are scored like others; other columns are not read. An
     empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(replace(index, rows=[]))
+    shared, steps = sent(docs.sparkSession, index), index.steps
+    kinds = [("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared.value
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
+        at.steps = steps
         for batch in batches:
-            scores, votes, evidence = [], [], []
-            for own, text in zip(batch.column(0), batch.column(1), strict=True):
-                vote, rows, near = at.voted(text.as_py(), own.as_py(), k)
+            votes, size, held, sims = [], [0], [np.zeros(0, int)], [np.zeros(0)]
+            for vote, rows, near in at.voted(batch.column(0), batch.column(1), k):
                 votes.append(vote)
-                scores.append(at.calibrated(vote))
-                evidence.append([{"doc_id": i, "similarity": s, "toxic": int(y)} for i, s, y in zip(at.ids[rows].tolist(), near.tolist(), at.labels[rows].tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(votes, pa.float64()), pa.array([s >= reject for s in scores], pa.bool_()), pa.array(evidence, kind)], ["doc_id", "score", "vote", "toxic", "evidence"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+                size.append(len(rows))
+                held.append(rows)
+                sims.append(near)
+            scores, rows = [at.calibrated(v) for v in votes], np.concatenate(held)
+            inner = pa.StructArray.from_arrays([pa.array(at.ids[rows]), pa.array(np.concatenate(sims)), pa.array(at.labels[rows].astype(np.int32))], fields=[pa.field(*x) for x in kinds])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(votes, pa.float64()), pa.array([s >= reject for s in scores], pa.bool_()), pa.ListArray.from_arrays(pa.array(np.cumsum(size), pa.int32()), inner)], ["doc_id", "score", "vote", "toxic", "evidence"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain(F.col("text")).alias("text"))
     return rows.mapInArrow(run, SCHEMA)
 
 
@@ -307,14 +360,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows scored as toxic; columns as they came. Every row is scored on its own text, so ids need not be unique; a null doc_id is no example's."""
-    shared = docs.sparkSession.sparkContext.broadcast(replace(fit(docs, labels), rows=[]))
+    index = fit(docs, labels)
+    shared, steps = sent(docs.sparkSession, index), index.steps
 
     @F.arrow_udf("boolean")
     def clean(ids: pa.Array, texts: pa.Array) -> pa.Array:
         at = shared.value
-        return pa.array([at.calibrated(at.voted(text.as_py(), own.as_py())[0]) < REJECT for own, text in zip(ids, texts, strict=True)], pa.bool_())
+        at.steps = steps
+        return pa.array([at.calibrated(vote) < REJECT for vote, _, _ in at.voted(ids, texts)], pa.bool_())
 
-    return docs.filter(clean(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return docs.filter(clean(F.col("doc_id").cast("long"), plain(F.col("text"))))
 
 
 def exact(index: Index, f: np.ndarray, w: np.ndarray, k: int = K, own: int | None = None) -> list[int]:

@@ -1,5 +1,6 @@
 """Every stage against brute force on what came before it, and the whole as the driver runs it."""
 
+import pyarrow as pa
 import pytest
 
 from codeloom.llm.license_scan import detect
@@ -37,7 +38,7 @@ def test_toxicity_keeps_what_exact_neighbours_clear(spark, sf, stages):
     index = fit(docs, table(spark, sf, "labels"))
     keep = []
     for r in docs.collect():
-        f, w = index.vector(r["text"])
+        f, w = next(index.vectors(pa.array([(r["text"] or "").lower()])))
         near = exact(index, f, w, own=r["doc_id"]) if len(f) else []
         if near:
             x = {int(i): 0.0 for i in near}

@@ -1,9 +1,17 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from codeloom.llm import toxicity
 from codeloom.llm.toxicity import K, drop_toxic, exact, fit, isotonic, op10_toxicity, score
 
+
+
+def vector(index, text):
+    """Of one text, in lower case."""
+    return next(index.vectors(pa.array([(text or "").lower()])))
+
+
 BAD = ["vile", "nasty", "rotten", "filthy"]
 
 
@@ -36,12 +44,13 @@ def test_held_out_accuracy(planted):
 def test_neighbours_equal_brute_force(planted, monkeypatch, block):
     monkeypatch.setattr(toxicity, "BLOCK", block)
     docs, labels = planted
-    index = fit(docs, labels).build()
+    index = fit(docs, labels).arrange()
     for r in docs.filter("doc_id >= 300").collect():
-        f, w = index.vector(r["text"])
+        f, w = vector(index, r["text"])
         if len(f):
-            assert index.nearest(f, w)[0].tolist() == exact(index, f, w)
-            assert index.nearest(f, w, k=3, own=r["doc_id"])[0].tolist() == exact(index, f, w, 3, r["doc_id"])
+            assert index.nearest([(f, w)], [None])[0][0].tolist() == exact(index, f, w)
+            both = index.nearest([(f, w)] * 2, [r["doc_id"], None], k=3)
+            assert [rows.tolist() for rows, _ in both] == [exact(index, f, w, 3, r["doc_id"]), exact(index, f, w, 3)]
 
 
 def test_query_equals_brute_force_and_no_row_cites_itself(spark, sf):
@@ -49,7 +58,7 @@ def test_query_equals_brute_force_and_no_row_cites_itself(spark, sf):
     index = fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     got = {r["doc_id"]: r for r in op10_toxicity(spark, sf).collect()}
     for r in docs.collect():
-        near = exact(index, *index.vector(r["text"]), own=r["doc_id"])
+        near = exact(index, *vector(index, r["text"]), own=r["doc_id"])
         assert [e["doc_id"] for e in got[r["doc_id"]]["evidence"]] == index.ids[near].tolist()
         assert r["doc_id"] not in index.ids[near]
 
@@ -103,9 +112,11 @@ def test_copies_of_toxic_examples_without_telling_words_are_found(spark, planted
 def test_weights_take_frequencies_from_all_documents_and_all_words(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "a c"), (3, "a a z"), (4, "b z y")], "doc_id long, text string")
     index = fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
-    assert set(index.feature) == {"a", "b", "c"}
+    hashes = dict(zip("abc", (w[0] for w in ([x for _, _, word, _ in toxicity.bags(pa.array([t])) for x in word] for t in "abc")), strict=True))
+    feature = {t: int(np.searchsorted(index.words, h)) for t, h in hashes.items()}
+    assert sorted(hashes.values()) == index.words.tolist()
     idf = {t: float(np.log(5 / (1 + n)) + 1) for t, n in {"a": 3, "b": 2, "c": 1}.items()}
-    assert {t: index.idf[i] for t, i in index.feature.items()} == pytest.approx(idf)
-    f, w = index.vector("a b q")
+    assert {t: index.idf[i] for t, i in feature.items()} == pytest.approx(idf)
+    f, w = vector(index, "a b q")
     size = np.sqrt(idf["a"] ** 2 + idf["b"] ** 2 + (np.log(5 / 2) + 1) ** 2)
-    assert dict(zip(f.tolist(), w.tolist(), strict=True)) == pytest.approx({index.feature["a"]: idf["a"] / size, index.feature["b"]: idf["b"] / size})
+    assert dict(zip(f.tolist(), w.tolist(), strict=True)) == pytest.approx({feature["a"]: idf["a"] / size, feature["b"]: idf["b"] / size})
