@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 from math import log
 from statistics import NormalDist
 
@@ -51,8 +52,8 @@ def plain(text: Column) -> Column:
     return F.translate(F.lower(F.coalesce(text.cast("string"), F.lit(""))), MARKS, " " * len(MARKS))
 
 
-def bags(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For pieces of a column of plain texts: the first row, and row (from it), word and count of each distinct word of a row, in this order."""
+def bags(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For pieces of a column of plain texts: the first row and that after the last, and row (from the first), word and count of each distinct word of a row, in this order."""
     data, offsets = buffers(column)
     for lo, hi in pieces(offsets, 1 << 18):
         words = segment(data, offsets[lo : hi + 1], PUNCTUATION)
@@ -60,7 +61,7 @@ def bags(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nda
         by = np.lexsort((words.hash, row))
         row, word = row[by], words.hash[by]
         first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (row[1:] != row[:-1])])) if len(row) else np.zeros(0, int)
-        yield lo, row[first], word[first], np.diff(np.append(first, len(row)))
+        yield lo, hi, row[first], word[first], np.diff(np.append(first, len(row)))
 
 
 @dataclass
@@ -86,13 +87,17 @@ class Index:
 
     def __getstate__(self) -> dict:
         """What is sent: the terms and weights of the examples, in one array each."""
-        flat = [np.concatenate([np.zeros(0, k), *[r[i] for r in self.rows]]).astype(k) for i, k in enumerate((np.int32, np.float32))]
-        return {k: v for k, v in self.__dict__.items() if k != "shared"} | {"rows": (np.array([len(f) for f, _ in self.rows], int), *flat), "made": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("shared", "rows", "made")} | {"flat": self._flat()}
 
     def __setstate__(self, state: dict) -> None:
-        size, f, w = state["rows"]
-        ends = np.cumsum(size)[:-1]
-        self.__dict__.update(state | {"rows": list(zip(np.split(f, ends), np.split(w, ends), strict=True)) if len(size) else []})
+        """On a worker only what ``build`` makes is held, not the examples' own vectors."""
+        flat = state.pop("flat")
+        self.__dict__.update(state | {"rows": [], "made": {}})
+        self._cut(*flat)
+
+    def _flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        f, w = (np.concatenate([np.zeros(0, k), *[r[i] for r in self.rows]]).astype(k, copy=False) for i, k in enumerate((np.int32, np.float32)))
+        return np.array([len(f) for f, _ in self.rows], np.int32), f, w
 
     def arrange(self) -> Index:
         """Put like examples together."""
@@ -101,37 +106,43 @@ class Index:
         return self
 
     def build(self) -> dict:
+        if not self.made:
+            self._cut(*self._flat())
+        return self.made
+
+    def _cut(self, sizes: np.ndarray, f: np.ndarray, weight: np.ndarray) -> None:
         """Cut the postings of each term into blocks of examples."""
-        if self.made:
-            return self.made
-        sizes = [len(f) for f, _ in self.rows]
-        f = np.concatenate([np.zeros(0, np.int32), *[f for f, _ in self.rows]])
-        by = np.argsort(f, kind="stable")
-        f, weight = f[by], np.concatenate([np.zeros(0, np.float32), *[w for _, w in self.rows]])[by]
-        place = np.repeat(np.arange(len(self.rows), dtype=np.int32), sizes)[by]
-        block = place // BLOCK
-        starts = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (block[1:] != block[:-1])])) if len(f) else np.zeros(0, int)
-        size, term, at = np.diff(np.append(starts, len(f))), f[starts], block[starts]
-        dense = size >= BLOCK // 4
-        common = np.unique(term[dense])
+        n_blocks = -(-len(sizes) // BLOCK)
+        by = np.argsort(f, kind="stable").astype(np.int32)
+        f, weight = f[by], weight[by]
+        place = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[by]
+        del by
+        change = np.ones(len(f), bool)
+        change[1:] = (f[1:] != f[:-1]) | (place[1:] // BLOCK != place[:-1] // BLOCK)
+        starts = np.flatnonzero(change).astype(np.int32)
+        del change
+        size = np.diff(np.append(starts, np.int32(len(f))))
+        thick = np.flatnonzero(size >= BLOCK // 4)
+        term, at = f[starts[thick]], place[starts[thick]] // BLOCK
+        common = np.unique(term)
         column = np.full(len(self.idf), -1, np.int32)
         column[common] = np.arange(len(common))
-        most = np.zeros((len(common), -(-len(self.rows) // BLOCK)))
+        most = np.zeros((len(common), n_blocks))
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in range(most.shape[1]):
-            mine = np.flatnonzero(dense & (at == b))
+        for b in range(n_blocks):
+            mine = np.flatnonzero(at == b)
             matrix = np.zeros((BLOCK, len(mine)))
-            some = spans(starts[mine], starts[mine] + size[mine])
-            matrix[place[some] - b * BLOCK, np.repeat(np.arange(len(mine)), size[mine])] = weight[some]
+            begin, n = starts[thick[mine]], size[thick[mine]]
+            some = spans(begin, begin + n)
+            matrix[place[some] - b * BLOCK, np.repeat(np.arange(len(mine)), n)] = weight[some]
             most[column[term[mine]], b] = matrix.max(0, initial=0)
             held.append((column[term[mine]], matrix))
-        thin = np.repeat(~dense, size)
-        self.made = {"begin": np.concatenate([[0], np.cumsum(np.bincount(f[thin], minlength=len(self.idf)))]), "place": place[thin], "weight": weight[thin], "column": column, "most": most, "dense": held}
-        return self.made
+        thin = np.repeat(size < BLOCK // 4, size)
+        self.made = {"begin": np.concatenate([[0], np.cumsum(np.bincount(f[thin], minlength=len(self.idf)))]).astype(np.int32), "place": place[thin], "weight": weight[thin], "column": column, "most": most, "dense": held}
 
     def vectors(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of each plain text its terms and weights, as parts of a vector of length one over all its words."""
-        for lo, hi, row, word, count in ((lo, hi, *rest) for lo, hi, rest in self._bags(column)):
+        for lo, hi, row, word, count in bags(column):
             at = np.searchsorted(self.words, word)
             known = self.words[np.minimum(at, len(self.words) - 1)] == word if len(self.words) else np.zeros(len(word), bool)
             w = (1 + np.log(count)) * np.where(known, self.idf[np.minimum(at, len(self.idf) - 1)] if len(self.idf) else 0.0, self.unseen)
@@ -140,11 +151,6 @@ class Index:
             ends = np.searchsorted(row, np.arange(hi - lo + 1))
             yield from ((f[a:b], w[a:b]) for a, b in zip(ends, ends[1:], strict=False))
 
-    def _bags(self, column: pa.Array) -> Iterator[tuple[int, int, tuple]]:
-        made = list(bags(column))
-        for (lo, *rest), hi in zip(made, [*[m[0] for m in made[1:]], len(column)], strict=True):
-            yield lo, hi, tuple(rest)
-
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], owns: list[int | None], k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each vector the examples of the k greatest positive cosines, and these; ties go to the lesser doc_id. owns: the doc_ids of the texts, which are no neighbours of theirs."""
         m = self.build()
@@ -195,9 +201,9 @@ class Index:
 
     def voted(self, ids: pa.Array, texts: pa.Array, k: int = K) -> Iterator[tuple[float | None, np.ndarray, np.ndarray]]:
         """Of each plain text the vote (None without neighbours), its neighbours and their cosines."""
-        owns, vectors = ids.to_pylist(), list(self.vectors(texts))
+        owns, vectors = ids.to_pylist(), self.vectors(texts)
         for lo in range(0, len(owns), TOGETHER):
-            for rows, near in self.nearest(vectors[lo : lo + TOGETHER], owns[lo : lo + TOGETHER], k):
+            for rows, near in self.nearest(list(islice(vectors, TOGETHER)), owns[lo : lo + TOGETHER], k):
                 yield (self.vote(rows, near) if len(rows) else None), rows, near
 
     def calibrated(self, vote: float | None) -> float:
@@ -258,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, se
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column(1).to_numpy()
-            for lo, row, word, _ in bags(batch.column(0)):
+            for lo, _, row, word, _ in bags(batch.column(0)):
                 by, at = np.unique(word, return_inverse=True)
                 bad = np.bincount(at, toxic[lo + row], len(by)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(by.view(np.int64)), pa.array(bad), pa.array(np.bincount(at, minlength=len(by)) - bad)], ["term", "bad", "good"])
@@ -282,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, se
         known = terms_of.value
         df = np.zeros(len(known) + 1, np.int64)  # the last is the number of texts
         for batch in batches:
-            for _, _, word, _ in bags(batch.column(0)):
+            for _, _, _, word, _ in bags(batch.column(0)):
                 at = np.minimum(np.searchsorted(known, word), len(known) - 1)
                 df += np.bincount(at[known[at] == word], minlength=len(df))
             df[-1] += batch.num_rows
@@ -297,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, se
     # Bounded: at most 2 * max_examples texts.
     t = picked.select("doc_id", "text", "toxic").toArrow().combine_chunks()
     ids, toxic = t.column("doc_id").to_numpy(), t.column("toxic").to_numpy()
-    rows = [(f.astype(np.int32), w.astype(np.float32)) for f, w in index.vectors(t.column("text").combine_chunks().chunk(0) if isinstance(t.column("text").combine_chunks(), pa.ChunkedArray) else t.column("text").combine_chunks())]
+    rows = [(f.astype(np.int32), w.astype(np.float32)) for f, w in index.vectors(pa.concat_arrays(t.column("text").chunks))]
     live = sorted((i for i, (f, _) in enumerate(rows) if len(f)), key=lambda i: ids[i])
     index.ids, index.labels, index.rows = ids[live].astype(np.int64), toxic[live].astype(float), [rows[i] for i in live]
     index.arrange()

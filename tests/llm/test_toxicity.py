@@ -112,7 +112,7 @@ def test_copies_of_toxic_examples_without_telling_words_are_found(spark, planted
 def test_weights_take_frequencies_from_all_documents_and_all_words(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "a c"), (3, "a a z"), (4, "b z y")], "doc_id long, text string")
     index = fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
-    hashes = dict(zip("abc", (w[0] for w in ([x for _, _, word, _ in toxicity.bags(pa.array([t])) for x in word] for t in "abc")), strict=True))
+    hashes = dict(zip("abc", (w[0] for w in ([x for _, _, _, word, _ in toxicity.bags(pa.array([t])) for x in word] for t in "abc")), strict=True))
     feature = {t: int(np.searchsorted(index.words, h)) for t, h in hashes.items()}
     assert sorted(hashes.values()) == index.words.tolist()
     idf = {t: float(np.log(5 / (1 + n)) + 1) for t, n in {"a": 3, "b": 2, "c": 1}.items()}
