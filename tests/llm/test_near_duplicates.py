@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pytest
 
-from codeloom.llm.near_duplicates import ROWS, BANDS, components, drop_near_duplicates, near_duplicate_groups, op5_near_duplicates, signature_rows
+from codeloom.llm.near_duplicates import BANDS, ROWS, THRESHOLD, components, drop_near_duplicates, near_duplicate_groups, op5_near_duplicates, signature_rows, verified_edges
 
 
 def union_find(nodes, pairs):
@@ -48,13 +48,14 @@ def test_groups_equal_brute_force_over_all_pairs_of_signatures(spark, sf):
     sigs = signature_rows(pa.array([t for _, t in rows], pa.string()), 3, BANDS * ROWS, 11)
     m = {d: np.frombuffer(s, np.uint32) for (d, _), s in zip(rows, sigs, strict=True) if s is not None}
     ids = sorted(m)
-    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (m[a] == m[b]).mean() >= 0.5 and any((m[a][k : k + 4] == m[b][k : k + 4]).all() for k in range(0, 96, 4))]
+    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (same := m[a] == m[b]).mean() >= THRESHOLD and any(same[k : k + ROWS].all() for k in range(0, BANDS * ROWS, ROWS))]
     want = union_find(ids, pairs)
     got = {r["doc_id"]: r for r in op5_near_duplicates(spark, sf).collect()}
     assert len(got) == len(rows)
     for d in ids:
         assert got[d]["group_id"] == want[d]
         assert got[d]["keep"] == (want[d] == d)
+        assert (got[d]["links"] > 0) == (list(want.values()).count(want[d]) > 1)
 
 
 def test_recall_and_precision_against_true_jaccard(spark, sf):
@@ -72,9 +73,47 @@ def test_recall_and_precision_against_true_jaccard(spark, sf):
             assert len(ids) == 1 or any(jaccard(rows[d], rows[e]) >= 0.3 for e in ids if e != d)
 
 
+def test_recall_at_the_least_jaccard(spark):
+    """Lone pairs of Jaccard 0.5 to 0.57, which no third text joins."""
+    rng = np.random.default_rng(4)
+    rows, near = [], 0
+    for i in range(300):
+        n = int(rng.integers(60, 200))
+        a = [f"w{i}x{j}" for j in range(n)]
+        shared = int(n * rng.uniform(0.67, 0.72))
+        b = a[:shared] + [f"v{i}x{j}" for j in range(n - shared)]
+        if jaccard(shingles(" ".join(a)), shingles(" ".join(b))) >= 0.5:
+            rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+            near += 1
+    assert near > 100
+    groups = {r["doc_id"]: r["group_id"] for r in near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(g == d // 2 * 2 for d, g in groups.items())
+    assert len(groups) / 2 >= 0.9 * near
+
+
+@pytest.mark.parametrize("similar", [0, 30, 60])
+def test_hot_buckets_give_the_same_components(spark, similar):
+    """Rows that all share two bands, some of them linked: with small limits every way through a hot bucket is taken."""
+    rng = np.random.default_rng(similar)
+    m = rng.integers(0, 1 << 32, (120, BANDS * ROWS), dtype=np.uint32)
+    m[:, : 2 * ROWS] = m[0, : 2 * ROWS]
+    m[:, 10:50] = rng.integers(0, 4, (120, 40))
+    for i in range(similar):
+        at = rng.permutation(BANDS * ROWS)[:70]
+        m[i, at] = m[i // 20 * 20, at]
+    signed = spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in enumerate(m)], "k long, sig binary")
+    pairs = [(a, b) for a in range(120) for b in range(a + 1, 120) if (m[a] == m[b]).mean() >= THRESHOLD]
+    want = union_find(range(120), pairs)
+    for hot, block in ((100, 50), (8, 16), (1000, 1000)):
+        edges = [tuple(r) for r in verified_edges(signed, BANDS, ROWS, THRESHOLD, hot, block).collect()]
+        assert set(edges) <= set(pairs) | {(b, a) for a, b in pairs}
+        assert union_find(range(120), edges) == want
+
+
 def test_edge_cases(spark, weird, nothing):
     got = {r["doc_id"]: r["group_id"] for r in near_duplicate_groups(weird).collect()}
     assert got == {1: 1, 2: 1}
+    assert near_duplicate_groups(weird).count() == 3
     assert near_duplicate_groups(nothing).collect() == []
     kept = drop_near_duplicates(weird)
     assert kept.columns == weird.columns
@@ -83,6 +122,9 @@ def test_edge_cases(spark, weird, nothing):
     assert drop_near_duplicates(nothing).collect() == []
 
 
-def test_repeated_ids_leave_one_row(spark):
-    df = spark.createDataFrame([(1, "b c d e"), (1, "a b c"), (2, "x y z w")], "doc_id long, text string")
-    assert sorted(tuple(r) for r in drop_near_duplicates(df).collect()) == [(1, "a b c"), (2, "x y z w")]
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    df = spark.createDataFrame([(1, "b c d e"), (1, "a b c"), (1, "a b c"), (2, "x y z w"), (-3, "b c d e"), (None, "x y z w"), (None, "lone row of no id")], "doc_id long, text string")
+    got = sorted((tuple(r) for r in drop_near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, "a b c"), (-3, "b c d e"), (2, "x y z w"), (None, "lone row of no id")], key=str)
+    groups = sorted((tuple(r) for r in near_duplicate_groups(df).collect()), key=str)
+    assert groups == sorted([(1, -3), (-3, -3), (2, 2), (None, 2), (1, 1), (1, 1)], key=str) or groups == sorted([(1, -3), (-3, -3), (2, 2), (None, 2)], key=str)
