@@ -8,18 +8,25 @@ budget; for ``entropy`` the a whose mixture has that entropy in nats.
 Weights become rows block by block. Documents of a source fall into blocks by
 hash; in each epoch the blocks have a new pseudo-random order, and documents a
 new one within their block. Rows are taken in that order while the tokens
-before them stay under the source's budget. Sums run over the small table of
-blocks and within single blocks, so no window spans a source.
+before them stay under the source's budget. Running sums are taken in three
+levels: over 2 ** ``RANGE_BITS`` ranges of a source's block order, over the
+blocks of a range, and over the documents of a block, so no window spans a
+source. The exponent is bisected on the cluster, several steps a pass, so
+sources may be many; only sums come to the driver.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeloom.runtime import cut, table
+from codeloom.runtime import cut, keep, table
 
 MAX_REPEATS, BLOCK_DOCS, SEED, STEPS = 1.25, 256, 7, 40
+#: Bits of the block order that make a range, steps of the bisection a pass, and sources up to which their table (about 100 bytes each) is broadcast.
+RANGE_BITS, STEPS_A_PASS, BROADCAST_SOURCES = 12, 8, 50_000
 
 
 def tokens_of(text: Column) -> Column:
@@ -31,33 +38,42 @@ def source_of(docs: DataFrame) -> Column:
     return F.coalesce(docs["source"].cast("string"), F.lit("")).alias("source")
 
 
-def exponent(totals: list[float], budget: float, max_repeats: float | None, entropy: float | None, steps: int = STEPS) -> float:
-    """The bisected exponent; 1 (the natural mixture) if no exponent meets the target."""
+def key_of(docs: DataFrame) -> Column:
+    """What a document is drawn by: its doc_id, or a digest of its text where it has none."""
+    return F.coalesce(docs["doc_id"].cast("long").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(docs["text"].cast("string"), F.lit(""))))).alias("key")
+
+
+def flat_enough(totals: DataFrame, whole: float, points: list[float], budget: float, max_repeats: float | None, entropy: float | None) -> list[bool]:
+    """Whether the mixture of each exponent meets the target: sums over all sources, one pass for all points."""
     import math
 
-    whole = sum(totals)
-    logs = [math.log(t / whole) for t in totals]
-
-    def weights(a: float) -> list[float]:
-        raw = [math.exp(a * x) for x in logs]
-        s = sum(raw)
-        return [r / s for r in raw]
-
-    def flat_enough(a: float) -> bool:
-        w = weights(a)
-        if max_repeats is not None:
-            return max(x * budget / t for x, t in zip(w, totals, strict=True)) <= max_repeats
-        return -sum(x * math.log(x) for x in w if x > 0) <= entropy
-
-    lo, hi = 0.0, 1.0
-    if flat_enough(lo):
-        return lo
-    for _ in range(steps):
-        mid = (lo + hi) / 2
-        if flat_enough(mid):
-            hi = mid
-        else:
-            lo = mid
+    log = F.ln(F.col("total") / F.lit(whole))
+    each = totals.select("total", log.alias("l"), F.explode(F.array(*[F.lit(float(a)) for a in points])).alias("a")).withColumn("e", F.exp(F.col("a") * F.col("l")))
+    got = {r["a"]: r for r in each.groupBy("a").agg(F.sum("e").alias("s"), F.max(F.col("e") * F.lit(float(budget)) / F.col("total")).alias("top"), F.sum(F.col("e") * F.col("a") * F.col("l")).alias("x")).collect()}
+    if max_repeats is not None:
+        return [got[a]["top"] <= max_repeats * got[a]["s"] for a in points]
+    return [math.log(got[a]["s"]) - got[a]["x"] / got[a]["s"] <= entropy for a in points]
+
+
+def exponent(totals: DataFrame, whole: float, budget: float, max_repeats: float | None, entropy: float | None, steps: int = STEPS) -> float:
+    """The bisected exponent; 1 (the natural mixture), with a warning, if no exponent meets the target."""
+    zero, one = flat_enough(totals, whole, [0.0, 1.0], budget, max_repeats, entropy)
+    if zero:
+        return 0.0
+    if not one:
+        warnings.warn("no exponent in [0, 1] meets the target; the natural mixture is taken", stacklevel=2)
+        return 1.0
+    lo, hi, done = 0.0, 1.0, 0
+    while done < steps:
+        deep = min(STEPS_A_PASS, steps - done)
+        n = 1 << deep
+        points = [lo + (hi - lo) * i / n for i in range(1, n)]
+        ok = flat_enough(totals, whole, points, budget, max_repeats, entropy)
+        a, b = 0, n
+        while b - a > 1:
+            mid = (a + b) // 2
+            a, b = (a, mid) if ok[mid - 1] else (mid, b)
+        lo, hi, done = lo + (hi - lo) * a / n, lo + (hi - lo) * b / n, done + deep
     return hi
 
 
@@ -66,72 +82,69 @@ def hashed(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
 
 
-def source_weights(totals: DataFrame, budget: float | None, max_repeats: float | None, entropy: float | None) -> list[dict]:
-    """A dict for each source (a bounded list: there are few sources): source, tokens, docs, weight, target in tokens."""
-    import math
-
-    rows = [r.asDict() for r in totals.orderBy("source").collect()]
-    live = [r for r in rows if r["total"]]
-    if not live:
-        return []
-    whole = sum(r["total"] for r in live)
-    budget = whole if budget is None else budget
-    a = exponent([r["total"] for r in live], budget, max_repeats, entropy)
-    raw = [math.exp(a * math.log(r["total"] / whole)) for r in live]
-    for r, w in zip(live, raw, strict=True):
-        r["weight"] = w / sum(raw)
-        r["target"] = math.floor(r["weight"] * budget)
-    return live
+def source_weights(totals: DataFrame, budget: float | None, max_repeats: float | None, entropy: float | None) -> tuple[DataFrame, int]:
+    """(source, total, docs, target) of each source, target in tokens, and the number of sources."""
+    n, whole = totals.agg(F.count("*"), F.sum("total")).first()
+    if not n:
+        return totals.select("source", "total", "docs", F.lit(0).cast("long").alias("target")), 0
+    whole, budget = float(whole), float(whole if budget is None else budget)
+    a = exponent(totals, whole, budget, max_repeats, entropy)
+    raw = F.exp(F.lit(a) * F.ln(F.col("total") / F.lit(whole)))
+    s = totals.agg(F.sum(raw)).first()[0]
+    return totals.select("source", "total", "docs", F.floor(raw / F.lit(s) * F.lit(budget)).cast("long").alias("target")), n
 
 
 def plan_mixture(docs: DataFrame, budget: float | None = None, max_repeats: float | None = MAX_REPEATS, entropy: float | None = None, block_docs: int = BLOCK_DOCS, seed: int = SEED) -> DataFrame:
-    """(source, doc_id, n_tokens, epoch, block, before): every copy the mixture takes, ``before`` the tokens of its source ahead of it.
+    """(source, doc_id, key, n_tokens, epoch, block, before): every copy the mixture takes, ``before`` the tokens of its source ahead of it.
 
     Rows that repeat a doc_id within a source are drawn together, as one
-    document of all their tokens. A null source is a source of its own, named
-    ''. Documents without tokens and rows without doc_id are not taken: there
-    is nothing to draw. An empty table gives no rows. Of extra columns none is
-    read.
+    document of all their tokens; rows without doc_id by their text. A null
+    source is a source of its own, named ''. Documents without tokens are not
+    taken: there is nothing to draw. An empty table gives no rows. Of extra
+    columns none is read.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_of(docs), tokens_of(F.col("text")).alias("n_tokens")).filter("n_tokens > 0 AND doc_id IS NOT NULL")
-    base = cut(base.groupBy("source", "doc_id").agg(F.sum("n_tokens").alias("n_tokens")))
-    totals = base.groupBy("source").agg(F.sum("n_tokens").alias("total"), F.count("*").alias("docs"))
-    live = source_weights(totals, budget, max_repeats, entropy)
-    sized = spark.createDataFrame([(r["source"], r["total"], r["target"], -(-r["docs"] // block_docs)) for r in live], "source string, total long, target long, blocks long")
-    placed = base.join(F.broadcast(sized), "source").withColumn("block", hashed(F.lit(seed), F.col("doc_id")) % F.col("blocks"))
+    base = docs.select(key_of(docs), F.col("doc_id").cast("long").alias("doc_id"), source_of(docs), tokens_of(F.col("text")).alias("n_tokens")).filter("n_tokens > 0")
+    base = cut(base.groupBy("source", "key").agg(F.first("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens")))
+    totals = keep(base.groupBy("source").agg(F.sum("n_tokens").alias("total"), F.count("*").alias("docs")))
+    sources, n_sources = source_weights(totals, budget, max_repeats, entropy)
+    sized = sources.select("source", "total", "target", F.ceil(F.col("docs") / block_docs).cast("long").alias("blocks"))
+    placed = base.join(F.broadcast(sized) if n_sources <= BROADCAST_SOURCES else sized, "source").withColumn("block", hashed(F.lit(seed), F.col("key")) % F.col("blocks"))
     epochs = F.floor((F.col("target") + F.col("total") - 1) / F.col("total")).cast("int")
     placed = placed.filter("target > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), (epochs - 1).cast("long"))))
     blocks = placed.groupBy("source", "epoch", "block").agg(F.sum("n_tokens").alias("in_block"))
-    order = Window.partitionBy("source", "epoch").orderBy(hashed(F.lit(seed), F.col("source"), F.col("epoch"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("ahead", F.coalesce(F.sum("in_block").over(order), F.lit(0)))
-    inner = Window.partitionBy("source", "epoch", "block").orderBy(hashed(F.lit(seed), F.col("epoch"), F.col("doc_id")), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    taken = placed.join(blocks.drop("in_block"), ["source", "epoch", "block"])
+    blocks = blocks.withColumn("at", hashed(F.lit(seed), F.col("source"), F.col("epoch"), F.col("block")))
+    blocks = blocks.withColumn("range", F.shiftright("at", 60 - RANGE_BITS))
+    ahead = lambda *by: Window.partitionBy("source", "epoch", *by).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = blocks.groupBy("source", "epoch", "range").agg(F.sum("in_block").alias("in_range"))
+    ranges = ranges.select("source", "epoch", "range", F.coalesce(F.sum("in_range").over(ahead().orderBy("range")), F.lit(0)).alias("before_range"))
+    within = F.coalesce(F.sum("in_block").over(ahead("range").orderBy("at", "block")), F.lit(0))
+    blocks = blocks.withColumn("within", within).join(ranges, ["source", "epoch", "range"]).select("source", "epoch", "block", (F.col("before_range") + F.col("within")).alias("ahead"))
+    inner = ahead("block").orderBy(hashed(F.lit(seed), F.col("epoch"), F.col("key")), "key")
+    taken = placed.join(blocks, ["source", "epoch", "block"])
     before = F.col("epoch") * F.col("total") + F.col("ahead") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))
-    return taken.withColumn("before", before).filter("before < target").select("source", "doc_id", "n_tokens", "epoch", "block", "before")
+    return taken.withColumn("before", before).filter("before < target").select("source", "doc_id", "key", "n_tokens", "epoch", "block", "before")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the mixture over documents, no source read more than MAX_REPEATS times."""
-    return plan_mixture(table(spark, sf_dir, "documents"))
+    return plan_mixture(table(spark, sf_dir, "documents")).drop("key")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """docs as the mixture has them: rows left out or repeated, columns as they came."""
-    copies = plan_mixture(docs).groupBy(F.col("doc_id").alias("__doc"), F.col("source").alias("__source")).count()
+    copies = plan_mixture(docs).groupBy(F.col("key").alias("__key"), F.col("source").alias("__source")).count()
     # The row goes along as one struct, so that no column of it can clash.
-    rows = docs.select(F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("__doc"), source_of(docs).alias("__source"))
-    joined = rows.join(copies, ["__doc", "__source"])
+    rows = docs.select(F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("row"), key_of(docs).alias("__key"), source_of(docs).alias("__source"))
+    joined = rows.join(copies, ["__key", "__source"])
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).select("row.*")
 
 
 SQL = f"""
 WITH RECURSIVE base AS (
-  SELECT doc_id, coalesce(source, '') AS source,
+  SELECT doc_id, coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) AS key, coalesce(source, '') AS source,
          CASE WHEN t = '' THEN 0 ELSE len(string_split_regex(t, ' +')) END::BIGINT AS n_tokens
-  FROM (SELECT doc_id, source, trim(translate(coalesce(text, ''), chr(9) || chr(10) || chr(13) || chr(12), '    '), ' ') AS t FROM documents)
-  WHERE doc_id IS NOT NULL),
-ranked AS (SELECT source, doc_id, sum(n_tokens)::BIGINT AS n_tokens FROM base WHERE n_tokens > 0 GROUP BY source, doc_id),
+  FROM (SELECT doc_id, text, source, trim(translate(coalesce(text, ''), chr(9) || chr(10) || chr(13) || chr(12), '    '), ' ') AS t FROM documents)),
+ranked AS (SELECT source, key, first(doc_id) AS doc_id, sum(n_tokens)::BIGINT AS n_tokens FROM base WHERE n_tokens > 0 GROUP BY source, key),
 totals AS (SELECT source, sum(n_tokens)::DOUBLE AS total, count(*) AS docs FROM ranked GROUP BY source),
 whole AS (SELECT sum(total) AS whole FROM totals),
 bisect AS (
@@ -149,8 +162,8 @@ sized AS (
          floor(exp(a * ln(total / whole)) / sum(exp(a * ln(total / whole))) OVER () * whole)::BIGINT AS target
   FROM totals, whole, chosen),
 placed AS (
-  SELECT r.source, r.doc_id, r.n_tokens, s.total, s.target, e.epoch::BIGINT AS epoch,
-         ('0x' || left(md5('{SEED}:' || doc_id), 15))::BIGINT % s.blocks AS block
+  SELECT r.source, r.doc_id, r.key, r.n_tokens, s.total, s.target, e.epoch::BIGINT AS epoch,
+         ('0x' || left(md5('{SEED}:' || key), 15))::BIGINT % s.blocks AS block
   FROM ranked r JOIN sized s ON r.source = s.source AND s.target > 0, LATERAL (SELECT unnest(generate_series(0, (s.target + s.total - 1) // s.total - 1)) AS epoch) e),
 blocked AS (
   SELECT source, epoch, block,
@@ -160,7 +173,7 @@ blocked AS (
 taken AS (
   SELECT source, doc_id, n_tokens, epoch, block, target,
          (epoch * total + ahead + coalesce(sum(n_tokens) OVER (PARTITION BY source, epoch, block
-           ORDER BY ('0x' || left(md5('{SEED}:' || epoch || ':' || doc_id), 15))::BIGINT, doc_id
+           ORDER BY ('0x' || left(md5('{SEED}:' || epoch || ':' || key), 15))::BIGINT, key
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS before
   FROM placed JOIN blocked USING (source, epoch, block))
 SELECT source, doc_id, n_tokens, epoch, block, before FROM taken WHERE before < target

@@ -1,4 +1,4 @@
-from math import log
+from math import exp, log
 
 import pytest
 
@@ -10,16 +10,48 @@ def test_query_equals_its_sql(spark, sf, duck, same):
     same(mixing.op2_mixing(spark, sf).toPandas(), duck(sf, mixing.SQL))
 
 
-def test_exponent_meets_its_target():
-    totals = [1000.0, 100.0, 10.0]
-    a = exponent(totals, 1110, 2.0, None)
+def bisected(totals, whole, budget, max_repeats, entropy):
+    """One step at a time, on plain numbers."""
+    lo, hi = 0.0, 1.0
+
+    def ok(a):
+        raw = [exp(a * log(t / whole)) for t in totals]
+        w = [r / sum(raw) for r in raw]
+        if max_repeats is not None:
+            return max(x * budget / t for x, t in zip(w, totals, strict=True)) <= max_repeats
+        return -sum(x * log(x) for x in w) <= entropy
+
+    if ok(lo):
+        return lo
+    for _ in range(40):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if ok(mid) else (mid, hi)
+    return hi
+
+
+def test_exponent_meets_its_target(spark):
+    totals = [1000, 100, 10]
+    df = spark.createDataFrame([(t,) for t in totals], "total long")
+    a = exponent(df, 1110, 1110, 2.0, None)
+    assert a == pytest.approx(bisected(totals, 1110, 1110, 2.0, None), abs=1e-11)
     raw = [(t / 1110) ** a for t in totals]
     repeats = [w / sum(raw) * 1110 / t for w, t in zip(raw, totals, strict=True)]
     assert max(repeats) == pytest.approx(2.0, abs=1e-6)
-    a = exponent(totals, 1110, None, 0.6)
+    a = exponent(df, 1110, 1110, None, 0.6)
     raw = [(t / 1110) ** a for t in totals]
     assert -sum(r / sum(raw) * log(r / sum(raw)) for r in raw) == pytest.approx(0.6, abs=1e-6)
-    assert exponent([5.0, 5.0], 10, 1.0, None) == 0
+    same = spark.createDataFrame([(5,), (5,)], "total long")
+    assert exponent(same, 10, 10, 1.0, None) == 0
+    with pytest.warns(UserWarning, match="natural mixture"):
+        assert exponent(df, 1110, 1110, 0.5, None) == 1
+
+
+def test_many_sources_are_not_broadcast(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 7), f"s{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(tuple(r) for r in plan_mixture(df).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert sorted(tuple(r) for r in plan_mixture(df).collect()) == want
 
 
 def test_brute_force_of_weights_and_budgets(spark):
@@ -30,7 +62,7 @@ def test_brute_force_of_weights_and_budgets(spark):
     for _, t, s in rows:
         totals[s] = totals.get(s, 0) + len(t.split())
     whole = sum(totals.values())
-    a = exponent([totals[s] for s in sorted(totals)], whole, 3.0, None)
+    a = bisected([totals[s] for s in sorted(totals)], whole, whole, 3.0, None)
     raw = {s: (t / whole) ** a for s, t in totals.items()}
     for s in totals:
         target = int(raw[s] / sum(raw.values()) * whole)
@@ -43,10 +75,11 @@ def test_brute_force_of_weights_and_budgets(spark):
 
 def test_edge_cases(spark, weird, nothing):
     got = plan_mixture(weird).toPandas()
-    assert set(got["doc_id"]) <= {1, 2, 6, 7, 8, 9}
+    assert set(got["doc_id"].dropna()) <= {1, 2, 6, 7, 8, 9}
+    assert got["doc_id"].isna().any()
     assert plan_mixture(nothing).collect() == []
     mixed = mix_documents(weird)
     assert mixed.columns == weird.columns
     ids = [r["doc_id"] for r in mixed.collect()]
-    assert 1 in ids and None not in ids
+    assert 1 in ids and None in ids
     assert mix_documents(nothing).collect() == []
