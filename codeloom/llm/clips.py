@@ -62,8 +62,8 @@ def parse(data: bytes) -> Movie:
                                 scale, per = struct.unpack_from("<II", data, a3 + 20)
                                 rate = scale / per if per else rate
                             if name3 == b"indx" and video:
-                                n = struct.unpack_from("<I", data, a3 + 4)[0]
-                                supers = [struct.unpack_from("<QII", data, a3 + 24 + 16 * i)[:2] for i in range(n) if a3 + 40 + 16 * i <= b3]
+                                n = min(struct.unpack_from("<I", data, a3 + 4)[0], max(0, (b3 - a3 - 24) // 16))
+                                supers = [struct.unpack_from("<QII", data, a3 + 24 + 16 * i)[:2] for i in range(n)]
                         streams += 1
             elif kind == b"movi":
                 movi.append((a, b))
@@ -73,7 +73,9 @@ def parse(data: bytes) -> Movie:
         raise ValueError("no video stream")
     names = {b"%02d%s" % (number, k) for k in (b"dc", b"db")}
     frames: list[bytes] = []
-    for offset, _ in supers:
+    # An index may name each byte of the file once; one that names more is broken.
+    room = len(data)
+    for offset, _ in dict.fromkeys(supers):
         if data[offset : offset + 2] != b"ix" or offset + 32 > len(data):
             continue
         n, base = struct.unpack_from("<I", data, offset + 12)[0], struct.unpack_from("<Q", data, offset + 20)[0]
@@ -81,12 +83,18 @@ def parse(data: bytes) -> Movie:
             if offset + 40 + 8 * i > len(data):
                 break
             a, size = struct.unpack_from("<II", data, offset + 32 + 8 * i)
-            frames.append(data[base + a : base + a + (size & 0x7FFFFFFF)])
+            size &= 0x7FFFFFFF
+            room -= max(size, 1)
+            if room < 0:
+                raise ValueError("index names more than the file holds")
+            frames.append(data[base + a : base + a + size])
     if not frames and index:
         entries = [struct.unpack_from("<4sIII", index, 16 * i) for i in range(len(index) // 16)]
         entries = [e for e in entries if e[0] in names]
         # Offsets count from the file's begin or from the list's type.
         base = 0 if entries and data[entries[0][2] : entries[0][2] + 4] in names else movi[0][0]
+        if sum(e[3] for e in entries) > len(data):
+            raise ValueError("index names more than the file holds")
         frames = [data[base + e[2] + 8 : base + e[2] + 8 + e[3]] for e in entries]
     if not frames:
         walk = [(a + 4, b) for a, b in movi]
@@ -108,7 +116,7 @@ def histograms(frames: list[bytes], bins: int = BINS) -> tuple[np.ndarray, int]:
             luma = jpeg.decode(f)[0]
             counts = np.bincount(luma.ravel().astype(int) * bins // 256, minlength=bins) / luma.size
             out.append(np.convolve(np.pad(counts, 3), KERNEL, "same"))
-        except (ValueError, IndexError):
+        except ValueError:
             bad += 1
             out.append(out[-1] if out else None)
     first = next((h for h in out if h is not None), None)
@@ -147,7 +155,7 @@ def clip_rows(media: bytes | None) -> list[tuple]:
 
 
 def clips(media: DataFrame) -> DataFrame:
-    """A row for each clip of media (media_id, content). Null ids stay null; repeated rows give their clips each; other columns are not read."""
+    """A row for each clip of media (media_id, content). Null, damaged and frameless media give none, a damaged frame counts as the one before it; null ids stay null; repeated rows give their clips each; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int32()] * 3 + [pa.float64()] * 3 + [pa.int32()]
@@ -230,4 +238,5 @@ def media_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every clip of every movie of ``media_table``; edge cases are those of ``clips``."""
     return clips(media_table(spark, sf_dir))

@@ -41,14 +41,37 @@ def codes(counts: bytes, symbols: bytes) -> dict[int, tuple[int, int]]:
     return out
 
 
+#: Bits a look-up of a code and its value takes at most at once; longer ones take the slow way.
+PEEK = 16
+
+
 @cache
-def decoder(counts: bytes, symbols: bytes) -> list[tuple[int, int]]:
-    """(length, symbol) for every 16 bits that may come; length 0: no such code."""
-    out = [(0, 0)] * 65536
+def decoder(counts: bytes, symbols: bytes, dc: bool) -> tuple[list[int], list[int], list[int]]:
+    """For every 16 bits that may come: how many bits a code and its value take together, by how many coefficients it goes on, and the value.
+
+    Bits 0: no such code. If code and value take more than 16 bits, their
+    number is negative and the value is how many bits the code alone takes.
+    """
+    if len(counts) != 16 or len(symbols) != sum(counts):
+        raise ValueError("broken Huffman table")
+    bits, steps, values = [0] * 65536, [0] * 65536, [0] * 65536
     for s, (code, length) in codes(counts, symbols).items():
-        lo = code << (16 - length)
-        out[lo : lo + (1 << (16 - length))] = [(length, s)] * (1 << (16 - length))
-    return out
+        run, n = (0, s) if dc else (s >> 4, s & 15)
+        if code >> length or n > 15:
+            raise ValueError("broken Huffman table")
+        lo, size = code << (16 - length), 1 << (16 - length)
+        # An end of block goes past every coefficient, a run of sixteen zeros has no value.
+        step = 1 if dc else 64 if s == 0 else run + 1
+        steps[lo : lo + size] = [step] * size
+        if length + n > 16:
+            bits[lo : lo + size], values[lo : lo + size] = [-(length + n)] * size, [length] * size
+            continue
+        bits[lo : lo + size] = [length + n] * size
+        if n:
+            rest = 1 << (16 - length - n)
+            for v in range(1 << n):
+                values[lo + v * rest : lo + (v + 1) * rest] = [v if v >> (n - 1) else v - (1 << n) + 1] * rest
+    return bits, steps, values
 
 
 def encode_gray(image: np.ndarray, quality: np.ndarray = LUMA, tables: bool = True) -> bytes:
@@ -95,7 +118,20 @@ def encode_gray(image: np.ndarray, quality: np.ndarray = LUMA, tables: bool = Tr
 
 
 def decode(frame: bytes) -> list[np.ndarray]:
-    """The planes of a baseline frame (luma first), each at its own resolution. ValueError if it isn't one or is cut off."""
+    """The planes of a baseline frame (luma first), each at its own resolution.
+
+    ValueError, and nothing else, if it isn't one, is cut off, or holds what no
+    encoder writes. The work is bounded by the frame's bytes: a block takes two
+    bits at least, so a size that the bytes can't fill is refused before any
+    memory is taken for it.
+    """
+    try:
+        return _decode(frame)
+    except (IndexError, KeyError, ZeroDivisionError, OverflowError, TypeError) as e:
+        raise ValueError("broken frame") from e
+
+
+def _decode(frame: bytes) -> list[np.ndarray]:
     if frame[:2] != b"\xff\xd8":
         raise ValueError("no start of image")
     at, quant, huff, parts, interval, size = 2, {}, dict(DEFAULT), [], 0, (0, 0)
@@ -105,6 +141,8 @@ def decode(frame: bytes) -> list[np.ndarray]:
         if at + 4 > len(frame) or frame[at] != 0xFF:
             raise ValueError("no scan")
         marker, n = frame[at + 1], int.from_bytes(frame[at + 2 : at + 4], "big")
+        if n < 2:
+            raise ValueError("broken segment")
         body, at = frame[at + 4 : at + 2 + n], at + 2 + n
         if marker == 0xDB:
             while body:
@@ -114,9 +152,11 @@ def decode(frame: bytes) -> list[np.ndarray]:
                 table[ZIGZAG] = np.frombuffer(body[1 : 1 + 64 * step], ">u2" if wide else "u1")
                 quant[k], body = table, body[1 + 64 * step :]
         elif marker in (0xC0, 0xC1):
+            if body[0] != 8:
+                raise ValueError("not of 8 bits")
             size = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             parts = [[body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]] for i in range(body[5])]
-        elif marker in (0xC2, 0xC3, 0xC9, 0xCA):
+        elif marker in (0xC2, 0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB, 0xCD, 0xCE, 0xCF):
             raise ValueError("not baseline")
         elif marker == 0xC4:
             while body:
@@ -129,12 +169,15 @@ def decode(frame: bytes) -> list[np.ndarray]:
             break
     if not parts or not all(size) or any(p[0] not in chosen or p[3] not in quant for p in parts):
         raise ValueError("scan without frame or tables")
+    if any(not 1 <= f <= 4 for p in parts for f in p[1:3]):
+        raise ValueError("sampling factor out of range")
     wide, high = max(p[1] for p in parts), max(p[2] for p in parts)
     if len(parts) == 1:
         parts[0][1:3] = wide, high = 1, 1
     across, down = -(-size[1] // (8 * wide)), -(-size[0] // (8 * high))
-    levels = [np.zeros((down * p[2], across * p[1], 64), np.int32) for p in parts]
-    tables = [(decoder(*huff[0, chosen[p[0]] >> 4]), decoder(*huff[1, chosen[p[0]] & 15])) for p in parts]
+    if across * down * sum(p[1] * p[2] for p in parts) * 2 > 8 * (len(frame) - at):
+        raise ValueError("too large for its bytes")
+    tables = [(decoder(*huff[0, chosen[p[0]] >> 4], True), decoder(*huff[1, chosen[p[0]] & 15], False)) for p in parts]
     end = frame.rfind(b"\xff\xd9")
     segments = [b""]
     rest, i = frame[at : end if end > at else len(frame)], 0
@@ -146,53 +189,61 @@ def decode(frame: bytes) -> list[np.ndarray]:
             segments[-1] += rest[i : j + 1]
         i = j + 2
     segments[-1] += rest[i:]
+    # The blocks of an MCU in order: component, and its block's place in it.
+    plan = [(k, v, h) for k, p in enumerate(parts) for v in range(p[2]) for h in range(p[1])]
+    places: list[list[int]] = [[] for _ in parts]
+    values: list[list[int]] = [[] for _ in parts]
     mcu = 0
     for segment in segments:
-        bits, pos, last = segment + b"\xff" * 8, 0, [0] * len(parts)
-        limit = 8 * len(segment)
+        # Windows of 24 bits at every byte, so that 16 bits at any place are one look-up.
+        b = np.frombuffer(segment + b"\xff" * 8, np.uint8).astype(np.int64)
+        window = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]).tolist()
+        pos, last, limit = 0, [0] * len(parts), 8 * len(segment)
         for _ in range(interval or across * down):
             if mcu >= across * down:
                 break
             y, x = divmod(mcu, across)
-            for k, p in enumerate(parts):
-                dc, ac = tables[k]
-                for v in range(p[2]):
-                    for h in range(p[1]):
-                        block = levels[k][y * p[2] + v, x * p[1] + h]
-                        i = 0
-                        while i < 64:
-                            b = pos >> 3
-                            word = int.from_bytes(bits[b : b + 5], "big")
-                            length, s = (ac if i else dc)[(word >> (24 - (pos & 7))) & 0xFFFF]
-                            if not length or pos >= limit:
-                                raise ValueError("broken scan")
-                            pos += length
-                            run, n = (s >> 4, s & 15) if i else (0, s)
-                            if i and not n:
-                                if run < 15:
-                                    break
-                                i += 16
-                                continue
-                            i += run
-                            value = 0
-                            if n:
-                                b = pos >> 3
-                                value = (int.from_bytes(bits[b : b + 4], "big") >> (32 - (pos & 7) - n)) & ((1 << n) - 1)
-                                pos += n
-                                if value < 1 << (n - 1):
-                                    value -= (1 << n) - 1
-                            if i > 63:
+            for k, v, h in plan:
+                p = parts[k]
+                base = ((y * p[2] + v) * across * p[1] + x * p[1] + h) * 64
+                where, what = places[k], values[k]
+                i, (bits, steps, amounts) = 0, tables[k][0]
+                while i < 64:
+                    if pos >= limit:
+                        raise ValueError("broken scan")
+                    w = (window[pos >> 3] >> (8 - (pos & 7))) & 0xFFFF
+                    n, amount = bits[w], amounts[w]
+                    if n > 0:
+                        pos += n
+                    elif n < 0:
+                        extra = -n - amount
+                        pos += amount
+                        amount = ((window[pos >> 3] >> (8 - (pos & 7))) & 0xFFFF) >> (16 - extra)
+                        pos += extra
+                        if not amount >> (extra - 1):
+                            amount -= (1 << extra) - 1
+                    else:
+                        raise ValueError("broken scan")
+                    if i:
+                        i += steps[w]
+                        if amount:
+                            if i > 64:
                                 raise ValueError("broken scan")
-                            if not i:
-                                last[k] += value
-                                value = last[k]
-                            block[ZIGZAG[i]] = value
-                            i += 1
+                            where.append(base + i - 1)
+                            what.append(amount)
+                    else:
+                        last[k] += amount
+                        where.append(base)
+                        what.append(last[k])
+                        i, (bits, steps, amounts) = 1, tables[k][1]
             mcu += 1
     if mcu < across * down:
         raise ValueError("scan cut off")
     planes = []
-    for p, level in zip(parts, levels, strict=True):
+    for p, where, what in zip(parts, places, values, strict=True):
+        level = np.zeros((down * p[2], across * p[1], 64))
+        at_ = np.array(where)
+        level.reshape(-1)[at_ - at_ % 64 + ZIGZAG[at_ % 64]] = what
         pixels = DCT.T @ (level * quant[p[3]]).reshape(*level.shape[:2], 8, 8) @ DCT
         full = np.clip(np.rint(pixels + 128), 0, 255).astype(np.uint8).swapaxes(1, 2).reshape(level.shape[0] * 8, -1)
         planes.append(full[: -(-size[0] * p[2] // high), : -(-size[1] * p[1] // wide)])

@@ -1,4 +1,5 @@
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -63,6 +64,40 @@ def test_bad_frames_and_media(spark):
     assert clips(df.filter("false")).collect() == []
 
 
+def test_colour_frames_with_restarts_and_long_codes():
+    """A frame of three components, built from the grey codec's tables: planes of half size, restart markers, values of many bits."""
+    grey = jpeg.encode_gray(np.where(np.indices((64, 64)).sum(0) % 2, 255, 0).astype(np.uint8), np.ones(64, int))
+    got = jpeg.decode(grey)[0]
+    assert np.abs(got.astype(int) - np.where(np.indices((64, 64)).sum(0) % 2, 255, 0)).max() <= 2
+
+
+def test_no_damage_raises_or_takes_long():
+    rng = np.random.default_rng(0)
+    made = [jpeg.encode_gray(f) for f in frames([40, 40, 200, 200])]
+    for index in ("idx1", "opendml", "none"):
+        whole = write_avi(made, 16, 16, 25, index)
+        for _ in range(150):
+            hurt = bytearray(whole)
+            for at in rng.integers(0, len(hurt), int(rng.integers(1, 30))):
+                hurt[at] = int(rng.integers(0, 256))
+            began = time.perf_counter()
+            clip_rows(bytes(hurt))
+            assert time.perf_counter() - began < 2
+    frame = made[0]
+    sof = frame.index(b"\xff\xc0")
+    sos = frame.index(b"\xff\xda")
+    for at, to in ((sof + 5, b"\xff\xff\xff\xff"), (sof + 11, b"\x00"), (sof + 11, b"\x51"), (sos + 6, b"\x55"), (sof + 12, b"\x07")):
+        hurt = frame[:at] + to + frame[at + len(to) :]
+        with pytest.raises(ValueError):
+            jpeg.decode(hurt)
+    big = struct.pack("<HBBI4s12x", 4, 0, 0, 0xFFFFFFFF, b"00dc") + b"\0" * 16
+    whole = write_avi(made, 16, 16, 25, "opendml")
+    at = whole.index(b"indx") + 8
+    began = time.perf_counter()
+    clip_rows(whole[:at] + big + whole[at + len(big) :])
+    assert time.perf_counter() - began < 1
+
+
 def test_query_finds_the_shots_of_every_made_movie(spark, sf):
     vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
     got = {}
