@@ -10,6 +10,7 @@ contains it.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -60,10 +61,20 @@ def _ready(text: str) -> tuple[list[Rule], ahocorasick.Automaton]:
 
 def resolve(hits: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Of (priority, start, end, rule), those that no stronger one contains, by place."""
+    hits = sorted(set(hits), key=lambda h: (-h[0], h[1] - h[2], h[1], h[3]))
+    starts = sorted({h[1] for h in hits})
+    reach = [0] * (len(starts) + 1)  # a Fenwick tree: the farthest end of those kept that begin at or before a start
     kept: list[tuple[int, int, int, int]] = []
-    for h in sorted(set(hits), key=lambda h: (-h[0], h[1] - h[2], h[1], h[3])):
-        if not any(k[1] <= h[1] and h[2] <= k[2] for k in kept):
-            kept.append(h)
+    for h in hits:
+        i = rank = bisect_right(starts, h[1])
+        far = 0
+        while i:
+            far, i = max(far, reach[i]), i & (i - 1)
+        if far >= h[2]:
+            continue
+        kept.append(h)
+        while rank <= len(starts):
+            reach[rank], rank = max(reach[rank], h[2]), rank + (rank & -rank)
     return sorted(kept, key=lambda h: (h[1], h[2], h[3]))
 
 
@@ -104,4 +115,5 @@ def scan_licenses(docs: DataFrame, rules_text: str = RULES) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence detection in every document; edge cases are those of ``scan_licenses``."""
     return scan_licenses(table(spark, sf_dir, "documents"))

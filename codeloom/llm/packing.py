@@ -13,14 +13,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.mixing import tokens_of
 from codeloom.runtime import cut, table
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS, GROUP_ITEMS = 4096, 16, 3072, 2048
-OUT = "id long, piece long, tokens long, segments long, loss long, pack long, slot long, first_token long"
+OUT = "id long, piece long, from_token long, tokens long, segments long, loss long, pack long, slot long, first_token long"
 
 
 def fill(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,8 +49,12 @@ def fill(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return pack, slot
 
 
+def group_of(groups: int) -> Column:
+    return F.pmod(F.xxhash64("id", "piece"), F.lit(groups))
+
+
 def pack_items(items: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, group_items: int = GROUP_ITEMS) -> DataFrame:
-    """items (id, tokens, segments, loss) with pack, slot, first_token: their bin, and place and offset within it.
+    """items (id, tokens, segments, loss) with pack, slot, first_token: their bin, and place and offset within it; from_token: where the piece begins in its item.
 
     An item above a limit is cut into the fewest equal pieces within all
     limits; nothing is dropped. Nulls count as 0; an item of no tokens still
@@ -64,9 +68,11 @@ def pack_items(items: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int
     n = F.greatest(*[F.ceil(F.col(c) / F.lit(int(m))) for c, m in zip(("tokens", "segments", "loss"), limits, strict=True)], F.lit(1)).cast("int")
     base = base.withColumn("n", n).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1).cast("long"))))
     share = [F.greatest(F.floor(F.col(c) * (F.col("piece") + 1) / F.col("n")) - F.floor(F.col(c) * F.col("piece") / F.col("n")), F.lit(1 if c == "segments" else 0)).cast("long").alias(c) for c in ("tokens", "segments", "loss")]
-    base = cut(base.select("id", "piece", *share))
+    base = cut(base.select("id", "piece", F.floor(F.col("tokens") * F.col("piece") / F.col("n")).cast("long").alias("from_token"), *share))
     groups = max(1, -(-base.count() // group_items))
-    keyed = base.withColumn("g", F.pmod(F.xxhash64("id", "piece"), F.lit(groups)))
+    keyed = base.withColumn("g", group_of(groups))
+    # The work of a group is far more than its bytes tell: their number is set here, lest they be put together.
+    parts = min(groups, max(4 * base.sparkSession.sparkContext.defaultParallelism, -(-groups // 16)))
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["id", "piece", "tokens", "segments", "loss"], na_position="first", kind="stable").reset_index(drop=True)
@@ -75,9 +81,9 @@ def pack_items(items: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int
         rows = rows.sort_values(["pack", "slot"])
         rows["first_token"] = rows.groupby("pack")["tokens"].cumsum() - rows["tokens"]
         rows["id"] = rows["id"].astype("Int64")
-        return rows[["id", "piece", "tokens", "segments", "loss", "pack", "slot", "first_token"]]
+        return rows[["id", "piece", "from_token", "tokens", "segments", "loss", "pack", "slot", "first_token"]]
 
-    return keyed.groupBy("g").applyInPandas(one, OUT)
+    return keyed.repartition(parts, "g").groupBy("g").applyInPandas(one, OUT)
 
 
 def conversation_items(conversations: DataFrame) -> DataFrame:
@@ -88,6 +94,7 @@ def conversation_items(conversations: DataFrame) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's place. Turns without conv_id are one conversation of null id, null texts and roles have no tokens and bear no loss; an empty table gives no rows."""
     return pack_items(conversation_items(table(spark, sf_dir, "conversations"))).withColumnRenamed("id", "conv_id")
 
 

@@ -39,9 +39,15 @@ FIELDS = [("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("n
 
 
 @cache
-def encoding(vocabulary: str) -> tiktoken.Encoding:
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(vocabulary).read_bytes().splitlines())}
-    return tiktoken.Encoding(Path(vocabulary).stem, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+def encoding(content: bytes) -> tiktoken.Encoding:
+    """A vocabulary from the content of its file."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
+    return tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
+@cache
+def loaded(path: str) -> bytes:
+    return Path(path).read_bytes()
 
 
 @cache
@@ -49,9 +55,10 @@ def candidates(min_chars: int) -> re.Pattern:
     return re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % min_chars)
 
 
-def find(text: str | None, vocabulary: str = VOCABULARY, min_chars: int = MIN_CHARS, max_ratio: float = MAX_RATIO) -> list[tuple]:
-    """(start, end, kind, characters, tokens, ratio, sha256 prefix) of each secret in text, in order; [] for null or empty."""
+def find(text: str | None, vocabulary: str | bytes = VOCABULARY, min_chars: int = MIN_CHARS, max_ratio: float = MAX_RATIO) -> list[tuple]:
+    """(start, end, kind, characters, tokens, ratio, sha256 prefix) of each secret in text, in order; [] for null or empty. vocabulary: a path, or a file's content."""
     out = []
+    content = loaded(vocabulary) if isinstance(vocabulary, str) else vocabulary
     for m in candidates(min_chars).finditer(text or ""):
         s, at = m.group(), m.start()
         known = PREFIX.match(s)
@@ -60,7 +67,7 @@ def find(text: str | None, vocabulary: str = VOCABULARY, min_chars: int = MIN_CH
             continue
         if not named and (DIGEST.match(s) or UUID.match(s) or NUMBER.match(s) or INTEGRITY.search(text, max(0, at - 10), at)):
             continue
-        tokens = len(encoding(vocabulary).encode_ordinary(s))
+        tokens = len(encoding(content).encode_ordinary(s))
         if len(s) / tokens < max_ratio:
             out.append((at, m.end(), "named" if named else "prefix" if known else "bare", len(s), tokens, len(s) / tokens, hashlib.sha256(s.encode()).hexdigest()[:12]))
     return out
@@ -72,12 +79,14 @@ def scan_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, min_chars: int =
     Null and empty texts give none; a null doc_id stays null; repeated rows are
     reported once each; other columns are not read.
     """
+    # The file is read here and sent, for workers may not have it.
+    sent = docs.sparkSession.sparkContext.broadcast(loaded(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, found = [], []
             for i, text in enumerate(batch.column(1)):
-                hits = find(text.as_py(), vocabulary, min_chars, max_ratio)
+                hits = find(text.as_py(), sent.value, min_chars, max_ratio)
                 at += [i] * len(hits)
                 found += hits
             if found:
@@ -90,11 +99,12 @@ def scan_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, min_chars: int =
 
 def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", vocabulary: str = VOCABULARY, min_chars: int = MIN_CHARS, max_ratio: float = MAX_RATIO) -> DataFrame:
     """docs with each secret replaced by ``mask`` and n_chars (where there is one) counted anew; every row stays, other columns as they came."""
+    sent = docs.sparkSession.sparkContext.broadcast(loaded(vocabulary))
 
     @F.pandas_udf("string")
     def clean(texts):  # noqa: ANN001, ANN202
         def one(text: str | None) -> str | None:
-            for hit in reversed(find(text, vocabulary, min_chars, max_ratio)):
+            for hit in reversed(find(text, sent.value, min_chars, max_ratio)):
                 text = text[: hit[0]] + mask + text[hit[1] :]
             return text
 
@@ -107,4 +117,5 @@ def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", vocabulary: str = VO
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret in every document; edge cases are those of ``scan_secrets``."""
     return scan_secrets(table(spark, sf_dir, "documents"))

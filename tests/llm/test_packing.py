@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from codeloom.llm.packing import conversation_items, fill, op7_packing, pack_documents, pack_items
+from codeloom.llm.packing import GROUP_ITEMS, MAX_LOSS, MAX_SEGMENTS, MAX_TOKENS, conversation_items, fill, group_of, op7_packing, pack_documents, pack_items
 
 
 def brute(sizes, limits):
@@ -75,3 +75,27 @@ def test_edge_cases(spark, weird, nothing):
     assert pack_documents(nothing).collect() == []
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert conversation_items(none).collect() == []
+
+
+def test_query_equals_brute_force(spark, sf):
+    """Every bin of the query, group by group, by plain loops over items cut by hand."""
+    limits = np.array([MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS], float)
+    made = []
+    for r in conversation_items(spark.read.parquet(f"{sf}/conversations.parquet")).collect():
+        size = [r["tokens"], max(1, r["segments"]), min(r["loss"], r["tokens"])]
+        n = max(1, *(-(-s // int(m)) for s, m in zip(size, limits, strict=True)))
+        for k in range(n):
+            made.append((r["id"], k, *[max(s * (k + 1) // n - s * k // n, low) for s, low in zip(size, (0, 1, 0), strict=True)]))
+    groups = -(-len(made) // GROUP_ITEMS)
+    keyed = spark.createDataFrame(made, "id long, piece long, tokens long, segments long, loss long").withColumn("g", group_of(groups)).collect()
+    want = set()
+    for g in range(groups):
+        items = sorted((tuple(r)[:5] for r in keyed if r["g"] == g), key=lambda r: (r[0] is not None, r[0] or 0, *r[1:]))
+        for b, inside in enumerate(brute(np.array([i[2:] for i in items], float), limits)):
+            want |= {(items[i][0], items[i][1], (g << 32) + b, slot) for slot, i in enumerate(inside)}
+    assert {(r["conv_id"], r["piece"], r["pack"], r["slot"]) for r in op7_packing(spark, sf).collect()} == want
+
+
+def test_pieces_tell_where_they_begin(spark):
+    got = pack_items(spark.createDataFrame([(1, 10_000, 1, 10_000)], "id long, tokens long, segments long, loss long")).orderBy("piece").collect()
+    assert [r["from_token"] for r in got] == [sum(x["tokens"] for x in got[:i]) for i in range(len(got))]

@@ -3,7 +3,7 @@ import re
 
 import tiktoken
 
-from codeloom.llm.secret_scan import SPLIT, VOCABULARY, encoding, find, op8_secret_scan, redact_secrets, scan_secrets
+from codeloom.llm.secret_scan import SPLIT, VOCABULARY, encoding, find, loaded, op8_secret_scan, redact_secrets, scan_secrets
 
 HEX = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
 
@@ -11,7 +11,7 @@ HEX = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
 def brute(text):
     """Each maximal run by hand: its ratio, its kind, and what it is excused for."""
     out = []
-    enc = encoding(VOCABULARY)
+    enc = encoding(loaded(VOCABULARY))
     assert isinstance(enc, tiktoken.Encoding) and SPLIT
     allowed = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
     i = 0
