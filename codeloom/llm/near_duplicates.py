@@ -71,7 +71,8 @@ def signature_rows(column: pa.Array, shingle: int, n: int, seed: int) -> list[by
             for j in range(n):
                 minima[:, j] = np.minimum.reduceat(((grams * a[j] + b[j]) >> U(32)).astype(np.uint32), begins)
         here: list[bytes | None] = [None] * (hi - lo)
-        for i, m in zip(some.tolist(), minima, strict=True):
+        # The low half of a minimum tells minima apart as well as all of it, but for one pair in 65,536.
+        for i, m in zip(some.tolist(), minima.astype(np.uint16), strict=True):
             here[i] = m.tobytes()
         out += here
     return out
@@ -91,7 +92,10 @@ def id_of(node: Column) -> Column:
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, n: int = BANDS * ROWS, seed: int = SEED) -> DataFrame:
-    """(node, doc_id, sig) of every row of docs; sig is null where the text has no word."""
+    """(node, doc_id, k, sig) of every row of docs; sig is null where the text has no word.
+
+    k stands for the signature; that two different ones have the same takes about 2 ** 32 of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,7 +104,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, n: int = BANDS * ROWS, s
 
     text = F.col("text").cast("string")
     rows = docs.select(node_of(F.col("doc_id").cast("long"), text).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return rows.mapInArrow(run, f"node {NODE}, doc_id long, sig binary")
+    return rows.mapInArrow(run, f"node {NODE}, doc_id long, sig binary").withColumn("k", F.xxhash64("sig"))
 
 
 def spanning(ids: np.ndarray, sigs: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -128,7 +132,7 @@ def bucket_edges(members: DataFrame, signed: DataFrame, threshold: float) -> Dat
         for t in whole_groups(batches, "bucket"):
             t = t.combine_chunks()
             bucket, ids = t.column("bucket").to_numpy(), t.column("k").to_numpy()
-            sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
+            sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
             cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(ids)]
             edges = [e for lo, hi in zip(cuts, cuts[1:], strict=False) for e in spanning(ids[lo:hi], sigs[lo:hi], threshold)]
             if edges:
@@ -141,24 +145,31 @@ def bucket_edges(members: DataFrame, signed: DataFrame, threshold: float) -> Dat
 def sized(keyed: DataFrame) -> DataFrame:
     """(bucket, n, least) of the buckets of two or more rows; of buckets that hold the same rows one."""
     per = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("k").alias("least"), F.max("k").alias("__most"), F.sum(F.xxhash64("k").cast("decimal(20,0)")).alias("__sum"))
-    return per.filter("n > 1").groupBy("n", "least", "__most", "__sum").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "least")
+    return per.groupBy("n", "least", "__most", "__sum").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "least")
+
+
+def shared(keyed: DataFrame) -> DataFrame:
+    """The rows of keyed whose bucket holds two or more; counted before they are shuffled, so a hot bucket is a row of each task."""
+    live = keyed.groupBy("bucket").count().filter("count > 1").select("bucket")
+    return keyed.join(live.hint("merge"), "bucket")
 
 
 def minima_of(sig: Column, n: int) -> Column:
     """The minima of a signature, each with its position, as numbers."""
-    return F.array(*[F.xxhash64(F.lit(i), F.substring(sig, 4 * i + 1, 4)) for i in range(n)])
+    return F.array(*[F.xxhash64(F.lit(i), F.substring(sig, 2 * i + 1, 2)) for i in range(n)])
 
 
 def verified_edges(signed: DataFrame, bands: int, rows: int, threshold: float, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """(a, b) spanning the near-duplicate components within every bucket; signed: (k, sig), one row a signature."""
-    width, n = rows * 4, bands * rows
+    width, n = rows * 2, bands * rows
     need = int(np.ceil(threshold * n - 1e-9))
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * width + 1, width)) for i in range(bands)])
     keyed = signed.select(F.explode(keys).alias("bucket"), "k")
     edges, held_tables = None, []
     for turn in range(HOT_ROUNDS + 1):
+        keyed = keep(shared(keyed))
         buckets = keep(sized(keyed))
-        held_tables.append(buckets)
+        held_tables += [keyed, buckets]
         cool = bucket_edges(keyed.join(buckets.filter(F.col("n") <= hot).select("bucket"), "bucket"), signed, threshold)
         edges = cool if edges is None else edges.union(cool)
         large = buckets.filter(F.col("n") > hot)
@@ -187,8 +198,8 @@ def verified_edges(signed: DataFrame, bands: int, rows: int, threshold: float, h
         # Minima of one row only come first in the order of rarity; what the prefix has room for besides is shared.
         room = F.greatest(F.size("shared") - F.lit(need - 1), F.lit(0))
         rare = ranked.select("bucket", "k", F.explode(F.slice("shared", F.lit(1), room)).alias("t")).filter("t.some")
-        keyed = keep(rare.select(F.xxhash64("bucket", "t.token").alias("bucket"), "k"))
-        held_tables += [tested, keyed]
+        keyed = rare.select(F.xxhash64("bucket", "t.token").alias("bucket"), "k")
+        held_tables.append(tested)
     out = keep(edges.dropDuplicates(["a", "b"]))
     release(*held_tables)
     return out
@@ -229,9 +240,8 @@ def linked_groups(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, r
     """
     signed = cut(signatures(docs, shingle, bands * rows, seed))
     worded = signed.filter("sig IS NOT NULL")
-    # Every signature stands as one number; equal numbers of different signatures would take 2**32 of them.
-    unique = cut(worded.groupBy("sig").agg(F.min("node").alias("rep")).withColumn("k", F.xxhash64("sig")))
-    copies = worded.join(unique, "sig").filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    unique = keep(worded.groupBy("k").agg(F.min("node").alias("rep"), F.first("sig").alias("sig")))
+    copies = worded.select("k", "node").join(unique.select("k", "rep").hint("merge"), "k").filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     found = verified_edges(unique.select("k", "sig"), bands, rows, threshold)
     reps = unique.select("k", "rep")
     near = found.join(reps.toDF("a", "x"), "a").join(reps.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b")
@@ -278,7 +288,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     repeated = keep(signed.filter("sig IS NOT NULL").groupBy("node").count().filter("count > 1").select(F.col("node").alias("__node")))
     # The row goes along as one struct, so that no column of it can clash.
     rows = docs.select(F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("row"), node_of(docs["doc_id"].cast("long"), docs["text"].cast("string")).alias("__node"))
-    kept = rows.join(gone, "__node", "left_anti")
+    # Texts are shuffled at any size, so that what holds for a small table holds for a large one.
+    kept = rows.join(gone.hint("merge"), "__node", "left_anti")
     if repeated.isEmpty():
         return kept.select("row.*")
     once = kept.join(repeated, "__node", "left_anti").select("row.*")

@@ -37,24 +37,24 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.words import PUNCTUATION, U, buffers, pieces, segment, spans
+from codeloom.llm.words import PUNCTUATION, U, buffers, pieces, segment, spaced, spans
 from codeloom.runtime import cut, table
 
 MAX_EXAMPLES, K, REJECT, SEED = 4000, 15, 0.5, 3
 BLOCK, CLUSTERS, FIRST_BLOCKS, TOGETHER = 64, 16, 3, 64
-#: Marks beyond ASCII that end a word as those of ASCII do.
-MARKS = "\u00a0\u00a1\u00ab\u00b7\u00bb\u00bf\u2010\u2011\u2012\u2013\u2014\u2018\u2019\u201a\u201c\u201d\u201e\u2022\u2026\u2039\u203a\u3000\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f"
 SCHEMA = "doc_id long, score double, vote double, toxic boolean, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
 
 
 def plain(text: Column) -> Column:
-    """The text in lower case, marks beyond ASCII as spaces; '' for null."""
-    return F.translate(F.lower(F.coalesce(text.cast("string"), F.lit(""))), MARKS, " " * len(MARKS))
+    """The text in lower case; '' for null."""
+    return F.lower(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def bags(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """For pieces of a column of plain texts: the first row and that after the last, and row (from the first), word and count of each distinct word of a row, in this order."""
     data, offsets = buffers(column)
+    if len(offsets) > 1:
+        data, offsets = spaced(data[offsets[0] : offsets[-1]]), offsets - offsets[0]
     for lo, hi in pieces(offsets, 1 << 18):
         words = segment(data, offsets[lo : hi + 1], PUNCTUATION)
         row = words.rows()

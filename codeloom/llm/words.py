@@ -97,6 +97,20 @@ def segment(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, fold:
     return Words(hashes, start - origin, end - origin, first)
 
 
+def spaced(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with marks beyond ASCII as spaces: those of U+00A0 to U+00BF but letters, U+2000 to U+206F, U+3000 to U+3003, and fullwidth ones of U+FF00 to U+FF0F."""
+    data = data.copy()
+    c2 = np.flatnonzero(data[:-1] == 0xC2)
+    c2 = c2[~np.isin(data[c2 + 1], (0xAA, 0xB5, 0xBA))]
+    data[c2], data[c2 + 1] = 32, 32
+    for first, second, lo, hi in ((0xE2, 0x80, 0x80, 0xBF), (0xE2, 0x81, 0x80, 0xAF), (0xE3, 0x80, 0x80, 0x83), (0xEF, 0xBC, 0x80, 0x8F)):
+        at = np.flatnonzero(data[:-2] == first)
+        at = at[(data[at + 1] == second) & (data[at + 2] >= lo) & (data[at + 2] <= hi)]
+        for i in range(3):
+            data[at + i] = 32
+    return data
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; a null is an empty text."""
     column = column.cast(pa.large_binary())

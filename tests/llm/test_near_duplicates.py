@@ -46,7 +46,7 @@ def test_groups_equal_brute_force_over_all_pairs_of_signatures(spark, sf):
 
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     sigs = signature_rows(pa.array([t for _, t in rows], pa.string()), 3, BANDS * ROWS, 11)
-    m = {d: np.frombuffer(s, np.uint32) for (d, _), s in zip(rows, sigs, strict=True) if s is not None}
+    m = {d: np.frombuffer(s, np.uint16) for (d, _), s in zip(rows, sigs, strict=True) if s is not None}
     ids = sorted(m)
     pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (same := m[a] == m[b]).mean() >= THRESHOLD and any(same[k : k + ROWS].all() for k in range(0, BANDS * ROWS, ROWS))]
     want = union_find(ids, pairs)
@@ -95,7 +95,7 @@ def test_recall_at_the_least_jaccard(spark):
 def test_hot_buckets_give_the_same_components(spark, similar):
     """Rows that all share two bands, some of them linked: with small limits every way through a hot bucket is taken."""
     rng = np.random.default_rng(similar)
-    m = rng.integers(0, 1 << 32, (120, BANDS * ROWS), dtype=np.uint32)
+    m = rng.integers(0, 1 << 16, (120, BANDS * ROWS), dtype=np.uint16)
     m[:, : 2 * ROWS] = m[0, : 2 * ROWS]
     m[:, 10:50] = rng.integers(0, 4, (120, 40))
     for i in range(similar):

@@ -120,3 +120,12 @@ def test_weights_take_frequencies_from_all_documents_and_all_words(spark):
     f, w = vector(index, "a b q")
     size = np.sqrt(idf["a"] ** 2 + idf["b"] ** 2 + (np.log(5 / 2) + 1) ** 2)
     assert dict(zip(f.tolist(), w.tolist(), strict=True)) == pytest.approx({feature["a"]: idf["a"] / size, feature["b"]: idf["b"] / size})
+
+
+def test_marks_beyond_ascii_end_words():
+    def words(text):
+        return sorted(w for _, _, _, word, _ in toxicity.bags(pa.array([text])) for w in word.tolist())
+
+    for text in ("a\u00a0b", "\u00aba\u00bb b", "a\u2014b", "a\u3002b", "a\uff0cb", "a\u2019b\u2026"):
+        assert words(text) == words("a b"), text
+    assert words("\u00aa\u00b5") != words("") and words("\u00e9") != words("e") and words("") == []
