@@ -105,7 +105,7 @@ def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = np.sort(x)
-    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])[: len(x)])
     return x[first], np.diff(np.append(first, len(x)))
 
 
@@ -120,11 +120,9 @@ def count_grams(docs: DataFrame, parts: int, order: int = ORDER) -> DataFrame:
                 x = packed(data, offsets[lo : hi + 1], order)
                 if len(x):
                     held.append(distinct(x))
-                if sum(len(k) for k, _ in held) > 6_000_000:
-                    held[:] = [merged(held)]
-                    if len(held[0][0]) > 3_000_000:
-                        yield from dealt(*merged(held), parts)
-                        held.clear()
+                if sum(len(k) for k, _ in held) > 12_000_000:
+                    yield from dealt(*merged(held), parts)
+                    held.clear()
         if held:
             yield from dealt(*merged(held), parts)
 
@@ -140,27 +138,29 @@ def count_grams(docs: DataFrame, parts: int, order: int = ORDER) -> DataFrame:
 
 def dealt(keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     """Sorted sequences and their counts as a row for each part."""
-    p = part_of(keys, parts)
+    p = part_of(keys, parts).astype(np.uint16)
     by = np.argsort(p, kind="stable")
     p, keys, counts = p[by], keys[by], counts[by]
-    first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(p)], strict=True):
+    first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])[: len(p)])
+    for a, b in zip(first.tolist(), np.append(first, len(p))[1:].tolist(), strict=True):
         yield pa.RecordBatch.from_arrays([pa.array([p[a]], pa.int32()), pa.array([b - a], pa.int32()), pa.array([squeeze(keys[a:b], True)], pa.binary()), pa.array([squeeze(counts[a:b])], pa.binary())], ["p", "n", "keys", "c"])
 
 
 # -- seating --
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """log Gamma of positive numbers."""
-    shift = np.zeros_like(x)
-    y = x.copy()
-    for _ in range(8):
-        low = y < 8
-        if not low.any():
-            break
-        shift[low] += np.log(y[low])
-        y[low] += 1
+    y = np.asarray(x, float)
+    low = np.flatnonzero(y < 8)
+    if len(low):
+        y = y.copy()
+        z = y[low]
+        shift = np.log(z * (z + 1) * (z + 2) * (z + 3) * (z + 4) * (z + 5) * (z + 6) * (z + 7))
+        y[low] += 8
     z = 1 / (y * y)
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - shift
+    out = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y
+    if len(low):
+        out[low] -= shift
+    return out
 
 
 def stirling(d: float, size: int = TABLE) -> np.ndarray:
@@ -196,34 +196,39 @@ class Seats:
             if abs(x - round(x)) > 1e-9:
                 # 1 / Gamma(-x) by reflection
                 sign = -1.0 if sin(pi * x) > 0 else 1.0
-                self.terms.append((j, x, sign * (-1) ** j, lgamma(1 + x) + log(abs(sin(pi * x)) / pi) - lgamma(j + 1)))
+                self.terms.append((j, x, sign * (-1) ** j, lgamma(1 + x) + log(abs(sin(pi * x)) / pi)))
+
+    def prepared(self, c: np.ndarray) -> tuple:
+        """What log S(c, .) needs of dishes of more than TABLE customers: their places and numbers, log c!, and the series' terms but for t."""
+        big = np.flatnonzero(c > TABLE)
+        C = c[big].astype(float)
+        whole = log_gamma(C + 1)
+        return big, C, whole, [sign * np.exp(log_gamma(C - x) - whole + fixed) for _, x, sign, fixed in self.terms] if len(big) else []
 
-    def log_s(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    def log_s(self, c: np.ndarray, t: np.ndarray, ready: tuple | None = None) -> np.ndarray:
         """log S(c, t), 1 <= t <= c."""
-        out = np.empty(len(c))
-        small = c <= TABLE
-        out[small] = self.table[c[small], t[small]]
-        big = np.flatnonzero(~small)
-        if len(big):
-            C, T = C0, T0 = c[big].astype(float), t[big].astype(float)
-            ahead = log_gamma(C + 1) - log_gamma(T + 1) - T * np.log(self.d)
-            x = np.log(T / C)
-            # As in Stirling's own formula a twelfth is over for each customer that opened no table.
-            coefficient = T * np.interp(x, self.share, self.exponent) - 0.5 * (np.log(2 * pi * T) + np.interp(x, self.share, self.spread)) - 1 / (12 * np.maximum(C - T, 1))
-            few = np.flatnonzero(T * C**-self.d <= 4)
-            if len(few):
-                C, T = C[few], T[few]
-                total, size, top = np.zeros(len(few)), np.zeros(len(few)), log_gamma(T + 1) - log_gamma(C + 1)
-                for j, x, sign, fixed in self.terms:
-                    have = T >= j
-                    term = np.exp(top[have] - log_gamma(T[have] - j + 1) + log_gamma(C[have] - x) + fixed)
-                    total[have] += sign * term
-                    size[have] += term
-                    last = np.zeros(len(few))
-                    last[have] = term
-                sure = (total > 1e-7 * size) & (last < 1e-3 * total)
-                coefficient[few[sure]] = np.log(total[sure])
-            out[big] = np.where(C0 == T0, 0.0, ahead + coefficient)
+        big, C, whole, series = ready or self.prepared(c)
+        out = self.table[np.minimum(c, TABLE), np.minimum(t, TABLE)]
+        if not len(big):
+            return out
+        T = t[big].astype(float)
+        x = np.log(T / C)
+        # As in Stirling's own formula a twelfth is over for each customer that opened no table.
+        coefficient = T * np.interp(x, self.share, self.exponent) - 0.5 * (np.log(2 * pi * T) + np.interp(x, self.share, self.spread)) - 1 / (12 * np.maximum(C - T, 1))
+        few = np.flatnonzero(T * C**-self.d <= 4)
+        if len(few):
+            t_few, choose, j = T[few], np.ones(len(few)), 0
+            total, size, last = np.zeros(len(few)), np.zeros(len(few)), np.zeros(len(few))
+            for (to, *_), w in zip(self.terms, series, strict=True):
+                while j < to:
+                    choose, j = choose * np.maximum(t_few - j, 0) / (j + 1), j + 1
+                term = w[few] * choose
+                last = np.abs(term)
+                total += term
+                size += last
+            sure = (total > 1e-7 * size) & (last < 1e-3 * total)
+            coefficient[few[sure]] = np.log(total[sure])
+        out[big] = np.where(C == T, 0.0, whole - log_gamma(T + 1) - T * log(self.d) + coefficient)
         return out
 
     def draw(self, c: np.ndarray, t: np.ndarray, others: np.ndarray, base: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -242,14 +247,15 @@ class Seats:
         i = np.flatnonzero(c > EXACT)
         if len(i):
             C, now, a, lean = c[i], np.clip(t[i], 1, c[i]), a[i], lean[i]
-            level = self.log_s(C, now) + now * lean + log_gamma(a + now)
+            ready = self.prepared(C)
+            level = self.log_s(C, now, ready) + now * lean + log_gamma(a + now)
             for s in range(STEPS):
                 step = rng.geometric(1 / (1 + np.sqrt(C**self.d) / (1 + s % 3))) * rng.choice([-1, 1], len(i))
                 to = now + step
-                fits = np.flatnonzero((to >= 1) & (to <= C))
-                new = np.full(len(i), -np.inf)
-                new[fits] = self.log_s(C[fits], to[fits]) + to[fits] * lean[fits] + log_gamma(a[fits] + to[fits])
-                go = np.log(rng.random(len(i))) < new - level
+                fits = (to >= 1) & (to <= C)
+                to = np.where(fits, to, now)
+                new = self.log_s(C, to, ready) + to * lean + log_gamma(a + to)
+                go = fits & (np.log(rng.random(len(i))) < new - level)
                 now, level = np.where(go, to, now), np.where(go, new, level)
             out[i] = now
         return out
@@ -259,7 +265,10 @@ class Seats:
         t = np.clip(t, 1, c)
         size = np.diff(np.append(first, len(c)))
         half = rng.random(len(c)) < 0.5
-        for some in (np.flatnonzero(half), np.flatnonzero(~half)):
+        # A dish of one customer has one table.
+        for some in (np.flatnonzero(half & (c > 1)), np.flatnonzero(~half & (c > 1))):
+            if not len(some):
+                continue
             others = np.repeat(np.add.reduceat(t, first), size)[some] - t[some]
             t[some] = self.draw(c[some], t[some], others, base[some], rng)
         return t
@@ -478,7 +487,7 @@ class Lookup:
 
 
 def score(docs: DataFrame, model: DataFrame, low: np.ndarray, order: int = ORDER, parts: int | None = None) -> DataFrame:
-    """(doc_id, n_bytes, log_prob, perplexity) of every row; the last two null for null and empty texts.
+    """(doc_id, n_bytes, log_prob, perplexity) of every row, order at most 7; the last two null for null and empty texts.
 
     parts must be what ``fit`` had, if it was given. Null and repeated doc_ids
     are scored like others; other columns are not read. An empty table gives no
@@ -493,22 +502,19 @@ def score(docs: DataFrame, model: DataFrame, low: np.ndarray, order: int = ORDER
     grouped = rows.withColumn("g", group_of(groups)).repartition(groups, "g")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             gs = batch.column(0).to_numpy()
             for g in np.unique(gs).tolist():
                 mine = held.setdefault(g, [])
                 data, offsets = buffers(batch.column(1).filter(pa.array(gs == g)))
                 for lo, hi in pieces(offsets, 1 << 22):
-                    x = packed(data, offsets[lo : hi + 1], order)
-                    if len(x):
-                        mine.append(distinct(x))
+                    mine.append(distinct(packed(data, offsets[lo : hi + 1], order))[0])
                 if len(mine) > 8:
-                    mine[:] = [merged(mine)]
+                    mine[:] = [distinct(np.concatenate(mine))[0]]
         for g, mine in held.items():
-            if not mine:
-                continue
-            for b in dealt(*merged(mine), parts):
+            keys = distinct(np.concatenate(mine))[0]
+            for b in dealt(keys, np.zeros(len(keys), np.int8), parts):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g], pa.int64()), pa.array([None], pa.int32()), b.column(1), b.column(2), *[pa.array([None], pa.binary())] * 2], names=["p", "g", "level", "n", "keys", "prob", "back"])
 
     wire = "p int, g long, level int, n int, keys binary, prob binary, back binary"
@@ -537,17 +543,21 @@ def score(docs: DataFrame, model: DataFrame, low: np.ndarray, order: int = ORDER
         data, offsets = buffers(column)
         held, total = [], np.zeros(len(ids))
         for lo, hi in pieces(offsets, 1 << 21):
-            keys, at = np.unique(packed(data, offsets[lo : hi + 1], order), return_inverse=True)
-            held.append((lo, hi, keys, at.astype(np.int32)))
+            for at in range(lo, hi, 256):
+                to = min(hi, at + 256)
+                # Sequence and row in one number: one sort puts equal sequences together and keeps whose they are.
+                row = np.repeat(np.arange(to - at, dtype=np.uint8), np.diff(offsets[at : to + 1]))
+                x = np.sort(packed(data, offsets[at : to + 1], order) << U(8) | row)
+                held.append((at, to, x))
+        first = [np.flatnonzero(np.concatenate([[True], x[1:] >> U(8) != x[:-1] >> U(8)])[: len(x)]) for _, _, x in held]
         if found.num_rows:
-            keys = np.unique(np.concatenate([k for _, _, k, _ in held]))
+            keys = distinct(np.concatenate([x[f] >> U(8) for (_, _, x), f in zip(held, first, strict=True)]))[0]
             log_p = np.empty(len(keys))
             answers = sorted(zip(*(found.column(c).to_pylist() for c in ("p", "n", "prob")), strict=True))
-            log_p[np.argsort(part_of(keys, parts), kind="stable")] = np.log(np.concatenate([expand(b, n, np.float32) for _, n, b in answers]).astype(float))
-            for lo, hi, some, at in held:
-                sums = np.concatenate([[0.0], np.cumsum(log_p[np.searchsorted(keys, some)][at])])
-                place = offsets[lo : hi + 1] - offsets[lo]
-                total[lo:hi] = sums[place[1:]] - sums[place[:-1]]
+            log_p[np.argsort(part_of(keys, parts).astype(np.uint16), kind="stable")] = np.log(np.concatenate([expand(b, n, np.float32) for _, n, b in answers]).astype(float))
+            for (at, to, x), f in zip(held, first, strict=True):
+                each = np.repeat(log_p[np.searchsorted(keys, x[f] >> U(8))], np.diff(np.append(f, len(x))))
+                total[at:to] = np.bincount((x & U(255)).astype(np.uint8), each, to - at)
         size = np.diff(offsets)
         none = size == 0
         return pa.table([ids, pa.array(size, pa.int64()), pa.array(total, mask=none), pa.array(np.exp(-total / np.maximum(size, 1)), mask=none)], ["doc_id", "n_bytes", "log_prob", "perplexity"])
