@@ -41,7 +41,7 @@ def cmd_scan(a: argparse.Namespace) -> int:
     loaded = load_dir(a.rules)
     rules = pick(loaded.rules, a.rule, a.min_severity, a.exclude)
     findings = scan.scan(files, rules, strict=a.strict).cache()
-    results = scan.file_results(files, findings, len(rules)).cache()
+    results = scan.file_results(files, findings, rules).cache()
     target = a.output or f"report.{a.format}"
     if a.format == "json":
         reports.write_json(results, findings, target)
@@ -85,24 +85,35 @@ def _graph(a: argparse.Namespace) -> tuple[callgraph.Graph, DataFrame]:
 def cmd_graph(a: argparse.Namespace) -> int:
     g, reached = _graph(a)
     make = {"dot": exports.dot, "json": exports.graph_json, "graphml": exports.graphml, "cytoscape": exports.cytoscape}[a.format]
-    o = exports.Options(include_external=not a.internal, only_reachable=a.reachable, parameters=a.parameters, clustering=a.clusters)
+    o = exports.Options(include_external=not a.internal, only_reachable=a.reachable, include_unresolved=a.unresolved, layout=a.layout, parameters=a.parameters, clustering=a.clusters)
     _out("\n".join(r["document"] for r in make(g, reached, o).orderBy("path").toLocalIterator()), a.output)
     return 0
 
 
 def cmd_analyze(a: argparse.Namespace) -> int:
     g, reached = _graph(a)
-    rows = lambda df: [json.loads(x) for x in df.toJSON().collect()]
-    out = {"statistics": rows(analytics.statistics(g, reached))}
+    parts = {"statistics": analytics.statistics(g, reached)}
     if a.cycles:
-        out["cycles"] = rows(analytics.cycles(g.symbols, g.edges))
+        parts["cycles"] = analytics.cycles(g.symbols, g.edges)
     if a.dead_code:
-        out["dead_code"] = rows(analytics.dead_code(g.symbols, reached))
+        parts["dead_code"] = analytics.dead_code(g.symbols, reached)
     if a.critical:
-        out["critical"] = rows(analytics.critical(g.symbols, g.edges, a.critical))
+        parts["critical"] = analytics.critical(g.symbols, g.edges, a.critical)
     if a.impact:
-        out["impact"] = rows(analytics.impact(g.symbols, g.edges).filter(F.col("name") == a.impact))
-    _out(json.dumps(out, indent=1) + "\n", a.output)
+        parts["impact"] = analytics.impact(g.symbols, g.edges).filter(F.col("name") == a.impact)
+    f = Path(a.output).open("w", encoding="utf-8") if a.output else sys.stdout
+    try:
+        # Row by row: no list of all files' rows is ever held.
+        for i, (name, df) in enumerate(parts.items()):
+            f.write((",\n" if i else "{") + json.dumps(name) + ": [")
+            rows = df.select(F.to_json(F.struct("*")).alias("d"))
+            for j, r in enumerate(rows.toLocalIterator()):
+                f.write((",\n " if j else "\n ") + r["d"])
+            f.write("]")
+        f.write("}\n")
+    finally:
+        if a.output:
+            f.close()
     return 0
 
 
@@ -144,7 +155,8 @@ def parser() -> argparse.ArgumentParser:
     c = add("graph", cmd_graph)
     c.add_argument("--format", choices=["dot", "json", "graphml", "cytoscape"], default="dot")
     c.add_argument("--entry", action="append")
-    for flag in ("--internal", "--reachable", "--parameters", "--clusters"):
+    c.add_argument("--layout", choices=list(exports.LAYOUTS), default="hierarchical")
+    for flag in ("--internal", "--reachable", "--unresolved", "--parameters", "--clusters"):
         c.add_argument(flag, action="store_true")
     c = add("analyze", cmd_analyze)
     c.add_argument("--entry", action="append")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,7 +23,6 @@ from codeloom.functions.text import complexity_bucket
 from codeloom.operators.callgraph import Graph
 from codeloom.runtime import keep, release
 
-MAX_ROUNDS = 100
 KEY = ["path"]
 
 
@@ -80,14 +80,14 @@ def default_entries(symbols: DataFrame, edges: DataFrame, entry_points: DataFram
     return have.union(bare)
 
 
-def reach(symbols: DataFrame, edges: DataFrame, entries: DataFrame, max_rounds: int = MAX_ROUNDS, strict: bool = False) -> DataFrame:
+def reach(symbols: DataFrame, edges: DataFrame, entries: DataFrame, max_rounds: int | None = None, strict: bool = False) -> DataFrame:
     """(path, entry, name, dist): what each entry reaches over internal edges, and by how few calls.
 
     entries: (path, entry); those that are no symbol are skipped. In a graph
     without internal edges nothing is reachable, not even an entry (strict mode:
     the entries are). Every round joins the frontier alone, and what it has seen
     is written once a round, so lineage stays flat; the loop ends with an empty
-    frontier or after ``max_rounds``.
+    frontier. ``max_rounds`` leaves out what is farther away than that.
     """
     e = keep(internal(symbols, edges).select("path", "caller", "callee").distinct())
     names = symbols.select("path", F.col("qualified_name").alias("entry")).distinct()
@@ -96,7 +96,9 @@ def reach(symbols: DataFrame, edges: DataFrame, entries: DataFrame, max_rounds:
         start = start.join(e.select("path").distinct(), "path", "left_semi")
     frontier = keep(start.select("path", "entry", F.col("entry").alias("name"), F.lit(0).alias("dist")))
     rounds = [frontier]
-    for dist in range(1, max_rounds + 1):
+    dist = 0
+    while max_rounds is None or dist < max_rounds:
+        dist += 1
         step = rounds[-1].join(e, (rounds[-1]["path"] == e["path"]) & (rounds[-1]["name"] == e["caller"])).select(rounds[-1]["path"], "entry", F.col("callee").alias("name")).distinct()
         seen = rounds[0]
         for r in rounds[1:]:
@@ -205,21 +207,16 @@ class Adjacency:
                 stack.extend([*p, y] for y in reversed(self.next.get(p[-1], ())) if y not in p)
         return out
 
-    def chains(self, a: str, longest: int) -> list[list[str]]:
-        """Simple call chains from a, shorter first."""
-        if not self.next:
-            return []
-        out, level = [], [[a]]
-        seen = set()
-        for _ in range(longest + 1):
-            for p in level:
-                if tuple(p) not in seen:
-                    seen.add(tuple(p))
-                    out.append(p)
-            level = [[*p, y] for p in level for y in dict.fromkeys(self.next.get(p[-1], ())) if y not in p]
-            if not level:
-                break
-        return out
+    def chains(self, a: str, limit: int) -> tuple[list[list[str]], bool]:
+        """The first ``limit`` simple call chains from a, shorter first, and whether there are more: their number can be exponential."""
+        out: list[list[str]] = []
+        queue = deque([[a]] if self.next else [])
+        while queue and len(out) < limit:
+            p = queue.popleft()
+            out.append(p)
+            # What would come after the limit is not even queued.
+            queue.extend(islice(([*p, y] for y in dict.fromkeys(self.next.get(p[-1], ())) if y not in p), limit + 1 - len(out) - len(queue)))
+        return out, bool(queue)
 
     def cycles(self) -> list[list[str]]:
         """A cycle for each edge that leads back into the path a depth-first walk stands on; loops of one function are left out."""
@@ -362,9 +359,23 @@ def all_paths(symbols: DataFrame, edges: DataFrame, a: str, b: str, limit: int =
     return per_graph(symbols, edges, lambda g: [(i, p) for i, p in enumerate(g.paths(a, b, limit))], "number int, nodes array<string>")
 
 
-def call_chains(symbols: DataFrame, edges: DataFrame, entries: list[str], longest: int = MAX_ROUNDS) -> DataFrame:
-    """Simple chains from the entries; walks that revisit functions are never listed."""
-    return per_graph(symbols, edges, lambda g: [(x, i, c) for x in entries if x in g.names for i, c in enumerate(g.chains(x, longest))], "entry string, number int, chain array<string>")
+def call_chains(symbols: DataFrame, edges: DataFrame, entries: list[str], limit: int) -> DataFrame:
+    """Simple chains from the entries, the first ``limit`` of each; ``more`` tells whether others follow.
+
+    Walks that revisit functions are never listed, yet a graph of n functions
+    can have about e * (n - 1)! simple chains; ``reach_tree`` holds the edges of
+    all of them in a table no larger than the graph.
+    """
+
+    def run(g: Adjacency) -> list[tuple]:
+        out = []
+        for x in entries:
+            if x in g.names:
+                chains, more = g.chains(x, limit)
+                out += [(x, i, c, more) for i, c in enumerate(chains)]
+        return out
+
+    return per_graph(symbols, edges, run, "entry string, number int, chain array<string>, more boolean")
 
 
 def centrality(symbols: DataFrame, edges: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def graph(files: DataFrame, strict: bool = False, materialise: bool = True) -> G
     stands = F.coalesce(F.element_at("scope.aliases", c["fn"]), F.when(F.array_contains("scope.names", c["fn"]), c["fn"]))
     edges = resolved.filter("c.caller IS NOT NULL").select(
         "path", c["id"].alias("ord"), c["caller"].alias("caller"), "callee", call_kind(c["fn"], c["qn"], c["caller"], F.col("callee"), stands).alias("call_type"),
-        (c["sl"] + 1).alias("line"), (c["sc"] + 1).alias("column"), c["text"].alias("call_expression"), F.lit(False).alias("is_conditional"),
+        (c["sl"] + 1).alias("line"), (c["sc"] + 1).alias("column"), c["text"].alias("call_expression"), (c["conditional"] if strict else F.lit(False)).alias("is_conditional"),
         call_confidence(F.col("internal"), F.col("callee")).alias("confidence"), "internal",
     )
     called = resolved.filter("internal AND (c.top_level OR c.main_block)").select("path", F.col("callee").alias("name"))

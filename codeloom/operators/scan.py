@@ -11,7 +11,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.catalog import SEVERITIES
@@ -24,8 +26,13 @@ CANDIDATES = {"call": ("call",), "assignment": ("assignment", "augmented_assignm
 
 
 def java_regex(pattern: str) -> str:
-    """A Python pattern as Java reads it: named groups, text ends, and brackets inside character classes."""
-    out, i, inside = [], 0, False
+    """A Python pattern as Java reads it: named groups, text ends, brackets inside character classes, Unicode classes, and the newline as the only line end."""
+    unicode = True
+    if m := re.match(r"\(\?([aiLmsux]+)\)", pattern):
+        unicode = "a" not in m.group(1)
+        rest = "".join(c for c in m.group(1) if c in "imsx")
+        pattern = (f"(?{rest})" if rest else "") + pattern[m.end() :]
+    out, i, inside = ["(?dU)" if unicode else "(?d)"], 0, False
     while i < len(pattern):
         c = pattern[i]
         if c == "\\" and i + 1 < len(pattern):
@@ -60,6 +67,26 @@ def java_regex(pattern: str) -> str:
     return "".join(out)
 
 
+def regexes(rule: Rule) -> list[str]:
+    return [x for p in rule.patterns for x in (p.regex, *(a.regex for a in (p.callee.args if p.callee else ()))) if x]
+
+
+def rule_errors(spark: SparkSession, rules: Iterable[Rule]) -> dict[str, str]:
+    """rule_id -> what is wrong, of rules with a pattern that Python or the executors' Java can't compile: these are not applied, the others are."""
+    out: dict[str, str] = {}
+    for r in rules:
+        for pattern in regexes(r):
+            try:
+                re.compile(pattern)
+                spark._jvm.java.util.regex.Pattern.compile(java_regex(pattern))
+            except (re.error, RecursionError) as e:
+                out.setdefault(r.id, f"Error applying rule {r.id}: {e}")
+            except (Py4JJavaError, IllegalArgumentException) as e:
+                why = str(e.java_exception.getMessage() if isinstance(e, Py4JJavaError) else e).splitlines()[0]
+                out.setdefault(r.id, f"Error applying rule {r.id}: not a pattern of Java's: {why}")
+    return out
+
+
 def argument_holds(kw: Column, a: Argument) -> Column:
     """Whether a call's keyword arguments pass a test: presence first, then the first of equals, contains and regex decides."""
     if not a.name:
@@ -85,9 +112,9 @@ def argument_holds(kw: Column, a: Argument) -> Column:
     return present & there & F.coalesce(test, F.lit(False))
 
 
-def pattern_holds(p: Pattern) -> Column:
-    """A pattern as a condition on a node row: type, text, fn, qn, kw, names."""
-    kind, text, fn, qn = F.col("type"), F.col("text"), F.col("fn"), F.col("qn")
+def pattern_holds(p: Pattern, node: Column | None = None) -> Column:
+    """A pattern as a condition on a node's columns type, text, fn, qn, kw, names, or on a struct of these."""
+    kind, text, fn, qn, kw, names = (F.col(c) if node is None else node[c] for c in ("type", "text", "fn", "qn", "kw", "names"))
     no = F.lit(False)
     if p.kind == "call":
         c = p.callee
@@ -102,7 +129,7 @@ def pattern_holds(p: Pattern) -> Column:
             tests.append(qn.isin(*c.any_of) | fn.isin(*c.any_of))
         if c.module:
             tests.append(qn.startswith(c.module + "."))
-        tests += [argument_holds(F.col("kw"), a) for a in c.args]
+        tests += [argument_holds(kw, a) for a in c.args]
         out = tests[0]
         for t in tests[1:]:
             out = out & t
@@ -110,7 +137,7 @@ def pattern_holds(p: Pattern) -> Column:
     if p.kind == "assignment":
         return kind.isin(*CANDIDATES["assignment"]) & text.contains(p.name) if p.name else no
     if p.kind == "import":
-        return kind.isin(*IMPORTS) & F.array_contains("names", p.name) if p.name else no
+        return kind.isin(*IMPORTS) & F.array_contains(names, p.name) if p.name else no
     if p.kind == "string_literal":
         if p.name:
             return (kind == "string") & unquoted(text).contains(p.name)
@@ -136,10 +163,13 @@ def scan(files: DataFrame, rules: list[Rule], ids: Iterable[str] | None = None,
     Columns: path, rule_id, title, severity, sev_rank, message, pattern, the
     1-based place, the byte span, code_snippet, confidence, remediation,
     node_type, node_text (100 characters) and rule_tags. Files without a tree
-    give none; see ``scan_errors``.
+    give none; see ``scan_errors``. Rules that can't be applied are left out;
+    see ``rule_errors``.
     """
-    active = pick(rules, ids, min_severity, exclude)
     spark = files.sparkSession
+    active = pick(rules, ids, min_severity, exclude)
+    bad = rule_errors(spark, active)
+    active = [r for r in active if r.id not in bad]
     pairs = [(i, j, p) for i, r in enumerate(active) for j, p in enumerate(r.patterns)]
     nodes = _candidates(files, [p for _, _, p in pairs] or [Pattern("call")])
     if strict:
@@ -166,10 +196,28 @@ def scan_errors(files: DataFrame) -> DataFrame:
     return facts(files, ["errors"]).select("path", F.explode("errors").alias("e")).select("path", "e.*")
 
 
-def file_results(files: DataFrame, findings: DataFrame, n_rules: int) -> DataFrame:
-    """A row for each file: its findings by severity and in all, how many rules were applied, and its errors."""
+def file_results(files: DataFrame, findings: DataFrame, rules: int | list[Rule]) -> DataFrame:
+    """A row for each file: its findings by severity and in all, how many rules were applied, and its errors, those of rules that can't be applied among them."""
+    bad = [] if isinstance(rules, int) else list(rule_errors(files.sparkSession, rules).values())
+    n_rules = rules if isinstance(rules, int) else len(rules)
     counts = findings.groupBy("path").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES], F.count("*").alias("finding_count"))
     errors = facts(files, ["errors"])
     zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("finding_count", *SEVERITIES)]
     applied = F.when(F.size("errors") > 0, 0).otherwise(n_rules).alias("rules_applied")
-    return errors.join(counts, "path", "left").select("path", *zero, applied, F.col("errors.message").alias("errors"))
+    return errors.join(counts, "path", "left").select("path", *zero, applied, F.when(F.size("errors") > 0, F.col("errors.message")).otherwise(F.array(*[F.lit(b) for b in bad]).cast("array<string>")).alias("errors"))
+
+
+def scan_totals(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """What ``file_results`` gives, for those who want no findings: each file is parsed once and its findings counted in its own row, so nothing is shuffled."""
+    bad = rule_errors(files.sparkSession, rules)
+    active = [r for r in rules if r.id not in bad]
+    patterns = [p for r in active for p in r.patterns] or [Pattern("call")]
+    types = None if any(p.kind == "regex" for p in patterns) else {t for p in patterns for t in CANDIDATES[p.kind]}
+    made = facts(files, ["nodes", "errors"], kinds=types, want=("text",))
+    hits = lambda n, s: sum((F.coalesce(pattern_holds(p, n), F.lit(False)).cast("int") for r in active if r.severity == s for p in r.patterns), F.lit(0))
+    per = F.aggregate("nodes", F.array(*[F.lit(0)] * len(SEVERITIES)), lambda a, n: F.zip_with(a, F.array(*[hits(n, s) for s in SEVERITIES]), lambda x, y: x + y))
+    counted = made.select("path", per.alias("__n"), F.col("errors.message").alias("errors"))
+    by = [F.coalesce(F.col("__n")[i], F.lit(0)).cast("long").alias(s) for i, s in enumerate(SEVERITIES)]
+    applied = F.when(F.size("errors") > 0, 0).otherwise(len(rules)).alias("rules_applied")
+    out = counted.select("path", *by, applied, F.when(F.size("errors") > 0, F.col("errors")).otherwise(F.array(*[F.lit(b) for b in bad.values()]).cast("array<string>")).alias("errors"))
+    return out.select("path", sum((F.col(s) for s in SEVERITIES), F.lit(0)).cast("long").alias("finding_count"), *SEVERITIES, "rules_applied", "errors")

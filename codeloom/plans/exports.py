@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from codeloom.operators.analytics import reachable
 from codeloom.operators.callgraph import Graph
 
-XML = "<?xml " + 'version="1.0" ' + 'encoding="UTF-8"?>'
-SPACE = "http://graphml." + "graphdrawing.org/xmlns"
+XML = '<?xml version="1.0" encoding="UTF-8"?>'
+SPACE = "http://graphml.graphdrawing.org/xmlns"
 LAYOUTS = {"hierarchical": "rankdir=TB;", "force": "layout=fdp;", "circular": "layout=circo;", "tree": "layout=dot;"}
 STYLE = [
     {"selector": "node", "style": {"label": "data(name)", "color": "white", "background-color": "#666", "font-size": "10px", "text-halign": "center", "text-valign": "center", "height": "mapData(complexity, 1, 20, 20, 60)", "width": "mapData(complexity, 1, 20, 20, 60)"}},
@@ -155,7 +155,7 @@ def graphml(g: Graph, reached: DataFrame, o: Options = Options()) -> DataFrame:
     edge = F.concat(F.lit('<edge id="e'), F.col("i"), F.lit('" source="'), _xml(F.col("caller")), F.lit('" target="'), _xml(F.col("callee")), F.lit('">'), data(call_type=F.col("call_type"), confidence=F.col("confidence"), conditional=yes("is_conditional")), F.lit("</edge>\n"))
     keys = [("node", k, t) for k, t in (("name", "string"), ("type", "string"), ("complexity", "int"), ("reachable", "boolean"), ("entry_point", "boolean"))]
     keys += [("edge", k, t) for k, t in (("call_type", "string"), ("confidence", "double"), ("conditional", "boolean"))]
-    head = XML + "\n" + f'<graphml xmlns="{SPACE}">\n'
+    head = XML + "\n" + f'<graphml xmlns="{SPACE}" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:schemaLocation="{SPACE} {SPACE}/1.0/graphml.xsd">\n'
     head += "".join(f'<key for="{w}" id="{k}" attr.type="{t}" attr.name="{k}"/>\n' for w, k, t in keys) + '<graph edgedefault="directed" id="CallGraph">\n'
     return _together(g.scopes.select("path"), [_lines(n, 0, node), _lines(e, 1, edge)], head, {}, "</graph>\n</graphml>\n")
 
@@ -167,4 +167,5 @@ def cytoscape(g: Graph, reached: DataFrame, o: Options = Options()) -> DataFrame
     rows = _lines(n, 0, F.to_json(node)).unionByName(_lines(_edges(g, n, False), 1, F.to_json(edge)))
     grouped = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("part", "ord", "line")))["line"].alias("x"))
     tail = '], "layout": ' + json.dumps({"directed": True, "name": "dagre", "spacingFactor": 1.5}) + ', "style": ' + json.dumps(STYLE) + "}"
-    return g.scopes.select("path").join(grouped, "path", "left").select("path", F.concat(F.lit('{"elements": ['), F.coalesce(F.array_join("x", ",\n"), F.lit("")), F.lit(tail)).alias("document"))
+    metadata = F.to_json(F.struct(F.lit("codeloom").alias("tool"), F.col("path").alias("file_path")))
+    return g.scopes.select("path").join(grouped, "path", "left").select("path", F.concat(F.lit('{"metadata": '), metadata, F.lit(', "elements": ['), F.coalesce(F.array_join("x", ",\n"), F.lit("")), F.lit(tail)).alias("document"))

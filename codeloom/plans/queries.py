@@ -7,8 +7,6 @@ fold shows as a difference.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,26 +14,12 @@ from codeloom.functions import text as X
 from codeloom.functions.catalog import SEVERITIES
 from codeloom.operators import analytics, callgraph, extract, scan, taint
 from codeloom.plans import exports, reports
+from codeloom.plans.registry import QUERIES, SQL, query
 from codeloom.runtime import table
 from codeloom.sources import corpus
 from codeloom.sources.facts import explode_part, facts
 from codeloom.sources.rules import load_dir
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def note(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return note
-
-
 # What each statement of the made files is, by the kind of event.
 _LINES = f"""lines AS (
   SELECT user_id, user_id::VARCHAR AS path, event_type, row_number() OVER w + {corpus.HEADER_LINES} AS line, row_number() OVER w AS rn
@@ -99,11 +83,11 @@ def rule_filter_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_LINES}, {_RULED}, files AS (SELECT DISTINCT path FROM lines), per AS (SELECT path, count(rule_id) AS n, {_BY_SEVERITY} FROM files LEFT JOIN ruled USING (path) GROUP BY path)
 SELECT count(*) AS files_scanned, sum(n)::BIGINT AS total_findings, {", ".join(f"sum({s})::BIGINT AS {s}" for s in SEVERITIES)}, count(*) FILTER (n > 0) AS files_with_findings,
-count(*) FILTER (n = 0) AS clean_files, sum(high) > 0 AS has_high_severity, (8 * count(*))::BIGINT AS rules_applied FROM per""")
+count(*) FILTER (n = 0) AS clean_files, sum(high) > 0 AS has_high_severity, (9 * count(*))::BIGINT AS rules_applied FROM per""")
 def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = corpus.event_files(spark, sf_dir)
     rules = load_dir().rules
-    return reports.totals(scan.file_results(files, scan.scan(files, rules), len(rules)))
+    return reports.totals(scan.scan_totals(files, rules))
 
 
 _TARGETS = "CASE event_type WHEN 'error' THEN 'input' WHEN 'purchase' THEN 'os.system' WHEN 'signup' THEN 'hashlib.md5' WHEN 'view' THEN 'subprocess.run' END"
@@ -290,7 +274,7 @@ def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = corpus.event_files(spark, sf_dir)
     rules = load_dir().rules
     findings = scan.scan(files, rules)
-    return reports.file_documents(scan.file_results(files, findings, len(rules)), findings)
+    return reports.file_documents(scan.file_results(files, findings, rules), findings)
 
 
 @query()
@@ -301,11 +285,13 @@ def taint_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- graph analytics on an edge table --
 _TRADE = """nodes AS (SELECT n_name AS name FROM nation), edges AS (
   SELECT a.n_name AS caller, b.n_name AS callee FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON c_nationkey = b.n_nationkey WHERE a.n_name < b.n_name)"""
+  JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON c_nationkey = b.n_nationkey)"""
 
 
-@query(f"""WITH {_TRADE} SELECT name, (SELECT count(*) FROM edges WHERE callee = name) AS in_degree, (SELECT count(*) FROM edges WHERE caller = name) AS out_degree FROM nodes""")
+@query(f"""WITH {_TRADE}, i AS (SELECT callee AS name, count(*) AS n FROM edges GROUP BY ALL), o AS (SELECT caller AS name, count(*) AS n FROM edges GROUP BY ALL)
+SELECT name, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM nodes LEFT JOIN i USING (name) LEFT JOIN o USING (name)""")
 def trade_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge for every line item: a bag of edges among few names."""
     s, e = corpus.nation_graph(spark, sf_dir)
     return analytics.degrees(s, e).select("name", "in_degree", "out_degree")
 
@@ -317,51 +303,34 @@ def trade_roots_and_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kind(analytics.roots(s, e), "root").union(kind(analytics.leaves(s, e), "leaf"))
 
 
-_SPARSE = _TRADE.replace("edges AS (", "every AS (") + ", ranked AS (SELECT caller, callee, count(*) AS n, row_number() OVER (PARTITION BY caller ORDER BY count(*) DESC, callee) AS r FROM every GROUP BY caller, callee), edges AS (SELECT caller, callee FROM ranked WHERE r <= 2)"
-
+_ROOTS = """roots AS (SELECT path, name AS entry FROM symbols s WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.path = s.path AND e.callee = s.name) AND path IN (SELECT path FROM edges))"""
 
-def _sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The two strongest trades of each nation."""
-    from pyspark.sql import Window
-
-    s, e = corpus.nation_graph(spark, sf_dir)
-    n = e.groupBy("path", "caller", "callee").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
-    w = Window.partitionBy("path", "caller").orderBy(F.desc("n"), "callee")
-    return s, n.withColumn("r", F.row_number().over(w)).filter("r <= 2").drop("r", "n")
 
-
-@query(f"""WITH RECURSIVE {_SPARSE}, roots AS (SELECT name FROM nodes WHERE name NOT IN (SELECT callee FROM edges)),
-walk AS (SELECT name AS entry, name, 0 AS dist FROM roots UNION SELECT entry, callee, dist + 1 FROM walk JOIN edges ON caller = name WHERE dist < 30)
-SELECT entry, name, min(dist) AS dist FROM walk GROUP BY ALL""")
-def trade_reach_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, e = _sparse(spark, sf_dir)
-    entries = analytics.roots(s, e).select("path", F.col("name").alias("entry"))
-    return analytics.reach(s, e, entries).select("entry", "name", "dist")
-
-
-@query(f"""WITH RECURSIVE {_SPARSE}, r AS (SELECT 'BRAZIL' AS name UNION SELECT callee FROM r JOIN edges ON caller = name) SELECT name FROM nodes WHERE name NOT IN (SELECT name FROM r)""")
-def trade_dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, e = _sparse(spark, sf_dir)
-    entries = spark.createDataFrame([("trade", "BRAZIL")], "path string, entry string")
-    return analytics.dead_code(s, analytics.reach(s, e, entries)).select("name")
+@query(f"""WITH RECURSIVE {_CALLS}, {_ROOTS}, walk AS (SELECT path, entry, entry AS name, 0 AS dist FROM roots UNION SELECT w.path, w.entry, e.callee, w.dist + 1 FROM walk w JOIN edges e ON e.path = w.path AND e.caller = w.name WHERE w.dist < 8)
+SELECT path, entry, name, min(dist) AS dist FROM walk GROUP BY ALL""")
+def session_reach_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every function that nothing calls; a session has six kinds of events at most, so no way is longer than eight."""
+    g = _graph(spark, sf_dir)
+    entries = analytics.roots(g.symbols, g.edges).select("path", F.col("name").alias("entry"))
+    return analytics.reach(g.symbols, g.edges, entries).select("path", "entry", "name", "dist")
 
 
-@query(f"""WITH {_SPARSE}, lone AS (SELECT caller FROM edges GROUP BY caller HAVING count(*) = 1)
-SELECT name, (SELECT coalesce(string_agg(caller, ',' ORDER BY caller), '') FROM edges WHERE callee = name) AS direct_callers,
-(SELECT coalesce(string_agg(callee, ',' ORDER BY callee), '') FROM edges WHERE caller = name) AS dependencies,
-(SELECT coalesce(string_agg(caller, ',' ORDER BY caller), '') FROM edges WHERE callee = name AND caller IN (FROM lone)) AS potential_dead_code,
-(SELECT count(*) + count(*) FILTER (caller IN (FROM lone)) FROM edges WHERE callee = name) AS impact_score,
-(SELECT count(*) > 3 OR count(*) FILTER (caller IN (FROM lone)) > 0 FROM edges WHERE callee = name) AS is_critical FROM nodes""")
-def trade_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, e = _sparse(spark, sf_dir)
-    i = analytics.impact(s, e)
-    return i.select("name", *[F.array_join(c, ",").alias(c) for c in ("direct_callers", "dependencies", "potential_dead_code")], F.col("impact_score").cast("long").alias("impact_score"), "is_critical")
+@query(f"""WITH RECURSIVE {_CALLS}, {_ROOTS}, r AS (SELECT path, entry AS name FROM roots UNION SELECT e.path, e.callee FROM r JOIN edges e ON e.path = r.path AND e.caller = r.name) SELECT path, name FROM symbols WHERE (path, name) NOT IN (SELECT (path, name) FROM r)""")
+def session_dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _graph(spark, sf_dir)
+    entries = analytics.roots(g.symbols, g.edges).select("path", F.col("name").alias("entry"))
+    return analytics.dead_code(g.symbols, analytics.reach(g.symbols, g.edges, entries))
 
 
-@query(f"WITH {_SPARSE} SELECT name, (SELECT count(*) FROM edges WHERE caller = name OR callee = name) AS total_degree FROM nodes ORDER BY total_degree DESC, name LIMIT 5")
-def trade_top_five(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, e = _sparse(spark, sf_dir)
-    return analytics.degrees(s, e).select("name", "total_degree").orderBy(F.desc("total_degree"), "name").limit(5)
+@query(f"""WITH {_CALLS}, lone AS (SELECT path, caller FROM edges GROUP BY ALL HAVING count(*) = 1), u AS (SELECT e.path, e.callee AS name, e.caller, l.caller IS NOT NULL AS alone FROM edges e LEFT JOIN lone l ON l.path = e.path AND l.caller = e.caller),
+up AS (SELECT path, name, string_agg(caller, ',' ORDER BY caller) AS direct_callers, coalesce(string_agg(caller, ',' ORDER BY caller) FILTER (alone), '') AS potential_dead_code, count(*) AS n, count(*) FILTER (alone) AS dead FROM u GROUP BY ALL),
+down AS (SELECT path, caller AS name, string_agg(callee, ',' ORDER BY callee) AS dependencies FROM edges GROUP BY ALL)
+SELECT path, name, coalesce(direct_callers, '') AS direct_callers, coalesce(dependencies, '') AS dependencies, coalesce(potential_dead_code, '') AS potential_dead_code, coalesce(n + dead, 0) AS impact_score, coalesce(n > 3 OR dead > 0, false) AS is_critical
+FROM symbols LEFT JOIN up USING (path, name) LEFT JOIN down USING (path, name)""")
+def session_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _graph(spark, sf_dir)
+    i = analytics.impact(g.symbols, g.edges)
+    return i.select("path", "name", *[F.array_join(c, ",").alias(c) for c in ("direct_callers", "dependencies", "potential_dead_code")], F.col("impact_score").cast("long").alias("impact_score"), "is_critical")
 
 
 # -- text --
@@ -380,7 +349,8 @@ def secret_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("texts")) for k in X.SECRETS])).alias("x")).select("x.*")
 
 
-_COUNT = lambda words: f"len(regexp_extract_all(text, '(?i)\\b({words})\\b'))"
+# Words end where neither letter, mark, digit nor underscore follows; two spaces for each other character keep neighbours apart.
+_COUNT = lambda words: f"len(regexp_extract_all(' ' || regexp_replace(text, '[^\\p{{L}}\\p{{M}}\\p{{N}}_]', '  ', 'g') || ' ', '(?i) ({words}) '))"
 
 
 @query(f"""WITH c AS (SELECT doc_id, greatest(1, floor(1 + (4 * {_COUNT("elif|for|if|while")} + 2 * {_COUNT("and|or")} + {_COUNT("assert|break|continue|else|except|finally|raise|return|try|with|yield")}) / 4))::INT AS complexity FROM documents WHERE text IS NOT NULL)
@@ -406,3 +376,7 @@ def guessed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "part").select(F.lower("p_brand").alias("name"))
     b = table(spark, sf_dir, "events").select(F.concat(F.lower(F.replace("event_type", F.lit("-"), F.lit("_"))), F.lit("_data")).alias("name"))
     return a.union(b).distinct().select("name", guessed_source(F.col("name"), F.col("name"))["type"].alias("source_type"))
+
+
+# These add themselves to the registry.
+from codeloom.plans import gallery_queries  # noqa: E402, F401

@@ -7,9 +7,11 @@ the head and tail of a document around them as they stream by.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable
 from datetime import UTC, datetime
 from pathlib import Path
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from codeloom.sources.rules import Rule
 
 TOOL, VERSION = "codeloom", "0.1.0"
 LEVELS = {"critical": "error", "medium": "warning", "low": "note"} | {"high": "error"}
-SARIF_SCHEMA = "https://json.schemastore.org/" + "sarif-2.1.0.json"
+SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 SINK_LABELS = {
     "command_exec": "Command execution", "code_eval": "Code evaluation", "sql_exec": "SQL execution", "file_write": "File write", "template_render": "Template rendering",
     "http_request": "HTTP request", "serialization": "Deserialization", "log_output": "Log output", "path_traversal": "Path traversal",
@@ -27,7 +29,7 @@ SINK_LABELS = {
 REPORT = """scan_info struct<tool:string,version:string,timestamp:string,files_scanned:long,total_findings:long>,
  summary struct<findings_by_severity:map<string,long>,has_high_severity:boolean>,
  results array<struct<file:string,finding_count:long,rules_applied:long,findings:array<struct<rule_id:string,title:string,severity:string,message:string,
- location:struct<file:string,line:int,column:int,end_line:int,end_column:int,byte_offset:struct<start:int,end:int>>,confidence:double,remediation:string,code_snippet:string>>,errors:array<string>>>"""
+ location:struct<file:string,line:int,column:int,end_line:int,end_column:int,byte_offset:struct<start:int,end:int>>,confidence:double,remediation:string,code_snippet:string,metadata:struct<node_type:string,node_text:string,rule_tags:array<string>>>>,errors:array<string>>>"""
 
 
 def now() -> str:
@@ -125,8 +127,9 @@ def valid_json(target: str) -> bool:
 def merge_reports(spark: SparkSession, paths: list[str]) -> dict:
     """One report of several: results one after the other, counts anew, the head of the first that can be read."""
     docs = spark.read.schema(REPORT + ", _corrupt_record string").option("multiLine", True).json(paths).withColumn("from", F.input_file_name()).filter("scan_info IS NOT NULL OR results IS NOT NULL")
-    heads = {Path(r["from"]).name: r["scan_info"] for r in docs.select("from", "scan_info").collect()}
-    order = [heads[Path(p).name] for p in paths if Path(p).name in heads and heads[Path(p).name]]
+    whole = lambda p: unquote(re.sub(r"^\w+:/*", "/", str(p))) if re.match(r"^\w+:", str(p)) else str(Path(p).absolute())
+    heads = {whole(r["from"]): r["scan_info"] for r in docs.select("from", "scan_info").collect()}
+    order = [heads[whole(p)] for p in paths if heads.get(whole(p))]
     if not order:
         raise ValueError("no report can be read")
     files = docs.select(F.explode("results").alias("r")).select("r.*")

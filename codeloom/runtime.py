@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -17,13 +18,18 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder every executor can reach.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset (a test
-    on one machine) a temporary folder is made and set as checkpoint folder.
+    It is what ``spark.checkpoint.dir`` names. Only where that is unset and all
+    runs on one machine (a test) a temporary folder is made and set as
+    checkpoint folder; on a cluster RuntimeError tells what is missing.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="codeloom-")
+        configured = sc.getCheckpointDir()
+    if not configured:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        configured = "file://" + tempfile.mkdtemp(prefix="codeloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(configured)
     return configured
@@ -53,12 +59,12 @@ def keep(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept = path
-    at, store = _located(spark, path)
+    at, store = located(spark, path)
     store.deleteOnExit(at)
     return out
 
 
-def _located(spark: SparkSession, uri: str):  # noqa: ANN202
+def located(spark: SparkSession, uri: str):  # noqa: ANN202
     """A path of Hadoop's and the file system it is in."""
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -67,7 +73,7 @@ def _located(spark: SparkSession, uri: str):  # noqa: ANN202
 def release(*tables: DataFrame) -> None:
     """Delete tables that ``keep`` wrote; nothing may read them afterwards."""
     for df in tables:
-        at, store = _located(df.sparkSession, df._kept)
+        at, store = located(df.sparkSession, df._kept)
         store.delete(at, True)
 
 

@@ -26,9 +26,14 @@ def statement(of: dict[str, str]):  # noqa: ANN201
     return out
 
 
+ROWS_A_TASK = 20_000
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """df shuffled by key into as many partitions as are configured: parsing costs far more than bytes tell, so they must not be joined to a few. The grouping that follows needs no other shuffle."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    """df shuffled by key into a number of partitions that grows with its rows: parsing costs far more than bytes tell, so they must not be joined to a few. The grouping that follows needs no other shuffle."""
+    n = df.count()  # of a table's file, the number its footer holds
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(2 * cores, n // 50), -(-n // ROWS_A_TASK)), key)
 
 
 def event_files(spark: SparkSession, sf_dir: str, of: dict[str, str] = PLAIN) -> DataFrame:
@@ -52,7 +57,7 @@ def session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nation_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(symbols, edges) of nations that supply nations: an edge for each line item whose supplier's nation is named before its customer's, so that there is no cycle."""
+    """(symbols, edges) of nations that supply nations: an edge for each line item, from its supplier's nation to its customer's."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
@@ -61,7 +66,7 @@ def nation_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     a = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("caller"))
     b = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("callee"))
     e = li.join(orders, li["l_orderkey"] == orders["o_orderkey"]).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    e = e.join(a, "s_nationkey").join(b, "c_nationkey").filter("caller < callee")
+    e = e.join(a, "s_nationkey").join(b, "c_nationkey")
     edges = e.select(F.lit("trade").alias("path"), "caller", "callee", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
     symbols = nation.select(F.lit("trade").alias("path"), F.col("n_name").alias("qualified_name"), F.col("n_nationkey").alias("ord"))
     return symbols, edges

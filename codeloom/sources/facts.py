@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from codeloom.sources.tree import Node, Source, SourceError, build, check
 
 PLACE = "sl:int,sc:int,el:int,ec:int,sb:int,eb:int"
-CALL = "id:int,func_id:int,caller:string,top_level:boolean,main_block:boolean,fn:string,qn:string,text:string"
+CALL = "id:int,func_id:int,caller:string,top_level:boolean,main_block:boolean,conditional:boolean,fn:string,qn:string,text:string"
 ARG = "struct<pos:int,type:string,text:string,name:string,value:string,idents:array<string>>"
 RHS = "struct<type:string,text:string,base:string,fn:string,qn:string,module:string,first_arg:string,idents:array<string>,args:array<array<string>>>"
 PARTS = {
@@ -40,8 +40,8 @@ PARTS = {
 }
 WEIGHTS = {"if": 4, "elif": 4, "for": 4, "while": 4, "and": 2, "or": 2} | dict.fromkeys("else try except finally with break continue return yield raise assert".split(), 1)
 _KEYWORD = re.compile(r"\b(" + "|".join(WEIGHTS) + r")\b", re.IGNORECASE)
-#: Beyond this many enclosing definitions a symbol is listed under its full chain and its module name only.
-NESTING = 8
+#: Beyond this many enclosing definitions a symbol is listed under its full chain and its module name only (all chains are 2 ** depth); the file then has an error row that says so.
+NESTING = 14
 
 
 def complexity(text: str) -> int:
@@ -123,6 +123,19 @@ def import_names(n: Node) -> list[str]:
 IMPORTS = ("import_statement", "import_from_statement")
 
 
+def _conditional(n: Node, k: Node) -> bool:
+    """Whether a child of a node is not always run: a branch, a loop's body, a handler, the right side of and/or."""
+    if n.type == "if_statement":
+        return k.field != "condition"
+    if n.type in ("for_statement", "while_statement"):
+        return k.field in ("body", "alternative")
+    if n.type == "conditional_expression":
+        return k is not [x for x in n.kids if x.named][1]
+    if n.type == "boolean_operator":
+        return k.field == "right"
+    return n.type in ("except_clause", "except_group_clause", "case_clause")
+
+
 class Scope:
     def __init__(self, name: str, parent: Scope | None, kind: str) -> None:
         self.name, self.parent, self.kind = name, parent, kind
@@ -310,35 +323,46 @@ class File:
             out.append(row)
         return out
 
-    def callers(self) -> dict[int, tuple[int | None, str | None, bool, bool]]:
-        """Of each call: the id of its function, the caller's bare name, whether it stands outside all functions, and in a main block."""
-        out: dict[int, tuple[int | None, str | None, bool, bool]] = {}
-        stack: list[tuple[Node, int | None, str | None, bool, bool, bool]] = [(self.root, None, None, True, False, True)]
+    def callers(self) -> dict[int, tuple[int | None, str | None, bool, bool, bool]]:
+        """Of each call: the id of its function, the caller's bare name, whether it stands outside all functions, in a main block, and under a condition of its function."""
+        out: dict[int, tuple[int | None, str | None, bool, bool, bool]] = {}
+        stack: list[tuple[Node, int | None, str | None, bool, bool, bool, bool]] = [(self.root, None, None, True, False, True, False)]
         while stack:
-            n, func, caller, top, main, open_ = stack.pop()
+            n, func, caller, top, main, open_, under = stack.pop()
             if n.type == "call":
-                out[n.id] = func, caller if open_ else None, top and open_, main
+                out[n.id] = func, caller if open_ else None, top and open_, main, under
             if n.type == "function_definition":
                 body, name = n.get("body"), n.get("name").text
-                stack.extend((k, n.id, name, False, main, True) if k is body else (k, func, None, top, main, False) for k in n.kids)
+                stack.extend((k, n.id, name, False, main, True, False) if k is body else (k, func, None, top, main, False, under) for k in n.kids)
             elif n.type == "if_statement" and not main and (c := n.get("condition")) is not None and "__name__" in c.text and "__main__" in c.text:
-                stack.extend((k, func, caller, top, k.field == "consequence", open_) for k in n.kids)
+                stack.extend((k, func, caller, top, k.field == "consequence", open_, under or k.field != "condition") for k in n.kids)
             else:
-                stack.extend((k, func, caller, top, main, open_) for k in n.kids)
+                stack.extend((k, func, caller, top, main, open_, under or _conditional(n, k)) for k in n.kids)
         return out
 
+    def too_deep(self) -> bool:
+        """Whether definitions are nested deeper than all their chains are listed."""
+        stack = [(self.root, 0)]
+        while stack:
+            n, depth = stack.pop()
+            depth += n.type in ("function_definition", "class_definition")
+            if depth > NESTING:
+                return True
+            stack.extend((k, depth) for k in n.kids if k.kids)
+        return False
+
     def calls(self) -> list[dict]:
         around = self.callers()
         out = []
         for n in self.all:
             if n.type != "call":
                 continue
-            func, caller, top, main = around[n.id]
+            func, caller, top, main, under = around[n.id]
             args = []
             for i, a in enumerate(call_arguments(n)):
                 key = a.type == "keyword_argument"
                 args.append({"pos": i, "type": a.type, "text": a.text, "name": a.get("name").text if key else None, "value": a.get("value").text if key else None, "idents": identifiers(a)})
-            out.append({"id": n.id, "func_id": func, "caller": caller, "top_level": top, "main_block": main, "fn": function_name(n), "qn": qualified_name(n), "text": n.text, "args": args, "kw": keywords(n), **self.place(n)})
+            out.append({"id": n.id, "func_id": func, "caller": caller, "top_level": top, "main_block": main, "conditional": under, "fn": function_name(n), "qn": qualified_name(n), "text": n.text, "args": args, "kw": keywords(n), **self.place(n)})
         return out
 
     def imports(self) -> list[dict]:
@@ -488,7 +512,7 @@ class File:
                         blocks.extend(x for x in k.kids if x.type == "block")
                 enter(blocks, True)
 
-    def part(self, name: str, kinds: frozenset[str] | None, want: frozenset[str]) -> object:
+    def part(self, name: str, kinds: frozenset[str] | None, want: frozenset[str], deep: bool = False) -> object:
         if name == "nodes":
             return self.nodes(kinds, want)
         if name == "symbols":
@@ -496,7 +520,7 @@ class File:
         if name == "lines":
             return self.split
         if name == "errors":
-            return []
+            return [{"stage": "symbols", "message": f"definitions nested more than {NESTING} deep", "line": 1, "column": 1}] if deep and not self.strict and self.too_deep() else []
         return getattr(self, name)()
 
 
@@ -510,7 +534,7 @@ def facts(files: DataFrame, parts: Iterable[str], strict: bool = False, kinds: I
     parts = list(parts)
     schema = T.StructType.fromDDL("path string, " + ", ".join(f"{p} {PARTS[p]}" for p in parts))
     arrow = to_arrow_schema(schema)
-    bare = set(parts) <= {"errors"}
+    bare, deep = set(parts) <= {"errors"}, bool({"symbols", "scope"} & set(parts))
     kinds_, want_ = None if kinds is None else frozenset(kinds), frozenset(want)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -534,7 +558,7 @@ def facts(files: DataFrame, parts: Iterable[str], strict: bool = False, kinds: I
                         error = {"stage": at[2], "message": str(e), "line": at[0] + 1, "column": at[1] + 1}
                     for column, name in zip(columns, parts, strict=True):
                         if file is not None:
-                            column.append(file.part(name, kinds_, want_))
+                            column.append(file.part(name, kinds_, want_, deep))
                         elif name == "errors":
                             column.append([error] if error else [])
                         else:

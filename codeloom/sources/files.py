@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.runtime import located
+
 STRING = "<string>"
 SCHEMA = "path string, content binary, modified timestamp"
 
@@ -19,15 +20,19 @@ def read_folder(spark: SparkSession, folder: str, pattern: str = "*.py") -> Data
 
 
 def read_path(spark: SparkSession, path: str) -> DataFrame:
-    """A ``.py`` file or a folder. ValueError for a file of another kind or a folder without any."""
-    p = Path(path)
-    if p.is_file():
-        if p.suffix != ".py":
+    """A ``.py`` file or a folder, on any file system Spark knows. ValueError for a file of another kind or a folder without any."""
+    at, store = located(spark, path)
+    if not store.exists(at):
+        raise ValueError(f"{path} does not exist")
+    if store.getFileStatus(at).isFile():
+        if not path.endswith(".py"):
             raise ValueError(f"{path} is no Python file")
-        return spark.read.format("binaryFile").load(str(p)).select("path", F.col("content").alias("code"), F.col("modificationTime").alias("modified"))
-    if not p.is_dir() or next(p.rglob("*.py"), None) is None:
-        raise ValueError(f"{path} holds no Python files")
-    return read_folder(spark, str(p))
+        return spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("code"), F.col("modificationTime").alias("modified"))
+    every = store.listFiles(at, True)
+    while every.hasNext():
+        if every.next().getPath().getName().endswith(".py"):
+            return read_folder(spark, path)
+    raise ValueError(f"{path} holds no Python files")
 
 
 def from_strings(spark: SparkSession, codes: str | Iterable[tuple[str, str]]) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as E
 from codeloom.plans import queries as own
+from codeloom.runtime import shared_dir
 
 ROOT = Path(__file__).resolve().parent.parent
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -31,7 +32,7 @@ def test_entry_gives_rows(spark):
 
 def test_every_sql_belongs_to_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert len(own.SQL) >= 35
+    assert len(own.SQL) >= 75
 
 
 @pytest.mark.parametrize("name", sorted(own.SQL))
@@ -60,6 +61,31 @@ def test_library_stands_without_the_llm_parts(tmp_path):
     assert got.stdout.strip().endswith(" []")
 
 
+@pytest.mark.parametrize("missing", ["tiktoken", "ahocorasick"])
+def test_engine_queries_stay_where_a_library_is_missing(missing):
+    code = f"import sys; sys.modules['{missing}'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    got = subprocess.run([sys.executable, "-B", "-c", code], cwd=ROOT, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(ROOT)}, capture_output=True, text=True, check=True)
+    assert got.stdout.split() == [str(len(own.QUERIES)), str(len(own.SQL))]
+    assert missing in got.stderr
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Context:
+        master = "spark://somewhere"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
 def test_nothing_outside_imports_the_llm_parts():
     for p in (ROOT / "codeloom").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT).parts:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import classify as C
 from codeloom.operators import analytics, callgraph, extract, scan, taint
 from codeloom.plans import exports, reports
+from codeloom.sources.facts import facts
 from codeloom.sources.files import from_columns, from_strings, read_path
 from codeloom.sources.rules import RuleError, load_dir, load_text, pick, rule_of, validate_dir
 
@@ -111,6 +112,31 @@ def test_every_kind_of_pattern(spark):
     assert len(hits(spark, "a.b.c(); a.c()", RULE + "- {kind: call, callee: {module: a.b}}")) == 1
 
 
+def test_a_long_chain_is_reached_whole(spark):
+    names = [f"f{i}" for i in range(150)]
+    s, e = table(spark, list(zip(names, names[1:])))
+    reached = analytics.reach(s, e, spark.createDataFrame([("g", "f0")], "path string, entry string"))
+    assert {(r["name"], r["dist"]) for r in reached.collect()} == {(n, i) for i, n in enumerate(names)}
+    assert analytics.reach(s, e, spark.createDataFrame([("g", "f0")], "path string, entry string"), max_rounds=6).count() == 7
+
+
+def test_a_rule_that_cannot_be_compiled_is_an_error_and_others_apply(spark):
+    rules = load_text("- {id: A, title: t, severity: low, message: m, patterns: [{kind: call, name: f}]}\n- {id: B, title: t, severity: low, message: m, patterns: [{kind: regex, regex: '(a)?(?(1)b|c)'}]}\n- {id: C, title: t, severity: low, message: m, patterns: [{kind: regex, regex: '('}]}").rules
+    files = from_strings(spark, "f()")
+    found = scan.scan(files, rules)
+    assert [r["rule_id"] for r in found.collect()] == ["A"]
+    assert set(scan.rule_errors(spark, rules)) == {"B", "C"}
+    r = scan.file_results(files, found, rules).first()
+    assert r["finding_count"] == 1 and len(r["errors"]) == 2 and r["errors"][0].startswith("Error applying rule B: ")
+
+
+def test_conditions_are_told_in_strict_mode(spark):
+    code = "def f(x):\n    a()\n    if b():\n        c()\n    elif d():\n        e()\n    while g():\n        h()\n    y = i() and j()\n    k() if l() else m()\n    try:\n        n()\n    except E:\n        o()\n"
+    got = {r["callee"]: r["is_conditional"] for r in callgraph.graph(from_strings(spark, code), strict=True).edges.collect()}
+    assert {k for k, v in got.items() if v} == set("cdehjkmo") and {k for k, v in got.items() if not v} == set("abgiln")
+    assert not any(r["is_conditional"] for r in callgraph.graph(from_strings(spark, code)).edges.collect())
+
+
 def test_two_patterns_of_a_rule_hit_twice_unless_strict(spark):
     rules = load_text(RULE + "- {kind: call, name: f}\n- {kind: call, callee: {anyOf: [f]}}").rules
     assert findings(spark, "f()", rules).count() == 2
@@ -137,7 +163,7 @@ def test_rule_files(tmp_path):
     with pytest.raises(RuleError):
         rule_of({"id": "x", "title": "t", "message": "m", "severity": "huge", "patterns": []})
     stats = reports.rule_statistics(load_dir().rules)
-    assert stats["total_rules"] == 8 and stats["severity_counts"] == {"critical": 0, "high": 6, "medium": 2, "low": 0}
+    assert stats["total_rules"] == 9 and stats["severity_counts"] == {"critical": 0, "high": 7, "medium": 2, "low": 0}
     assert reports.rule_statistics([]) == {"total_rules": 0}
     assert [r.severity for r in load_dir().listing()] == ["high"] * 6 + ["medium"] * 2
     assert len(pick(load_dir().rules, min_severity="high")) == 6
@@ -217,8 +243,11 @@ def test_nested_definitions(spark):
     code = "class A:\n    def m(self):\n        def inner():\n            pass\n"
     g = callgraph.graph(from_strings(spark, code))
     assert [r["qualified_name"] for r in g.symbols.orderBy("ord").collect()] == ["A.m", "A..m.inner", "A.inner", "m", "m.inner", "inner"]
-    deep = "\n".join("    " * i + f"def f{i}():" for i in range(15)) + "\n" + "    " * 15 + "pass\n"
-    assert 15 < callgraph.graph(from_strings(spark, deep)).symbols.count() < 5000
+    ten = "\n".join("    " * i + f"def f{i}():" for i in range(10)) + "\n" + "    " * 10 + "pass\n"
+    assert callgraph.graph(from_strings(spark, ten)).symbols.count() == 2**10 - 1
+    deep = "\n".join("    " * i + f"def f{i}():" for i in range(16)) + "\n" + "    " * 16 + "pass\n"
+    made = facts(from_strings(spark, deep), ["symbols", "errors"]).first()
+    assert len({s["name"] for s in made["symbols"]}) == 16 and [e["stage"] for e in made["errors"]] == ["symbols"]
 
 
 def table(spark, pairs, names=None):
@@ -246,7 +275,9 @@ def test_analytics_on_an_edge_table(spark):
     assert analytics.shortest_path(s, e, "b", "d").first()["nodes"] == ["b", "c", "a", "d"]
     assert analytics.shortest_path(s, e, "d", "d").count() == 0
     assert len(analytics.all_paths(s, e, "a", "d").collect()) == 2
-    assert [r["chain"] for r in analytics.call_chains(s, e, ["b"]).orderBy("number").collect()] == [["b"], ["b", "c"], ["b", "c", "a"], ["b", "c", "a", "d"]]
+    assert [r["chain"] for r in analytics.call_chains(s, e, ["b"], 10).orderBy("number").collect()] == [["b"], ["b", "c"], ["b", "c", "a"], ["b", "c", "a", "d"]]
+    cut = analytics.call_chains(s, e, ["b"], 2).orderBy("number").collect()
+    assert [r["chain"] for r in cut] == [["b"], ["b", "c"]] and all(r["more"] for r in cut)
     b = {r["name"]: r["betweenness"] for r in analytics.betweenness(s, e).collect()}
     assert b["a"] == pytest.approx(3 / 25) and b["e"] == 0
     assert analytics.critical(s, e, 1).first()["name"] == "a"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
 from codeloom.operators.scan import java_regex
+from codeloom.sources.facts import complexity
 
 PATTERNS = [r"[;&|`$(){}[\]]", r"(?P<q>['\"])x(?P=q)", r"a\Z", r"[[a]b", r"[^[]z", r"[]a]+", r"[a&&b]", r"\[x\]", r"(?i)SELECT\b", r"^\s*def\s", r"a{2,3}", r"[\]\[]"]
 TEXTS = ["", "a;b", "'x'", '"x\'', "ba", "ba\n", "[b", "ab", "cz", "[z", "]]a", "&", "a&b", "[x]", "select 1", "selected", "  def f", "aaa", "x]y", "plain"]
@@ -19,6 +20,22 @@ def test_translated_patterns_match_alike(spark, pattern):
     assert got == [bool(re.search(pattern, t)) for t in TEXTS]
 
 
+WIDE = ["é", "naïve idée", "caféé", "٣٤", "a\u00a0b", "É", "straße", "ΣΑΣ", "漢字", "x\r\ny", "a\u2028b", "end\n", "tok_É1", ""]
+
+
+@pytest.mark.parametrize("pattern", [r"\w", r"\w{4}é", r"^\w+$", r"\d+", r"\D", r"\s", r"\bid", r"\Bé", r"(?i)é", r"(?i)^TOK_é\w$", r"(?i)σ", r"(?a)\w+é", r"^.+$", r"(?m)^y$", r"(?s)x.*y", r"d$", r"[^\W\d_]{5}", r"(?ia)É"])
+def test_patterns_mean_the_same_beyond_ascii(spark, pattern):
+    df = spark.createDataFrame([(t,) for t in WIDE], "t string")
+    got = [r[0] for r in df.select(F.col("t").rlike(java_regex(pattern))).collect()]
+    assert got == [bool(re.search(pattern, t)) for t in WIDE]
+
+
+def test_complexity_of_columns_and_of_files_is_one(spark):
+    texts = ["if x and y: return 1", "éif ifé if", "IF For whilE", "naïve or else", "", "for_ if_", "try-except;finally"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(X.complexity(F.col("t"))).collect()] == [complexity(t) for t in texts]
+
+
 def test_string_tests_equal_python(spark):
     texts = [*TEXTS, "my password", "AKIA" + "A1" * 8, "0" * 31, "f" * 32, "https://x", "HTTP://x", " http://x", "UPDATE t", "updates", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
