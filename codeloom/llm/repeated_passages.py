@@ -15,7 +15,13 @@ occurrences put it, and its common prefix with its neighbours follows from those
 of X. Between rounds the order is a file in the shared folder, read and written
 in sequence; only common prefixes and shifts are held in memory. Runs of
 suffixes with min_words words in common are repeated passages, unless all stand
-at one place of one text.
+at one place of one text. What a part holds in memory besides (its windows'
+words, ranks, prefixes and shifts) is bounded by ``WINDOWS_A_PARTITION``.
+
+An anchor of more than ``HOT`` different windows (words that stand in a million
+different surroundings) is more than a part can hold. Equal passages around one
+anchor are equal from their first word on, so these windows' passages are
+counted by their hashes instead, over all tasks, with the same result.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.words import SAME, WHITE, U, Words, buffers, mix, pieces, powers, segment
 from codeloom.runtime import keep, release, shared_dir, table
 
-MIN_WORDS, GRAM, WINDOWS_A_PARTITION, BLOCK = 50, 10, 12_000, 1 << 18
+MIN_WORDS, GRAM, WINDOWS_A_PARTITION, HOT, BLOCK = 50, 10, 12_000, 48_000, 1 << 18
 NONE = np.iinfo(np.int64).max
 
 
@@ -45,10 +51,11 @@ class Collection:
     inverted lists; ``transform`` gives the transform itself.
     """
 
-    KINDS = (np.int32, np.int32, np.uint8, np.int32, np.uint8)
-
     def __init__(self, contents: list[np.ndarray], folder: str) -> None:
         self.contents = contents
+        # Offsets and common prefixes are at most a window's words.
+        self.short = np.uint8 if max(map(len, contents), default=0) < 255 else np.uint16
+        self.KINDS = (np.int32, np.int32, self.short, np.int32, self.short)
         self.store, base = fs.FileSystem.from_uri(folder)
         self.folder = f"{base.rstrip('/')}/bwt-{uuid.uuid4().hex}"
         self.store.create_dir(self.folder, recursive=True)
@@ -80,9 +87,9 @@ class Collection:
         flat = np.concatenate([*self.contents, np.zeros(0, np.int32)])
         ends = np.cumsum(size)
         every = np.arange(m)
-        self._next(0, iter([[np.zeros(m), every, np.zeros(m), every, np.minimum(size, 255)]]))
+        self._next(0, iter([[np.zeros(m), every, np.zeros(m), every, size]]))
         place = every.copy()
-        lcp, shift = np.zeros(m, np.uint8), np.zeros(m, np.int64)
+        lcp, shift = np.zeros(m, self.short), np.zeros(m, np.int64)
         for j in range(1, int(size.max(initial=0)) + 1):
             live = np.flatnonzero(size >= j)
             symbol = flat[ends[live] - j].astype(np.int64)
@@ -118,14 +125,14 @@ class Collection:
             is_new[local] = True
             merged = np.empty(n, np.int64)
             merged[is_new], merged[~is_new] = own, keys
-            common = np.empty(n, np.uint8)
+            common = np.empty(n, self.short)
             common[~is_new] = old[2]
             touched = is_new.copy()
             touched[1:] |= is_new[:-1]
             at = np.flatnonzero(touched)
             previous = np.where(at > 0, merged[at - 1], before)
             common[at] = self._prefix(previous, merged[at], lcp)
-            win, off = np.empty(n, np.int32), np.empty(n, np.uint8)
+            win, off = np.empty(n, np.int32), np.empty(n, self.short)
             win[is_new], win[~is_new] = window[done:to], old[3]
             off[is_new], off[~is_new] = offset[done:to], old[4]
             at_all.append(local + begun)
@@ -140,7 +147,7 @@ class Collection:
         out = np.zeros(len(now), np.int64)
         same = np.flatnonzero((previous >> 32 == now >> 32) & (now >> 32 > 0))
         if not len(same):
-            return out.astype(np.uint8)
+            return out.astype(self.short)
         lo, hi = (previous[same] & 0xFFFFFFFF) + 1, now[same] & 0xFFFFFFFF
         span = hi - lo + 1
         level = np.frexp(span.astype(float))[1] - 1
@@ -154,8 +161,8 @@ class Collection:
             i = np.flatnonzero(level == k)
             t = self._least[k]
             best[i] = np.minimum(t[lo[i]], t[hi[i] - (1 << int(k)) + 1])
-        out[same] = np.minimum(best + 1, 255)
-        return out.astype(np.uint8)
+        out[same] = best.astype(np.int64) + 1
+        return out.astype(self.short)
 
     def transform(self) -> Iterator[np.ndarray]:
         """The Burrows-Wheeler transform, by block: the symbol before each suffix, -1 before a whole window."""
@@ -230,17 +237,40 @@ def sequence_hash(words: Words, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix((total[first + n] - total[first]) * down[first] + n.astype(U))
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
+def counted_spans(windows: DataFrame, min_words: int) -> DataFrame:
+    """(fp, code, a, b, least): what ``order`` finds of windows (fp, code, places, doc, content), by counting the hashes of all their passages."""
+
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column(4))
+            for lo, hi in pieces(offsets):
+                words = segment(data, offsets[lo : hi + 1], WHITE, SAME)
+                n = np.diff(words.first) - min_words + 1
+                row = np.repeat(np.arange(hi - lo), n)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                code = sequence_hash(words, words.first[row] + at, np.full(len(row), min_words))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo).take(pa.array(row)) for i in range(4)), pa.array(at.astype(np.int32)), pa.array(code.view(np.int64))], ["fp", "code", "places", "doc", "at", "passage"])
+
+    every = keep(windows.select("fp", "code", "places", "doc", "content").mapInArrow(passages, "fp long, code long, places long, doc long, at int, passage long"))
+    often = every.groupBy("fp", "passage").agg(F.sum("places").alias("n"), F.min("doc").alias("least")).filter("n > 1").select("fp", "passage", "least")
+    found = every.select("fp", "code", "at", "passage").join(often, ["fp", "passage"])
+    by = Window.partitionBy("fp", "code").orderBy("at")
+    opened = found.withColumn("new", F.when(F.col("at") - F.lag("at").over(by) <= min_words, 0).otherwise(1))
+    numbered = opened.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("fp", "code", "run").agg(F.min("at").alias("a"), (F.max("at") + min_words).alias("b"), F.min("least").alias("least")).select("fp", "code", "a", "b", "least")
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, first_doc_id): the maximal stretches of words that lie in repeated passages.
 
-    Words stand between ASCII white space and are compared exactly.
+    Words stand between ASCII white space and are compared by 64-bit hashes.
     ``first_doc_id`` is the least doc_id in which one of the stretch's passages
     occurs. Texts of fewer words, null and empty texts have none. Rows equal in
     doc_id and text are one text; a null doc_id is reported as null. Other
     columns are not read.
     """
-    if not gram <= min_words or 2 * min_words - gram > 255:
-        raise ValueError("min_words must be at least gram, and 2 * min_words - gram at most 255")
+    if not gram <= min_words <= 32_000:
+        raise ValueError("min_words must be at least gram and at most 32,000")
     spark = docs.sparkSession
     folder = shared_dir(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rk", F.xxhash64("doc_id", "text"))
@@ -261,6 +291,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
     kinds = kinds.withColumn("total", F.sum("places").over(Window.partitionBy("fp"))).filter("total > 1")
     kinds = keep(kinds.select("fp", "code", "places", "doc", F.col("at.rk").alias("rk"), F.col("at.start").alias("start"), F.col("at.n").alias("n")))
     parts = max(1, -(-kinds.count() // WINDOWS_A_PARTITION))
+    # At most one for each ``hot`` windows; joined, not broadcast.
+    many = keep(kinds.groupBy("fp").count().filter(F.col("count") > hot).select("fp"))
     wanted = kinds.groupBy("rk").agg(F.array_sort(F.collect_list(F.struct("start", "n", "fp", "code", "places", "doc"))).alias("wanted"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,8 +338,15 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
         fp, code = t.column("fp").to_numpy()[win[first]], t.column("code").to_numpy()[win[first]]
         yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(code), pa.array(off[first].astype(np.int32)), pa.array((off[last] + min_words).astype(np.int32)), pa.array(least, mask=least == NONE)], ["fp", "code", "a", "b", "least"])
 
-    spans = keep(windows.repartition(parts, "fp").mapInArrow(order, "fp long, code long, a int, b int, least long"))
-    release(kinds)
+    kind = "fp long, code long, a int, b int, least long"
+    if many.isEmpty():
+        spans = keep(windows.repartition(parts, "fp").mapInArrow(order, kind))
+    else:
+        windows = keep(windows)
+        spans = windows.join(many, "fp", "left_anti").repartition(parts, "fp").mapInArrow(order, kind)
+        spans = keep(spans.unionByName(counted_spans(windows.join(many, "fp", "left_semi"), min_words)))
+        release(windows)
+    release(kinds, many)
     found = placed.join(spans, ["fp", "code"]).select("doc_id", "rk", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"), "least")
     by_start = Window.partitionBy("rk").orderBy("a", "b")
     reach = F.max("b").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
@@ -318,4 +357,5 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
 
 
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of repeated passages of MIN_WORDS words in all documents; edge cases are those of ``repeated_passages``."""
     return repeated_passages(table(spark, sf_dir, "documents"))

@@ -92,3 +92,28 @@ def test_transform_and_prefixes_equal_a_sorted_collection(tmp_path_factory, text
 def test_query_over_the_whole_table(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted((tuple(r) for r in op4_repeated_passages(spark, sf).collect()), key=str) == brute(rows, 50)
+
+
+def test_hot_anchors_give_the_same(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = sorted(tuple(r) for r in repeated_passages(docs).collect())
+    assert want
+    for hot in (0, 1, 2):
+        assert sorted(tuple(r) for r in repeated_passages(docs, hot=hot).collect()) == want
+
+
+def test_long_passages(spark):
+    """Windows of more than 255 words, whose places and prefixes need two bytes."""
+    common = [f"c{i}" for i in range(400)]
+    rows = [(1, " ".join(["a", *common, "b"])), (2, " ".join([*[f"x{i}" for i in range(7)], *common])), (3, " ".join(common[:299]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in repeated_passages(docs, min_words=300).collect())
+    assert got == [(1, 1, 401, 400, 1), (2, 7, 407, 400, 1)]
+
+
+def test_very_long_and_odd_texts(spark, weird, nothing):
+    got = repeated_passages(weird).collect()
+    long = [r for r in got if r["doc_id"] == 6]
+    assert len(long) == 1 and (long[0]["start_word"], long[0]["end_word"]) == (0, 160_000)
+    assert {r["doc_id"] for r in got} == {6}
+    assert repeated_passages(nothing).collect() == []
