@@ -77,6 +77,12 @@ def release(*tables: DataFrame) -> None:
         store.delete(at, True)
 
 
+def discard(spark: SparkSession, folder: str, at_end: bool = False) -> None:
+    """Delete a folder of the shared one, now or when the application ends."""
+    at, store = located(spark, folder)
+    store.deleteOnExit(at) if at_end else store.delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,7 +15,7 @@ from codeloom.llm.near_duplicates import drop_near_duplicates
 from codeloom.llm.packing import pack_documents
 from codeloom.llm.secret_scan import redact_secrets
 from codeloom.llm.toxicity import drop_toxic
-from codeloom.runtime import shared_dir, table
+from codeloom.runtime import discard, shared_dir, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +51,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each keeps is written to the shared folder and read again."""
+    """All stages over documents; what each keeps is written to the shared folder, read again by the next, and deleted when that has written its own (the last when the application ends)."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = ""
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            discard(spark, before)
+        before = f"{folder}/{name}"
+    if before:
+        discard(spark, folder, at_end=True)
     return STAGES[-1][1](spark, docs, sf_dir)
