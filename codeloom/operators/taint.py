@@ -1,25 +1,23 @@
 """Taint analysis within functions: from sources of untrusted data, past sanitizers, to sinks.
 
-Three narrow steps and no shuffle: the parser lists each function's statements
-in order; CASE expressions classify their calls inside ``transform``; a fold
-over each function's statements, in Arrow batches, follows the variables. Whole
-files' counters are sizes of filtered arrays on the same rows.
+One narrow pass and no shuffle: inside an Arrow batch a file is parsed, the
+calls of its functions' statements are classified (each distinct call once a
+task) and a fold over each function's statements follows the variables. Only
+what was found leaves the pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from codeloom.functions import catalog as K
 from codeloom.functions import classify as C
 from codeloom.functions.catalog import Entry
-from codeloom.sources.facts import facts
+from codeloom.functions.judge import Judge, parameterised, semantic_source
+from codeloom.sources.facts import File, call_arguments, facts, function_name, per_file, qualified_name
 
 EDGE = "struct<from_var:string,to_var:string,operation:string,line:int,preserves_taint:boolean,sanitizer:string>"
 PATHS = (
@@ -27,41 +25,32 @@ PATHS = (
     f"labels:array<string>,path_edges:array<{EDGE}>,is_sanitized:boolean,sanitizers:array<string>,severity:string,confidence:double>>"
 )
 FLOWS = "array<struct<func_id:int,seq:int,from_var:string,to_var:string,operation:string,line:int,preserves_taint:boolean,sanitizer:string>>"
-#: What a semantic category is called as a kind of sink, in strict mode.
-KINDS = {"path_traversal": "path_traversal", "code_evaluation": "code_eval", "deserialization": "serialization", "command_exec": "command_exec"}
 
 
-def counters(calls: Column, accesses: Column, sources: Iterable[Entry] = K.SOURCES, sinks: Iterable[Entry] = K.SINKS, sanitizers: Iterable[Entry] = K.SANITIZERS, heuristics: bool = True, strict: bool = False) -> list[Column]:
-    """sources_found, sinks_found and sanitizers_found of a file's arrays of calls and accesses."""
-    count = lambda array, test: F.size(F.filter(array, test))
-    n_sources = count(calls, lambda c: C.source(c["fn"], c["qn"], None, sources, heuristics).isNotNull()) + count(accesses, lambda a: C.source_access(a["text"], sources).isNotNull())
-    n_sinks = count(calls, lambda c: C.sink(c["fn"], c["qn"], None, sinks, heuristics, strict).isNotNull())
-    n_sanitizers = count(calls, lambda c: C.sanitizer(c["fn"], c["qn"], sanitizers).isNotNull()) + count(calls, lambda c: C.parameterised(c["fn"], F.size(c["args"]), F.try_element_at(c["args"], F.lit(1))["text"]))
-    return [n_sources.cast("long").alias("sources_found"), n_sinks.cast("long").alias("sinks_found"), n_sanitizers.cast("long").alias("sanitizers_found")]
+def count_calls(file: File, judge: Judge) -> tuple[int, int, int]:
+    """sources_found, sinks_found and sanitizers_found of a file."""
+    sources = sinks = sanitizers = 0
+    for n in file.all:
+        if n.type == "call":
+            fn, qn = function_name(n), qualified_name(n)
+            sources += judge.source(fn, qn) is not None
+            sinks += judge.sink(fn, qn) is not None
+            sanitizers += judge.sanitizer(fn, qn) is not None
+            sanitizers += "execute" in fn.lower() and parameterised(fn, [a.text for a in call_arguments(n)])
+    for a in file.accesses():
+        sources += judge.access(a["text"]) is not None
+    return sources, sinks, sanitizers
 
 
-def classified(s: Column, sources: Iterable[Entry], sinks: Iterable[Entry], sanitizers: Iterable[Entry], heuristics: bool, strict: bool) -> Column:
+def classified(s: dict, judge: Judge) -> dict:
     """A statement with what its expression is: a source by structure or by catalogue, a sanitizer, a sink."""
     r = s["rhs"]
-    fn, qn = r["fn"], r["qn"]
-    is_call = r["type"] == "call"
-    by_structure = C.semantic_sink(fn, qn)
-    if strict:
-        kind = F.coalesce(*[F.when(by_structure["category"] == c, F.lit(k)) for c, k in KINDS.items()])
-    else:
-        kind = F.when(by_structure["category"] == "path_traversal", "path_traversal").otherwise("command_exec")
-    structural = F.when(by_structure.isNotNull(), F.struct(fn.alias("name"), kind.alias("type"), by_structure["severity"].alias("severity"), by_structure["confidence"].alias("confidence"), F.lit(None).cast("array<int>").alias("params")))
-    by_name = C.sink(fn, qn, r["module"], sinks, heuristics, strict)
-    trusted = F.coalesce(C.known_sink(fn, qn, sinks, longest=True), structural, by_name) if strict else F.coalesce(structural, by_name)
-    return F.struct(
-        *[s[c].alias(c) for c in ("func_id", "func", "seq", "op", "nested", "line", "call_line", "target")],
-        r["idents"].alias("idents"), r["args"].alias("args"), is_call.alias("is_call"),
-        C.semantic_source(r["type"], r["text"], r["base"], fn, qn, False).alias("read"),
-        C.semantic_source(r["type"], r["text"], r["base"], fn, qn, True).alias("read_call"),
-        F.when(is_call, C.source(fn, qn, r["module"], sources, heuristics)).alias("source"),
-        F.when(is_call, C.sanitizer(fn, qn, sanitizers)).alias("sanitizer"),
-        F.when(is_call, trusted).alias("sink"),
-    )
+    kind, fn, qn, call = r["type"], r.get("fn"), r.get("qn"), r["type"] == "call"
+    about = (kind, r["text"], r["base"], fn, qn)
+    return s | {
+        "idents": r["idents"], "args": r.get("args"), "is_call": call, "read": semantic_source(*about, False), "read_call": semantic_source(*about, True),
+        "source": judge.source(fn, qn, r["module"]) if call else None, "sanitizer": judge.sanitizer(fn, qn) if call else None, "sink": judge.trusted(fn, qn, r["module"]) if call else None,
+    }
 
 
 class Flow:
@@ -181,51 +170,45 @@ class Flow:
 
 def count_matches(files: DataFrame, strict: bool = False, heuristics: bool = True, sources: Iterable[Entry] = K.SOURCES, sinks: Iterable[Entry] = K.SINKS, sanitizers: Iterable[Entry] = K.SANITIZERS) -> DataFrame:
     """(path, sources_found, sinks_found, sanitizers_found) of every file, without following any data."""
-    made = facts(files, ["calls", "accesses"], strict=strict)
-    return made.select("path", *counters(F.col("calls"), F.col("accesses"), list(sources), list(sinks), list(sanitizers), heuristics, strict))
+    judge = Judge(sources, sinks, sanitizers, heuristics, strict)
+
+    def one(path: str | None, file: File | None) -> tuple:
+        return (path, *(count_calls(file, judge) if file else (0, 0, 0)))
+
+    return per_file(files, one, "path string, sources_found long, sinks_found long, sanitizers_found long", strict)
 
 
 def analyse(files: DataFrame, strict: bool = False, heuristics: bool = True, sources: Iterable[Entry] = K.SOURCES, sinks: Iterable[Entry] = K.SINKS, sanitizers: Iterable[Entry] = K.SANITIZERS, counted: bool = True) -> DataFrame:
     """(path, sources_found, sinks_found, sanitizers_found, paths, flows) of every file.
 
-    Without ``counted`` the three counters are null, and their calls are not
-    even gathered: for those who want paths and flows alone.
+    Without ``counted`` the three counters are null: for those who want paths
+    and flows alone.
 
     Compatible mode keeps the quirks of substring catalogues (an exact sink is
     lost, clean reassignment doesn't clear, paths hold only edges that touch
     their variable); strict mode does without them. A file without a tree has
     no paths and zero counts. Add entries to the catalogues for your own.
     """
-    sources, sinks, sanitizers = list(sources), list(sinks), list(sanitizers)
-    removed = {e.name: set(e.removes) for e in sanitizers}
-    made = facts(files, ["stmts", "calls", "accesses"] if counted else ["stmts"], strict=strict)
-    found = counters(F.col("calls"), F.col("accesses"), sources, sinks, sanitizers, heuristics, strict) if counted else [F.lit(None).cast("long").alias(f"{n}_found") for n in ("sources", "sinks", "sanitizers")]
-    made = made.select(
-        "path", *found,
-        F.transform("stmts", lambda s: classified(s, sources, sinks, sanitizers, heuristics, strict)).alias("stmts"),
-    )
-    schema = T.StructType.fromDDL(f"path string, sources_found long, sinks_found long, sanitizers_found long, paths {PATHS}, flows {FLOWS}")
-    arrow = to_arrow_schema(schema)
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            paths, flows = [], []
-            for path, stmts in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                found: list[dict] = []
-                edges: list[dict] = []
-                flow: Flow | None = None
-                for s in stmts or ():
-                    if flow is None or flow.func_id != s["func_id"]:
-                        flow = Flow(path, s["func"], s["func_id"], strict, removed)
-                        flow.paths = found
-                    mark = len(flow.edges)
-                    flow.step(s)
-                    edges += flow.edges[mark:]
-                paths.append(found)
-                flows.append(edges)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(paths, arrow.field("paths").type), pa.array(flows, arrow.field("flows").type)], schema=arrow)
-
-    return made.mapInArrow(fold, schema)
+    sanitizers = list(sanitizers)
+    judge, removed = Judge(sources, sinks, sanitizers, heuristics, strict), {e.name: set(e.removes) for e in sanitizers}
+    count = count_calls if counted else lambda file, judge: (None, None, None)
+
+    def one(path: str | None, file: File | None) -> tuple:
+        if file is None:
+            return (path, *((0, 0, 0) if counted else (None, None, None)), [], [])
+        found: list[dict] = []
+        edges: list[dict] = []
+        flow: Flow | None = None
+        for s in file.stmts():
+            if flow is None or flow.func_id != s["func_id"]:
+                flow = Flow(path, s["func"], s["func_id"], strict, removed)
+                flow.paths = found
+            mark = len(flow.edges)
+            flow.step(classified(s, judge))
+            edges += flow.edges[mark:]
+        return (path, *count(file, judge), found, edges)
+
+    return per_file(files, one, f"path string, sources_found long, sinks_found long, sanitizers_found long, paths {PATHS}, flows {FLOWS}", strict)
 
 
 def taint_paths(analysed: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ into a table. A file that has no tree gives empty parts and a row in
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -524,6 +524,38 @@ class File:
         return getattr(self, name)()
 
 
+def opened(code: object, strict: bool) -> File:
+    """A parsed file. SourceError or UnicodeDecodeError if there is no tree."""
+    if code is None:
+        raise SourceError("read", "no text")
+    return File(code.decode("utf-8") if isinstance(code, bytes) else code, strict)
+
+
+def _inputs(files: DataFrame) -> DataFrame:
+    code = F.col("code") if isinstance(files.schema["code"].dataType, (T.BinaryType, T.StringType)) else F.col("code").cast("string")
+    return files.select(F.col("path").cast("string").alias("path"), code.alias("code"))
+
+
+def per_file(files: DataFrame, run: Callable[[str | None, File | None], tuple], schema: str, strict: bool = False) -> DataFrame:
+    """A row of ``schema`` for each of files (path, code), made from its parsed file (None if it has no tree); no shuffle."""
+    kind = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kind)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                rows = []
+                for path, code in zip(*(batch.column(i).slice(lo, 64) for i in range(2)), strict=True):
+                    try:
+                        file = opened(code.as_py(), strict)
+                    except (SourceError, UnicodeDecodeError):
+                        file = None
+                    rows.append(run(path.as_py(), file))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    return _inputs(files).mapInArrow(go, kind)
+
+
 def facts(files: DataFrame, parts: Iterable[str], strict: bool = False, kinds: Iterable[str] | None = None, want: Iterable[str] = ("text", "snippet")) -> DataFrame:
     """(path, *parts) of files (path, code): one row a file, parsed once, no shuffle.
 
@@ -546,13 +578,10 @@ def facts(files: DataFrame, parts: Iterable[str], strict: bool = False, kinds: I
                     error = file = None
                     try:
                         code = code.as_py()
-                        if code is None:
-                            raise SourceError("read", "no text")
-                        code = code.decode("utf-8") if isinstance(code, bytes) else code
-                        if bare:
-                            check(code)
+                        if bare and code is not None:
+                            check(code.decode("utf-8") if isinstance(code, bytes) else code)
                         else:
-                            file = File(code, strict)
+                            file = opened(code, strict)
                     except (SourceError, UnicodeDecodeError) as e:
                         at = (e.row, e.column, e.kind) if isinstance(e, SourceError) else (0, 0, "decode")
                         error = {"stage": at[2], "message": str(e), "line": at[0] + 1, "column": at[1] + 1}
@@ -565,9 +594,7 @@ def facts(files: DataFrame, parts: Iterable[str], strict: bool = False, kinds: I
                             column.append([] if PARTS[name].startswith("array") else None)
                 yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(_pairs(c, arrow.field(n).type), arrow.field(n).type) for c, n in zip(columns, parts, strict=True))], schema=arrow)
 
-    kind = files.schema["code"].dataType
-    code = F.col("code") if isinstance(kind, (T.BinaryType, T.StringType)) else F.col("code").cast("string")
-    return files.select(F.col("path").cast("string").alias("path"), code.alias("code")).mapInArrow(run, schema)
+    return _inputs(files).mapInArrow(run, schema)
 
 
 def _pairs(value: object, kind: pa.DataType) -> object:

@@ -5,7 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.functions import catalog as K
 from codeloom.functions import classify as C
+from codeloom.functions.judge import Judge, parameterised, semantic_sink, semantic_source
 from codeloom.operators import analytics, callgraph, extract, scan, taint
 from codeloom.plans import exports, reports
 from codeloom.sources.facts import facts
@@ -433,3 +435,35 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["rules", "--severity", "medium"]) == 0
     assert main(["validate", folder]) == 0
     assert main(["scan", str(tmp_path / "none")]) == 2
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_plain_and_column_classification_agree(spark, strict):
+    """Over every name, pattern and word of the catalogues, in modules of every kind."""
+    names = {x for e in (*K.SOURCES, *K.SINKS, *K.SANITIZERS) for x in (e.name, e.qualified or "", *e.patterns)}
+    names |= {w for words in (*K.SINK_WORDS.values(), *K.SOURCE_WORDS.values()) for w in words} | {f"{m}.thing" for m in K.DANGEROUS} | {"", "plain", "Run_Query", "pickle.load", "marshal.loads", "os.path.exists"}
+    modules = [None, "os", "sqlite3", "flask.app", "requests", "jinja2", "yaml", "code", "harmless"]
+    rows = [(n.rsplit(".", 1)[-1], n, m) for n in sorted(names) for m in modules]
+    df = spark.createDataFrame(rows, "fn string, qn string, module string")
+    fn, qn, m = F.col("fn"), F.col("qn"), F.col("module")
+    got = df.select(C.source(fn, qn, m).alias("source"), C.sink(fn, qn, m, strict=strict).alias("sink"), C.sanitizer(fn, qn).alias("sanitizer"), C.semantic_sink(fn, qn).alias("structure"), C.source_access(qn).alias("access")).collect()
+    judge = Judge(K.SOURCES, K.SINKS, K.SANITIZERS, True, strict)
+    plain = lambda r: None if r is None else r.asDict()
+    for (f, q, mod), r in zip(rows, got, strict=True):
+        assert plain(r["source"]) == judge.source(f, q, mod), (f, q, mod)
+        assert plain(r["sink"]) == judge.sink(f, q, mod), (f, q, mod)
+        assert plain(r["sanitizer"]) == judge.sanitizer(f, q), (f, q)
+        assert plain(r["structure"]) == semantic_sink(f, q), (f, q)
+        assert r["access"] == judge.access(q), q
+
+
+def test_plain_and_column_structure_agree(spark):
+    texts = [("subscript", "sys.argv[1]", "sys.argv", None, None), ("subscript", "argv[0]", "argv", None, None), ("subscript", "os.environ['a']", "os.environ", None, None), ("call", "os.getenv('a')", None, "getenv", "os.getenv"), ("call", "sys.stdin.read()", None, "read", "sys.stdin.read"), ("attribute", "request.args", None, None, None), ("call", "INPUT()", None, "INPUT", "INPUT"), ("identifier", "request.args", None, None, None), ("call", "f()", None, "f", "f")]
+    df = spark.createDataFrame(texts, "kind string, text string, base string, fn string, qn string")
+    c = [F.col(x) for x in df.columns]
+    got = df.select(C.semantic_source(*c, False).alias("a"), C.semantic_source(*c, True).alias("b")).collect()
+    assert [tuple(r) for r in got] == [(semantic_source(*t, False), semantic_source(*t, True)) for t in texts]
+    calls = [("execute", ["'a %s'", "x"]), ("execute", ["'a %s'"]), ("execute", ["'a ?'"]), ("execute", ["f\"a ?\""]), ("execute", ["'%d and %s'"]), ("Execute", []), ("executemany", ["q", "v"]), ("run", ["'?'"])]
+    df = spark.createDataFrame([(f, a) for f, a in calls], "fn string, args array<string>")
+    got = [r[0] for r in df.select(C.parameterised(F.col("fn"), F.size("args"), F.try_element_at("args", F.lit(1)))).collect()]
+    assert got == [parameterised(f, a) for f, a in calls]
