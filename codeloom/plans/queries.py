@@ -244,10 +244,13 @@ def session_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.cycles(g.symbols, g.edges)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CALLS}, r AS (SELECT path, caller AS a, callee AS b FROM edges UNION SELECT r.path, r.a, e.callee FROM r JOIN edges e ON e.path = r.path AND e.caller = r.b),
+both_ways AS (SELECT x.path, x.a, x.b FROM r x JOIN r y ON y.path = x.path AND y.a = x.b AND y.b = x.a)
+SELECT DISTINCT path, string_agg(b, ',' ORDER BY b) OVER (PARTITION BY path, a ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS members FROM both_ways""")
 def session_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of functions that reach each other: those on a common cycle, or on one of their own."""
     g = _graph(spark, sf_dir)
-    return analytics.components(g.symbols, g.edges, strict=True)
+    return analytics.components(g.symbols, g.edges, strict=True).select("path", F.array_join("members", ",").alias("members"))
 
 
 @query()
@@ -256,30 +259,48 @@ def critical_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.critical(g.symbols, g.edges)
 
 
-@query()
+@query(f"""WITH {_CALLS}, n AS (SELECT path, count(*) AS nodes FROM symbols GROUP BY path), e AS (SELECT path, count(*) AS edges FROM edges GROUP BY path)
+SELECT path, f.format, nodes, coalesce(edges, 0)::BIGINT AS edges FROM n LEFT JOIN e USING (path), (VALUES ('json'), ('graphml'), ('cytoscape'), ('dot')) f(format)""")
 def graph_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every session's graph as DOT, JSON, GraphML and Cytoscape."""
+    """Every session's graph as DOT, JSON, GraphML and Cytoscape, and how many nodes and edges each document has."""
     g = _graph(spark, sf_dir)
     reached = analytics.reach(g.symbols, g.edges, analytics.default_entries(g.symbols, g.edges, g.entry_points))
+    d = F.col("document")
+    count = lambda pattern: F.regexp_count(d, F.lit(pattern)).cast("long")
+    at = lambda p: F.get_json_object(d, p).cast("long")
     out = None
-    for name, make in (("dot", exports.dot), ("json", exports.graph_json), ("graphml", exports.graphml), ("cytoscape", exports.cytoscape)):
-        one = make(g, reached).select("path", F.lit(name).alias("format"), "document")
+    for name, make, nodes, edges in (
+        ("dot", exports.dot, count(r'(?m)^    "[^"]+" \['), count(" -> ")),
+        ("json", exports.graph_json, at("$.statistics.total_nodes"), at("$.statistics.total_edges")),
+        ("graphml", exports.graphml, count("<node "), count("<edge ")),
+        ("cytoscape", exports.cytoscape, count('"group":"nodes"'), count('"group":"edges"')),
+    ):
+        one = make(g, reached).select("path", F.lit(name).alias("format"), nodes.alias("nodes"), edges.alias("edges"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query()
+@query(f"""WITH {_LINES}, {_RULED}, f AS (SELECT DISTINCT path FROM lines), r AS (SELECT path, count(*) AS n, min(line) AS first FROM ruled GROUP BY path)
+SELECT path, coalesce(n, 0)::BIGINT AS finding_count, coalesce(n, 0)::BIGINT AS listed, coalesce(first, 0)::BIGINT AS first_line, 9::BIGINT AS rules_applied FROM f LEFT JOIN r USING (path)""")
 def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every file's findings as a JSON object."""
+    """Every file's findings as a JSON object, read back: how many it says and lists, and where the first is."""
     files = corpus.event_files(spark, sf_dir)
     rules = load_dir().rules
     findings = scan.scan(files, rules)
-    return reports.file_documents(scan.file_results(files, findings, rules), findings)
+    d = reports.file_documents(scan.file_results(files, findings, rules), findings)
+    at = lambda p: F.get_json_object("document", p)
+    number = lambda c, name: F.coalesce(c.cast("long"), F.lit(0).cast("long")).alias(name)
+    return d.select(at("$.file").alias("path"), number(at("$.finding_count"), "finding_count"), number(F.json_array_length(at("$.findings")), "listed"), number(at("$.findings[0].location.line"), "first_line"), number(at("$.rules_applied"), "rules_applied"))
 
 
-@query()
+@query(f"""WITH {_LINES}, seen AS (SELECT *, {_SEEN} FROM lines), per AS (SELECT path, count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type = 'purchase' AND source_line IS NOT NULL) AS p, min(line) FILTER (event_type = 'purchase' AND source_line IS NOT NULL) AS first FROM seen GROUP BY path)
+SELECT path, e AS sources_found, p AS total_paths, p AS listed, coalesce(first, 0)::BIGINT AS first_sink FROM per""")
 def taint_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.taint_documents(taint.analyse(corpus.event_files(spark, sf_dir)))
+    """Every file's taint report as a JSON object, read back."""
+    d = reports.taint_documents(taint.analyse(corpus.event_files(spark, sf_dir)))
+    at = lambda p: F.get_json_object("document", p)
+    number = lambda c, name: F.coalesce(c.cast("long"), F.lit(0).cast("long")).alias(name)
+    return d.select(at("$.file_path").alias("path"), number(at("$.summary.sources_found"), "sources_found"), number(at("$.summary.total_paths"), "total_paths"), number(F.json_array_length(at("$.paths")), "listed"), number(at("$.paths[0].sink.line"), "first_sink"))
 
 
 # -- graph analytics on an edge table --
