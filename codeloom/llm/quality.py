@@ -23,24 +23,27 @@ from pyspark.sql import functions as F
 from codeloom.runtime import cut, table
 
 EPSILON, DELTA, COST, STEPS = 0.05, 0.1, 10.0, 20
+#: Up to so many strata the table of their cutoffs (some 100 bytes each) is broadcast, beyond it is joined.
+BROADCAST_STRATA = 50_000
 GRID = [round(0.9 * 0.8**j, 6) for j in range(STEPS)]
 WORD = "[^ \\t\\n\\r\\f]+"
 RULES = ("symbols", "shouting", "emphasis", "repeats", "dup_lines")
 
 
 def scores(text: Column) -> dict[str, Column]:
-    """The rules: shares of markup-like symbols, capitals and ! or ? among characters, of words equal to the one before, and of lines that stood before. 0 for null or empty text."""
+    """The rules, on rows that have __words and __lines: shares of markup-like symbols, capitals and ! or ? among characters, of words equal to the one before, and of lines that stood before. 0 for null or empty text."""
     t = F.coalesce(text.cast("string"), F.lit(""))
     n = F.greatest(F.length(t), F.lit(1))
-    share = lambda pattern: (F.length(t) - F.length(F.regexp_replace(t, pattern, ""))) / n
-    words, lines = F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), F.split(t, "\n")
+    # What is left after all else is taken out: few characters, so little is copied.
+    share = lambda others: F.length(F.regexp_replace(t, others, "")) / n
+    words, lines = F.col("__words"), F.col("__lines")
     before = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
     after = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
     same = F.size(F.filter(F.zip_with(after, before, lambda a, b: a == b), lambda e: e))
     return {
-        "symbols": share(r"[|#$%&*<>{}^~=_@]+"),
-        "shouting": share(r"\p{Lu}+"),
-        "emphasis": share("[!?]+"),
+        "symbols": share(r"[^|#$%&*<>{}^~=_@]+"),
+        "shouting": share(r"\P{Lu}+"),
+        "emphasis": share("[^!?]+"),
         "repeats": same / F.greatest(F.size(words), F.lit(1)),
         "dup_lines": 1 - F.size(F.array_distinct(lines)) / F.size(lines),
     }
@@ -74,6 +77,9 @@ def choose(counts: list[dict], epsilon: float = EPSILON, delta: float = DELTA, g
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, stratum (lang; '' for null) and each rule's score, of every row."""
+    t = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    # Words and lines are columns of their own: the rules use them several times.
+    docs = docs.select(docs["doc_id"], docs["lang"], docs["text"], F.regexp_extract_all(t, F.lit(WORD), F.lit(0)).alias("__words"), F.split(t, "\n").alias("__lines"))
     made = scores(F.col("text"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), *[made[r].alias(r) for r in RULES])
 
@@ -101,18 +107,15 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     made = cut(scored(docs))
     at = cutoffs(made, labels)
-    hit = {}
-    for rule in RULES:
-        over = F.lit(False)
-        for (stratum, r), c in sorted(at.items()):
-            if r == rule:
-                over = over | ((F.col("stratum") == stratum) & (F.col(rule) > c))
-        hit[rule] = over
-    by = F.concat_ws(",", *[F.when(hit[r], F.lit(r)) for r in RULES])
-    return made.withColumn("rejected_by", by).withColumn("keep", F.col("rejected_by") == "")
+    strata = sorted({s for s, _ in at})
+    table_ = docs.sparkSession.createDataFrame([(s, *[at.get((s, r)) for r in RULES]) for s in strata], "stratum string, " + ", ".join(f"__{r} double" for r in RULES))
+    joined = made.join(F.broadcast(table_) if len(strata) <= BROADCAST_STRATA else table_, "stratum", "left")
+    by = F.concat_ws(",", *[F.when(F.col(r) > F.col(f"__{r}"), F.lit(r)) for r in RULES])
+    return joined.withColumn("rejected_by", by).withColumn("keep", F.col("rejected_by") == "").select("doc_id", "stratum", *RULES, "rejected_by", "keep")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and verdict of every document; edge cases are those of ``judge``."""
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
