@@ -41,7 +41,7 @@ def cmd_scan(a: argparse.Namespace) -> int:
     loaded = load_dir(a.rules)
     rules = pick(loaded.rules, a.rule, a.min_severity, a.exclude)
     findings = scan.scan(files, rules, strict=a.strict).cache()
-    results = scan.file_results(files, findings, rules).cache()
+    results = scan.file_results(files, findings, rules, timed=True).cache()
     target = a.output or f"report.{a.format}"
     if a.format == "json":
         reports.write_json(results, findings, target)

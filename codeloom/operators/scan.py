@@ -196,15 +196,20 @@ def scan_errors(files: DataFrame) -> DataFrame:
     return facts(files, ["errors"]).select("path", F.explode("errors").alias("e")).select("path", "e.*")
 
 
-def file_results(files: DataFrame, findings: DataFrame, rules: int | list[Rule]) -> DataFrame:
-    """A row for each file: its findings by severity and in all, how many rules were applied, and its errors, those of rules that can't be applied among them."""
+def file_results(files: DataFrame, findings: DataFrame, rules: int | list[Rule], timed: bool = False) -> DataFrame:
+    """A row for each file: its findings by severity and in all, how many rules were applied, and its errors, those of rules that can't be applied among them.
+
+    timed: with scan_time_ms, what building the file's tree took, by far the
+    most of its scan; the tree is then built once more.
+    """
     bad = [] if isinstance(rules, int) else list(rule_errors(files.sparkSession, rules).values())
     n_rules = rules if isinstance(rules, int) else len(rules)
     counts = findings.groupBy("path").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES], F.count("*").alias("finding_count"))
-    errors = facts(files, ["errors"])
+    errors = facts(files, ["errors", "parse_ms", "stats"] if timed else ["errors"])
     zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("finding_count", *SEVERITIES)]
     applied = F.when(F.size("errors") > 0, 0).otherwise(n_rules).alias("rules_applied")
-    return errors.join(counts, "path", "left").select("path", *zero, applied, F.when(F.size("errors") > 0, F.col("errors.message")).otherwise(F.array(*[F.lit(b) for b in bad]).cast("array<string>")).alias("errors"))
+    time = [F.col("parse_ms").alias("scan_time_ms")] if timed else []
+    return errors.join(counts, "path", "left").select("path", *zero, applied, *time, F.when(F.size("errors") > 0, F.col("errors.message")).otherwise(F.array(*[F.lit(b) for b in bad]).cast("array<string>")).alias("errors"))
 
 
 def scan_totals(files: DataFrame, rules: list[Rule]) -> DataFrame:

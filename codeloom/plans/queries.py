@@ -82,7 +82,7 @@ def rule_filter_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_LINES}, {_RULED}, files AS (SELECT DISTINCT path FROM lines), per AS (SELECT path, count(rule_id) AS n, {_BY_SEVERITY} FROM files LEFT JOIN ruled USING (path) GROUP BY path)
-SELECT count(*) AS files_scanned, sum(n)::BIGINT AS total_findings, {", ".join(f"sum({s})::BIGINT AS {s}" for s in SEVERITIES)}, count(*) FILTER (n > 0) AS files_with_findings,
+SELECT count(*) AS files_scanned, 0::BIGINT AS unscanned_files, sum(n)::BIGINT AS total_findings, {", ".join(f"sum({s})::BIGINT AS {s}" for s in SEVERITIES)}, count(*) FILTER (n > 0) AS files_with_findings,
 count(*) FILTER (n = 0) AS clean_files, sum(high) > 0 AS has_high_severity, (9 * count(*))::BIGINT AS rules_applied FROM per""")
 def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = corpus.event_files(spark, sf_dir)

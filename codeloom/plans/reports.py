@@ -28,7 +28,7 @@ SINK_LABELS = {
 }
 REPORT = """scan_info struct<tool:string,version:string,timestamp:string,files_scanned:long,total_findings:long>,
  summary struct<findings_by_severity:map<string,long>,has_high_severity:boolean>,
- results array<struct<file:string,finding_count:long,rules_applied:long,findings:array<struct<rule_id:string,title:string,severity:string,message:string,
+ results array<struct<file:string,finding_count:long,scan_time_ms:double,rules_applied:long,findings:array<struct<rule_id:string,title:string,severity:string,message:string,
  location:struct<file:string,line:int,column:int,end_line:int,end_column:int,byte_offset:struct<start:int,end:int>>,confidence:double,remediation:string,code_snippet:string,metadata:struct<node_type:string,node_text:string,rule_tags:array<string>>>>,errors:array<string>>>"""
 
 
@@ -51,10 +51,12 @@ def has_findings(findings: DataFrame, at_least: str = "low") -> DataFrame:
 
 
 def totals(results: DataFrame) -> DataFrame:
-    """One row over file results: files, findings, by severity, whether any is high or critical, files with and without findings."""
+    """One row over file results: files, those without a tree, findings, by severity, whether any is high or critical, files with and without findings, and of timed results their time."""
     sums = [F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in SEVERITIES]
     with_ = F.count_if(F.col("finding_count") > 0)
-    out = results.agg(F.count("*").alias("files_scanned"), F.coalesce(F.sum("finding_count"), F.lit(0)).alias("total_findings"), *sums, with_.alias("files_with_findings"), F.coalesce(F.sum("rules_applied"), F.lit(0)).cast("long").alias("rules_applied"))
+    unscanned = F.count_if((F.size("errors") > 0) & (F.col("rules_applied") == 0)).alias("unscanned_files")
+    time = [F.round(F.sum("scan_time_ms"), 3).alias("total_time_ms"), F.round(F.avg("scan_time_ms"), 3).alias("avg_time_ms")] if "scan_time_ms" in results.columns else []
+    out = results.agg(F.count("*").alias("files_scanned"), unscanned, *time, F.coalesce(F.sum("finding_count"), F.lit(0)).alias("total_findings"), *sums, with_.alias("files_with_findings"), F.coalesce(F.sum("rules_applied"), F.lit(0)).cast("long").alias("rules_applied"))
     return out.withColumn("clean_files", F.col("files_scanned") - F.col("files_with_findings")).withColumn("has_high_severity", F.col("high") + F.col("critical") > 0)
 
 
@@ -93,7 +95,7 @@ def file_documents(results: DataFrame, findings: DataFrame) -> DataFrame:
     none = F.expr("filter(f, x -> false)")
     rows = results.join(grouped, "path", "left")
     slim = F.transform(F.coalesce("f", none, F.array()), lambda x: x.dropFields("node_id"))
-    doc = F.struct(F.col("path").alias("file"), "finding_count", "rules_applied", slim.alias("findings"), F.when(F.size("errors") > 0, F.col("errors")).alias("errors"))
+    doc = F.struct(F.col("path").alias("file"), "finding_count", *(["scan_time_ms"] if "scan_time_ms" in results.columns else []), "rules_applied", slim.alias("findings"), F.when(F.size("errors") > 0, F.col("errors")).alias("errors"))
     return rows.select("path", F.to_json(doc).alias("document"))
 
 
@@ -202,7 +204,10 @@ def empty_sarif() -> dict:
 def text_report(results: DataFrame, findings: DataFrame, at_least: str = "low", shown: int | None = None) -> str:
     """The scan as plain text: totals, then findings by severity."""
     t = totals(results).first()
-    out = [f"{t['files_scanned']} files, {t['total_findings']} findings: " + ", ".join(f"{t[s]} {s}" for s in reversed(SEVERITIES)), ""]
+    out = [f"{t['files_scanned']} files ({t['unscanned_files']} could not be read), {t['total_findings']} findings: " + ", ".join(f"{t[s]} {s}" for s in reversed(SEVERITIES))]
+    if "scan_time_ms" in results.columns:
+        out.append(f"{t['total_time_ms']:.1f} ms in all, {t['avg_time_ms']:.2f} ms a file, {t['rules_applied']} rules applied")
+    out.append("")
     rows = listed(findings, at_least)
     for r in (rows if shown is None else rows.limit(shown)).toLocalIterator():
         out.append(f"{r['severity']:<8} {r['path']}:{r['start_line']}:{r['start_column']} {r['rule_id']} {r['message']}")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from time import perf_counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +37,7 @@ PARTS = {
     "strings": f"array<struct<id:int,text:string,{PLACE}>>",
     "lines": "array<string>",
     "stats": "struct<total_lines:int,non_empty_lines:int,functions:int,calls:int,imports:int,size_bytes:int>",
+    "parse_ms": "double",
     "errors": "array<struct<stage:string,message:string,line:int,column:int>>",
 }
 WEIGHTS = {"if": 4, "elif": 4, "for": 4, "while": 4, "and": 2, "or": 2} | dict.fromkeys("else try except finally with break continue return yield raise assert".split(), 1)
@@ -576,6 +578,7 @@ def facts(files: DataFrame, parts: Iterable[str], strict: bool = False, kinds: I
                 columns: list[list] = [[] for _ in parts]
                 for code in piece.column(1):
                     error = file = None
+                    began = perf_counter()
                     try:
                         code = code.as_py()
                         if bare and code is not None:
@@ -585,8 +588,11 @@ def facts(files: DataFrame, parts: Iterable[str], strict: bool = False, kinds: I
                     except (SourceError, UnicodeDecodeError) as e:
                         at = (e.row, e.column, e.kind) if isinstance(e, SourceError) else (0, 0, "decode")
                         error = {"stage": at[2], "message": str(e), "line": at[0] + 1, "column": at[1] + 1}
+                    took = (perf_counter() - began) * 1000
                     for column, name in zip(columns, parts, strict=True):
-                        if file is not None:
+                        if name == "parse_ms":
+                            column.append(took)
+                        elif file is not None:
                             column.append(file.part(name, kinds_, want_, deep))
                         elif name == "errors":
                             column.append([error] if error else [])
