@@ -48,7 +48,7 @@ def file_stats(files: DataFrame) -> DataFrame:
 
 
 def syntax_errors(files: DataFrame) -> DataFrame:
-    """One row at most for a file: Python's parser stops at the first error."""
+    """A row for each line that Python refuses (stage ``partial``), or one for a file that has no tree."""
     return explode_part(facts(files, ["errors"]), "errors")
 
 

@@ -192,10 +192,15 @@ def scan(files: DataFrame, rules: list[Rule], ids: Iterable[str] | None = None,
 
 
 def scan_errors(files: DataFrame) -> DataFrame:
-    """(path, stage, message, line, column) of files that have no tree."""
+    """(path, stage, message, line, column) of files that have no tree, and of lines (stage ``partial``) that have none in files that have one."""
     return facts(files, ["errors"]).select("path", F.explode("errors").alias("e")).select("path", "e.*")
 
 
+def _treeless() -> Column:
+    """Whether a file's errors say that it has no tree."""
+    return F.exists("errors", lambda e: ~e["stage"].isin("partial", "symbols"))
+
+
 def file_results(files: DataFrame, findings: DataFrame, rules: int | list[Rule], timed: bool = False) -> DataFrame:
     """A row for each file: its findings by severity and in all, how many rules were applied, and its errors, those of rules that can't be applied among them.
 
@@ -207,7 +212,7 @@ def file_results(files: DataFrame, findings: DataFrame, rules: int | list[Rule],
     counts = findings.groupBy("path").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES], F.count("*").alias("finding_count"))
     errors = facts(files, ["errors", "parse_ms", "stats"] if timed else ["errors"])
     zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("finding_count", *SEVERITIES)]
-    applied = F.when(F.size("errors") > 0, 0).otherwise(n_rules).alias("rules_applied")
+    applied = F.when(_treeless(), 0).otherwise(n_rules).alias("rules_applied")
     time = [F.col("parse_ms").alias("scan_time_ms")] if timed else []
     return errors.join(counts, "path", "left").select("path", *zero, applied, *time, F.when(F.size("errors") > 0, F.col("errors.message")).otherwise(F.array(*[F.lit(b) for b in bad]).cast("array<string>")).alias("errors"))
 
@@ -221,8 +226,8 @@ def scan_totals(files: DataFrame, rules: list[Rule]) -> DataFrame:
     made = facts(files, ["nodes", "errors"], kinds=types, want=("text",))
     hits = lambda n, s: sum((F.coalesce(pattern_holds(p, n), F.lit(False)).cast("int") for r in active if r.severity == s for p in r.patterns), F.lit(0))
     per = F.aggregate("nodes", F.array(*[F.lit(0)] * len(SEVERITIES)), lambda a, n: F.zip_with(a, F.array(*[hits(n, s) for s in SEVERITIES]), lambda x, y: x + y))
-    counted = made.select("path", per.alias("__n"), F.col("errors.message").alias("errors"))
+    counted = made.select("path", per.alias("__n"), _treeless().alias("__bad"), F.col("errors.message").alias("errors"))
     by = [F.coalesce(F.col("__n")[i], F.lit(0)).cast("long").alias(s) for i, s in enumerate(SEVERITIES)]
-    applied = F.when(F.size("errors") > 0, 0).otherwise(len(rules)).alias("rules_applied")
+    applied = F.when(F.col("__bad"), 0).otherwise(len(rules)).alias("rules_applied")
     out = counted.select("path", *by, applied, F.when(F.size("errors") > 0, F.col("errors")).otherwise(F.array(*[F.lit(b) for b in bad.values()]).cast("array<string>")).alias("errors"))
     return out.select("path", sum((F.col(s) for s in SEVERITIES), F.lit(0)).cast("long").alias("finding_count"), *SEVERITIES, "rules_applied", "errors")

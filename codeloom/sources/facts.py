@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from codeloom.sources.tree import Node, Source, SourceError, build, check
+from codeloom.sources.tree import Node, Source, SourceError, check, mend, rescue
 
 PLACE = "sl:int,sc:int,el:int,ec:int,sb:int,eb:int"
 CALL = "id:int,func_id:int,caller:string,top_level:boolean,main_block:boolean,conditional:boolean,fn:string,qn:string,text:string"
@@ -290,7 +290,7 @@ class File:
     """Everything the parts need of one parsed file."""
 
     def __init__(self, text: str, strict: bool = False) -> None:
-        self.root, self.source = build(text)
+        self.root, self.source, self.errors = rescue(text)
         self.strict = strict
         self.all = list(self.root.walk())
         self.split = self.source.text.splitlines()
@@ -522,10 +522,16 @@ class File:
         if name == "lines":
             return self.split
         if name == "errors":
-            return [{"stage": "symbols", "message": f"definitions nested more than {NESTING} deep", "line": 1, "column": 1}] if deep and not self.strict and self.too_deep() else []
+            nested = [{"stage": "symbols", "message": f"definitions nested more than {NESTING} deep", "line": 1, "column": 1}] if deep and not self.strict and self.too_deep() else []
+            return [*_partial(self.errors), *nested]
         return getattr(self, name)()
 
 
+def _partial(errors: list[SourceError]) -> list[dict]:
+    """Rows of the errors of a file that has a tree but for some lines."""
+    return [{"stage": "partial", "message": str(e), "line": e.row + 1, "column": e.column + 1} for e in errors]
+
+
 def opened(code: object, strict: bool) -> File:
     """A parsed file. SourceError or UnicodeDecodeError if there is no tree."""
     if code is None:
@@ -578,11 +584,18 @@ def facts(files: DataFrame, parts: Iterable[str], strict: bool = False, kinds: I
                 columns: list[list] = [[] for _ in parts]
                 for code in piece.column(1):
                     error = file = None
+                    partial: list[dict] = []
                     began = perf_counter()
                     try:
                         code = code.as_py()
                         if bare and code is not None:
-                            check(code.decode("utf-8") if isinstance(code, bytes) else code)
+                            text = code.decode("utf-8") if isinstance(code, bytes) else code
+                            try:
+                                check(text)
+                            except SourceError as e:
+                                if e.kind != "syntax":
+                                    raise
+                                partial = _partial(mend(text.removeprefix("\ufeff"))[1])
                         else:
                             file = opened(code, strict)
                     except (SourceError, UnicodeDecodeError) as e:
@@ -595,7 +608,7 @@ def facts(files: DataFrame, parts: Iterable[str], strict: bool = False, kinds: I
                         elif file is not None:
                             column.append(file.part(name, kinds_, want_, deep))
                         elif name == "errors":
-                            column.append([error] if error else [])
+                            column.append([error] if error else partial)
                         else:
                             column.append([] if PARTS[name].startswith("array") else None)
                 yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(_pairs(c, arrow.field(n).type), arrow.field(n).type) for c, n in zip(columns, parts, strict=True))], schema=arrow)

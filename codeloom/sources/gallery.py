@@ -98,6 +98,9 @@ class A:
 ''',
     '''def broken(:
     pass
+
+def after_$T():
+    x = 1
 ''',
 ]
 

@@ -6,8 +6,11 @@ parts of a concatenated string. Node kinds and field names follow the public
 tree grammar of Python that editors use (``call``, ``function_definition``,
 ``if_statement`` with ``condition`` and ``consequence``, ...).
 
-A text that Python's own grammar refuses has no tree at all; ``build`` then
-raises ``SourceError`` with the place. Columns count bytes, rows from 0.
+Where Python's own grammar refuses a text, ``rescue`` stands harmless lines of
+the same length in for those it refuses, one after another, and calls what they
+become ``ERROR`` nodes: one bad line does not hide the others. A text of too
+many such lines has no tree; ``build`` raises ``SourceError`` with the place at
+the first. Columns count bytes, rows from 0.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import ast
 import bisect
 import io
+import re
 import sys
 import tokenize
 import warnings
@@ -656,6 +660,74 @@ def build(text: str) -> tuple[Node, Source]:
     return _guarded(run, text)
 
 
+#: Lines that are stood in for before a text counts as no Python at all.
+MENDS = 40
+_LINES = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|\Z)")
+
+
+def _stand_in(line: str, word: str) -> str:
+    """A line of as many bytes, its indent and then a word that does nothing; blank where it has no room."""
+    body = line.rstrip("\r\n")
+    indent = body[: len(body) - len(body.lstrip(" \t\f"))]
+    size = len(body[len(indent) :].encode("utf-8", "surrogatepass"))
+    word = word if size >= len(word) else ""
+    return indent + word + " " * (size - len(word)) + line[len(body) :]
+
+
+def mend(text: str) -> tuple[str, list[SourceError], set[int]]:
+    """The text with lines stood in for until it has a tree, the errors met, and the rows changed. The first SourceError if that doesn't come about.
+
+    A line gives way to ``pass``, the head of a block to another head; where
+    that helps nothing, and where the indent is at fault, it is blanked.
+    """
+    lines, errors, tries = _LINES.findall(text), [], {}
+    whole = list(lines)
+    while True:
+        try:
+            check("".join(lines))
+            return "".join(lines), errors, set(tries)
+        except SourceError as e:
+            errors.append(e)
+            row, what = min(e.row, len(lines) - 1), str(e)
+            headless = re.match(r"expected an indented block after .* on line (\d+)", what)
+            if headless:
+                row = int(headless.group(1)) - 1
+            elif what.startswith("expected 'except'"):
+                row = max((i for i in range(row) if re.match(r"\s*try\s*:", lines[i])), default=row)
+            while row > 0 and tries.get(row, 0) > 1:
+                row -= 1
+            if e.kind != "syntax" or len(errors) > MENDS or tries.get(row, 0) > 1:
+                raise errors[0] from None
+            tries[row] = tries.get(row, 0) + 1
+            head = whole[row].split("#", 1)[0].rstrip().endswith(":")
+            if tries[row] > 1 or ("indent" in what and not headless):
+                lines[row], tries[row] = _stand_in(whole[row], ""), 2
+            else:
+                lines[row] = _stand_in(whole[row], "if 1:" if head and not headless else "pass")
+
+
+def rescue(text: str) -> tuple[Node, Source, list[SourceError]]:
+    """The tree of a text as far as it has one, and the errors in it. SourceError if it has none."""
+    try:
+        return (*build(text), [])
+    except SourceError as e:
+        if e.kind != "syntax":
+            raise
+    text = text.removeprefix("\ufeff")
+    mended, errors, rows = mend(text)
+    root, source = build(mended)
+    source.text, source.data = text, text.encode("utf-8", "surrogatepass")
+    for n in root.walk():
+        n.src = source.data
+        if n.type in ("pass_statement", "if_statement") and source.point(n.start)[0] in rows:
+            n.type, n.kids = "ERROR", [k for k in n.kids if k.type == "block"]
+            row = source.point(n.start)[0]
+            line = source.data[source.begins[row] : [*source.begins, len(source.data)][row + 1]].rstrip()
+            n.end = max(n.end, source.begins[row] + len(line))
+    number(root)
+    return root, source, errors
+
+
 def number(root: Node) -> None:
     every = list(root.walk())
     for i, n in enumerate(every):

@@ -172,13 +172,27 @@ def test_rule_files(tmp_path):
 
 
 def test_files_without_a_tree_are_error_rows(spark):
-    files = spark.createDataFrame([("a", b"x = 1"), ("b", b"def ("), ("c", None), ("d", b"\xff\xfe")], "path string, code binary")
+    files = spark.createDataFrame([("a", b"x = 1"), ("b", b"a b\n" * 50), ("c", None), ("d", b"\xff\xfe")], "path string, code binary")
     assert {r["path"]: r["stage"] for r in scan.scan_errors(files).collect()} == {"b": "syntax", "c": "read", "d": "decode"}
     f = scan.scan(files, load_dir().rules)
     r = {x["path"]: x for x in scan.file_results(files, f, 8).collect()}
     assert r["a"]["rules_applied"] == 8 and r["b"]["rules_applied"] == 0 and r["b"]["errors"]
 
 
+def test_one_bad_line_does_not_hide_the_others(spark):
+    code = "import os\ndef broken(:\n    os.system(a)\nprint 'old'\ndef fine():\n    x = (1,\n    os.system(b)\n"
+    files = from_strings(spark, code)
+    found = scan.scan(files, load_dir().rules)
+    assert [(r["rule_id"], r["start_line"]) for r in found.orderBy("start_line").collect()] == [("PY.OS.SYSTEM", 3), ("PY.OS.SYSTEM", 7)]
+    errors = extract.syntax_errors(files).collect()
+    assert sorted((r["stage"], r["line"]) for r in errors) == [("partial", 2), ("partial", 4), ("partial", 6)]
+    r = scan.file_results(files, found, load_dir().rules).first()
+    assert r["rules_applied"] == 9 and r["finding_count"] == 2 and len(r["errors"]) == 3
+    bad = extract.nodes(files, ["ERROR"]).orderBy("id").collect()
+    assert [n["text"].split("\n")[0] for n in bad] == ["def broken(:", "print 'old'", "x = (1,"]
+    assert [r["name"] for r in extract.functions(files).collect()] == ["fine"]
+
+
 def test_extraction(spark):
     d = from_strings(spark, RISKY)
     assert [r["name"] for r in extract.functions(d).orderBy("id").collect()] == ["one", "two"]
