@@ -120,7 +120,7 @@ def count_grams(docs: DataFrame, parts: int, order: int = ORDER) -> DataFrame:
                 x = packed(data, offsets[lo : hi + 1], order)
                 if len(x):
                     held.append(distinct(x))
-                if sum(len(k) for k, _ in held) > 12_000_000:
+                if sum(len(k) for k, _ in held) > 6_000_000:
                     yield from dealt(*merged(held), parts)
                     held.clear()
         if held:
@@ -541,23 +541,24 @@ def score(docs: DataFrame, model: DataFrame, low: np.ndarray, order: int = ORDER
     def one(texts: pa.Table, found: pa.Table) -> pa.Table:
         ids, column = (pa.concat_arrays(texts.column(c).chunks) for c in ("doc_id", "text"))
         data, offsets = buffers(column)
-        held, total = [], np.zeros(len(ids))
-        for lo, hi in pieces(offsets, 1 << 21):
-            for at in range(lo, hi, 256):
-                to = min(hi, at + 256)
-                # Sequence and row in one number: one sort puts equal sequences together and keeps whose they are.
-                row = np.repeat(np.arange(to - at, dtype=np.uint8), np.diff(offsets[at : to + 1]))
-                x = np.sort(packed(data, offsets[at : to + 1], order) << U(8) | row)
-                held.append((at, to, x))
-        first = [np.flatnonzero(np.concatenate([[True], x[1:] >> U(8) != x[:-1] >> U(8)])[: len(x)]) for _, _, x in held]
-        if found.num_rows:
-            keys = distinct(np.concatenate([x[f] >> U(8) for (_, _, x), f in zip(held, first, strict=True)]))[0]
-            log_p = np.empty(len(keys))
-            answers = sorted(zip(*(found.column(c).to_pylist() for c in ("p", "n", "prob")), strict=True))
-            log_p[np.argsort(part_of(keys, parts).astype(np.uint16), kind="stable")] = np.log(np.concatenate([expand(b, n, np.float32) for _, n, b in answers]).astype(float))
-            for (at, to, x), f in zip(held, first, strict=True):
-                each = np.repeat(log_p[np.searchsorted(keys, x[f] >> U(8))], np.diff(np.append(f, len(x))))
-                total[at:to] = np.bincount((x & U(255)).astype(np.uint8), each, to - at)
+        total, some = np.zeros(len(ids)), [np.zeros(0, U)]
+        parts_of_256 = [(at, min(hi, at + 256)) for lo, hi in pieces(offsets, 1 << 21) for at in range(lo, hi, 256)]
+        for at, to in parts_of_256:
+            some.append(distinct(packed(data, offsets[at : to + 1], order))[0])
+            if len(some) > 8:
+                some[:] = [distinct(np.concatenate(some))[0]]
+        keys = distinct(np.concatenate(some))[0]
+        log_p = np.empty(len(keys))
+        answers = sorted(zip(*(found.column(c).to_pylist() for c in ("p", "n", "prob")), strict=True))
+        by = np.argsort(part_of(keys, parts).astype(np.uint16), kind="stable")
+        log_p[by] = np.log(np.concatenate([np.zeros(0, np.float32), *(expand(b, n, np.float32) for _, n, b in answers)]).astype(float))
+        for at, to in parts_of_256:
+            # Sequence and row in one number: one sort puts equal sequences together and keeps whose they are.
+            row = np.repeat(np.arange(to - at, dtype=np.uint8), np.diff(offsets[at : to + 1]))
+            x = np.sort(packed(data, offsets[at : to + 1], order) << U(8) | row)
+            first = np.flatnonzero(np.concatenate([[True], x[1:] >> U(8) != x[:-1] >> U(8)])[: len(x)])
+            each = np.repeat(log_p[np.searchsorted(keys, x[first] >> U(8))], np.diff(np.append(first, len(x))))
+            total[at:to] = np.bincount((x & U(255)).astype(np.uint8), each, to - at)
         size = np.diff(offsets)
         none = size == 0
         return pa.table([ids, pa.array(size, pa.int64()), pa.array(total, mask=none), pa.array(np.exp(-total / np.maximum(size, 1)), mask=none)], ["doc_id", "n_bytes", "log_prob", "perplexity"])
