@@ -94,35 +94,54 @@ def source_weights(totals: DataFrame, budget: float | None, max_repeats: float |
     return totals.select("source", "total", "docs", F.floor(raw / F.lit(s) * F.lit(budget)).cast("long").alias("target")), n
 
 
-def plan_mixture(docs: DataFrame, budget: float | None = None, max_repeats: float | None = MAX_REPEATS, entropy: float | None = None, block_docs: int = BLOCK_DOCS, seed: int = SEED) -> DataFrame:
-    """(source, doc_id, key, n_tokens, epoch, block, before): every copy the mixture takes, ``before`` the tokens of its source ahead of it.
+def block_of(seed: int, blocks: Column, key: Column) -> Column:
+    return hashed(F.lit(seed), key) % blocks
 
-    Rows that repeat a doc_id within a source are drawn together, as one
-    document of all their tokens; rows without doc_id by their text. A null
-    source is a source of its own, named ''. Documents without tokens are not
-    taken: there is nothing to draw. An empty table gives no rows. Of extra
-    columns none is read.
-    """
+
+def place_of_block(seed: int, source: Column, epoch: Column, block: Column) -> Column:
+    """Blocks of a source are read in this order, ties by their number."""
+    return hashed(F.lit(seed), source, epoch, block)
+
+
+def place_in_block(seed: int, epoch: Column, key: Column) -> Column:
+    """Documents of a block are read in this order, ties by their key."""
+    return hashed(F.lit(seed), epoch, key)
+
+
+def planned(docs: DataFrame, budget: float | None, max_repeats: float | None, entropy: float | None, block_docs: int, seed: int) -> tuple[DataFrame, DataFrame, int]:
+    """What plan_mixture gives, with the number of ``blocks`` of each source; the documents that have tokens; the number of sources."""
     base = docs.select(key_of(docs), F.col("doc_id").cast("long").alias("doc_id"), source_of(docs), tokens_of(F.col("text")).alias("n_tokens")).filter("n_tokens > 0")
     base = cut(base.groupBy("source", "key").agg(F.first("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens")))
     totals = keep(base.groupBy("source").agg(F.sum("n_tokens").alias("total"), F.count("*").alias("docs")))
     sources, n_sources = source_weights(totals, budget, max_repeats, entropy)
     sized = sources.select("source", "total", "target", F.ceil(F.col("docs") / block_docs).cast("long").alias("blocks"))
-    placed = base.join(F.broadcast(sized) if n_sources <= BROADCAST_SOURCES else sized, "source").withColumn("block", hashed(F.lit(seed), F.col("key")) % F.col("blocks"))
+    placed = base.join(F.broadcast(sized) if n_sources <= BROADCAST_SOURCES else sized, "source").withColumn("block", block_of(seed, F.col("blocks"), F.col("key")))
     epochs = F.floor((F.col("target") + F.col("total") - 1) / F.col("total")).cast("int")
     placed = placed.filter("target > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), (epochs - 1).cast("long"))))
     blocks = placed.groupBy("source", "epoch", "block").agg(F.sum("n_tokens").alias("in_block"))
-    blocks = blocks.withColumn("at", hashed(F.lit(seed), F.col("source"), F.col("epoch"), F.col("block")))
+    blocks = blocks.withColumn("at", place_of_block(seed, F.col("source"), F.col("epoch"), F.col("block")))
     blocks = blocks.withColumn("range", F.shiftright("at", 60 - RANGE_BITS))
     ahead = lambda *by: Window.partitionBy("source", "epoch", *by).rowsBetween(Window.unboundedPreceding, -1)
     ranges = blocks.groupBy("source", "epoch", "range").agg(F.sum("in_block").alias("in_range"))
     ranges = ranges.select("source", "epoch", "range", F.coalesce(F.sum("in_range").over(ahead().orderBy("range")), F.lit(0)).alias("before_range"))
     within = F.coalesce(F.sum("in_block").over(ahead("range").orderBy("at", "block")), F.lit(0))
     blocks = blocks.withColumn("within", within).join(ranges, ["source", "epoch", "range"]).select("source", "epoch", "block", (F.col("before_range") + F.col("within")).alias("ahead"))
-    inner = ahead("block").orderBy(hashed(F.lit(seed), F.col("epoch"), F.col("key")), "key")
+    inner = ahead("block").orderBy(place_in_block(seed, F.col("epoch"), F.col("key")), "key")
     taken = placed.join(blocks, ["source", "epoch", "block"])
     before = F.col("epoch") * F.col("total") + F.col("ahead") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))
-    return taken.withColumn("before", before).filter("before < target").select("source", "doc_id", "key", "n_tokens", "epoch", "block", "before")
+    return taken.withColumn("before", before).filter("before < target"), base, n_sources
+
+
+def plan_mixture(docs: DataFrame, budget: float | None = None, max_repeats: float | None = MAX_REPEATS, entropy: float | None = None, block_docs: int = BLOCK_DOCS, seed: int = SEED) -> DataFrame:
+    """(source, doc_id, key, n_tokens, epoch, block, before): every copy the mixture takes, ``before`` the tokens of its source ahead of it.
+
+    Rows that repeat a doc_id within a source are drawn together, as one
+    document of all their tokens; rows without doc_id by their text. A null
+    source is a source of its own, named ''. Documents without tokens are not
+    taken: there is nothing to draw. An empty table gives no rows. Of extra
+    columns none is read.
+    """
+    return planned(docs, budget, max_repeats, entropy, block_docs, seed)[0].select("source", "doc_id", "key", "n_tokens", "epoch", "block", "before")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,12 +150,31 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """docs as the mixture has them: rows left out or repeated, columns as they came."""
-    copies = plan_mixture(docs).groupBy(F.col("key").alias("__key"), F.col("source").alias("__source")).count()
+    """docs as the mixture has them: rows left out or repeated, columns as they came.
+
+    A source is read whole in each epoch but its last, and there up to one
+    document. So a row's copies follow from its own key and where its source
+    ends, a few numbers a source, which are broadcast: texts stay where they
+    are read. Where sources are too many for that, rows are joined by key.
+    """
+    taken, base, n_sources = planned(docs, None, MAX_REPEATS, None, BLOCK_DOCS, SEED)
     # The row goes along as one struct, so that no column of it can clash.
     rows = docs.select(F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("row"), key_of(docs).alias("__key"), source_of(docs).alias("__source"))
-    joined = rows.join(copies, ["__key", "__source"])
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).select("row.*")
+    if n_sources > BROADCAST_SOURCES:
+        copies = taken.groupBy(F.col("key").alias("__key"), F.col("source").alias("__source")).agg(F.count("*").cast("int").alias("copies"))
+        counted = rows.join(copies, ["__key", "__source"])
+    else:
+        last = F.struct("epoch", place_of_block(SEED, F.col("source"), F.col("epoch"), F.col("block")).alias("at"), "block", place_in_block(SEED, F.col("epoch"), F.col("key")).alias("within"), "key")
+        ends = keep(taken.groupBy(F.col("source").alias("__source")).agg(F.max("blocks").alias("blocks"), F.max_by(last, "before").alias("last")))
+        # A row without tokens goes along with rows of its doc_id that have some; only such rows are looked up.
+        blank = ~F.coalesce(F.col("row.text").cast("string"), F.lit("")).rlike("[^ \\t\\n\\r\\f]")
+        known = base.select(F.col("key").alias("__key"), F.col("source").alias("__source"))
+        drawn = rows.filter(~blank).unionByName(rows.filter(blank).join(known, ["__key", "__source"], "left_semi"))
+        epoch, block = F.col("last.epoch"), block_of(SEED, F.col("blocks"), F.col("__key"))
+        place = F.struct(place_of_block(SEED, F.col("__source"), epoch, block).alias("at"), block.alias("block"), place_in_block(SEED, epoch, F.col("__key")).alias("within"), F.col("__key").alias("key"))
+        in_last = place <= F.struct("last.at", "last.block", "last.within", "last.key")
+        counted = drawn.join(F.broadcast(ends), "__source").withColumn("copies", (epoch + in_last.cast("long")).cast("int"))
+    return counted.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
 
 
 SQL = f"""

@@ -1,3 +1,6 @@
+import random
+import time
+from collections import Counter
 from math import exp, log
 
 import pytest
@@ -83,3 +86,44 @@ def test_edge_cases(spark, weird, nothing):
     ids = [r["doc_id"] for r in mixed.collect()]
     assert 1 in ids and None in ids
     assert mix_documents(nothing).collect() == []
+
+
+def test_documents_come_as_often_as_the_plan_takes_them(spark, monkeypatch):
+    made = random.Random(5)
+    rows = []
+    for i in range(3000):
+        text = made.choice(["", None, " \t\n", *["w " * made.randint(1, 9) for _ in range(12)]])
+        doc = made.choice([None, i, i, i, made.randrange(200)])
+        rows.append((doc, text if doc is not None or not text or not text.strip() else f"{text}{i % 700}", made.choice([None, "", "a", "a", "a", "a", "b", "c c", "rare"] if i % 50 else ["one"]), i))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    keyed = df.select("n", mixing.key_of(df), mixing.source_of(df)).collect()
+    taken = Counter((r["key"], r["source"]) for r in plan_mixture(df).collect())
+    want = Counter({r["n"]: taken[r["key"], r["source"]] for r in keyed})
+    live = {(d, s or "") for d, t, s, _ in rows if t and t.strip()}
+    along = [n for d, t, s, n in rows if d is not None and not (t and t.strip()) and (d, s or "") in live]
+    assert {0, 1, 2} <= set(want.values()) and any(want[n] for n in along)
+    assert Counter(r["n"] for r in mix_documents(df).collect()) == +want
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert Counter(r["n"] for r in mix_documents(df).collect()) == +want
+
+
+def test_texts_stay_where_they_are_read(spark, tmp_path):
+    made = random.Random(3)
+    rows = [(i, " ".join(f"{made.getrandbits(64):x}" for _ in range(1000)), f"s{i % 3}") for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/in")
+
+    def shuffled():
+        time.sleep(0.5)  # the figures lag behind, up to the next task's end
+        spark.range(1).foreach(lambda _: None)
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")  # as on a plan too large for it
+    try:
+        before = shuffled()
+        mix_documents(spark.read.parquet(f"{tmp_path}/in")).write.parquet(f"{tmp_path}/out")
+    finally:
+        spark.conf.set(limit, usual)
+    assert 0 < shuffled() - before < 0.1 * sum(len(t) for _, t, _ in rows)
