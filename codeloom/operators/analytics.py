@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import complexity_bucket
 from codeloom.operators.callgraph import Graph
-from codeloom.runtime import keep, release
+from codeloom.runtime import apart, keep, release
 
 KEY = ["path"]
 
@@ -30,8 +30,8 @@ def internal(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose ends are both symbols: (path, caller, callee, ord), duplicates kept."""
     names = symbols.select("path", F.col("qualified_name").alias("__n")).distinct()
     e = edges.select("path", "caller", "callee", "ord")
-    e = e.join(names.withColumnRenamed("__n", "caller"), ["path", "caller"], "left_semi")
-    return e.join(names.withColumnRenamed("__n", "callee"), ["path", "callee"], "left_semi").select("path", "caller", "callee", "ord")
+    e = e.join(apart(names.withColumnRenamed("__n", "caller")), ["path", "caller"], "left_semi")
+    return e.join(apart(names.withColumnRenamed("__n", "callee")), ["path", "callee"], "left_semi").select("path", "caller", "callee", "ord")
 
 
 def callers(edges: DataFrame, name: str) -> DataFrame:
@@ -49,12 +49,12 @@ def call_counts(edges: DataFrame) -> DataFrame:
 
 def roots(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """Symbols that nothing calls."""
-    return symbols.select("path", F.col("qualified_name").alias("name")).join(edges.select("path", F.col("callee").alias("name")), ["path", "name"], "left_anti")
+    return symbols.select("path", F.col("qualified_name").alias("name")).join(apart(edges.select("path", F.col("callee").alias("name"))), ["path", "name"], "left_anti")
 
 
 def leaves(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """Symbols that call nothing."""
-    return symbols.select("path", F.col("qualified_name").alias("name")).join(edges.select("path", F.col("caller").alias("name")), ["path", "name"], "left_anti")
+    return symbols.select("path", F.col("qualified_name").alias("name")).join(apart(edges.select("path", F.col("caller").alias("name"))), ["path", "name"], "left_anti")
 
 
 def self_recursive(edges: DataFrame) -> DataFrame:
@@ -68,15 +68,15 @@ def degrees(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     ends = e.select("path", F.explode(F.array(F.struct(F.col("caller").alias("name"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("callee").alias("name"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("x"))
     counted = ends.groupBy("path", F.col("x.name").alias("name")).agg(F.sum("x.i").alias("in_degree"), F.sum("x.o").alias("out_degree"))
     # Read off the counts, so that the edges are shuffled once.
-    names = symbols.select("path", F.col("qualified_name").alias("name")).distinct().join(counted.select("path").distinct(), "path", "left_semi")
+    names = symbols.select("path", F.col("qualified_name").alias("name")).distinct().join(apart(counted.select("path").distinct()), "path", "left_semi")
     zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("in_degree", "out_degree")]
-    return names.join(counted, ["path", "name"], "left").select("path", "name", *zero, (F.coalesce("in_degree", F.lit(0)) + F.coalesce("out_degree", F.lit(0))).cast("long").alias("total_degree"))
+    return names.join(apart(counted), ["path", "name"], "left").select("path", "name", *zero, (F.coalesce("in_degree", F.lit(0)) + F.coalesce("out_degree", F.lit(0))).cast("long").alias("total_degree"))
 
 
 def default_entries(symbols: DataFrame, edges: DataFrame, entry_points: DataFrame) -> DataFrame:
     """(path, entry): a graph's entry points, or its roots where it has none."""
     have = entry_points.select("path", F.col("name").alias("entry")).distinct()
-    bare = roots(symbols, edges).join(have.select("path").distinct(), "path", "left_anti").select("path", F.col("name").alias("entry"))
+    bare = roots(symbols, edges).join(apart(have.select("path").distinct()), "path", "left_anti").select("path", F.col("name").alias("entry"))
     return have.union(bare)
 
 
@@ -91,19 +91,19 @@ def reach(symbols: DataFrame, edges: DataFrame, entries: DataFrame, max_rounds:
     """
     e = keep(internal(symbols, edges).select("path", "caller", "callee").distinct())
     names = symbols.select("path", F.col("qualified_name").alias("entry")).distinct()
-    start = entries.select("path", "entry").distinct().join(names, ["path", "entry"], "left_semi")
+    start = entries.select("path", "entry").distinct().join(apart(names), ["path", "entry"], "left_semi")
     if not strict:
-        start = start.join(e.select("path").distinct(), "path", "left_semi")
+        start = start.join(apart(e.select("path").distinct()), "path", "left_semi")
     frontier = keep(start.select("path", "entry", F.col("entry").alias("name"), F.lit(0).alias("dist")))
     rounds = [frontier]
     dist = 0
     while max_rounds is None or dist < max_rounds:
         dist += 1
-        step = rounds[-1].join(e, (rounds[-1]["path"] == e["path"]) & (rounds[-1]["name"] == e["caller"])).select(rounds[-1]["path"], "entry", F.col("callee").alias("name")).distinct()
+        step = rounds[-1].join(apart(e), (rounds[-1]["path"] == e["path"]) & (rounds[-1]["name"] == e["caller"])).select(rounds[-1]["path"], "entry", F.col("callee").alias("name")).distinct()
         seen = rounds[0]
         for r in rounds[1:]:
             seen = seen.union(r)
-        step = keep(step.join(seen, ["path", "entry", "name"], "left_anti").withColumn("dist", F.lit(dist)).select("path", "entry", "name", "dist"))
+        step = keep(step.join(apart(seen), ["path", "entry", "name"], "left_anti").withColumn("dist", F.lit(dist)).select("path", "entry", "name", "dist"))
         if step.isEmpty():
             release(step)
             break
@@ -129,30 +129,30 @@ def reachable(reached: DataFrame) -> DataFrame:
 def reach_tree(symbols: DataFrame, edges: DataFrame, reached: DataFrame) -> DataFrame:
     """(path, entry, caller, callee): the distinct internal edges that an entry's chains go along."""
     e = internal(symbols, edges).select("path", "caller", "callee").distinct()
-    return reached.select("path", "entry", F.col("name").alias("caller")).join(e, ["path", "caller"]).select("path", "entry", "caller", "callee")
+    return reached.select("path", "entry", F.col("name").alias("caller")).join(apart(e), ["path", "caller"]).select("path", "entry", "caller", "callee")
 
 
 def unreachable_share(symbols: DataFrame, reached: DataFrame) -> DataFrame:
     """(path, reachable, unreachable) counts of every graph."""
     r = reachable(reached).select("path", F.col("name").alias("qualified_name"), F.lit(1).alias("hit"))
-    s = symbols.select("path", "qualified_name").distinct().join(r, ["path", "qualified_name"], "left")
+    s = symbols.select("path", "qualified_name").distinct().join(apart(r), ["path", "qualified_name"], "left")
     return s.groupBy("path").agg(F.count("hit").alias("reachable"), F.count_if(F.col("hit").isNull()).alias("unreachable"))
 
 
 def dead_code(symbols: DataFrame, reached: DataFrame) -> DataFrame:
     """Symbols that no entry reaches."""
-    return symbols.select("path", F.col("qualified_name").alias("name")).join(reached.select("path", "name"), ["path", "name"], "left_anti")
+    return symbols.select("path", F.col("qualified_name").alias("name")).join(apart(reached.select("path", "name")), ["path", "name"], "left_anti")
 
 
 def impact(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """What a change of each symbol touches: callers, dependencies, callers that call nothing else, a score, and whether it is critical."""
     e = keep(internal(symbols, edges).groupBy("path", "caller", "callee").agg(F.count("*").alias("calls")))
     only = e.groupBy("path", "caller").agg(F.sum("calls").alias("__n")).filter("__n = 1").select("path", "caller", F.lit(True).alias("only"))
-    up = e.select("path", "caller", F.col("callee").alias("name")).join(only, ["path", "caller"], "left")
+    up = e.select("path", "caller", F.col("callee").alias("name")).join(apart(only), ["path", "caller"], "left")
     up = up.groupBy("path", "name").agg(F.array_sort(F.collect_list("caller")).alias("direct_callers"), F.array_sort(F.collect_list(F.when(F.col("only"), F.col("caller")))).alias("potential_dead_code"))
     down = e.groupBy("path", F.col("caller").alias("name")).agg(F.array_sort(F.collect_set("callee")).alias("dependencies"))
     none = F.array().cast("array<string>")
-    out = symbols.select("path", F.col("qualified_name").alias("name")).distinct().join(up, ["path", "name"], "left").join(down, ["path", "name"], "left")
+    out = symbols.select("path", F.col("qualified_name").alias("name")).distinct().join(apart(up), ["path", "name"], "left").join(apart(down), ["path", "name"], "left")
     out = out.select("path", "name", *[F.coalesce(c, none).alias(c) for c in ("direct_callers", "dependencies", "potential_dead_code")])
     callers_, dead = F.size("direct_callers"), F.size("potential_dead_code")
     return out.withColumn("impact_score", callers_ + dead).withColumn("is_critical", (callers_ > 3) | (dead > 0))
@@ -320,7 +320,7 @@ def per_graph(symbols: DataFrame, edges: DataFrame, run: Callable[[Adjacency], l
     """run over each path's Adjacency; its rows with path in front. One shuffle; a task holds one graph at a time."""
     s = symbols.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "qualified_name"))).alias("s"))
     e = edges.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "caller", "callee"))).alias("e"))
-    both = s.join(e, "path", "left").select("path", F.col("s.qualified_name").alias("names"), F.col("e.caller").alias("a"), F.col("e.callee").alias("b"))
+    both = s.join(apart(e), "path", "left").select("path", F.col("s.qualified_name").alias("names"), F.col("e.caller").alias("a"), F.col("e.callee").alias("b"))
     names = ["path", *[c.split()[0] for c in schema.split(", ")]]
 
     def go(batches):  # noqa: ANN001, ANN202
@@ -379,13 +379,13 @@ def call_chains(symbols: DataFrame, edges: DataFrame, entries: list[str], limit:
 
 
 def centrality(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    return degrees(symbols, edges).join(betweenness(symbols, edges), ["path", "name"])
+    return degrees(symbols, edges).join(apart(betweenness(symbols, edges)), ["path", "name"])
 
 
 def critical(symbols: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     """The k symbols of each graph with the most calls and betweenness; ties in symbol order."""
     order = symbols.groupBy("path", F.col("qualified_name").alias("name")).agg(F.min("ord").alias("ord"))
-    scored = centrality(symbols, edges).join(order, ["path", "name"])
+    scored = centrality(symbols, edges).join(apart(order), ["path", "name"])
     w = Window.partitionBy("path").orderBy(F.desc(F.col("total_degree") + F.col("betweenness")), "ord")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("ord")
 
@@ -398,7 +398,7 @@ def statistics(g: Graph, reached: DataFrame) -> DataFrame:
     e = g.edges.groupBy("path").agg(F.count("*").alias("total_calls"), F.count_if(~F.col("internal")).alias("external_calls"), F.count_if(lost).alias("unresolved_calls"), F.count_if((F.col("caller") == F.col("callee")) & (F.col("call_type") == "recursive")).alias("recursive_functions"), *[F.count_if(F.col("call_type") == t).alias(f"{t}_calls") for t in ("direct", "indirect", "recursive")])
     count = lambda df, name: df.groupBy("path").agg(F.count("*").alias(name))
     r = reachable(reached).groupBy("path").agg(F.count("*").alias("reachable_functions"), F.max("dist").alias("max_call_depth"))
-    out = s.join(buckets, "path", "left").join(e, "path", "left").join(count(g.entry_points, "entry_points"), "path", "left")
-    out = out.join(count(leaves(g.symbols, g.edges), "leaf_functions"), "path", "left").join(count(roots(g.symbols, g.edges), "root_functions"), "path", "left").join(r, "path", "left")
+    out = s.join(apart(buckets), "path", "left").join(apart(e), "path", "left").join(apart(count(g.entry_points, "entry_points")), "path", "left")
+    out = out.join(apart(count(leaves(g.symbols, g.edges), "leaf_functions")), "path", "left").join(apart(count(roots(g.symbols, g.edges), "root_functions")), "path", "left").join(apart(r), "path", "left")
     out = out.na.fill(0, ["total_calls", "external_calls", "unresolved_calls", "recursive_functions", "direct_calls", "indirect_calls", "recursive_calls", "entry_points", "leaf_functions", "root_functions", "reachable_functions", "max_call_depth"])
     return out.withColumn("unreachable_functions", F.col("total_functions") - F.col("reachable_functions")).withColumn("avg_calls_per_function", F.round(F.col("total_calls") / F.greatest("total_functions", F.lit(1)), 2))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.catalog import BUILTINS
-from codeloom.runtime import keep
+from codeloom.runtime import apart, keep
 from codeloom.sources.facts import explode_part, facts
 
 ENTRY_NAMES = ("execute", "handler", "main", "run", "start")
@@ -32,7 +32,7 @@ class Graph:
     def external_calls(self) -> DataFrame:
         """(path, callee, calls) of callees that are no symbol of their file."""
         names = self.symbols.select("path", F.col("qualified_name").alias("callee"))
-        return self.edges.join(names, ["path", "callee"], "left_anti").groupBy("path", "callee").agg(F.count("*").alias("calls"))
+        return self.edges.join(apart(names), ["path", "callee"], "left_anti").groupBy("path", "callee").agg(F.count("*").alias("calls"))
 
     def unresolved(self) -> DataFrame:
         """(path, call_expression, line) of calls that lead nowhere known."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators.analytics import reachable
 from codeloom.operators.callgraph import Graph
+from codeloom.runtime import apart
 
 XML = '<?xml version="1.0" encoding="UTF-8"?>'
 SPACE = "http://graphml.graphdrawing.org/xmlns"
@@ -44,7 +45,7 @@ class Options:
 def _nodes(g: Graph, reached: DataFrame, o: Options) -> DataFrame:
     r = reachable(reached).select("path", F.col("name").alias("qualified_name"), F.lit(True).alias("is_reachable"))
     e = g.entry_points.select("path", F.col("name").alias("qualified_name"), F.lit(True).alias("is_entry_point"))
-    n = g.symbols.join(r, ["path", "qualified_name"], "left").join(e, ["path", "qualified_name"], "left").na.fill(False, ["is_reachable", "is_entry_point"])
+    n = g.symbols.join(apart(r), ["path", "qualified_name"], "left").join(apart(e), ["path", "qualified_name"], "left").na.fill(False, ["is_reachable", "is_entry_point"])
     return n.filter("is_reachable") if o.only_reachable else n
 
 
@@ -58,8 +59,8 @@ def _outside(g: Graph, o: Options) -> DataFrame:
 def _edges(g: Graph, n: DataFrame, external: bool) -> DataFrame:
     """Edges whose caller is shown, and whose callee is shown or (with ``external``) is no symbol."""
     names = n.select("path", F.col("qualified_name").alias("__q")).distinct()
-    e = g.edges.join(names.withColumnRenamed("__q", "caller"), ["path", "caller"], "left_semi")
-    inside = e.join(names.withColumnRenamed("__q", "callee"), ["path", "callee"], "left_semi")
+    e = g.edges.join(apart(names.withColumnRenamed("__q", "caller")), ["path", "caller"], "left_semi")
+    inside = e.join(apart(names.withColumnRenamed("__q", "callee")), ["path", "callee"], "left_semi")
     return inside.unionByName(e.filter(~F.col("internal"))) if external else inside
 
 
@@ -76,7 +77,7 @@ def _together(paths: DataFrame, parts: list[DataFrame], head: str, between: dict
     pieces: list[Column] = [F.lit(head)]
     for k in range(len(parts)):
         pieces += [F.lit(between.get(k, "")), F.coalesce(pick(k), F.lit(""))]
-    return paths.join(grouped, "path", "left").select("path", F.concat(*pieces, F.lit(tail)).alias("document"))
+    return paths.join(apart(grouped), "path", "left").select("path", F.concat(*pieces, F.lit(tail)).alias("document"))
 
 
 def _quoted(c: Column) -> Column:
@@ -136,7 +137,7 @@ def graph_json(g: Graph, reached: DataFrame, o: Options = Options()) -> DataFram
     edges = _edges(g, n, o.include_external).select("path", F.col("ord").cast("long").alias("ord"), F.to_json(F.struct(*fields, *(["call_expression"] if o.call_expression else []))).alias("d"))
     together = lambda df, name, *more: df.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "d")))["d"].alias(name), *more)
     entries = g.entry_points.groupBy("path").agg(F.count("*").alias("entries"))
-    rows = g.scopes.select("path").join(together(nodes, "n", F.count_if("is_reachable").alias("reached")), "path", "left").join(together(edges, "e"), "path", "left").join(entries, "path", "left")
+    rows = g.scopes.select("path").join(apart(together(nodes, "n", F.count_if("is_reachable").alias("reached"))), "path", "left").join(apart(together(edges, "e")), "path", "left").join(apart(entries), "path", "left")
     listed = lambda c: F.concat(F.lit("["), F.coalesce(F.array_join(c, ",\n"), F.lit("")), F.lit("]"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     stats = F.to_json(F.struct(zero(F.size("n")).alias("total_nodes"), zero(F.size("e")).alias("total_edges"), zero(F.col("entries")).alias("entry_points"), zero(F.col("reached")).alias("reachable_functions")))
@@ -168,4 +169,4 @@ def cytoscape(g: Graph, reached: DataFrame, o: Options = Options()) -> DataFrame
     grouped = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("part", "ord", "line")))["line"].alias("x"))
     tail = '], "layout": ' + json.dumps({"directed": True, "name": "dagre", "spacingFactor": 1.5}) + ', "style": ' + json.dumps(STYLE) + "}"
     metadata = F.to_json(F.struct(F.lit("codeloom").alias("tool"), F.col("path").alias("file_path")))
-    return g.scopes.select("path").join(grouped, "path", "left").select("path", F.concat(F.lit('{"metadata": '), metadata, F.lit(', "elements": ['), F.coalesce(F.array_join("x", ",\n"), F.lit("")), F.lit(tail)).alias("document"))
+    return g.scopes.select("path").join(apart(grouped), "path", "left").select("path", F.concat(F.lit('{"metadata": '), metadata, F.lit(', "elements": ['), F.coalesce(F.array_join("x", ",\n"), F.lit("")), F.lit(tail)).alias("document"))

@@ -64,6 +64,16 @@ def keep(df: DataFrame) -> DataFrame:
     return out
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df as the side of a join that is never sent to the driver whole.
+
+    Spark takes a table's files for its size. Those of ``keep`` are compressed,
+    up to a hundred times where graphs are alike, and exploded after they are
+    read, so it would broadcast tables of any size.
+    """
+    return df.hint("merge")
+
+
 def located(spark: SparkSession, uri: str):  # noqa: ANN202
     """A path of Hadoop's and the file system it is in."""
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
