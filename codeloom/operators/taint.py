@@ -54,11 +54,11 @@ def classified(s: dict, judge: Judge) -> dict:
 
 
 class Flow:
-    """The state of one function: variable -> [labels, location, line], and what was found so far."""
+    """The state of one function: variable -> [labels, line], and what was found so far."""
 
-    def __init__(self, path: str, func: str, func_id: int, strict: bool, removed: dict[str, set[str]]) -> None:
-        self.path, self.func, self.func_id, self.strict, self.removed = path, func, func_id, strict, removed
-        self.state: dict[str, tuple[frozenset[str], str, int]] = {}
+    def __init__(self, func: str, func_id: int, strict: bool, removed: dict[str, set[str]]) -> None:
+        self.func, self.func_id, self.strict, self.removed = func, func_id, strict, removed
+        self.state: dict[str, tuple[frozenset[str], int]] = {}
         self.edges: list[dict] = []
         self.paths: list[dict] = []
         self.seq = 0
@@ -70,7 +70,7 @@ class Flow:
         self.edges.append({"from_var": a, "to_var": b, "operation": operation, "line": line, "preserves_taint": sanitizer is None, "sanitizer": sanitizer, "func_id": self.func_id, "seq": self.seq})
 
     def mark(self, target: str, label: str, line: int) -> None:
-        self.state[target] = frozenset([label]), f"{self.path}:{line}", line
+        self.state[target] = frozenset([label]), line
 
     def merge(self, variables: list[str], target: str) -> None:
         labels = frozenset().union(*(self.state[v][0] for v in variables))
@@ -149,7 +149,7 @@ class Flow:
 
     def path_to(self, variable: str, sink: dict, line: int) -> None:
         """A path with the edges that touch the variable; in strict mode all edges that lead to it."""
-        labels, location, source_line = self.state[variable]
+        labels, source_line = self.state[variable]
         if self.strict:
             wanted, used = {variable}, []
             for e in reversed(self.edges):
@@ -162,7 +162,7 @@ class Flow:
         cleaners = [e["sanitizer"] for e in used if e["sanitizer"]]
         safe = any(not e["preserves_taint"] for e in used) or any(labels & self.removed.get(c, set()) for c in cleaners)
         self.paths.append({
-            "func": self.func, "func_id": self.func_id, "source": variable, "source_type": "user_input", "source_location": location, "source_line": source_line,
+            "func": self.func, "func_id": self.func_id, "source": variable, "source_type": "user_input", "source_line": source_line,
             "sink": sink["name"], "sink_type": sink["type"], "sink_line": line, "labels": sorted(labels), "path_edges": used, "is_sanitized": safe,
             "sanitizers": cleaners, "severity": sink["severity"], "confidence": 0.8,
         })
@@ -172,10 +172,10 @@ def count_matches(files: DataFrame, strict: bool = False, heuristics: bool = Tru
     """(path, sources_found, sinks_found, sanitizers_found) of every file, without following any data."""
     judge = Judge(sources, sinks, sanitizers, heuristics, strict)
 
-    def one(path: str | None, file: File | None) -> tuple:
-        return (path, *(count_calls(file, judge) if file else (0, 0, 0)))
+    def one(file: File | None) -> tuple:
+        return count_calls(file, judge) if file else (0, 0, 0)
 
-    return per_file(files, one, "path string, sources_found long, sinks_found long, sanitizers_found long", strict)
+    return per_file(files, one, "sources_found long, sinks_found long, sanitizers_found long", strict)
 
 
 def analyse(files: DataFrame, strict: bool = False, heuristics: bool = True, sources: Iterable[Entry] = K.SOURCES, sinks: Iterable[Entry] = K.SINKS, sanitizers: Iterable[Entry] = K.SANITIZERS, counted: bool = True) -> DataFrame:
@@ -193,22 +193,24 @@ def analyse(files: DataFrame, strict: bool = False, heuristics: bool = True, sou
     judge, removed = Judge(sources, sinks, sanitizers, heuristics, strict), {e.name: set(e.removes) for e in sanitizers}
     count = count_calls if counted else lambda file, judge: (None, None, None)
 
-    def one(path: str | None, file: File | None) -> tuple:
+    def one(file: File | None) -> tuple:
         if file is None:
-            return (path, *((0, 0, 0) if counted else (None, None, None)), [], [])
+            return (*((0, 0, 0) if counted else (None, None, None)), [], [])
         found: list[dict] = []
         edges: list[dict] = []
         flow: Flow | None = None
         for s in file.stmts():
             if flow is None or flow.func_id != s["func_id"]:
-                flow = Flow(path, s["func"], s["func_id"], strict, removed)
+                flow = Flow(s["func"], s["func_id"], strict, removed)
                 flow.paths = found
             mark = len(flow.edges)
             flow.step(classified(s, judge))
             edges += flow.edges[mark:]
-        return (path, *count(file, judge), found, edges)
+        return (*count(file, judge), found, edges)
 
-    return per_file(files, one, f"path string, sources_found long, sinks_found long, sanitizers_found long, paths {PATHS}, flows {FLOWS}", strict)
+    made = per_file(files, one, f"sources_found long, sinks_found long, sanitizers_found long, paths {PATHS}, flows {FLOWS}", strict)
+    # A pass that shares what texts have in common knows no paths.
+    return made.withColumn("paths", F.transform("paths", lambda p: p.withField("source_location", F.concat_ws(":", F.coalesce("path", F.lit("None")), p["source_line"]))))
 
 
 def taint_paths(analysed: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 """What keeps time and memory in proportion to the input: counted or read off plans, not timed."""
 
-from codeloom.operators import analytics, callgraph
+import pyarrow as pa
+
+from codeloom.operators import analytics, callgraph, taint
 from codeloom.plans import exports
+from codeloom.sources.facts import CHARS, TEXTS, each, facts
 from codeloom.sources.files import from_strings
 
 CALLING = "def main():\n    a()\n    os.getcwd()\n\ndef a():\n    a()\n\ndef lone():\n    pass\n"
@@ -19,3 +22,41 @@ def test_no_join_of_a_graph_is_sent_to_the_driver(spark):
     for df in made:
         assert "Join" in plan(df) and "Broadcast" not in plan(df)
         assert df.count()
+
+
+def batches(rows, at_once):
+    return iter([pa.RecordBatch.from_arrays([pa.array([f"p{i}" for i in range(lo, min(lo + at_once, len(rows)))]), pa.array(rows[lo : lo + at_once], pa.string())], names=["path", "code"]) for lo in range(0, len(rows), at_once)])
+
+
+SCHEMA = pa.schema([("path", pa.string()), ("n", pa.int32()), ("x", pa.list_(pa.struct([("t", pa.string()), ("m", pa.map_(pa.string(), pa.string()))])))])
+
+
+def test_a_text_that_many_files_share_is_parsed_once():
+    calls = []
+
+    def make(code):
+        calls.append(code)
+        return len(code or ""), None if code is None else [{"t": code, "m": {code: "v"}}, {}]
+
+    rows = [None if i % 7 == 3 else f"text {i % 7}" for i in range(5000)]
+    out = list(each(batches(rows, 1000), make, SCHEMA))
+    assert sorted(calls, key=str) == sorted(set(rows), key=str)
+    got = [r for b in out for r in b.to_pylist()]
+    assert got == [{"path": f"p{i}", "n": len(c or ""), "x": None if c is None else [{"t": c, "m": [(c, "v")]}, {"t": None, "m": None}]} for i, c in enumerate(rows)]
+
+
+def test_what_a_worker_keeps_of_texts_is_bounded():
+    rows = ["a" * (CHARS // 4) + str(i) for i in range(20)] + ["b"] * 3000 + [str(i) for i in range(3000)]
+    calls = []
+    out = list(each(batches(rows, 2000), lambda c: (len(calls.append(c) or c), []), SCHEMA))
+    assert [r["n"] for b in out for r in b.to_pylist()] == list(map(len, rows)) and len(calls) == len(set(rows))
+    assert max(sum(b.column(1).to_pylist()) for b in out) < 2 * CHARS and max(b.num_rows for b in out) <= TEXTS
+
+
+def test_files_of_one_text_have_their_own_paths(spark):
+    code = "import os\ndef f():\n    a = input()\n    os.system(a)\n"
+    paths = ["a", "b", "c", "d"]
+    files = from_strings(spark, list(zip(paths, [code, code, code, "x = 1\n"])))
+    found = taint.analyse(files)
+    assert sorted(r["source_location"] for r in taint.taint_paths(found).collect()) == sorted(f"{p}:3" for p in paths[:3])
+    assert sorted((r["path"], len(r["calls"])) for r in facts(files, ["calls"]).collect()) == sorted(zip(paths, [2, 2, 2, 0]))
