@@ -12,16 +12,19 @@ batches.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from codeloom.functions.text import complexity_bucket
 from codeloom.operators.callgraph import Graph
 from codeloom.runtime import apart, keep, release
+from codeloom.sources.facts import column
 
 KEY = ["path"]
 
@@ -316,26 +319,51 @@ class Adjacency:
         return out
 
 
+#: A worker remembers what it found in graphs of so many names, calls and rows in all, and hands on so many rows at a time.
+REMEMBERED, ROWS = 1 << 16, 4096
+
+
+def each_graph(batches: Iterable[pa.RecordBatch], run: Callable[[Adjacency], list[tuple]], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """run's rows, with path in front, for batches of (path, names, callers, callees); it runs once for graphs that are alike and come near each other."""
+    memo: dict[tuple, list[tuple]] = {}
+    size = 0
+    paths: list[str | None] = []
+    rows: list[tuple] = []
+
+    def ready() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([column(list(c), f.type) for c, f in zip((paths, *zip(*rows, strict=True)), arrow, strict=True)], schema=arrow)
+        paths.clear()
+        rows.clear()
+        return out
+
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 64):
+            for path, *graph in zip(*(c.slice(lo, 64).to_pylist() for c in batch.columns), strict=True):
+                key = tuple(tuple(x or ()) for x in graph)
+                found = memo.get(key)
+                if found is None:
+                    found = run(Adjacency(graph[0], list(zip(key[1], key[2], strict=True))))
+                    weight = sum(map(len, key)) + len(found)
+                    if size + weight > REMEMBERED:
+                        memo, size = {}, 0
+                    memo[key] = found
+                    size += weight
+                paths += [path] * len(found)
+                rows += found
+                if len(rows) >= ROWS:
+                    yield ready()
+    if rows:
+        yield ready()
+
+
 def per_graph(symbols: DataFrame, edges: DataFrame, run: Callable[[Adjacency], list[tuple]], schema: str) -> DataFrame:
     """run over each path's Adjacency; its rows with path in front. One shuffle; a task holds one graph at a time."""
     s = symbols.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "qualified_name"))).alias("s"))
     e = edges.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "caller", "callee"))).alias("e"))
     both = s.join(apart(e), "path", "left").select("path", F.col("s.qualified_name").alias("names"), F.col("e.caller").alias("a"), F.col("e.callee").alias("b"))
-    names = ["path", *[c.split()[0] for c in schema.split(", ")]]
-
-    def go(batches):  # noqa: ANN001, ANN202
-        for batch in batches:
-            for i in range(batch.num_rows):
-                path, syms, a, b = (batch.column(k)[i].as_py() for k in range(4))
-                rows = run(Adjacency(syms, list(zip(a or [], b or [], strict=True))))
-                if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, (path, *r), strict=True)) for r in rows], schema=arrow)
-
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(T.StructType.fromDDL(f"path string, {schema}"))
-    return both.mapInArrow(go, f"path string, {schema}")
+    kind = T.StructType.fromDDL(f"path string, {schema}")
+    arrow = to_arrow_schema(kind)
+    return both.mapInArrow(lambda batches: each_graph(batches, run, arrow), kind)
 
 
 def cycles(symbols: DataFrame, edges: DataFrame) -> DataFrame:

@@ -60,3 +60,20 @@ def test_files_of_one_text_have_their_own_paths(spark):
     found = taint.analyse(files)
     assert sorted(r["source_location"] for r in taint.taint_paths(found).collect()) == sorted(f"{p}:3" for p in paths[:3])
     assert sorted((r["path"], len(r["calls"])) for r in facts(files, ["calls"]).collect()) == sorted(zip(paths, [2, 2, 2, 0]))
+
+
+def test_graphs_that_are_alike_are_walked_once():
+    calls = []
+
+    def run(g):
+        calls.append(g.names)
+        return [(n, len(g.next.get(n, ()))) for n in g.names if n != "z"]
+
+    kinds = [(["a", "b"], ["a", "a"], ["b", "b"]), (["a", "b"], None, None), (["z"], ["z"], ["z"]), (["a", "b"], ["b"], ["a"])]
+    rows = [kinds[i % 4] for i in range(6000)]
+    columns = [pa.array([f"p{i}" for i in range(6000)]), *(pa.array([r[k] for r in rows], pa.list_(pa.string())) for k in range(3))]
+    arrow = pa.schema([("path", pa.string()), ("name", pa.string()), ("n", pa.int32())])
+    out = list(analytics.each_graph([pa.RecordBatch.from_arrays(columns, names=["path", "s", "a", "b"])], run, arrow))
+    want = {0: [("a", 2), ("b", 0)], 1: [("a", 0), ("b", 0)], 2: [], 3: [("a", 0), ("b", 1)]}
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [(f"p{i}", *x) for i in range(6000) for x in want[i % 4]]
+    assert len(calls) == 4 and len(out) < 10
