@@ -3,9 +3,10 @@
 import pyarrow as pa
 
 from codeloom.operators import analytics, callgraph, taint
-from codeloom.plans import exports
-from codeloom.sources.facts import CHARS, TEXTS, each, facts
+from codeloom.plans import exports, queries
+from codeloom.sources.facts import CHARS, TEXTS, File, each, facts
 from codeloom.sources.files import from_strings
+from codeloom.sources.tree import Node, Source
 
 CALLING = "def main():\n    a()\n    os.getcwd()\n\ndef a():\n    a()\n\ndef lone():\n    pass\n"
 
@@ -77,3 +78,18 @@ def test_graphs_that_are_alike_are_walked_once():
     want = {0: [("a", 2), ("b", 0)], 1: [("a", 0), ("b", 0)], 2: [], 3: [("a", 0), ("b", 1)]}
     assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [(f"p{i}", *x) for i in range(6000) for x in want[i % 4]]
     assert len(calls) == 4 and len(out) < 10
+
+
+def test_a_parse_walks_its_tree_no_more_than_it_must(monkeypatch):
+    walks = []
+    walk = Node.walk
+    monkeypatch.setattr(Node, "walk", lambda self: (walks.append(self.type), walk(self))[1])
+    for code in ("import os\r\nx = (1 + 2) # é\r\ndef f(a, *b):\n    return a\n", "x = 1\n", ""):
+        file = File(code)
+        assert not walks
+        assert file.all == list(walk(file.root)) and [n.id for n in file.all] == list(range(len(file.all)))
+    assert Source("x = 1\n")._lines is None and Source("é\r\n\rx\n").begins == [0, 4, 5, 7]
+
+
+def test_a_document_is_read_back_in_one_pass(spark, sf):
+    assert "get_json_object" not in plan(queries.scan_documents(spark, sf))
